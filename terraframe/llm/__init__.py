@@ -1,0 +1,4 @@
+"""Operators for preparing language-model training data.
+
+Nothing else in the library imports this subpackage.
+"""
