@@ -2,3 +2,10 @@
 
 Nothing else in the library imports this subpackage.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for executors travel by value: workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
