@@ -192,7 +192,7 @@ def signatures(parts: list[tuple[list[int], int]]) -> Column:
 
 
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
+    """Edges of a spanning forest of the links among distinct fingerprints (unsigned: bit counts are of magnitudes)."""
     none = np.zeros(0, fp.dtype)
     if len(fp) < 2:
         return none, none
@@ -234,10 +234,10 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 2048) -> DataFrame:
         out_a, out_b, held = [], [], 0
         for g in groups(batches, keys):
             if g.num_rows > 1:
-                a, b = forest(np.unique(g.column("fp").to_numpy()), distance)
+                a, b = forest(np.unique(g.column("fp").to_numpy()).view(np.uint64), distance)
                 if len(a):
-                    out_a.append(a)
-                    out_b.append(b)
+                    out_a.append(a.view(np.int64))
+                    out_b.append(b.view(np.int64))
                     held += len(a)
             if held > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
