@@ -39,3 +39,29 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         last = tuple(batch.column(k)[n - 1].as_py() for k in keys)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Tables of ``least`` rows or more (but the last) that never split a run of equal keys of a sorted stream."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cut = 0  # the last place in this batch where a key begins
+        new = np.zeros(n, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+            if held:
+                new[0] |= held[-1].column(k)[held[-1].num_rows - 1].as_py() != batch.column(k)[0].as_py()
+        starts = np.flatnonzero(new)
+        if rows + n >= least and len(starts):
+            cut = int(starts[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)], batch.schema)
+            held, rows = [], 0
+        held.append(batch.slice(cut))
+        rows += n - cut
+    if held:
+        yield pa.Table.from_batches(held)

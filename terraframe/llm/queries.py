@@ -6,7 +6,8 @@ from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .sharding import op4_sharding
 from .simhash import op1_simhash
+from .suffix_dedup import op9_suffix_dedup
 from .url_filter import op7_url_filters
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_sharding": op4_sharding, "op7_url_filters": op7_url_filters, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_sharding": op4_sharding, "op7_url_filters": op7_url_filters, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
 SQL: dict[str, str] = {}
