@@ -202,9 +202,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
     """(__id, __th, marks): repeated windows of each document of :func:`keyed`, packed as (first, last) longs."""
     found = write_table(all_segments(docs, length), "op9-segments")
-    often = found.groupBy("h").agg(F.count("*").alias("__n")).filter("__n > 1").select("h")
+    # a written table: the join below then exchanges both sides, and a hot anchor's rows can be split
+    often = write_table(found.groupBy("h").agg(F.count("*").alias("__n")).filter("__n > 1").select("h"), "op9-often")
     places = write_table(found.join(often, "h"), "op9-places")
     drop_table(found)
+    drop_table(often)
     # one row for each different segment, from one place where it stands
     distinct = places.groupBy("h", "c").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("id", "th", "p")).alias("w"))
     wanted = distinct.select("h", "c", "n", "w.id", "w.th", "w.p")
@@ -217,11 +219,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) ->
         "a.h", "a.c", "a.n", F.expr("cast(shiftright(a.p, 8) & 255 as int)").alias("off"), F.substring(F.col("t"), first + 1, F.expr(f"cast((a.p & 255) + {length} as int)")).alias("bytes")
     )
     got = write_table(got, "op9-bytes")
-    sizes = got.groupBy("h").agg(F.count("*").alias("size"))
-    k = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
+    large = write_table(got.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > chunk), "op9-large")
+    k = F.coalesce(F.ceil(F.col("size") / F.lit(chunk)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("c"), k).cast("int")
     cells = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("ci"), F.greatest(i, own).alias("cj"))))
-    candidates = got.join(sizes, "h").select("h", "c", "n", "off", "bytes", cells.alias("cell")).select("h", "c", "n", "off", "bytes", "cell.ci", "cell.cj")
+    candidates = got.join(large, "h", "left").select("h", "c", "n", "off", "bytes", cells.alias("cell")).select("h", "c", "n", "off", "bytes", "cell.ci", "cell.cj")
     marks = write_table(repeated(candidates, length), "op9-marks")
     drop_table(got)
     return places.join(marks, ["h", "c"]).groupBy("id", "th").agg(F.collect_list(F.struct("p", "ranges")).alias("marks")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "marks")
