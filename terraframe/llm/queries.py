@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op8_decontamination
+from .html_extract import op3_html_extraction
 from .language_id import language_id_pages, op6_language_id
 from .packing import op2_packing
 from .quality_rules import op10_quality_rules
@@ -12,5 +13,5 @@ from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op5_token_counts
 from .url_filter import op7_url_filters
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_sharding": op4_sharding, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "language_id_pages": language_id_pages, "op7_url_filters": op7_url_filters, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_html_extraction": op3_html_extraction, "op4_sharding": op4_sharding, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "language_id_pages": language_id_pages, "op7_url_filters": op7_url_filters, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
 SQL: dict[str, str] = {}
