@@ -262,11 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """``docs`` with one row for each component: the one with the smallest id."""
+    """``docs`` with one row for each component: the one with the smallest id (any one of rows that repeat it)."""
     found = near_duplicates(docs, id_col, text_col, distance)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__first")).distinct()
-    kept = docs.join(first, docs[id_col].eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    rows = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__first")).agg(F.count("*").alias("__n"))
+    first = write_table(rows, "op1-first")
+    kept = docs.join(first.select("__first"), docs[id_col].eqNullSafe(F.col("__first")), "left_semi")
+    # texts are dealt out by id once more only where an id stands for several rows
+    return kept if first.filter("__n > 1").isEmpty() else kept.dropDuplicates([id_col])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,15 +229,18 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) ->
     return places.join(marks, ["h", "c"]).groupBy("id", "th").agg(F.collect_list(F.struct("p", "ranges")).alias("marks")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "marks")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with kept (the remaining bytes), spans (removed runs, start and end) and n_bytes."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk: int = CHUNK, as_text: bool = False) -> DataFrame:
+    """``docs`` with kept (the remaining bytes), spans (removed runs, start and end) and n_bytes.
+
+    ``as_text``: kept as a string; characters that a cut has split are left out.
+    """
     rows = keyed(without(docs, "kept", "spans", "n_bytes"), id_col, text_col)
     marks = write_table(removed_spans(rows, length, chunk), "op9-spans")
     carried = [c for c in rows.columns if not c.startswith("__")]
     marks = marks.withColumnsRenamed({"__id": "__mid", "__th": "__mth"})
     joined = rows.join(marks, (F.col("__id") == F.col("__mid")) & (F.col("__th") == F.col("__mth")), "left").select(*[F.col(f"`{c}`") for c in carried], F.col("__text"), F.col("marks.p").alias("__p"), F.col("marks.ranges").alias("__r"))
     schema = rows.select(*[F.col(f"`{c}`") for c in carried]).schema
-    out = T.StructType([*schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("n_bytes", T.LongType())])
+    out = T.StructType([*schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("n_bytes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(carried)
@@ -255,7 +258,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 offsets.append(len(starts))
                 sizes.append(len(t))
             spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["start", "end"]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(kept, pa.binary()), spans, pa.array(sizes, pa.int64())], [*carried, "kept", "spans", "n_bytes"])
+            column = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], column, spans, pa.array(sizes, pa.int64())], [*carried, "kept", "spans", "n_bytes"])
 
     return joined.mapInArrow(run, out)
 
@@ -271,6 +275,13 @@ def spans_of(places: list[int], ranges: list[bytes], length: int) -> tuple[list[
     return m[new, 0].tolist(), end[last].tolist()
 
 
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated passages cut out of the texts; every row stays, n_chars (if there) follows."""
+    out = dedup(docs, id_col, text_col, length, as_text=True)
+    new = {text_col: F.col("kept")} | ({"n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.end - x.start)
