@@ -77,8 +77,8 @@ def train(rows: DataFrame, per_language: int, most: int, support: int) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
 
     total = np.zeros(len(names) * CELLS)
-    for cell, n in sample.select("declared", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # languages x cells at most
-        total[cell] = n
+    got = sample.select("declared", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x cells at most
+    total[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     total = total.reshape(len(names), CELLS)
     seen = max(int(total.any(axis=0).sum()), 2)
     p = (total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * seen)
@@ -184,6 +184,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", **columns: Column) -> DataFrame:
     """``docs`` without the rows whose language was rejected."""
-    kept = identify(docs, id_col, **columns).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    kept = write_table(kept, "op6-kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    verdicts = identify(docs, id_col, **columns).groupBy(F.col(id_col).alias("__out")).agg(F.max("kept").alias("kept"))
+    # the few that go, not the many that stay: while they are small enough to broadcast, no text is moved
+    out = write_table(verdicts.filter("not kept").select("__out"), "op6-rejected")
+    return docs.join(out, docs[id_col].eqNullSafe(F.col("__out")), "left_anti")

@@ -200,7 +200,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
-    """(__id, __th, marks): repeated windows of each document of :func:`keyed`, packed as (first, last) longs."""
+    """(__id, __th, marks): repeated windows of each document of :func:`keyed`, by segment; a written table."""
     found = write_table(all_segments(docs, length), "op9-segments")
     # a written table: the join below then exchanges both sides, and a hot anchor's rows can be split
     often = write_table(found.groupBy("h").agg(F.count("*").alias("__n")).filter("__n > 1").select("h"), "op9-often")
@@ -226,7 +226,12 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) ->
     candidates = got.join(large, "h", "left").select("h", "c", "n", "off", "bytes", cells.alias("cell")).select("h", "c", "n", "off", "bytes", "cell.ci", "cell.cj")
     marks = write_table(repeated(candidates, length), "op9-marks")
     drop_table(got)
-    return places.join(marks, ["h", "c"]).groupBy("id", "th").agg(F.collect_list(F.struct("p", "ranges")).alias("marks")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "marks")
+    drop_table(large)
+    by_doc = places.join(marks, ["h", "c"]).groupBy("id", "th").agg(F.collect_list(F.struct("p", "ranges")).alias("marks"))
+    out = write_table(by_doc.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "marks"), "op9-spans")
+    drop_table(places)
+    drop_table(marks)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk: int = CHUNK, as_text: bool = False) -> DataFrame:
@@ -235,7 +240,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     ``as_text``: kept as a string; characters that a cut has split are left out.
     """
     rows = keyed(without(docs, "kept", "spans", "n_bytes"), id_col, text_col)
-    marks = write_table(removed_spans(rows, length, chunk), "op9-spans")
+    marks = removed_spans(rows, length, chunk)
     carried = [c for c in rows.columns if not c.startswith("__")]
     marks = marks.withColumnsRenamed({"__id": "__mid", "__th": "__mth"})
     joined = rows.join(marks, (F.col("__id") == F.col("__mid")) & (F.col("__th") == F.col("__mth")), "left").select(*[F.col(f"`{c}`") for c in carried], F.col("__text"), F.col("marks.p").alias("__p"), F.col("marks.ranges").alias("__r"))
