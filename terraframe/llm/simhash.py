@@ -62,15 +62,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed 64-bit number."""
+    """(id, th, fp): the text's hash and its fingerprint as signed 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in utf8(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "th", "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return narrow.mapInArrow(run, "id long, th long, fp long")
 
 
 # -- planning ---------------------------------------------------------------
@@ -168,8 +169,8 @@ def plan(fps: DataFrame, distance: int, probe_cost: float = 1.0, verify_cost: fl
                 row.append(n * probes * probe_cost + estimated(n, together, bits, t, same.get(j, 0.0)) * verify_cost)
             costs.append(row)
         cost, ts = allocate(costs, distance - m + 1)
-        found.append((cost, m, [(b, t) for b, t in zip(w, ts) if t >= 0]))
-    return min(found)[2]
+        found.append((cost, -m, [(b, t) for b, t in zip(w, ts) if t >= 0]))
+    return min(found)[2]  # of equal costs the one with most partitions, which flips least
 
 
 # -- probing ----------------------------------------------------------------
@@ -184,11 +185,14 @@ def flips(bits: list[int], t: int) -> list[int]:
 
 
 def signatures(parts: list[tuple[list[int], int]]) -> Column:
-    keys = []
-    for i, (bits, t) in enumerate(parts):
-        mask = F.lit(signed(mask_of(bits)))
-        keys += [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(mask).bitwiseXOR(F.lit(signed(f))).alias("value")) for f in flips(bits, t)]
-    return F.explode(F.array(*keys))
+    """Explode a fingerprint into its buckets: (part, value)."""
+
+    def buckets(i: int, bits: list[int], t: int) -> Column:
+        own = F.col("fp").bitwiseAND(F.lit(signed(mask_of(bits))))
+        flipped = F.array(*[F.lit(signed(f)) for f in flips(bits, t)])  # folded to one literal
+        return F.transform(flipped, lambda f: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(f).alias("value")))
+
+    return F.explode(F.flatten(F.array(*[buckets(i, bits, t) for i, (bits, t) in enumerate(parts)])))
 
 
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,27 +252,41 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 2048) -> DataFrame:
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
-    """(id_col, fingerprint, component_id, fp) for every row of ``docs``."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int) -> DataFrame:
+    """(id, th, fp, component_id, root) for every row of ``docs``; root numbers the components."""
     rows = write_table(fingerprints(docs, id_col, text_col, shingle), "op1-fingerprints")
     fps = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "op1-distinct")
     roots = connected(links(fps.select("fp"), distance), "op1-components")
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    # only linked fingerprints need the minimum of their component
     own = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = write_table(labelled.select("fp", "root").join(own, "root").select("fp", "component_id"), "op1-labels")
+    # a written table: the join below exchanges both sides, and the rows of a hot fingerprint can be split
+    by_fp = write_table(labelled.select("fp", "root").join(own, "root").select("fp", "root", "component_id"), "op1-labels")
     drop_table(fps)
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(by_fp, "fp").select("id", "th", "fp", "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """``docs`` with one row for each component: the one with the smallest id (any one of rows that repeat it)."""
-    found = near_duplicates(docs, id_col, text_col, distance)
-    rows = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__first")).agg(F.count("*").alias("__n"))
-    first = write_table(rows, "op1-first")
-    kept = docs.join(first.select("__first"), docs[id_col].eqNullSafe(F.col("__first")), "left_semi")
-    # texts are dealt out by id once more only where an id stands for several rows
-    return kept if first.filter("__n > 1").isEmpty() else kept.dropDuplicates([id_col])
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+    """(id_col, fingerprint, component_id) for every row of ``docs``."""
+    found = grouped(docs, id_col, text_col, distance, shingle)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+    """``docs`` with one row for each component: that of the smallest id (null last), then of the smallest text hash."""
+    per = write_table(grouped(docs, id_col, text_col, distance, shingle).groupBy("root", "id", "th").agg(F.count("*").alias("n")), "op1-rows")
+    rank = F.struct(F.col("id").isNull(), "id", "th")
+    first = per.groupBy("root").agg(F.min_by(F.struct("id", "th", "n"), rank).alias("f")).select("f.*")
+    first = write_table(first.select(F.col("id").alias("__fid"), F.col("th").alias("__fth"), "n"), "op1-first")
+    same = F.col("id").eqNullSafe(F.col("__fid")) & (F.col("th") == F.col("__fth"))
+    # the few that go, not the many that stay: while they are small enough to broadcast, no text is moved
+    out = write_table(per.join(first, same, "left_anti").select(F.col("id").alias("__oid"), F.col("th").alias("__oth")), "op1-dropped")
+    # texts are dealt out only where equal rows repeat an id and a text
+    several = not first.filter("n > 1").isEmpty()
+    drop_table(per)
+    drop_table(first)
+    hashed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    kept = hashed.join(out, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__oid")) & (F.col("__th") == F.col("__oth")), "left_anti")
+    return (kept.dropDuplicates([id_col, "__th"]) if several else kept).drop("__th")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
