@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 
 import pyarrow as pa
@@ -42,10 +43,10 @@ def write_parquet(df: DataFrame, path: str, mode: str = "error", with_boxes: boo
     df.write.mode(mode).parquet(path)
 
 
-def footer_types(metadata: dict[bytes, bytes] | None, schema: pa.Schema) -> dict[str, GeomType]:
+def footer_types(metadata: dict[str, str]) -> dict[str, GeomType]:
     """Geometry types that other writers left in a footer: the "geo" key, or Arrow extension fields."""
     out: dict[str, GeomType] = {}
-    geo = (metadata or {}).get(b"geo")
+    geo = metadata.get("geo")
     if geo:
         for name, c in json.loads(geo).get("columns", {}).items():
             encoding = c.get("encoding", "WKB")
@@ -55,9 +56,9 @@ def footer_types(metadata: dict[bytes, bytes] | None, schema: pa.Schema) -> dict
             if c.get("edges", "planar") != "planar":
                 t = t.with_edge_type(c["edges"].upper())
             out[name] = t
-    for f in schema:
-        meta = f.metadata or {}
-        if NAME_KEY.encode() in meta:
+    arrow = metadata.get("ARROW:schema")
+    for f in pa.ipc.read_schema(pa.py_buffer(base64.b64decode(arrow))) if arrow else ():
+        if f.metadata and NAME_KEY.encode() in f.metadata:
             out[f.name] = arrow_field_type(f)
     return out
 
@@ -85,24 +86,20 @@ def arrow_field_type(f: pa.Field) -> GeomType:
     return GeomType(out.geometry_type, out.dimensions, out.coord_type, out.encoding, int(CrsType(crs_type)), crs, int(EdgeType(edges)))
 
 
-def _footer(spark: SparkSession, path: str) -> bytes:
-    """The footer of one file under a path, through Spark's own file systems."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length").limit(1).collect()
+def _footer(spark: SparkSession, path: str) -> dict[str, str]:
+    """Key-value metadata of one file under a path, read by Spark's own Parquet and file systems."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    files = listing.load(path).select("path").limit(1).collect()
     if not files:
-        return b""
+        return {}
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(files[0][0])
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(files[0][0]), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
     try:
-        n = files[0][1]
-        tail = spark.sparkContext._gateway.new_array(jvm.byte, 8)
-        stream.readFully(n - 8, tail)
-        size = int.from_bytes(bytes(tail)[:4], "little")
-        body = spark.sparkContext._gateway.new_array(jvm.byte, size + 8)
-        stream.readFully(n - 8 - size, body)
-        return bytes(body)
+        return dict(reader.getFileMetaData().getKeyValueMetaData())
     finally:
-        stream.close()
+        reader.close()
 
 
 def read_parquet(spark: SparkSession, path: str, geometry: dict[str, GeomType] | None = None) -> DataFrame:
@@ -110,12 +107,7 @@ def read_parquet(spark: SparkSession, path: str, geometry: dict[str, GeomType] |
     df = spark.read.parquet(path)
     found = dict(geometry or {})
     if not found and not geometry_columns(df):
-        import pyarrow.parquet as pq
-
-        footer = _footer(spark, path)
-        if footer:
-            meta = pq.read_metadata(pa.BufferReader(b"PAR1" + footer))
-            found = footer_types(meta.metadata, meta.schema.to_arrow_schema())
+        found = footer_types(_footer(spark, path))
     for name, t in found.items():
         if name in df.columns:
             df = df.withMetadata(name, t.metadata)
@@ -161,7 +153,10 @@ def _plain_column(c: pa.ChunkedArray) -> pa.ChunkedArray:
         return c
     if pa.types.is_dictionary(c.type):
         c = pa.chunked_array([x.dictionary_decode() for x in c.chunks], c.type.value_type)
-    return c.cast(t)
+    try:
+        return c.cast(t)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):  # null features over non-null ordinates
+        return pa.chunked_array([pa.array(x.to_pylist(), t) for x in c.chunks], t)
 
 
 def read_ipc(spark: SparkSession, source) -> DataFrame:
@@ -183,7 +178,7 @@ def to_arrow(df: DataFrame) -> pa.Table:
         if is_geometry_field(s):
             f = f.with_metadata({k: str(v) for k, v in s.metadata.items() if k in (NAME_KEY, METADATA_KEY)})
         fields.append(f)
-    return table.cast(pa.schema(fields))
+    return pa.Table.from_arrays(table.columns, schema=pa.schema(fields))
 
 
 def to_ipc(df: DataFrame) -> bytes:
