@@ -8,6 +8,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.coords import tag
 from ..operators.cast import as_geometry
@@ -169,9 +170,17 @@ def read_ipc(spark: SparkSession, source) -> DataFrame:
     return from_arrow(spark, table)
 
 
+def _nullable(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in t.fields])
+    return T.ArrayType(_nullable(t.elementType)) if isinstance(t, T.ArrayType) else t
+
+
 def to_arrow(df: DataFrame) -> pa.Table:
     """All rows as an Arrow table whose fields carry the extension metadata again; for results of driver size."""
-    table = df.toArrow()
+    # Arrow refuses null features over ordinates that can't be null
+    loose = df.select(*[F.col(f"`{f.name}`").cast(_nullable(f.dataType)).alias(f.name) for f in df.schema.fields])
+    table = loose.toArrow()
     fields = []
     for f in table.schema:
         s = df.schema[f.name]
@@ -202,6 +211,4 @@ def to_features(df: DataFrame):
 
 def empty(spark: SparkSession, t: GeomType, name: str = "geometry") -> DataFrame:
     """A zero-length column of a type."""
-    from pyspark.sql import types as T
-
     return spark.createDataFrame([], T.StructType([t.field(name)]))
