@@ -22,8 +22,11 @@ collection is dealt out first, without losing a comparison:
   each segment.  Many anchors share a bounded batch, whose columns are read
   sequentially from memory in place of files on a local disk.
 
-An anchor with more than ``chunk`` different segments is split into cells of
-chunk pairs; every two of its segments meet in some cell.
+An anchor with more than ``hot`` different segments (a passage that very many
+documents share, each with another text around it) would be one large
+collection.  Its segments are dealt out once more, as segments of one window:
+equal ones are counted as elsewhere, and a window that occurs twice is repeated.
+Counts are pre-aggregated, so the work stays in proportion to the segments.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing;
 ids may be null or repeat (a document is known by id and text hash together,
@@ -47,7 +50,7 @@ from .storage import drop_table, read, without, write_table
 
 LENGTH, ANCHOR = 200, 32
 BLOCK = 1 << 20
-CHUNK = 4096
+HOT = 4096
 _POS = np.uint64((1 << 22) - 1)
 _M = 0x9E3779B97F4A7C15 | 1
 
@@ -167,15 +170,12 @@ def shared_windows(texts: list[bytes], left: np.ndarray, group: np.ndarray, leng
 
 def repeated(candidates: DataFrame, length: int) -> DataFrame:
     """(h, c, ranges): runs of repeated windows in each segment, as (first, last) pairs of shorts."""
-    keys = ["h", "ci", "cj"]
+    keys = ["h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, keys, 12_000):
-            k = [t.column(x).to_numpy() for x in keys]
-            new = np.zeros(t.num_rows, bool)
-            for v in k:
-                new[1:] |= v[1:] != v[:-1]
-            group = np.cumsum(new)
+            h = t.column("h").to_numpy()
+            group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
             n, off = t.column("n").to_numpy(), t.column("off").to_numpy()
             texts = t.column("bytes").to_pylist()
             twice = np.repeat(np.arange(len(texts)), np.minimum(n, 2))  # two copies stand for any number
@@ -189,17 +189,49 @@ def repeated(candidates: DataFrame, length: int) -> DataFrame:
             cuts = np.searchsorted(r1, np.arange(len(texts) + 1))
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
             out = [pairs[cuts[i] : cuts[i + 1]].tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(k[0][some]), pa.array(t.column("c").to_numpy()[some]), pa.array(out, pa.binary())], ["h", "c", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(t.column("c").to_numpy()[some]), pa.array(out, pa.binary())], ["h", "c", "ranges"])
 
     return candidates.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "h long, c long, ranges binary")
 
 
+def repeated_single(candidates: DataFrame, length: int) -> DataFrame:
+    """As :func:`repeated`, for anchors with very many segments: window by window."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                texts = part.column("bytes").to_pylist()
+                count = [len(t) - length + 1 for t in texts]
+                windows = [t[i : i + length] for t, n in zip(texts, count) for i in range(n)]
+                w = [pa.array(np.array([digest(x, seed) for x in windows], np.uint64).view(np.int64)) for seed in (21, 22)]
+                row = pa.array(np.repeat(np.arange(len(texts)), count))
+                i = pa.array(np.concatenate([np.arange(n) for n in count]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(k).take(row) for k in ("h", "c", "n")] + [i, *w], ["h", "c", "n", "i", "w1", "w2"])
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for at in b.column("at").to_pylist():
+                v = np.unique(np.array(at, "<i2"))
+                cut = np.flatnonzero(np.diff(v) > 1)
+                out.append(np.stack([v[np.r_[0, cut + 1]], v[np.r_[cut, len(v) - 1]]], 1).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(out, pa.binary())], ["h", "c", "ranges"])
+
+    windows = candidates.select("h", "c", "n", "bytes").mapInArrow(split, "h long, c long, n int, i int, w1 long, w2 long")
+    twice = write_table(windows.groupBy("h", "w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").select("h", "w1", "w2"), "op9-windows")
+    # a segment has at most length - anchor + 1 windows
+    hits = windows.join(twice, ["h", "w1", "w2"]).groupBy("h", "c").agg(F.collect_list("i").alias("at"))
+    return hits.mapInArrow(join_up, "h long, c long, ranges binary")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(text), "__text": text})
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(__id, __th, marks): repeated windows of each document of :func:`keyed`, by segment; a written table."""
     found = write_table(all_segments(docs, length), "op9-segments")
     # a written table: the join below then exchanges both sides, and a hot anchor's rows can be split
@@ -219,12 +251,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) ->
         "a.h", "a.c", "a.n", F.expr("cast(shiftright(a.p, 8) & 255 as int)").alias("off"), F.substring(F.col("t"), first + 1, F.expr(f"cast((a.p & 255) + {length} as int)")).alias("bytes")
     )
     got = write_table(got, "op9-bytes")
-    large = write_table(got.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > chunk), "op9-large")
-    k = F.coalesce(F.ceil(F.col("size") / F.lit(chunk)), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("c"), k).cast("int")
-    cells = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("ci"), F.greatest(i, own).alias("cj"))))
-    candidates = got.join(large, "h", "left").select("h", "c", "n", "off", "bytes", cells.alias("cell")).select("h", "c", "n", "off", "bytes", "cell.ci", "cell.cj")
-    marks = write_table(repeated(candidates, length), "op9-marks")
+    large = write_table(got.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > hot).select("h"), "op9-large")
+    found = repeated(got.join(large, "h", "left_anti"), length)
+    if not large.isEmpty():
+        found = found.union(repeated_single(got.join(large, "h", "left_semi"), length))
+    marks = write_table(found, "op9-marks")
     drop_table(got)
     drop_table(large)
     by_doc = places.join(marks, ["h", "c"]).groupBy("id", "th").agg(F.collect_list(F.struct("p", "ranges")).alias("marks"))
@@ -234,13 +265,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) ->
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk: int = CHUNK, as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, as_text: bool = False) -> DataFrame:
     """``docs`` with kept (the remaining bytes), spans (removed runs, start and end) and n_bytes.
 
     ``as_text``: kept as a string; characters that a cut has split are left out.
     """
     rows = keyed(without(docs, "kept", "spans", "n_bytes"), id_col, text_col)
-    marks = removed_spans(rows, length, chunk)
+    marks = removed_spans(rows, length, hot)
     carried = [c for c in rows.columns if not c.startswith("__")]
     marks = marks.withColumnsRenamed({"__id": "__mid", "__th": "__mth"})
     joined = rows.join(marks, (F.col("__id") == F.col("__mid")) & (F.col("__th") == F.col("__mth")), "left").select(*[F.col(f"`{c}`") for c in carried], F.col("__text"), F.col("marks.p").alias("__p"), F.col("marks.ranges").alias("__r"))

@@ -42,7 +42,7 @@ def test_random_texts_and_hot_anchors(make):
     pieces = ["".join(rng.choice("ab ") for _ in range(rng.randint(20, 90))) for _ in range(6)]
     rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 8)))) for i in range(60)]
     check(make(rows), rows, length=64)
-    check(make(rows), rows, length=64, chunk=3)
+    check(make(rows), rows, length=64, hot=3)
 
 
 def test_blocks_of_long_texts(make, words, monkeypatch):
