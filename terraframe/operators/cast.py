@@ -94,7 +94,7 @@ def make_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 
 def from_offsets(coords: Column, *offsets: Column) -> Column:
-    """Nest a flat array by offset arrays, the innermost first.  A negative offset or null is an error."""
+    """Nest a flat array by offset arrays, the innermost first."""
     out = coords
     for off in offsets:
         inner = out
@@ -103,6 +103,12 @@ def from_offsets(coords: Column, *offsets: Column) -> Column:
     return out
 
 
+def with_validity(g: Column, valid: Column) -> Column:
+    """Null where ``valid`` is false; a missing validity is an error."""
+    missing = F.raise_error(F.lit("validity must not contain missing values")).cast("boolean")
+    return F.when(F.coalesce(valid, missing), g)
+
+
 def round_precision(g: Column, t: GeomType, precision: float) -> Column:
     """All ordinates to the precision of a grid (see numbers.round_ordinate)."""
     from ..functions.numbers import round_ordinate

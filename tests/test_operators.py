@@ -88,6 +88,23 @@ def test_precision_and_construction(spark):
     assert df.select(K.from_offsets(F.array(F.lit(1.0)), F.array(F.lit(0))).alias("n")).first().n == []
 
 
+def test_validity(spark):
+    df = spark.createDataFrame([(1, True), (2, False)], "x int, v boolean")
+    assert [r[0] for r in df.orderBy("x").select(K.with_validity(F.col("x"), F.col("v"))).collect()] == [1, None]
+    with pytest.raises(Exception, match="validity must not contain missing"):
+        df.select(K.with_validity(F.col("x"), F.lit(None).cast("boolean"))).collect()
+
+
+def test_positions_of_many_rows(spark):
+    """More rows than the sample, several keys, nulls and ties in the leading one."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("b"), F.when(F.col("id") % 10 > 0, F.concat(F.lit("k"), (F.col("id") % 37).cast("string"))).alias("a")).repartition(7)
+    got = V.positions(df, ["a", "b"]).collect()
+    want = sorted(((r.a is not None, r.a or "", r.b) for r in got))
+    assert [(r.a is not None, r.a or "", r.b) for r in sorted(got, key=lambda r: r.pos)] == want
+    assert sorted(r.pos for r in got) == list(range(1, 5001))
+    assert V.positions(df.limit(0), ["a"]).count() == 0
+
+
 def test_boxes(spark, texts):
     df = texts("POLYGON ((0 1, 2 3, 4 -5))", "POINT EMPTY", None, "GEOMETRYCOLLECTION (POINT (9 9), LINESTRING (0 0, 1 nan))", "LINESTRING EMPTY")
     rows = O.kernel("box", df, "g").orderBy("id").collect()
