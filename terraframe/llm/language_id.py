@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import utf8
+from .arrow import slices, utf8
 from .storage import read, write_table
 from .url_filter import host_of
 
@@ -69,7 +69,7 @@ def train(rows: DataFrame, per_language: int, most: int, support: int) -> tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), CELLS), np.int64)
-        for b in batches:
+        for b in slices(batches):
             for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 total[place[d]] += np.bincount(trigrams(t), minlength=CELLS)
         at = np.flatnonzero(total.ravel())
@@ -90,7 +90,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
     width = table.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, ll = [], np.zeros((b.num_rows, width))
             for i, t in enumerate(utf8(b.column(4))):
                 cells = trigrams(t)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import utf8
+from .arrow import slices, utf8
 from .storage import read, write_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -94,7 +94,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id_col, *COUNTS) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             m = np.array([counts(t) for t in utf8(b.column(1))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(m[:, j]) for j in range(len(COUNTS))]], [id_col, *COUNTS])
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import groups, utf8
+from .arrow import groups, slices, utf8
 from .components import connected
 from .storage import drop_table, read, write_table
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, th, fp): the text's hash and its fingerprint as signed 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in utf8(b.column(2))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "th", "fp"])
 
@@ -278,15 +278,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = per.groupBy("root").agg(F.min_by(F.struct("id", "th", "n"), rank).alias("f")).select("f.*")
     first = write_table(first.select(F.col("id").alias("__fid"), F.col("th").alias("__fth"), "n"), "op1-first")
     same = F.col("id").eqNullSafe(F.col("__fid")) & (F.col("th") == F.col("__fth"))
+    gone = per.join(first, same, "left_anti")
+    # ids that are unique name a row; else id and text hash do, and equal rows are made one
+    unique = per.filter("id is null or n > 1").isEmpty() and per.groupBy("id").count().filter("count > 1").isEmpty()
+    several = not unique and not first.filter("n > 1").isEmpty()
     # the few that go, not the many that stay: while they are small enough to broadcast, no text is moved
-    out = write_table(per.join(first, same, "left_anti").select(F.col("id").alias("__oid"), F.col("th").alias("__oth")), "op1-dropped")
-    # texts are dealt out only where equal rows repeat an id and a text
-    several = not first.filter("n > 1").isEmpty()
+    if unique:
+        out = write_table(gone.select(F.col("id").alias("__oid")), "op1-dropped")
+        kept = docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col("__oid"), "left_anti")
+    else:
+        out = write_table(gone.select(F.col("id").alias("__oid"), F.col("th").alias("__oth")), "op1-dropped")
+        hashed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+        kept = hashed.join(out, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__oid")) & (F.col("__th") == F.col("__oth")), "left_anti")
+        kept = (kept.dropDuplicates([id_col, "__th"]) if several else kept).drop("__th")
     drop_table(per)
     drop_table(first)
-    hashed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    kept = hashed.join(out, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__oid")) & (F.col("__th") == F.col("__oth")), "left_anti")
-    return (kept.dropDuplicates([id_col, "__th"]) if several else kept).drop("__th")
+    return kept
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,11 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+#: Rows of an Arrow batch while a table is written: whole texts make large rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

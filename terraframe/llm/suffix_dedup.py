@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import utf8, whole_groups
+from .arrow import slices, utf8, whole_groups
 from .storage import drop_table, read, without, write_table
 
 LENGTH, ANCHOR = 200, 32
@@ -96,7 +96,7 @@ def all_segments(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = powers(BLOCK + length)
         digest = xxhash.xxh64_intdigest
-        for b in batches:
+        for b in slices(batches):
             texts = utf8(b.column(2))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             rows: list[int] = []
@@ -137,13 +137,10 @@ def shared_windows(texts: list[bytes], left: np.ndarray, group: np.ndarray, leng
     lens = np.fromiter(map(len, texts), np.int64, n)
     lead = int(left.max())
     width = lead + int((lens - left).max())
-    table = np.zeros((n, width), np.uint16)
-    row = np.repeat(np.arange(n), lens)
-    col = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(lead - left, lens)
-    table[row, col] = np.frombuffer(b"".join(texts), np.uint8)
-    table[row, col] += 1  # 0: no symbol of the text in this column
-    columns = np.ascontiguousarray(table.T)
-    del table, row, col
+    columns = np.zeros((width, n), np.uint16)  # 0: no symbol of the text in this column
+    for i, (t, at) in enumerate(zip(texts, (lead - left).tolist())):
+        columns[at : at + len(t), i] = np.frombuffer(t, np.uint8)
+        columns[at : at + len(t), i] += 1
     group = group.astype(np.uint16)
     fresh = group[1:] != group[:-1]
     order, prefix = np.arange(n), np.zeros(n + 1, np.int32)  # suffixes in order; common prefix with the one before
@@ -173,7 +170,7 @@ def repeated(candidates: DataFrame, length: int) -> DataFrame:
     keys = ["h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, keys, 12_000):
+        for t in whole_groups(batches, keys, 4_000):
             h = t.column("h").to_numpy()
             group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
             n, off = t.column("n").to_numpy(), t.column("off").to_numpy()
@@ -280,7 +277,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(carried)
-        for b in batches:
+        for b in slices(batches):
             kept, starts, ends, offsets, sizes = [], [], [], [0], []
             for t, p, r in zip(utf8(b.column(n)), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist()):
                 a, e = spans_of(p, r, length) if p else ([], [])

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import slices
 from .storage import read
 from .tokenizers import ByteBpe
 
@@ -192,7 +193,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, leaf)
-        for b in batches:
+        for b in slices(batches):
             rows, leaves = [], []
             for t in b.column(1).to_pylist():
                 t = t or ""
