@@ -61,6 +61,8 @@ def cast(g: Column, src: GeomType, dst: GeomType, mode: str = "auto") -> Column:
     if dst.geometry_type == GeometryType.BOX:
         from .kernels import box
 
+        if dst.dimensions != Dimensions.XY:
+            raise ValueError("bounds are computed in XY; other ordinates of a box can only be dropped")
         return box(g, src)
     if src.is_wkt:
         return from_wkt(g, dst, mode)

@@ -500,13 +500,13 @@ def parse_storage(data_type: T.DataType, extension_name: str | None, metadata: s
 
 
 def infer_from_storage(data_type: T.DataType) -> GeomType:
-    """Storage without an extension: text is WKT, binary is WKB, a struct of ordinates is a point."""
+    """Storage without an extension: text is WKT, binary is WKB, a struct of ordinates is a point, of bounds a box."""
     if isinstance(data_type, T.StringType):
         return wkt_type()
     if isinstance(data_type, T.BinaryType):
         return wkb_type()
     if isinstance(data_type, T.StructType):
-        return parse_storage(data_type, "storage.point")
+        return parse_storage(data_type, "storage.box" if data_type.names and data_type.names[0] == "xmin" else "storage.point")
     raise ValueError("Expected extension type")
 
 

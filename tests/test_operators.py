@@ -125,6 +125,14 @@ def test_box_as_polygon(spark):
     assert [tuple(r) for r in rows] == [("POLYGON ((0 1, 2 1, 2 3, 0 3, 0 1))", False), ("POLYGON EMPTY", True)]
 
 
+def test_boxes_of_more_dimensions(spark):
+    t = G.box_type(dimensions="XYZ")
+    df = spark.createDataFrame([((0.0, 1.0, 9.0, 2.0, 3.0, 12.0),)], G.T.StructType([t.field("b")]))
+    assert tuple(df.select(K.cast(F.col("b"), t, G.box_type()).alias("b")).first().b) == (0, 1, 2, 3)
+    with pytest.raises(ValueError, match="computed in XY"):
+        K.cast(F.col("b"), G.box_type(), t)
+
+
 def test_type_codes(texts):
     df = texts("POINT (0 1)", "POINT Z (0 1 2)", "LINESTRING EMPTY", None, "MULTIPOINT M (1 2 3)", "GEOMETRYCOLLECTION (POINT (1 2))")
     codes = lambda d: sorted(r.g for r in O.kernel("unique_geometry_types_agg", d, "g").collect())
