@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,8 +97,8 @@ def table_force_wkb(spark, d):
 @query(f"SELECT id, CASE WHEN NOT missing THEN x END AS x, CASE WHEN NOT missing THEN y END AS y, 1::BIGINT AS type_id FROM {W.SQL_PTS}")
 def parquet_roundtrip(spark, d):
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/roundtrip-{spark.sparkContext.applicationId}"
-    write_parquet(W.pts(spark, d), path, "overwrite")
+    path = f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    write_parquet(W.pts(spark, d), path)
     df = read_parquet(spark, path)
     return df.select("id", "g.x", "g.y", F.lit(_typed(df).id).cast("long").alias("type_id"))
 
