@@ -32,7 +32,7 @@ from .storage import drop_table, read, write_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An href of an <a> element, quoted or bare.
-HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
+HREF = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*["']?([^"'\s>]+)"""
 
 
 @dataclass(frozen=True)
