@@ -15,7 +15,8 @@
    partition and, for t_i > 0, to those of all flips of up to t_i bits.  A
    bucket's members are verified with XOR and bit counts; it returns a spanning
    forest of its links, never its pairs.  A bucket above ``chunk`` members is
-   split into cells of chunk pairs, which meet all its pairs in many tasks.
+   split by pigeonhole on its other bits, and what is still too large into cells
+   of chunk pairs, so that many tasks meet all its pairs between them.
 5. Components of the forests, distributed (see components).
 
 Defined cases: null or wordless text has fingerprint zero and links like any
@@ -222,17 +223,37 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[a], fp[b]
 
 
+def split_buckets(members: DataFrame, parts: list[tuple[list[int], int]], distance: int, chunk: int) -> DataFrame:
+    """Large buckets once more by pigeonhole: members within ``distance`` agree in one of distance + 1 groups of the other bits.
+
+    What is still large is dealt into cells of chunk pairs.
+    """
+    groups_of = []
+    for bits, _ in parts:
+        rest = [b for b in range(BITS) if b not in bits]
+        groups_of.append([signed(mask_of(rest[k :: distance + 1])) for k in range(distance + 1)])
+    masks = F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in groups_of]), F.col("part") + 1)
+    split = members.select("part", "value", "fp", F.posexplode(masks).alias("sub", "mask"))
+    split = split.select("part", "value", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
+    keys = ["part", "value", "sub", "rest"]
+    sizes = split.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
+    k = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), k).cast("int")
+    cells = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("ci"), F.greatest(i, own).alias("cj"))))
+    return split.join(sizes, keys).select(*keys, "fp", cells.alias("c")).select(*keys, "c.ci", "c.cj", "fp")
+
+
 def links(fps: DataFrame, distance: int = 4, chunk: int = 2048) -> DataFrame:
     """Spanning-forest edges (a, b) of all links among distinct ``fps``, bucket by bucket."""
     parts = plan(fps, distance)
     sig = fps.select("fp", signatures(parts).alias("s")).select("fp", "s.part", "s.value")
-    sizes = sig.groupBy("part", "value").agg(F.count("*").alias("size")).filter("size > 1")
-    sig = sig.join(sizes, ["part", "value"])
-    k = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), k).cast("int")
-    cells = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("ci"), F.greatest(i, own).alias("cj"))))
-    cells = sig.select("part", "value", "fp", cells.alias("c")).select("part", "value", "c.ci", "c.cj", "fp")
-    keys = ["part", "value", "ci", "cj"]
+    bucket, keys = ["part", "value"], ["part", "value", "sub", "rest", "ci", "cj"]
+    sizes = write_table(sig.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1"), "op1-sizes")
+    large = sizes.filter(F.col("size") > chunk).select(*bucket)
+    zero = F.lit(0).cast("long")
+    cells = sig.join(sizes.filter(F.col("size") <= chunk), bucket).select(*bucket, F.lit(-1).alias("sub"), zero.alias("rest"), F.lit(0).alias("ci"), F.lit(0).alias("cj"), "fp")
+    if not large.isEmpty():
+        cells = cells.unionByName(split_buckets(sig.join(large, bucket), parts, distance, chunk))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b, held = [], [], 0
