@@ -80,7 +80,8 @@ def grammar(t: GeomType) -> str:
     if t.level == 0:
         body = rf"\({c}\){_WS}"
     name, mark = GeometryType(t.geometry_type).name, dims_tag(t).strip()
-    return rf"^{_WS}{name}{_WS}{mark}{_WS}({body})$"
+    mark = rf"[ \t\r\n]+{mark}" if mark else ""  # as the reader: a mark is a word of its own
+    return rf"^{_WS}{name}{mark}{_WS}({body})$"
 
 
 def regular_body(w: Column, t: GeomType) -> Column:

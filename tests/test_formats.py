@@ -85,6 +85,13 @@ def test_regular_mode_refuses_other_text(spark):
         df.select(from_wkt(F.col("w"), G.point_type())).collect()
 
 
+def test_a_mark_is_a_word(spark):
+    t = G.point_type(dimensions="XYZ")
+    df = spark.createDataFrame([("POINT Z (1 2 3)",), ("POINT Z(1 2 3)",), ("POINT\tZ (1 2 3)",), ("POINTZ (1 2 3)",), ("POINT (1 2)",)], "w string")
+    assert [r.a is not None for r in df.select(from_wkt_regular(F.col("w"), t).alias("a")).collect()] == [True, True, True, False, False]
+    assert math.isnan(df.filter("w = 'POINT (1 2)'").select(from_wkt(F.col("w"), t).alias("g")).first().g.z)
+
+
 def test_strict_wkb_status():
     ok = Y.write_wkb(Y.parse_wkt("MULTIPOINT (0 1, 2 3)"))
     assert Y.wkb_status(ok) == "OK" and Y.wkb_status(ok + b"x") == "TOO_MANY_BYTES" and Y.wkb_status(ok[:-1]) == "TOO_FEW_BYTES"
