@@ -41,7 +41,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 piece = b.slice(at, 256)
-                ids = [np.array([*bpe.ids(t), end_id], "<u4") for t in utf8(piece.column(1))]
+                ids = [np.append(bpe.array(t), np.array(end_id, "<u4")) for t in utf8(piece.column(1))]
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrow import slices
 from .storage import read
-from .tokenizers import ByteBpe
+from .tokenizers import ByteBpe, chunks
 
 LEAF = 32
 Edit = tuple[int, int, str]  # characters [start, end) become the text
@@ -102,8 +102,12 @@ class Counter:
 
     def build(self, text: str) -> tuple[Tree, int]:
         """The tree and the number of pre-tokens."""
-        pieces = self.pattern.findall(text)
-        return Tree(*self.leaves(pieces)), len(pieces)
+        n, chars, tokens = 0, [], []
+        for part in chunks(text):  # a long text's pre-tokens are held a piece at a time
+            pieces = self.pattern.findall(part)
+            c, t = self.leaves(pieces)
+            n, chars, tokens = n + len(pieces), chars + c, tokens + t
+        return Tree(chars, tokens), n
 
     def edit(self, text: str, tree: Tree, edits: list[Edit]) -> tuple[str, Tree, int]:
         """The edited text, its tree and the pre-tokens encoded again; edits refer to ``text``."""

@@ -3,6 +3,26 @@
 from __future__ import annotations
 
 import base64
+import re
+
+import numpy as np
+
+CHUNK = 1 << 20
+#: A single space between two other characters always begins a pre-token.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def chunks(text: str, size: int = CHUNK) -> list[str]:
+    """The text in pieces of some ``size`` characters, cut only where a pre-token begins."""
+    if len(text) <= size:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        m = _CUT.search(text, at + size)
+        to = m.start() if m else len(text)
+        out.append(text[at:to])
+        at = to
+    return out
 
 
 class ByteBpe:
@@ -24,3 +44,8 @@ class ByteBpe:
 
     def ids(self, text: bytes | str) -> list[int]:
         return self.encoding.encode_ordinary(text.decode() if isinstance(text, bytes) else text)
+
+    def array(self, text: bytes | str) -> np.ndarray:
+        """The ids as unsigned 32-bit numbers; a long text is encoded a piece at a time."""
+        text = text.decode() if isinstance(text, bytes) else text
+        return np.concatenate([np.array(self.ids(t), "<u4") for t in chunks(text)])

@@ -24,6 +24,18 @@ def test_ids_are_those_of_the_tokenizer_file(hf):
         assert bpe.ids(t) == hf.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_of_long_texts():
+    from terraframe.llm.tokenizers import chunks
+
+    rng, bpe = random.Random(4), ByteBpe()
+    for _ in range(400):
+        t = "".join(rng.choice(BITS) for _ in range(rng.randint(0, 200)))
+        parts = chunks(t, 10)
+        assert "".join(parts) == t and [i for p in parts for i in bpe.ids(p)] == bpe.ids(t)
+    assert bpe.array("").tolist() == [] and bpe.array("a b").dtype == "<u4"
+    assert len(chunks("ab " * 1_000_000)) > 1
+
+
 def test_edits_equal_a_full_count():
     c, rng = T.Counter(leaf=4), random.Random(2)
     for _ in range(1500):
