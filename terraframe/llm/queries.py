@@ -12,6 +12,8 @@ from .simhash import op1_simhash
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op5_token_counts
 from .url_filter import op7_url_filters
+from .url_filter import sql as op7_sql
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_html_extraction": op3_html_extraction, "op4_sharding": op4_sharding, "op5_token_counts": op5_token_counts, "op6_language_id": op6_language_id, "language_id_pages": language_id_pages, "op7_url_filters": op7_url_filters, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_quality_rules": op10_quality_rules}
-SQL: dict[str, str] = {}
+#: The others train, tokenize or hash in ways SQL has no words for; tests hold them against brute force.
+SQL: dict[str, str] = {"op7_url_filters": op7_sql()}

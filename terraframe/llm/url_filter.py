@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .storage import drop_table, read, write_table
 
+EPSILON = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An href of an <a> element, quoted or bare.
 HREF = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*["']?([^"'\s>]+)"""
@@ -128,9 +129,38 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", html: s
     judged = write_table(parsed.withColumns({"rule": text, "by_rule": verdict}), "op7-judged")
     edges = host_edges(pages.select(host_of(u).alias("host"), F.col(html).alias("html")))
     scores = write_table(host_scores(judged, edges, iterations, damping), "op7-scores")
-    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * F.col("base"))
+    # the order of a sum decides no verdict
+    blocked = (F.col("distrust") > F.col("trust") * (1 + EPSILON)) & (F.col("distrust") >= threshold * F.col("base") * (1 - EPSILON))
     return judged.join(scores, "host", "left").select(*carry, "host", "path", "rule", F.coalesce("by_rule", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "pages"))
+    return judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def sql(rules: list[Rule] = RULES, iterations: int = 12, damping: float = 0.85, threshold: float = 0.5) -> str:
+    """The query in DuckDB's SQL, the iterations written out."""
+    host = lambda u: f"coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '')"
+    order = sorted(rules, key=lambda r: -len(r.text))
+    fits = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in order]
+    rule_sql = " ".join(f"{f} THEN '{r.text}'" for f, r in zip(fits, order))
+    verdict_sql = " ".join(f"{f} THEN '{r.verdict}'" for f, r in zip(fits, order))
+    href = HREF.replace("'", "''")
+    steps = ["r0 AS (SELECT kind, host, p AS r FROM seeds)"]
+    for k in range(iterations):
+        flow = f"SELECT r.kind, coalesce(w.b, r.host) AS host, r.r * coalesce(w.w, 1.0) * {damping} AS r FROM r{k} r LEFT JOIN w ON r.kind = w.kind AND r.host = w.a"
+        steps.append(f"r{k + 1} AS (SELECT kind, host, sum(r) AS r FROM ({flow} UNION ALL SELECT kind, host, p * (1 - {damping}) FROM seeds) GROUP BY kind, host)")
+    return f"""
+WITH p AS (SELECT page_id, {host("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(html, '') AS html FROM pages),
+j AS MATERIALIZED (SELECT page_id, host, path, CASE {rule_sql} END AS rule, CASE {verdict_sql} END AS by_rule FROM p),
+links AS (SELECT host, unnest(regexp_extract_all(html, '{href}', 1)) AS u FROM p),
+targets AS (SELECT host AS src, CASE WHEN regexp_matches(u, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') THEN {host("CASE WHEN starts_with(u, '//') THEN 'x:' || u ELSE u END")} ELSE host END AS dst FROM links WHERE NOT regexp_matches(lower(u), '^(mailto|javascript|tel|data):')),
+e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM targets GROUP BY src, dst),
+h AS MATERIALIZED (SELECT host, count(*) AS pages, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad, sum(count(*)) OVER () AS total FROM j GROUP BY host),
+seeds AS MATERIALIZED (SELECT * FROM (SELECT 'trust' AS kind, host, good / total::DOUBLE AS p FROM h UNION ALL SELECT 'distrust', host, bad / total::DOUBLE FROM h) WHERE p > 0),
+w AS MATERIALIZED (SELECT 'trust' AS kind, src AS a, dst AS b, n / (sum(n) OVER (PARTITION BY src))::DOUBLE AS w FROM e UNION ALL SELECT 'distrust', dst, src, n / (sum(n) OVER (PARTITION BY dst))::DOUBLE FROM e),
+{", ".join(steps)},
+s AS (SELECT host, sum(r) FILTER (kind = 'trust') AS trust, sum(r) FILTER (kind = 'distrust') AS distrust FROM r{iterations} GROUP BY host)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.by_rule, CASE WHEN coalesce(s.distrust, 0) > coalesce(s.trust, 0) * (1 + {EPSILON}) AND coalesce(s.distrust, 0) >= {threshold} * h.pages / h.total * (1 - {EPSILON}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN h ON j.host = h.host LEFT JOIN s ON j.host = s.host
+""".strip()

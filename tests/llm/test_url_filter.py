@@ -92,6 +92,21 @@ def test_propagation_matches_a_plain_loop(spark):
     assert by_host["farm.org"] == "block" and by_host["liked.org"] == "allow" and by_host["mixed.net"] == "allow"
 
 
+def test_sql_gives_the_same(spark, tmp_path):
+    import duckdb
+
+    link = lambda *us: "".join(f'<p><a class="x" href=\'{u}\'>t</a>' for u in us)
+    rows = [("http://bad.net/es/1", link("/x")), ("http://farm.org/1", link("http://bad.net/es/1", "//bad.net/q")), ("http://farm.org/2", link("https://BAD.net/es/1?x")), ("http://half.net/es/", link("/")), ("http://half.net/en/", link("/")), ("http://good.com/1", link("http://liked.org/a")), ("http://liked.org/1", None), (None, ""), ("x", link("javascript:x"))]
+    pages(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(U.sql()).df()
+    got = U.op7_url_filters(spark, str(tmp_path)).toPandas()
+    for c in ("host", "path", "rule", "verdict"):
+        assert [x if isinstance(x, str) else None for x in got.sort_values("page_id")[c]] == [x if isinstance(x, str) else None for x in want.sort_values("page_id")[c]], c
+    assert dict(zip(got.page_id, got.verdict))[4] == "block"
+
+
 def test_empty_and_extra_columns(spark):
     from pyspark.sql import functions as F
 
