@@ -122,7 +122,7 @@ def type_id(spark, d):
     return spark.createDataFrame(rows, "kind int, dims int, coord int, id int")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('pts', 1, 'terraframe.point', 'terraframe.point'), ('lns', 2, 'terraframe.linestring', 'terraframe.linestring'), ('box', 990, 'terraframe.box', 'terraframe.box')) t(view, id, name, type)")
 def schema_parse(spark, d):
     found = {n: _typed(f) for n, f in (("pts", W.pts(spark, d)), ("lns", W.lns(spark, d)), ("box", W.boxes(spark, d)))}
     return spark.createDataFrame([(n, t.id, t.extension_name, str(t)) for n, t in found.items()], "view string, id int, name string, type string")
