@@ -3,9 +3,9 @@
 For each document and language the log evidence is added up:
 
 * text: smoothed likelihoods of hashed byte trigrams of the letters, one model
-  per language, trained on a bounded sample of rows by their declared language
-  (``per_language`` rows each, by hash of the text); a rival class without a
-  language gives every trigram the same probability.  The sum is tempered, as
+  per declared language, however rare, trained on a bounded sample of its rows
+  (about ``per_language`` rows each, by hash of the text); a rival class without
+  a language gives every trigram the same probability.  The sum is tempered, as
   neighbouring trigrams are not independent;
 * declared markup language: P(declared | language), from counts of declared
   against text language over all rows;
@@ -20,8 +20,11 @@ best posterior is under ``least``.
 
 Defined cases: null text has no letters and is rejected; null or empty declared
 language, host or suffix gives no evidence; null and repeated ids are carried
-as they are; an empty table gives an empty result; without a declared language
-of ``support`` rows nothing can be learned and every row is rejected.
+as they are; an empty table gives an empty result; a table whose declared rows
+have under ``support`` trigrams in all leaves nothing to learn and every row is
+rejected.  A language known from a row or two is modelled on these rows alone, so
+its own documents pass; a table's languages cost 128 KB each in every Python
+worker and a number a document each on disk.
 """
 
 from __future__ import annotations
@@ -54,35 +57,69 @@ def trigrams(text: bytes) -> np.ndarray:
 #: How much worse than an even guess among the seen trigrams the rival class is, a trigram: short
 #: texts of odd words stay with their declared language, other scripts and noise do not.
 RIVAL_MARGIN = 1.0
+#: Pseudo-counts of a language model: a half a cell, and this share of its trigrams at most.
+UNSEEN = 0.25
+NEVER = -60.0  # log probability under a language without a trigram
 
 
-def train(rows: DataFrame, per_language: int, most: int, support: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (cells by languages, the rival class last); rows: declared, text."""
-    counted = rows.filter("declared <> ''").groupBy("declared").count().filter(F.col("count") >= support).orderBy(F.desc("count"), "declared").limit(most).collect()
+def train(rows: DataFrame, per_language: int, most: int | None = None, support: int = 20) -> tuple[list[str], np.ndarray]:
+    """Languages and log probabilities (cells by languages, the rival class last); rows: declared, text.
+
+    Every declared language with letters gets a model (only the ``most`` commonest if a caller asks so);
+    under ``support`` trigrams over all of them there is nothing to learn from.
+    """
+    counted = rows.filter("declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared")
+    counted = (counted.limit(most) if most else counted).collect()  # a row for each language
     names = sorted(r[0] for r in counted)
+    nothing = [], np.zeros((CELLS, 1), np.float32)
     if not names:
-        return [], np.zeros((CELLS, 1), np.float32)
-    share = {r[0]: min(1.0, per_language / r[1]) for r in counted}
-    limit = F.create_map(*[F.lit(x) for n in names for x in (n, int(share[n] * 1_000_003))])
-    sample = rows.filter(F.col("declared").isin(names)).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(limit, F.col("declared")))
+        return nothing
     place = {n: i for i, n in enumerate(names)}
+    # only languages above per_language rows are sampled
+    limit = {r[0]: int(per_language / r[1] * 1_000_003) for r in counted if r[1] > per_language}
+    sample = rows.filter("declared <> ''")
+    if most:
+        sample = sample.filter(F.col("declared").isin(names))
+    if limit:
+        share = F.create_map(*[F.lit(x) for n in limit.items() for x in n])
+        sample = sample.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.coalesce(F.element_at(share, F.col("declared")), F.lit(1_000_003)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), CELLS), np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, t in total.items():
+                at = np.flatnonzero(t)
+                yield pa.RecordBatch.from_arrays([pa.array(at + k * CELLS), pa.array(t[at])], ["cell", "n"])
+            total.clear()
+
         for b in slices(batches):
             for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                total[place[d]] += np.bincount(trigrams(t), minlength=CELLS)
-        at = np.flatnonzero(total.ravel())
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
-
-    total = np.zeros(len(names) * CELLS)
+                k = place[d]
+                if k not in total:
+                    if len(total) >= 64:  # the counts of so many languages are held at a time
+                        yield from flush()
+                    total[k] = np.zeros(CELLS, np.int64)
+                total[k] += np.bincount(trigrams(t), minlength=CELLS)
+        yield from flush()
+
+    p = np.zeros((len(names) + 1) * CELLS, np.float32)
     got = sample.select("declared", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x cells at most
-    total[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    total = total.reshape(len(names), CELLS)
-    seen = max(int(total.any(axis=0).sum()), 2)
-    p = (total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * seen)
-    return names, np.log(np.vstack([p, np.full((1, CELLS), np.exp(-RIVAL_MARGIN) / seen)])).T.astype(np.float32)
+    p[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    p = p.reshape(-1, CELLS)
+    sums = p.sum(axis=1, dtype=np.float64)
+    if sums.sum() < support:
+        return nothing
+    seen = max(int(p.any(axis=0).sum()), 2)
+    for i, total in enumerate(sums[:-1]):
+        if total:
+            # a small language gives what it has not seen UNSEEN of its mass at most, else it would suit any noise better than the rival class
+            add = min(0.5, UNSEEN * total / seen)
+            p[i] = np.log((p[i] + add) / (total + add * seen))
+        else:  # declared only by rows without letters
+            p[i] = NEVER
+    p[-1] = -RIVAL_MARGIN - np.log(seen)
+    return names, np.ascontiguousarray(p.T)
 
 
 def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
@@ -105,8 +142,9 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
 
 def counts_by(voted: DataFrame, key: Column, width: int) -> DataFrame:
     """(key, c): how many rows of each key have each text language; nulls and empty keys are left out."""
-    per = voted.select(key.alias("key"), "vote").filter("key is not null and key <> ''").groupBy("key").agg(*[F.sum((F.col("vote") == i).cast("double")).alias(f"c{i}") for i in range(width)])
-    return per.select("key", F.array(*[F.col(f"c{i}") for i in range(width)]).alias("c"))
+    per = voted.select(key.alias("key"), "vote").filter("key is not null and key <> ''").groupBy("key", "vote").count()
+    per = per.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("vote", "count"))).alias("m"))  # an entry for each language
+    return per.select("key", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")).alias("c"))
 
 
 def _sum(a: Column) -> Column:
@@ -135,11 +173,11 @@ def host_priors(voted: DataFrame, overall: list[float], width: int, strength: fl
 def evidence_table(voted: DataFrame, name: str, overall: list[float], width: int, strength: float = 1.0) -> DataFrame:
     """(name, e): log P(value | language) for each value of a column, from counts over all rows."""
     c = counts_by(voted, F.col(name), width)
-    totals = [max(float(x), 1e-9) for x in overall]
-    return c.select(F.col("key").alias(name), F.array(*[F.log((F.col("c")[i] + strength * totals[i]) / F.lit(totals[i])) for i in range(width)]).alias("e"))
+    totals = F.array(*[F.lit(max(float(x), 1e-9)) for x in overall])
+    return c.select(F.col("key").alias(name), F.zip_with("c", totals, lambda n, t: F.log((n + strength * t) / t)).alias("e"))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, most: int = 64, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, most: int | None = None, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5) -> DataFrame:
     """(id_col, declared, language, posterior, n_trigrams, kept) for every row."""
     null = F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(declared if declared is not None else null).alias("declared"), F.lower(host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"), (text if text is not None else F.col("text")).cast("string").alias("text"))

@@ -85,3 +85,22 @@ def test_nothing_to_learn_and_empty(spark, make):
     df = make([(1, "abc def"), (2, None)])
     assert [r.kept for r in L.identify(df, declared=F.col("lang")).collect()] == [False, False]
     assert L.identify(make([]), declared=F.col("lang"), host=F.col("source")).count() == 0
+
+
+def test_rare_and_many_languages(spark):
+    """Languages of one to twelve rows, 80 of them beside a common one, keep their documents; noise finds no home in them."""
+    import random
+
+    rows = [(i, prose("aa", 60, i), "aa", f"h{i % 5}.org") for i in range(200)]
+    for k in range(80):
+        rng = random.Random(k)
+        s = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiouy") for _ in range(2)) for _ in range(12)]
+        for j in range(1 + k % 12):
+            rows.append((1000 + 20 * k + j, " ".join(rng.choice(s) + rng.choice(s) for _ in range(40)), f"l{k:02}", None))
+    rng = random.Random(99)
+    rows += [(5000 + i, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)), "aa", None) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in L.identify(df, declared=F.col("lang"), host=F.col("source"), per_language=50).collect()}
+    lost = [i for i, r in got.items() if i < 5000 and not r.kept]
+    assert not lost and all(r.language == r.declared for i, r in got.items() if 1000 <= i < 5000)
+    assert not any(got[5000 + i].kept for i in range(3))
