@@ -27,7 +27,7 @@ none; repeated rows get the same answer; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,39 +40,77 @@ from .components import connected
 from .storage import drop_table, read, write_table
 
 BITS = 64
+#: Two texts of similarity s share a band with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.99 at 0.8.
+BANDS, BAND_ROWS = 20, 7
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: All pairs of a band's bucket are compared up to so many members (or groups), above it those with HUBS of them.
+FEW, HUBS = 16, 3
+BITMAP = 1 << 23
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
+def hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, with repeats, some at a time; of a shorter text as a whole; of no words nothing."""
     words = text.lower().split()  # A-Z only; white space is 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        yield np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+        return
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     starts = ends - lens
     n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         to = min(n, at + (1 << 16))
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist())], np.uint64)
+        yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    return voted(hashes(text, shingle))
+
+
+def voted(parts: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have set."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for h in parts:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, th, fp): the text's hash and its fingerprint as signed 64-bit numbers."""
+def bands(parts: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of BAND_ROWS least hashes each."""
+    if not parts:
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for h in parts:
+        for at in range(0, len(h), 1024):
+            np.minimum(least, (h[None, at : at + 1024] * _FACTORS[:, None]).min(axis=1), out=least)
+    least = (least ^ least >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (least.reshape(BANDS, BAND_ROWS) * _FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64)
+    return (keys ^ keys >> np.uint64(31)).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, banded: bool = False) -> DataFrame:
+    """(id, th, fp): the text's hash and its fingerprint as signed 64-bit numbers; with the band keys if ``banded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = np.array([fingerprint(t, shingle) for t in utf8(b.column(2))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "th", "fp"])
+            fp, keys = [], []
+            for t in utf8(b.column(2)):
+                parts = hashes(t, shingle)
+                if banded:
+                    parts = list(parts)
+                    keys.append(bands(parts))
+                fp.append(voted(parts))
+            out = [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(keys, pa.list_(pa.int64()))] * banded, ["id", "th", "fp"] + ["bands"] * banded)
 
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return narrow.mapInArrow(run, "id long, th long, fp long")
+    return narrow.mapInArrow(run, "id long, th long, fp long" + ", bands array<long>" * banded)
 
 
 # -- planning ---------------------------------------------------------------
@@ -273,9 +311,104 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 2048) -> DataFrame:
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int) -> DataFrame:
-    """(id, th, fp, component_id, root) for every row of ``docs``; root numbers the components."""
-    rows = write_table(fingerprints(docs, id_col, text_col, shingle), "op1-fingerprints")
+# -- similarity -------------------------------------------------------------
+
+
+def few_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different roots in each bucket of a few ``members``."""
+    held = members.groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("th", "root"))).alias("m"))
+    m = F.col("m")
+    pairs = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (y["th"] > x["th"]) & (y["root"] != x["root"])), lambda y: F.struct(x["th"].alias("a"), y["th"].alias("b")))))
+    return held.select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def hub_pairs(members: DataFrame, salt: int) -> DataFrame:
+    """(a, b): every member of a bucket with HUBS of them; hubs are drawn by root, others in each band and round."""
+    ranks = [F.min_by(F.struct("th", "root"), F.xxhash64("root", "th", "band", F.lit(salt * HUBS + k))) for k in range(HUBS)]
+    hubs = members.groupBy("band", "key").agg(F.array(*ranks).alias("hubs"))
+    met = members.join(hubs, ["band", "key"]).select("th", "root", F.explode("hubs").alias("h")).filter("root <> h.root")
+    return met.select(F.least("th", "h.th").alias("a"), F.greatest("th", "h.th").alias("b"))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of text hashes whose sets of shingles have that Jaccard similarity; texts: th, text."""
+    words = [0] * (BITMAP >> 6)
+    place = F.pmod(F.col("th"), F.lit(BITMAP))
+    asked = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(th, 64) as int))").alias("bit"))
+    for r in asked.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # a constant size
+        words[r[0]] = r[1]
+    bitmap = np.array(words, np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only the texts that may be asked for are moved, as sets of hashes."""
+        for b in slices(batches):
+            th = b.column(0).to_numpy(zero_copy_only=False)
+            at = th % BITMAP
+            rows = np.flatnonzero(bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            rows = rows[np.unique(th[rows], return_index=True)[1]]
+            picked = b.take(pa.array(rows))
+            sets = [np.unique(np.concatenate(h)).tobytes() if (h := list(hashes(t, shingle))) else b"" for t in utf8(picked.column(1))]
+            yield pa.RecordBatch.from_arrays([picked.column(0), pa.array(sets, pa.binary())], ["th", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9 and both > 0)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    written = write_table(texts.mapInArrow(run, "th long, s binary"), "op1-sets")
+    sets = written.dropDuplicates(["th"])
+    x, y = (sets.select(F.col("th").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    found = write_table(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "op1-similar")
+    drop_table(written)
+    return found
+
+
+def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(th, root) for every text, where groups with a pair of texts of that similarity are one."""
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
+    own = write_table(found.groupBy("th").agg(F.first("root").alias("root"), F.first("bands").alias("bands")), "op1-bands")
+    roots, edges, tried, salt = own.select("th", "root"), None, None, 0
+    while True:
+        members = own.select("th", F.posexplode("bands").alias("band", "key"))
+        members = members.join(roots, "th")
+        sizes = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        sizes_of = write_table(sizes.filter("r0 <> r1").select("band", "key", "size"), "op1-band-sizes")  # else nothing is open
+        members = members_of = write_table(members.join(sizes_of, ["band", "key"]), "op1-members")
+        # in a larger bucket a text stands for its group, another one in each band and round
+        drawn = F.min_by("th", F.xxhash64("th", "band", F.lit(salt))).alias("th")
+        reps = reps_of = write_table(members.filter(F.col("size") > FEW).groupBy("band", "key", "root").agg(drawn), "op1-reps")
+        sizes = reps.groupBy("band", "key").agg(F.count("*").alias("n"))
+        reps = reps.join(sizes, ["band", "key"])
+        pairs = few_pairs(reps.filter(F.col("n") <= FEW)).union(hub_pairs(reps.filter(F.col("n") > FEW), salt))
+        if not salt:
+            pairs = pairs.union(few_pairs(members.filter(F.col("size") <= FEW)))
+        pairs = pairs.distinct()
+        pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"op1-pairs-{salt}")
+        for t in (sizes_of, members_of, reps_of):
+            drop_table(t)
+        if pairs.isEmpty():
+            break
+        new = similar(pairs, texts, shingle, similarity)
+        if new.isEmpty():
+            break
+        tried = pairs if tried is None else tried.union(pairs)
+        edges = new if edges is None else edges.union(new)
+        label = own.select("th", "root")
+        of_roots = edges.join(label.toDF("a", "ra"), "a").join(label.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        joined = connected(of_roots, f"op1-merged-{salt}").toDF("root", "top")
+        roots = write_table(label.join(joined, "root", "left").select("th", F.coalesce("top", "root").alias("root")), f"op1-roots-{salt}")
+        salt += 1
+    return roots
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, banded: bool = False) -> DataFrame:
+    """(id, th, fp, component_id, root) for every row of ``docs``; root numbers the components; with ``bands`` if asked."""
+    rows = write_table(fingerprints(docs, id_col, text_col, shingle, banded), "op1-fingerprints")
     fps = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "op1-distinct")
     roots = connected(links(fps.select("fp"), distance), "op1-components")
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -283,7 +416,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle:
     # a written table: the join below exchanges both sides, and the rows of a hot fingerprint can be split
     by_fp = write_table(labelled.select("fp", "root").join(own, "root").select("fp", "root", "component_id"), "op1-labels")
     drop_table(fps)
-    return rows.join(by_fp, "fp").select("id", "th", "fp", "component_id", "root")
+    return rows.join(by_fp, "fp").select("id", "th", "fp", "component_id", "root", *["bands"] * banded)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -292,9 +425,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest id (null last), then of the smallest text hash."""
-    per = write_table(grouped(docs, id_col, text_col, distance, shingle).groupBy("root", "id", "th").agg(F.count("*").alias("n")), "op1-rows")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row for each component: that of the smallest id (null last), then of the smallest text hash.
+
+    With ``similarity``, texts of that Jaccard similarity of their shingles are one component as well: 64 bits
+    can't tell them from others (at 0.8 they differ in about ten), so candidates come from MinHash bands and
+    are verified on the whole sets of shingles.
+    """
+    found = grouped(docs, id_col, text_col, distance, shingle, similarity is not None)
+    if similarity is not None:
+        roots = merged(docs, found, text_col, shingle, similarity)
+        found = found.select("id", "th").join(roots, "th")
+    per = write_table(found.groupBy("root", "id", "th").agg(F.count("*").alias("n")), "op1-rows")
     rank = F.struct(F.col("id").isNull(), "id", "th")
     first = per.groupBy("root").agg(F.min_by(F.struct("id", "th", "n"), rank).alias("f")).select("f.*")
     first = write_table(first.select(F.col("id").alias("__fid"), F.col("th").alias("__fth"), "n"), "op1-first")

@@ -114,6 +114,38 @@ def test_null_ids_and_representatives(make, words):
     assert kept == [-1, 3, 9]
 
 
+def test_similar_texts_are_dropped(make, words):
+    """Pairs of five-word Jaccard 0.8 to 0.95, which differ in more than 4 bits, and a hot group of them; less similar ones stay."""
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def edited(t, places):
+        w = t.split()
+        for k in places:
+            w[k] = f"edit{k}"
+        return " ".join(w)
+
+    rows, similar, other = [], [], []
+    for i in range(40):
+        t = words(200, i)
+        u = edited(t, [20 + 40 * k for k in range(1 + i % 4)])  # each takes 5 of 196 shingles
+        j = len(sets(t) & sets(u)) / len(sets(t) | sets(u))
+        assert j >= 0.8
+        v = edited(t, range(10, 200, 20))
+        assert len(sets(t) & sets(v)) / len(sets(t) | sets(v)) < 0.7
+        rows += [(3 * i, t), (3 * i + 1, u), (3 * i + 2, v)]
+        similar.append(3 * i + 1)
+        other += [3 * i, 3 * i + 2]
+    base = words(150, 7000)
+    rows += [(1000 + i, edited(base, [i])) for i in range(60)]
+    got = {r.doc_id for r in S.drop_near_duplicates(make(rows), shingle=5, similarity=0.8).collect()}
+    assert len(got & set(similar)) <= 1 and set(other) <= got
+    assert {i for i in got if i >= 1000} == {1000}
+    assert S.drop_near_duplicates(make([]), shingle=5, similarity=0.8).count() == 0
+
+
 def test_empty(make):
     assert S.near_duplicates(make([])).count() == 0
     assert S.drop_near_duplicates(make([])).count() == 0
