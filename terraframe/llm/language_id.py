@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, utf8
-from .storage import read, write_table
+from .storage import read, without_rows, write_table
 from .url_filter import host_of
 
 CELLS = 1 << 15
@@ -123,21 +123,22 @@ def train(rows: DataFrame, per_language: int, most: int | None = None, support:
 
 
 def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """id, declared, host, suffix, n, ll: the log likelihoods of the whole text."""
+    """id, declared, host, suffix, th, n, ll: the text's hash and the log likelihoods of the whole text."""
     width = table.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, ll = [], np.zeros((b.num_rows, width))
-            for i, t in enumerate(utf8(b.column(4))):
+            for i, t in enumerate(utf8(b.column(5))):
                 cells = trigrams(t)
                 n.append(len(cells))
                 for s in range(0, len(cells), 1 << 16):
                     ll[i] += table[cells[s : s + (1 << 16)]].sum(axis=0, dtype=np.float64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * width, width), pa.int32()), pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), lists], ["id", "declared", "host", "suffix", "n", "ll"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(n, pa.int64()), lists], ["id", "declared", "host", "suffix", "th", "n", "ll"])
 
-    return rows.select("id", "declared", "host", "suffix", "text").mapInArrow(run, "id long, declared string, host string, suffix string, n long, ll array<double>")
+    narrow = rows.select("id", "declared", "host", "suffix", F.xxhash64("text").alias("th"), "text")
+    return narrow.mapInArrow(run, "id long, declared string, host string, suffix string, th long, n long, ll array<double>")
 
 
 def counts_by(voted: DataFrame, key: Column, width: int) -> DataFrame:
@@ -177,8 +178,8 @@ def evidence_table(voted: DataFrame, name: str, overall: list[float], width: int
     return c.select(F.col("key").alias(name), F.zip_with("c", totals, lambda n, t: F.log((n + strength * t) / t)).alias("e"))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, most: int | None = None, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5) -> DataFrame:
-    """(id_col, declared, language, posterior, n_trigrams, kept) for every row."""
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, most: int | None = None, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5) -> DataFrame:
+    """(id_col, th, declared, language, posterior, n_trigrams, kept) for every row; th: the hash of its text."""
     null = F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(declared if declared is not None else null).alias("declared"), F.lower(host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"), (text if text is not None else F.col("text")).cast("string").alias("text"))
     names, table = train(rows, per_language, most, support)
@@ -204,7 +205,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None
     language = F.when(F.col("n") > 0, F.element_at(F.array(*[F.lit(x) for x in [*names, UNKNOWN]]), F.col("at"))).otherwise(UNKNOWN)
     fused = fused.withColumn("language", language)
     kept = (F.col("language") != UNKNOWN) & (F.col("posterior") >= least)
-    return fused.select(F.col("id").alias(id_col), "declared", "language", F.when(F.col("n") > 0, F.col("posterior")).otherwise(0.0).alias("posterior"), F.col("n").alias("n_trigrams"), kept.alias("kept"))
+    return fused.select(F.col("id").alias(id_col), "th", "declared", "language", F.when(F.col("n") > 0, F.col("posterior")).otherwise(0.0).alias("posterior"), F.col("n").alias("n_trigrams"), kept.alias("kept"))
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", *args, **options) -> DataFrame:
+    """(id_col, declared, language, posterior, n_trigrams, kept) for every row; see :func:`verdicts`."""
+    return verdicts(docs, id_col, *args, **options).select(id_col, "declared", "language", "posterior", "n_trigrams", "kept")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,8 +227,12 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", **columns: Column) -> DataFrame:
-    """``docs`` without the rows whose language was rejected."""
-    verdicts = identify(docs, id_col, **columns).groupBy(F.col(id_col).alias("__out")).agg(F.max("kept").alias("kept"))
+    """``docs`` without the rows whose language was rejected; a row is known by its id and the hash of its text.
+
+    Rows alike in both, whose declared language or host may differ, stay if one of them does.
+    """
+    per = verdicts(docs, id_col, **columns).groupBy(F.col(id_col).alias("__out"), F.col("th").alias("__oth")).agg(F.max("kept").alias("kept"))
     # the few that go, not the many that stay: while they are small enough to broadcast, no text is moved
-    out = write_table(verdicts.filter("not kept").select("__out"), "op6-rejected")
-    return docs.join(out, docs[id_col].eqNullSafe(F.col("__out")), "left_anti")
+    out = write_table(per.filter("not kept").select("__out", "__oth"), "op6-rejected")
+    text = columns.get("text")
+    return without_rows(docs, out, id_col, text if text is not None else F.col("text"))

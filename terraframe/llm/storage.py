@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -67,3 +68,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns an operator is about to add (names match in any case)."""
     low = {n.lower() for n in names}
     return df.select(*[c_ for c_ in (df[f"`{c}`"] for c in df.columns if c.lower() not in low)])
+
+
+def without_rows(docs: DataFrame, out: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``docs`` less the rows whose id (null-safe) and hash of ``text`` are in ``out``, a table of these two."""
+    i, h = out.columns
+    hashed = docs.withColumn("__h", F.xxhash64(text.cast("string")))
+    return hashed.join(out, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(i)) & (F.col("__h") == F.col(h)), "left_anti").drop("__h")
