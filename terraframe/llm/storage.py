@@ -8,9 +8,13 @@ setting is absent (a local session, tests) is a folder made here.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +23,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, or, in a local session alone, an own one where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="terraframe-")
@@ -33,31 +39,63 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of an Arrow batch while a table is written: whole texts make large rows.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LOCK = threading.Lock()
+#: Of each session that writes just now: how many threads do, and its own setting.
+_SMALL: dict[int, tuple[int, str]] = {}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches while any thread is inside; the last one out puts the session's own setting back."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        inside, own = _SMALL.get(key, (0, spark.conf.get(_BATCH)))
+        _SMALL[key] = inside + 1, own
+        if not 0 < int(own) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            inside, own = _SMALL.pop(key)
+            if inside > 1:
+                _SMALL[key] = inside - 1, own
+            else:
+                spark.conf.set(_BATCH, own)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+def write_table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``scratch``: list that takes note of it, for :func:`drop_table`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    try:
-        if not 0 < int(before) <= BATCH_ROWS:
-            spark.conf.set(_BATCH, BATCH_ROWS)
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
+    if scratch is not None:
+        scratch.append(out)
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table of :func:`write_table` that nothing will read again."""
-    path = getattr(df, "_table_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of :func:`write_table` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_table_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def join_split(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with an aggregate of one row a key, so that the rows of a hot key can be split.
+
+    An aggregate is dealt by its keys, and a join on them would take that dealing
+    as it is, which adaptive execution can't split.  One more key, a function of
+    the others, makes both sides be dealt anew.
+    """
+    z = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in on]), F.lit(1 << 20))
+    return rows.withColumn("__z", z).join(keys.withColumn("__z", z), [*on, "__z"], how).drop("__z")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -19,19 +19,24 @@ collection is dealt out first, without losing a comparison:
 * the segments of an anchor are the documents of a small collection.  As equal
   windows lie at equal distances from the anchor, columns are aligned there,
   and a round compares suffixes of one column only: its cost is one symbol for
-  each segment.  Many anchors share a bounded batch, whose columns are read
-  sequentially from memory in place of files on a local disk.
-
-An anchor with more than ``hot`` different segments (a passage that very many
-documents share, each with another text around it) would be one large
-collection.  Its segments are dealt out once more, as segments of one window:
-equal ones are counted as elsewhere, and a window that occurs twice is repeated.
-Counts are pre-aggregated, so the work stays in proportion to the segments.
+  each segment.  The sorted segments are a written table, read sequentially;
+  many anchors share a bounded batch of it, whose columns (some 3 MB) are read
+  in order from memory in place of a file each;
+* an anchor with more than ``batch`` different segments (a passage that very
+  many documents share, each with another text around it) is a collection too
+  large for one task.  It is dealt out by the same principle once more: windows
+  in one range of distances from the anchor make a piece, what all windows of
+  the range have in common is the piece's anchor.  Ranges of 13 windows, and of
+  one where that is not enough: a collection of equal windows.
+
+Equal texts are one text with a count, equal segments one segment, known by 96
+bits of their hashes besides the anchor's 64; all else is compared byte by byte
+in the transform.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing;
-ids may be null or repeat (a document is known by id and text hash together,
-and each row counts as an occurrence); an empty table gives an empty result;
-very long texts are scanned in blocks that overlap by a window.
+ids may be null or repeat, as only texts matter (each row counts as an
+occurrence; equal rows cost one text and a count); an empty table gives an empty
+result; very long texts are scanned in blocks that overlap by a window.
 """
 
 from __future__ import annotations
@@ -46,11 +51,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, utf8, whole_groups
-from .storage import drop_table, read, without, write_table
+from .storage import drop_table, join_split, read, without, write_table
 
 LENGTH, ANCHOR = 200, 32
 BLOCK = 1 << 20
-HOT = 4096
+#: Different segments of an anchor that one batch takes; more are dealt out once again, in ranges of so many windows.
+BATCH, WIDTHS = 4096, (13, 1)
 _POS = np.uint64((1 << 22) - 1)
 _M = 0x9E3779B97F4A7C15 | 1
 
@@ -88,33 +94,31 @@ def segments(block: np.ndarray, up: np.ndarray, down: np.ndarray, length: int =
 
 
 def all_segments(docs: DataFrame, length: int) -> DataFrame:
-    """(h, c, id, th, p): anchor hash, content hash, document and packed place of every segment.
+    """(h, c, k, th, tc, p): anchor hash, 96 bits of the content's hash, text and packed place of every segment.
 
     p = first window << 16 | anchor offset << 8 | windows - 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = powers(BLOCK + length)
-        digest = xxhash.xxh64_intdigest
         for b in slices(batches):
             texts = utf8(b.column(2))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, ...]] = []
             rows: list[int] = []
             held = 0
 
             def flush() -> pa.RecordBatch:
-                at = np.repeat([r for r in rows], [len(o[0]) for o in out])
-                take = pa.array(at)
-                cols = [np.concatenate([o[j] for o in out]) for j in range(3)]
-                return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(cols[2])], ["h", "c", "id", "th", "p"])
+                take = pa.array(np.repeat(rows, [len(o[0]) for o in out]))
+                h, c, k, p = (pa.array(np.concatenate([o[j] for o in out])) for j in range(4))
+                return pa.RecordBatch.from_arrays([h, c, k, b.column(0).take(take), b.column(1).take(take), p], ["h", "c", "k", "th", "tc", "p"])
 
             for i, t in enumerate(texts):
                 for s in range(0, len(t) - length + 1, BLOCK):
                     part = t[s : s + BLOCK + length - 1]
                     first, count, off, h = segments(np.frombuffer(part, np.uint8), up, down, length)
                     ends = (first + count + (length - 1)).tolist()
-                    c = np.array([digest(part[x:y], 11) for x, y in zip(first.tolist(), ends)], np.uint64)
-                    out.append((h, c, (first + s) << 16 | off << 8 | count - 1))
+                    c, k = content([part[x:y] for x, y in zip(first.tolist(), ends)])
+                    out.append((h.view(np.int64), c, k, (first + s) << 16 | off << 8 | count - 1))
                     rows.append(i)
                     held += len(h)
                 if held > 20_000:
@@ -123,7 +127,13 @@ def all_segments(docs: DataFrame, length: int) -> DataFrame:
             if held:
                 yield flush()
 
-    return docs.select("__id", "__th", "__text").mapInArrow(run, "h long, c long, id long, th long, p long")
+    return docs.select("__th", "__tc", "__text").mapInArrow(run, "h long, c long, k int, th long, tc int, p long")
+
+
+def content(parts: list[bytes], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each part's hash, as a long and an int."""
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, seed) for x in parts]), "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), (both[:, 1] >> 32).astype(np.int32)
 
 
 def shared_windows(texts: list[bytes], left: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -166,16 +176,21 @@ def shared_windows(texts: list[bytes], left: np.ndarray, group: np.ndarray, leng
 
 
 def repeated(candidates: DataFrame, length: int) -> DataFrame:
-    """(h, c, ranges): runs of repeated windows in each segment, as (first, last) pairs of shorts."""
-    keys = ["h"]
+    """(h, c, k, ranges): runs of repeated windows in each segment, as (first, last) pairs of shorts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, keys, 4_000):
+        for t in whole_groups(batches, ["h"], 4_000):
             h = t.column("h").to_numpy()
+            n = t.column("n").to_numpy()
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            several = np.repeat(np.add.reduceat(n, first) > 1, np.diff(np.r_[first, len(h)]))
+            t, h, n = t.filter(pa.array(several)), h[several], np.minimum(n[several], 2)  # two copies stand for any number
+            if not len(h):
+                continue
             group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
-            n, off = t.column("n").to_numpy(), t.column("off").to_numpy()
+            off = t.column("off").to_numpy()
             texts = t.column("bytes").to_pylist()
-            twice = np.repeat(np.arange(len(texts)), np.minimum(n, 2))  # two copies stand for any number
+            twice = np.repeat(np.arange(len(texts)), n)
             found = shared_windows([texts[i] for i in twice], off[twice], group[twice], length)
             found = found[np.searchsorted(twice, np.arange(len(texts)))]
             lead = int(off.max())
@@ -186,92 +201,115 @@ def repeated(candidates: DataFrame, length: int) -> DataFrame:
             cuts = np.searchsorted(r1, np.arange(len(texts) + 1))
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
             out = [pairs[cuts[i] : cuts[i + 1]].tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(t.column("c").to_numpy()[some]), pa.array(out, pa.binary())], ["h", "c", "ranges"])
+            at = pa.array(some)
+            yield pa.RecordBatch.from_arrays([t.column(x).take(at).combine_chunks() for x in ("h", "c", "k")] + [pa.array(out, pa.binary())], ["h", "c", "k", "ranges"])
 
-    return candidates.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "h long, c long, ranges binary")
+    narrow = candidates.select("h", "c", "k", "n", "off", "bytes")
+    return narrow.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, c long, k int, ranges binary")
 
 
-def repeated_single(candidates: DataFrame, length: int) -> DataFrame:
-    """As :func:`repeated`, for anchors with very many segments: window by window."""
+def dealt(large: DataFrame, length: int, width: int) -> DataFrame:
+    """Segments of anchors with very many, cut into pieces of up to ``width`` windows.
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                texts = part.column("bytes").to_pylist()
-                count = [len(t) - length + 1 for t in texts]
-                windows = [t[i : i + length] for t, n in zip(texts, count) for i in range(n)]
-                w = [pa.array(np.array([digest(x, seed) for x in windows], np.uint64).view(np.int64)) for seed in (21, 22)]
-                row = pa.array(np.repeat(np.arange(len(texts)), count))
-                i = pa.array(np.concatenate([np.arange(n) for n in count]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(k).take(row) for k in ("h", "c", "n")] + [i, *w], ["h", "c", "n", "i", "w1", "w2"])
-
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    (ph, pc, pk, at, n, h, c, k, off, bytes): the segment, the piece's first
+    window in it, and the piece as a segment of a collection of its own.  Windows
+    at one distance from the anchor fall into one piece everywhere, and what all
+    windows of such a range have in common is the new anchor: equal windows have
+    equal ones, at equal distances.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            rows, at, off, parts, cores = [], [], [], [], []
+            for i, (t, o) in enumerate(zip(b.column(5).to_pylist(), b.column(4).to_pylist())):
+                last = len(t) - length  # windows 0..last, window j at j - o from the anchor
+                for q in range(-o // width, (last - o) // width + 1):
+                    j0, j1 = max(0, q * width + o), min(last, (q + 1) * width - 1 + o)
+                    rows.append(i)
+                    at.append(j0)
+                    core = q * width + width - 1 + o
+                    off.append(core - j0)
+                    parts.append(t[j0 : j1 + length])
+                    cores.append(t[core : core + length - width + 1] + q.to_bytes(2, "little", signed=True))
+            c, k = (np.array([x[0] for x in y]) for y in zip(*[content([x], o) for x, o in zip(parts, off)]))  # equal pieces at another distance are others
+            anchor = content(cores, width)[0] ^ (b.column(0).to_numpy()[rows] * 3)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(x).take(take) for x in range(3)] + [pa.array(np.array(at, np.int32)), b.column(3).take(take), pa.array(anchor), pa.array(c), pa.array(k), pa.array(np.array(off, np.int32)), pa.array(parts, pa.binary())],
+                ["ph", "pc", "pk", "at", "n", "h", "c", "k", "off", "bytes"],
+            )
+
+    return large.select("h", "c", "k", "n", "off", "bytes").mapInArrow(run, "ph long, pc long, pk int, at int, n long, h long, c long, k int, off int, bytes binary")
+
+
+def regathered(pieces: DataFrame, marks: DataFrame) -> DataFrame:
+    """The marks of segments from those of their pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for at in b.column("at").to_pylist():
-                v = np.unique(np.array(at, "<i2"))
-                cut = np.flatnonzero(np.diff(v) > 1)
-                out.append(np.stack([v[np.r_[0, cut + 1]], v[np.r_[cut, len(v) - 1]]], 1).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(out, pa.binary())], ["h", "c", "ranges"])
+            out = [np.concatenate([np.frombuffer(m["ranges"], "<i2") + np.int16(m["at"]) for m in ms]).astype("<i2").tobytes() for ms in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["h", "c", "k", "ranges"])
+
+    back = pieces.drop("bytes").join(marks, ["h", "c", "k"])
+    by = back.groupBy("ph", "pc", "pk").agg(F.collect_list(F.struct("at", "ranges")).alias("m"))  # a segment has few pieces
+    return by.mapInArrow(run, "h long, c long, k int, ranges binary")
+
 
-    windows = candidates.select("h", "c", "n", "bytes").mapInArrow(split, "h long, c long, n int, i int, w1 long, w2 long")
-    twice = write_table(windows.groupBy("h", "w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").select("h", "w1", "w2"), "op9-windows")
-    # a segment has at most length - anchor + 1 windows
-    hits = windows.join(twice, ["h", "w1", "w2"]).groupBy("h", "c").agg(F.collect_list("i").alias("at"))
-    return hits.mapInArrow(join_up, "h long, c long, ranges binary")
+def marks_of(segs: DataFrame, length: int, batch: int, scratch: list[DataFrame], widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(h, c, k, ranges) of different segments (h, c, k, n, off, bytes) with their counts, any number to an anchor."""
+    if not widths:
+        return repeated(segs, length)
+    large = write_table(segs.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > batch).select("h"), "op9-large", scratch)
+    found = repeated(segs.join(large, "h", "left_anti"), length)
+    if large.isEmpty():
+        return found
+    pieces = write_table(dealt(segs.join(large, "h", "left_semi"), length, min(widths[0], length)), "op9-pieces", scratch)
+    # rows of one key are equal in off and bytes
+    different = pieces.groupBy("h", "c", "k").agg(F.sum("n").alias("n"), F.first("off").alias("off"), F.first("bytes").alias("bytes"))
+    return found.unionByName(regathered(pieces, marks_of(different, length, batch, scratch, widths[1:])))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(text), "__text": text})
+    return docs.withColumns({"__th": F.xxhash64(text), "__tc": (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int"), "__text": text})
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(__id, __th, marks): repeated windows of each document of :func:`keyed`, by segment; a written table."""
+def removed_spans(docs: DataFrame, length: int = LENGTH, batch: int = BATCH) -> DataFrame:
+    """(__th, __tc, marks): repeated windows of each different text of :func:`keyed`, by segment; a written table."""
     found = write_table(all_segments(docs, length), "op9-segments")
-    # a written table: the join below then exchanges both sides, and a hot anchor's rows can be split
-    often = write_table(found.groupBy("h").agg(F.count("*").alias("__n")).filter("__n > 1").select("h"), "op9-often")
-    places = write_table(found.join(often, "h"), "op9-places")
+    often = found.groupBy("h").agg(F.count("*").alias("__n")).filter("__n > 1").select("h")
+    # a row for each different place: rows of one text are counted
+    key = ["h", "c", "k", "th", "tc", "p"]
+    places = write_table(join_split(found, often, ["h"]).groupBy(*key).agg(F.count("*").alias("n")), "op9-places")
     drop_table(found)
-    drop_table(often)
     # one row for each different segment, from one place where it stands
-    distinct = places.groupBy("h", "c").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("id", "th", "p")).alias("w"))
-    wanted = distinct.select("h", "c", "n", "w.id", "w.th", "w.p")
-    # ask each document once; the list is bounded by its length
-    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("h", "c", "n", "p")).alias("ask"))
-    given = docs.select("__id", "__th", "__text")
-    held = asked.join(given, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th"))).select("ask", F.col("__text").cast("binary").alias("t"))
+    different = places.groupBy("h", "c", "k").agg(F.sum("n").alias("n"), F.min(F.struct("th", "tc", "p")).alias("w"))
+    wanted = different.select("h", "c", "k", "n", "w.th", "w.tc", "w.p")
+    # ask each text once; the list is bounded by its length
+    asked = wanted.groupBy("th", "tc").agg(F.collect_list(F.struct("h", "c", "k", "n", "p")).alias("ask"))
+    given = docs.groupBy(F.col("__th").alias("th"), F.col("__tc").alias("tc")).agg(F.first("__text").alias("t"))  # equal texts: any is the same
     first = F.expr("cast(shiftright(a.p, 16) as int)")
-    got = held.select("t", F.explode("ask").alias("a")).select(
-        "a.h", "a.c", "a.n", F.expr("cast(shiftright(a.p, 8) & 255 as int)").alias("off"), F.substring(F.col("t"), first + 1, F.expr(f"cast((a.p & 255) + {length} as int)")).alias("bytes")
-    )
-    got = write_table(got, "op9-bytes")
-    large = write_table(got.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > hot).select("h"), "op9-large")
-    found = repeated(got.join(large, "h", "left_anti"), length)
-    if not large.isEmpty():
-        found = found.union(repeated_single(got.join(large, "h", "left_semi"), length))
-    marks = write_table(found, "op9-marks")
-    drop_table(got)
-    drop_table(large)
-    by_doc = places.join(marks, ["h", "c"]).groupBy("id", "th").agg(F.collect_list(F.struct("p", "ranges")).alias("marks"))
-    out = write_table(by_doc.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "marks"), "op9-spans")
-    drop_table(places)
-    drop_table(marks)
+    got = given.join(asked, ["th", "tc"]).select(F.col("t").cast("binary").alias("t"), F.explode("ask").alias("a"))
+    got = got.select("a.h", "a.c", "a.k", "a.n", F.expr("cast(shiftright(a.p, 8) & 255 as int)").alias("off"), F.substring(F.col("t"), first + 1, F.expr(f"cast((a.p & 255) + {length} as int)")).alias("bytes"))
+    scratch: list[DataFrame] = []
+    got = write_table(got, "op9-bytes", scratch)
+    marks = write_table(marks_of(got, length, batch, scratch), "op9-marks")
+    drop_table(*scratch)
+    by_text = places.join(marks, ["h", "c", "k"]).groupBy("th", "tc").agg(F.collect_list(F.struct("p", "ranges")).alias("marks"))
+    out = write_table(by_text.select(F.col("th").alias("__th"), F.col("tc").alias("__tc"), "marks"), "op9-spans")
+    drop_table(places, marks)
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, batch: int = BATCH, as_text: bool = False) -> DataFrame:
     """``docs`` with kept (the remaining bytes), spans (removed runs, start and end) and n_bytes.
 
     ``as_text``: kept as a string; characters that a cut has split are left out.
     """
-    rows = keyed(without(docs, "kept", "spans", "n_bytes"), id_col, text_col)
-    marks = removed_spans(rows, length, hot)
+    rows = keyed(without(docs, "kept", "spans", "n_bytes"), text_col)
+    marks = removed_spans(rows, length, batch)
     carried = [c for c in rows.columns if not c.startswith("__")]
-    marks = marks.withColumnsRenamed({"__id": "__mid", "__th": "__mth"})
-    joined = rows.join(marks, (F.col("__id") == F.col("__mid")) & (F.col("__th") == F.col("__mth")), "left").select(*[F.col(f"`{c}`") for c in carried], F.col("__text"), F.col("marks.p").alias("__p"), F.col("marks.ranges").alias("__r"))
+    joined = rows.join(marks, ["__th", "__tc"], "left").select(*[F.col(f"`{c}`") for c in carried], F.col("__text"), F.col("marks.p").alias("__p"), F.col("marks.ranges").alias("__r"))
     schema = rows.select(*[F.col(f"`{c}`") for c in carried]).schema
     out = T.StructType([*schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("n_bytes", T.LongType())])
 
@@ -308,14 +346,18 @@ def spans_of(places: list[int], ranges: list[bytes], length: int) -> tuple[list[
     return m[new, 0].tolist(), end[last].tolist()
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated passages cut out of the texts; every row stays, n_chars (if there) follows."""
-    out = dedup(docs, id_col, text_col, length, as_text=True)
+    out = dedup(docs, text_col, length, as_text=True)
     new = {text_col: F.col("kept")} | ({"n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+def op9_columns(docs: DataFrame) -> DataFrame:
+    out = dedup(docs.select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.end - x.start)
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_columns(read(spark, sf_dir, "documents"))
