@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_table, write_table
+from .storage import drop_table, join_split, write_table
 
 
 def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root: the smallest node reachable.
 
-    Self-loops, repeated and reversed edges are allowed; nulls are ignored; an
-    empty table gives an empty result.
+    It reads a written table, which drop_table() deletes.  Self-loops, repeated and reversed edges are allowed; nulls
+    are ignored; an empty table gives an empty result.  The rows of a hub are
+    split in the joins; its minima are pre-aggregated.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = write_table(edges, f"{name}-0")
@@ -26,9 +27,9 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
     for i in range(rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        star = join_split(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = star.groupBy("a").agg(F.min("b").alias("m"))
-        small = star.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
+        small = join_split(star, least, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
         new = write_table(small, f"{name}-{i + 1}")
         drop_table(edges)
         edges = new
@@ -40,4 +41,6 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
         raise RuntimeError(f"components not settled after {rounds} rounds")
     # settled: every node points at its root
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out._table_path = edges._table_path  # what drop_table() deletes
+    return out

@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 
 from .arrow import groups, slices, utf8
 from .components import connected
-from .storage import drop_table, read, write_table
+from .storage import drop_table, join_split, read, without_rows, write_table
 
 BITS = 64
 #: Two texts of similarity s share a band with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.99 at 0.8.
 BANDS, BAND_ROWS = 20, 7
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: All pairs of a band's bucket are compared up to so many members (or groups), above it those with HUBS of them.
-FEW, HUBS = 16, 3
+#: All pairs of a band's bucket are compared up to so many members (or groups), above it those with its hubs.
+FEW = 16
 BITMAP = 1 << 23
 
 
@@ -281,12 +281,12 @@ def split_buckets(members: DataFrame, parts: list[tuple[list[int], int]], distan
     return split.join(sizes, keys).select(*keys, "fp", cells.alias("c")).select(*keys, "c.ci", "c.cj", "fp")
 
 
-def links(fps: DataFrame, distance: int = 4, chunk: int = 2048) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, chunk: int = 2048, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Spanning-forest edges (a, b) of all links among distinct ``fps``, bucket by bucket."""
     parts = plan(fps, distance)
     sig = fps.select("fp", signatures(parts).alias("s")).select("fp", "s.part", "s.value")
     bucket, keys = ["part", "value"], ["part", "value", "sub", "rest", "ci", "cj"]
-    sizes = write_table(sig.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1"), "op1-sizes")
+    sizes = write_table(sig.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1"), "op1-sizes", scratch)
     large = sizes.filter(F.col("size") > chunk).select(*bucket)
     zero = F.lit(0).cast("long")
     cells = sig.join(sizes.filter(F.col("size") <= chunk), bucket).select(*bucket, F.lit(-1).alias("sub"), zero.alias("rest"), F.lit(0).alias("ci"), F.lit(0).alias("cj"), "fp")
@@ -315,32 +315,41 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 2048) -> DataFrame:
 
 
 def few_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different roots in each bucket of a few ``members``."""
-    held = members.groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("th", "root"))).alias("m"))
+    """(a, b, ra, rb): the pairs of texts of different roots in each bucket of a few ``members``, with their first roots."""
+    held = members.groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("th", "root", "root0"))).alias("m"))
     m = F.col("m")
-    pairs = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (y["th"] > x["th"]) & (y["root"] != x["root"])), lambda y: F.struct(x["th"].alias("a"), y["th"].alias("b")))))
+    pair = lambda x, y: F.struct(x["th"].alias("a"), y["th"].alias("b"), x["root0"].alias("ra"), y["root0"].alias("rb"))
+    pairs = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (y["th"] > x["th"]) & (y["root"] != x["root"])), lambda y: pair(x, y))))
     return held.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def hub_pairs(members: DataFrame, salt: int) -> DataFrame:
-    """(a, b): every member of a bucket with HUBS of them; hubs are drawn by root, others in each band and round."""
-    ranks = [F.min_by(F.struct("th", "root"), F.xxhash64("root", "th", "band", F.lit(salt * HUBS + k))) for k in range(HUBS)]
-    hubs = members.groupBy("band", "key").agg(F.array(*ranks).alias("hubs"))
-    met = members.join(hubs, ["band", "key"]).select("th", "root", F.explode("hubs").alias("h")).filter("root <> h.root")
-    return met.select(F.least("th", "h.th").alias("a"), F.greatest("th", "h.th").alias("b"))
+    """(a, b, ra, rb): every member of a bucket with two of them.
 
+    The one hub is the text that meets most others in all bands, so the middle of
+    a group of copies; the other one is drawn, another in each band and round.
+    """
+    own = F.struct("th", "root", "root0")
+    hubs = members.groupBy("band", "key").agg(F.array(F.max_by(own, F.struct("meets", "th")), F.min_by(own, F.xxhash64("root", "band", F.lit(salt)))).alias("hubs"))
+    met = join_split(members, hubs, ["band", "key"]).select("th", "root", "root0", F.explode("hubs").alias("h")).filter("root <> h.root")
+    low = F.col("th") < F.col("h.th")
+    ends = [F.when(low, x).otherwise(y) for x, y in ((F.col("th"), F.col("h.th")), (F.col("h.th"), F.col("th")), (F.col("root0"), F.col("h.root0")), (F.col("h.root0"), F.col("root0")))]
+    return met.select(*[e.alias(n) for e, n in zip(ends, ("a", "b", "ra", "rb"))])
+
+
+def shingle_sets(asked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(th, s): the sets of shingle hashes of the texts whose hash is in ``asked``; texts: th, text.
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of text hashes whose sets of shingles have that Jaccard similarity; texts: th, text."""
+    A bitmap of a constant size tells most of the others apart before anything is moved.
+    """
     words = [0] * (BITMAP >> 6)
     place = F.pmod(F.col("th"), F.lit(BITMAP))
-    asked = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(th, 64) as int))").alias("bit"))
-    for r in asked.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # a constant size
+    bits = asked.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(th, 64) as int))").alias("bit"))
+    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # a constant size
         words[r[0]] = r[1]
     bitmap = np.array(words, np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Only the texts that may be asked for are moved, as sets of hashes."""
         for b in slices(batches):
             th = b.column(0).to_numpy(zero_copy_only=False)
             at = th % BITMAP
@@ -350,72 +359,87 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
             sets = [np.unique(np.concatenate(h)).tobytes() if (h := list(hashes(t, shingle))) else b"" for t in utf8(picked.column(1))]
             yield pa.RecordBatch.from_arrays([picked.column(0), pa.array(sets, pa.binary())], ["th", "s"])
 
+    return texts.mapInArrow(run, "th long, s binary").groupBy("th").agg(F.first("s").alias("s"))  # equal texts have equal sets
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b, ra, rb) of texts whose sets of shingles have that Jaccard similarity."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 100):
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9 and both > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:4]], ["a", "b", "ra", "rb"])
 
-    written = write_table(texts.mapInArrow(run, "th long, s binary"), "op1-sets")
-    sets = written.dropDuplicates(["th"])
     x, y = (sets.select(F.col("th").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    found = write_table(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "op1-similar")
-    drop_table(written)
-    return found
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "ra", "rb", "sa", "sb")
+    return both.mapInArrow(compare, "a long, b long, ra long, rb long")
 
 
 def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(th, root) for every text, where groups with a pair of texts of that similarity are one."""
+    """(th, root) for every text, where groups with a pair of texts of that similarity are one; a written table.
+
+    Only texts that share a band with one of another group take part, and each
+    round only those whose groups are still apart.
+    """
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
-    own = write_table(found.groupBy("th").agg(F.first("root").alias("root"), F.first("bands").alias("bands")), "op1-bands")
-    roots, edges, tried, salt = own.select("th", "root"), None, None, 0
+    scratch: list[DataFrame] = []
+    own = write_table(found.groupBy("th").agg(F.first("root").alias("root"), F.first("bands").alias("bands")), "op1-bands", scratch)
+    members = own.select("th", "root", F.posexplode("bands").alias("band", "key"))
+    open_ = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key", "size")
+    members = write_table(join_split(members, open_, ["band", "key"]), "op1-open", scratch)
+    meets = members.groupBy("th").agg(F.sum("size").alias("meets"))
+    sets = write_table(shingle_sets(meets.select("th"), texts, shingle), "op1-sets", scratch)
+    members = write_table(join_split(members, meets, ["th"]).withColumn("root0", F.col("root")), "op1-members", scratch)
+    joined, tried, salt = None, None, 0
     while True:
-        members = own.select("th", F.posexplode("bands").alias("band", "key"))
-        members = members.join(roots, "th")
-        sizes = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        sizes_of = write_table(sizes.filter("r0 <> r1").select("band", "key", "size"), "op1-band-sizes")  # else nothing is open
-        members = members_of = write_table(members.join(sizes_of, ["band", "key"]), "op1-members")
-        # in a larger bucket a text stands for its group, another one in each band and round
-        drawn = F.min_by("th", F.xxhash64("th", "band", F.lit(salt))).alias("th")
-        reps = reps_of = write_table(members.filter(F.col("size") > FEW).groupBy("band", "key", "root").agg(drawn), "op1-reps")
-        sizes = reps.groupBy("band", "key").agg(F.count("*").alias("n"))
-        reps = reps.join(sizes, ["band", "key"])
-        pairs = few_pairs(reps.filter(F.col("n") <= FEW)).union(hub_pairs(reps.filter(F.col("n") > FEW), salt))
         if not salt:
-            pairs = pairs.union(few_pairs(members.filter(F.col("size") <= FEW)))
+            pairs = few_pairs(members.filter(F.col("size") <= FEW)).union(hub_pairs(members.filter(F.col("size") > FEW), salt))
+        else:  # a text stands for its group, another one in each band and round
+            drawn = F.min_by(F.struct("th", "root0", "meets"), F.xxhash64("th", "band", F.lit(salt))).alias("t")
+            reps = members.groupBy("band", "key", "root").agg(drawn).select("band", "key", "root", "t.*")
+            several = reps.groupBy("band", "key").agg(F.count("*").alias("groups")).filter("groups > 1")
+            reps = write_table(join_split(reps, several, ["band", "key"]), "op1-reps", scratch)
+            pairs = few_pairs(reps.filter(F.col("groups") <= FEW)).union(hub_pairs(reps.filter(F.col("groups") > FEW), salt))
         pairs = pairs.distinct()
-        pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"op1-pairs-{salt}")
-        for t in (sizes_of, members_of, reps_of):
-            drop_table(t)
+        pairs = write_table(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "op1-pairs", scratch)
         if pairs.isEmpty():
             break
-        new = similar(pairs, texts, shingle, similarity)
+        new = write_table(similar(pairs, sets, similarity), "op1-similar", scratch)
         if new.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
-        edges = new if edges is None else edges.union(new)
-        label = own.select("th", "root")
-        of_roots = edges.join(label.toDF("a", "ra"), "a").join(label.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        joined = connected(of_roots, f"op1-merged-{salt}").toDF("root", "top")
-        roots = write_table(label.join(joined, "root", "left").select("th", F.coalesce("top", "root").alias("root")), f"op1-roots-{salt}")
+        edges = new.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        joined = connected(edges if joined is None else edges.union(joined.toDF("a", "b")), "op1-merged")
+        scratch.append(joined)
+        top = joined.withColumnsRenamed({"node": "root0", "root": "top"})
+        # buckets whose groups are one by now are left behind
+        members = members.drop("root").join(top, "root0", "left").withColumn("root", F.coalesce("top", "root0")).drop("top")
+        ends = members.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key")
+        members = write_table(join_split(members, ends, ["band", "key"]), "op1-members", scratch)
         salt += 1
+    roots = own.select("th", "root")
+    if joined is not None:
+        roots = roots.join(joined.toDF("root", "top"), "root", "left").select("th", F.coalesce("top", "root").alias("root"))
+    roots = write_table(roots, "op1-roots")
+    drop_table(*scratch)
     return roots
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, banded: bool = False) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, banded: bool = False, scratch: list[DataFrame] | None = None) -> DataFrame:
     """(id, th, fp, component_id, root) for every row of ``docs``; root numbers the components; with ``bands`` if asked."""
-    rows = write_table(fingerprints(docs, id_col, text_col, shingle, banded), "op1-fingerprints")
+    rows = write_table(fingerprints(docs, id_col, text_col, shingle, banded), "op1-fingerprints", scratch)
     fps = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "op1-distinct")
-    roots = connected(links(fps.select("fp"), distance), "op1-components")
+    own_scratch: list[DataFrame] = [fps]
+    roots = connected(links(fps.select("fp"), distance, scratch=own_scratch), "op1-components")
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     own = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    # a written table: the join below exchanges both sides, and the rows of a hot fingerprint can be split
-    by_fp = write_table(labelled.select("fp", "root").join(own, "root").select("fp", "root", "component_id"), "op1-labels")
-    drop_table(fps)
+    by_fp = write_table(join_split(labelled.select("fp", "root"), own, ["root"]).select("fp", "root", "component_id"), "op1-labels", scratch)
+    drop_table(*own_scratch, roots)
     return rows.join(by_fp, "fp").select("id", "th", "fp", "component_id", "root", *["bands"] * banded)
 
 
@@ -432,30 +456,30 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     can't tell them from others (at 0.8 they differ in about ten), so candidates come from MinHash bands and
     are verified on the whole sets of shingles.
     """
-    found = grouped(docs, id_col, text_col, distance, shingle, similarity is not None)
+    scratch: list[DataFrame] = []
+    found = grouped(docs, id_col, text_col, distance, shingle, similarity is not None, scratch)
     if similarity is not None:
         roots = merged(docs, found, text_col, shingle, similarity)
+        scratch.append(roots)
         found = found.select("id", "th").join(roots, "th")
-    per = write_table(found.groupBy("root", "id", "th").agg(F.count("*").alias("n")), "op1-rows")
+    per = write_table(found.groupBy("root", "id", "th").agg(F.count("*").alias("n")), "op1-rows", scratch)
     rank = F.struct(F.col("id").isNull(), "id", "th")
     first = per.groupBy("root").agg(F.min_by(F.struct("id", "th", "n"), rank).alias("f")).select("f.*")
-    first = write_table(first.select(F.col("id").alias("__fid"), F.col("th").alias("__fth"), "n"), "op1-first")
+    first = write_table(first.select(F.col("id").alias("__fid"), F.col("th").alias("__fth"), "n"), "op1-first", scratch)
     same = F.col("id").eqNullSafe(F.col("__fid")) & (F.col("th") == F.col("__fth"))
-    gone = per.join(first, same, "left_anti")
-    # ids that are unique name a row; else id and text hash do, and equal rows are made one
-    unique = per.filter("id is null or n > 1").isEmpty() and per.groupBy("id").count().filter("count > 1").isEmpty()
-    several = not unique and not first.filter("n > 1").isEmpty()
+    gone = per.join(first, same, "left_anti").select(F.col("id").alias("__oid"), F.col("th").alias("__oth"))
+    equal = first.filter("n > 1").select(F.col("__fid").alias("__oid"), F.col("__fth").alias("__oth"))
     # the few that go, not the many that stay: while they are small enough to broadcast, no text is moved
-    if unique:
-        out = write_table(gone.select(F.col("id").alias("__oid")), "op1-dropped")
-        kept = docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col("__oid"), "left_anti")
-    else:
-        out = write_table(gone.select(F.col("id").alias("__oid"), F.col("th").alias("__oth")), "op1-dropped")
-        hashed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-        kept = hashed.join(out, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__oid")) & (F.col("__th") == F.col("__oth")), "left_anti")
-        kept = (kept.dropDuplicates([id_col, "__th"]) if several else kept).drop("__th")
-    drop_table(per)
-    drop_table(first)
+    text = F.col(f"`{text_col}`")
+    once = without_rows(docs, write_table(gone.union(equal), "op1-dropped"), id_col, text)
+    if equal.isEmpty():
+        kept = once
+    else:  # of rows equal in id and text one stays
+        equal = write_table(equal, "op1-equal")
+        hashed = docs.withColumn("__th", F.xxhash64(text.cast("string")))
+        more = hashed.join(equal, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__oid")) & (F.col("__th") == F.col("__oth")), "left_semi")
+        kept = once.unionByName(more.dropDuplicates([id_col, "__th"]).drop("__th"))
+    drop_table(*scratch)
     return kept
 
 
