@@ -1,0 +1,60 @@
+"""Hand-written page layouts with real prose: none comes from the generator that trains the model.
+
+Each layout is a template with {title} and {body}; around them stands what must
+go.  ``pages()`` fills each with several articles: (html, paragraphs of the truth).
+"""
+
+ARTICLES = [
+    (
+        "How the harbour froze",
+        ["In the winter of 1929 the harbour froze for eleven weeks, and the ferries lay still along the quay.", "Fishermen walked out to the second lightship with sledges. Some of them sold herring from tents on the ice, which held lorries by the middle of February.", ("h2", "What the council did"), "The council met twice. It hired forty men to saw a channel, but the channel closed again overnight, and the work was given up.", "When the thaw came it came in a day."],
+    ),
+    ("Baking with rye", ["Rye flour holds more water than wheat flour does, so a dough that looks too wet is often right.", ("ul", ["500 g rye flour", "400 ml warm water", "10 g salt"]), "Mix everything, cover the bowl and leave it for twelve hours. The dough should smell sour and be full of small bubbles.", "Bake it hot at first, then let the oven cool to 180 degrees. Wait a day before cutting the loaf; it is worth it."]),
+    ("Una visita al mercado", ["El mercado abre a las seis de la mañana, cuando todavía es de noche y los puestos huelen a pan caliente.", "Doña Elvira vende quesos desde hace cuarenta años. Conoce a todos sus clientes por su nombre, y ellos le cuentan cómo va la familia.", ("blockquote", "Aquí no vendemos queso, vendemos conversación."), "A mediodía ya no queda casi nada, y los vendedores recogen las cajas."]),
+    ("Release notes", ["Version 4.2 fixes a crash that happened when two windows were closed at once.", "Thanks to everybody who reported it.", ("pre", "upgrade --to 4.2"), "The old settings are kept. If you have changed the default port, check that the firewall still lets it through, as the service now listens on both protocols."]),
+]
+
+
+def rendered(parts: list, para: str = "<p>{}</p>") -> tuple[str, list[str]]:
+    html, truth = "", []
+    for x in parts:
+        if isinstance(x, str):
+            html += para.format(x)
+            truth.append(x)
+        elif x[0] == "ul":
+            html += "<ul>" + "".join(f"<li>{i}</li>" for i in x[1]) + "</ul>"
+            truth += x[1]
+        else:
+            html += f"<{x[0]}>{x[1]}</{x[0]}>"
+            truth.append(x[1])
+    return html, truth
+
+
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/about'>About us</a></li><li><a href='/contact'>Contact</a></li></ul>"
+LAYOUTS = {
+    "one odd class": "<body><div class='xq1'><h1>{title}</h1>{body}</div></body>",
+    "short class": "<body><div class='c1'>" + MENU + "</div><div class='c2'><h1>{title}</h1>{body}</div><div class='c3'>Copyright 2021 The Gazette. All rights reserved.</div></body>",
+    "anonymous divs": "<body><div><a href='/'>The Gazette</a></div><div>" + MENU + "</div><div><h1>{title}</h1>{body}</div><div>© 2020 The Gazette</div></body>",
+    "section wrapper": "<body><section><h1>{title}</h1>{body}</section><section><h3>Related stories</h3><ul><li><a href='/1'>Ten bridges to cross before you turn forty</a></li><li><a href='/2'>Where the swifts go</a></li></ul></section></body>",
+    "encyclopedia": "<body class='skin sitedir-ltr'><div id='mw-panel'><h3>Navigation</h3>" + MENU + "</div><div id='content'><h1 id='firstHeading'>{title}</h1><div class='mw-parser-output'>{body}</div></div><div id='footer'><ul><li>This page was last edited in May.</li><li><a href='/privacy'>Privacy policy</a></li></ul></div></body>",
+    "has-comments": "<body class='single has-comments has-sidebar'><div class='has-comments'><article><h1>{title}</h1>{body}</article></div><div id='comments'><h2>3 comments</h2><div class='comment'><b>Jo</b><p>I remember that winter, my father drove over the ice in his van.</p></div><div class='comment'><b>Kim</b><p>Thanks, a lovely piece. Please write more of these!</p></div></div></body>",
+    "page in a form": "<body><form id='aspnetForm' action='/default.aspx'><div class='hdr'><a href='/'>The Gazette</a> | <a href='/in'>Log in</a></div><div class='w'><div class='inner'><h1>{title}</h1>{body}</div></div><div class='ft'>Copyright 2009 The Gazette</div></form></body>",
+    "tables": "<body><table width=100%><tr><td colspan=2><a href='/'>The Gazette</a></td></tr><tr><td width=150>" + MENU + "</td><td><h1>{title}</h1>{body}</td></tr><tr><td colspan=2><center>© 1998 by the editors. All rights reserved.</center></td></tr></table></body>",
+    "utility classes": "<body class='antialiased'><div class='flex items-center px-4'><a class='font-bold' href='/'>Gazette</a><div class='ml-4'><a href='/a'>World</a> <a href='/b'>Sports</a> <a href='/c'>Weather</a></div></div><div class='max-w-2xl mx-auto mt-8'><div class='mb-4'><h1 class='text-3xl'>{title}</h1></div><div class='leading-7'>{body}</div></div><div class='bg-gray-100 p-4'><p>Subscribe to our newsletter</p><form><input><button>Sign up</button></form></div></body>",
+    "title in a header": "<body><header><a href='/'>The Gazette</a></header><main><article><header><h1>{title}</h1></header>{body}</article></main><footer><p>© The Gazette</p><p><a href='/terms'>Terms</a></p></footer></body>",
+    "title above": "<body><nav>" + MENU + "</nav><h1>{title}</h1><div class='grid'><div class='lead'>{body}</div><div class='aux'><h4>Most read</h4><ul><li><a href='/x'>A day at the races</a></li><li><a href='/y'>The last typewriter shop in town</a></li></ul></div></div></body>",
+    "cookie wall": "<body><div id='gdpr-banner'><p>We use cookies to make this site better. By going on you agree to that.</p><button>Accept all</button><button>Settings</button></div><div id='app'><div class='route'><h1>{title}</h1>{body}</div></div></body>",
+    "advert inside": "<body><div class='wrapper'><div class='post'><h1>{title}</h1><div class='adslot'>Advertisement</div>{body}<div class='share-bar'>Share this on <a href='/t'>T</a> <a href='/f'>F</a></div></div><div class='sidebar'><h3>Archives</h3><ul><li><a href='/05'>May 2020</a></li><li><a href='/06'>June 2020</a></li></ul></div></div></body>",
+    "deep": "<body>" + "<div class='k'>" * 12 + "<h1>{title}</h1>{body}" + "</div>" * 12 + "<div>Copyright The Gazette</div></body>",
+    "no body": "<h1>{title}</h1>{body}",
+}
+
+
+def pages() -> list[tuple[str, str, list[str]]]:
+    out = []
+    for name, layout in LAYOUTS.items():
+        for title, parts in ARTICLES:
+            html, truth = rendered(parts)
+            page = "<!doctype html><html><head><title>" + title + "</title><style>p{x:y}</style><script>f('<p>')</script></head>" + layout.replace("{title}", title).replace("{body}", html) + "</html>"
+            out.append((name, page, [title, *truth]))
+    return out
