@@ -12,8 +12,9 @@ the smallest hashes of the id: a bounded sample, the same on every run.  All
 else covers every row.
 
 Defined cases: null text has no words and fails the base rules; a null or
-repeated id is judged like any row; labels that are null are ignored, repeated
-labels count each time; without labels of both classes the list is empty and
+repeated id is judged like any row; of the rows of a labelled id that repeats the
+one with the least features (compared in their order) is learned from; labels that
+are null are ignored, repeated labels count each time; without labels of both classes the list is empty and
 keeps all that the base rules keep; an empty table gives an empty result.
 """
 
@@ -215,11 +216,14 @@ def as_column(rules: list[Rule]) -> Column:
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_labels: int = MAX_LABELS, **options) -> list[Rule]:
     """Learn the list from at most ``max_labels`` labelled rows (quality 0 is bad) that pass the base rules."""
     sample = labels.select(F.col(id_col).cast("long").alias("__id"), F.col("quality").alias("__q")).dropna().orderBy(F.xxhash64("__id"), "__id", "__q").limit(max_labels)
-    rows = stats.filter(~base_failed()).join(F.broadcast(sample), F.col(id_col) == F.col("__id"))
-    got = rows.select(id_col, "__q", *[feature(f).alias(f) for f in FEATURES]).limit(2 * max_labels).toPandas()
-    got = got.sort_values([id_col, "__q", *FEATURES], kind="stable")
+    counted = sample.groupBy("__id", "__q").agg(F.count("*").alias("__n"))
+    rows = stats.filter(~base_failed()).join(F.broadcast(counted), F.col(id_col) == F.col("__id"))  # max_labels rows at most
+    # of the rows of a repeated id the one with the least features: a row for each labelled id, in whatever order they come
+    own = F.min(F.struct(*[feature(f).alias(f) for f in FEATURES])).alias("f")
+    got = rows.groupBy("__id", "__q", "__n").agg(own).select("__id", "__q", "__n", "f.*").toPandas()
+    got = got.loc[got.index.repeat(got["__n"])].sort_values(["__id", "__q"], kind="stable")
     x = {f: got[f].to_numpy(float) for f in FEATURES}
-    held_out = (got[id_col].to_numpy() * 2654435761 % 1_000_003) % 3 == 0
+    held_out = (got["__id"].to_numpy() * 2654435761 % 1_000_003) % 3 == 0
     return learn(x, got["__q"].to_numpy() == 0, held_out, **options)
 
 

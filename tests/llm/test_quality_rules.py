@@ -56,6 +56,25 @@ def test_learned_list(spark, make, words):
         assert not (base and r.kept)
 
 
+def test_repeated_ids_and_labels_in_any_order(spark, make, words):
+    """Ids that repeat many times, labels that repeat: the same list from any order of the rows."""
+    rows = [(i % 40, " ".join(w + ("%%" if i % 3 == 0 else "") for w in words(70, i).split())) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)] * 2, "doc_id long, quality int")
+    lists = [Q.fit(Q.statistics(make(r)), labels.repartition(k), max_labels=60, precision=0.5) for k, r in ((1, rows), (3, rows[::-1]), (5, rows[200:] + rows[:200]))]
+    assert lists[0] == lists[1] == lists[2]
+
+
+def test_the_query_against_plain_counts(spark, make, words, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, words(60 + i, i)) for i in range(30)] + [(None, words(70, 99)), (100, words(60, 0))]
+    make(rows, extra=["n_words", "kept"]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + i, i % 2) for i in range(30)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = Q.op10_quality_rules(spark, str(tmp_path)).collect()
+    key = lambda r: (r[0] if r[0] is not None else -1, *r[1:])
+    want = [(i, *slow(t)) for i, t in rows]
+    assert sorted(map(key, ((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got))) == sorted(map(key, want))
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+
+
 def test_expression_agrees_with_arrays(spark, make, words):
     stats = Q.statistics(make([(i, words(60 + i, i) + " $" * (i % 7)) for i in range(50)]))
     rules = [(Q.Condition("symbols_per_word", True, 0.04),), (Q.Condition("word_length", False, 4.0), Q.Condition("short_share", True, 0.01))]
