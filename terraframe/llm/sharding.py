@@ -8,10 +8,11 @@ bijection of [0, N) and reads shard and slot off the result::
 so shard sizes differ by one at most, slots have no gaps, and ``locate`` tells
 where any row number goes without touching the data.
 
-Row numbers.  Rows are dealt to a fixed number of buckets by a hash of the key
-columns, numbered inside a bucket in key order, and a bucket's first number is
-the sum of the counts before it (``buckets`` integers, a constant).  No global
-sort and no single task; the numbers depend on the data only, not on files,
+Row numbers.  Equal rows are counted as one; rows are dealt to a fixed number of
+buckets by a hash of all their columns, numbered inside a bucket in key order, and
+a bucket's first number is the sum of the counts before it (``buckets`` integers,
+a constant).  Neither rows that share a key nor equal rows meet in one task, there
+is no global sort, and the numbers depend on the data only, not on files,
 partitions or the cluster.
 
 Permutation.  A Feistel network over Z_a x Z_b, a = ceil(sqrt N), b = ceil(N/a):
@@ -21,8 +22,9 @@ along its cycle until it is below N.  A cycle meets each excess number once, so
 the walk ends within a*b-N steps: the bound in the expression is exact.  All of
 it is DataFrame functions.
 
-Defined cases: null keys are hashed and ordered like a value (nulls first);
-rows equal in all keys are interchangeable and get distinct numbers; an empty
+Defined cases: nulls are hashed and ordered like a value (nulls first); rows
+equal in all columns are interchangeable and get consecutive numbers; a column of
+maps is refused; an empty
 table gives an empty result; an input column named like an output column is
 replaced.
 """
@@ -38,6 +40,7 @@ from .storage import read, without, write_table
 
 ROUNDS = 8
 BUCKETS = 4096
+CHUNK = 1 << 16
 OUTPUTS = ("row_number", "position", "shard", "slot")
 
 
@@ -85,24 +88,35 @@ def permute(df: DataFrame, number: str, n: int, out: str, seed: int = 7, rounds:
     df = df.withColumn("__sh_p", F.col("__sh_l") * F.lit(b).cast("long") + F.col("__sh_r"))
     excess = a * b - n
     p = F.col("__sh_p")
+    # the bound is no literal, else the optimizer would put all numbers up to it into the plan
     for steps in (s for s in (8, excess) if s > 0 and excess):
         p = F.when(p < limit, p).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.lit(min(steps, excess))), p, lambda x, _: F.when(x < limit, x).otherwise(_permute_once(x, a, b, seed, rounds)))
+            F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(min(steps, excess)).cast("long"), -p)), p, lambda x, _: F.when(x < limit, x).otherwise(_permute_once(x, a, b, seed, rounds)))
         )
         if excess <= 8:
             break
     return df.withColumn(out, p).drop("__sh_l", "__sh_r", "__sh_p")
 
 
-def global_row_numbers(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Add ``row_number`` (0..N-1), a function of the key columns' values alone."""
-    df = without(df, "row_number").withColumn("__sh_b", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)))
-    counts = df.groupBy("__sh_b").agg(F.count("*").alias("__sh_n"))
+def global_row_numbers(df: DataFrame, keys: list[str], buckets: int = BUCKETS, chunk: int = CHUNK) -> DataFrame:
+    """Add ``row_number`` (0..N-1), a function of the rows' values alone."""
+    df = without(df, "row_number")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    if any(f.dataType.typeName() in ("map", "variant") for f in df.schema.fields):
+        raise ValueError("columns of maps can't be compared; leave them out of the numbering")
+    rows = df.groupBy(*cols).agg(F.count("*").alias("__sh_m"))  # equal rows are one row with a count
+    rows = rows.withColumn("__sh_b", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
+    counts = rows.groupBy("__sh_b").agg(F.sum("__sh_m").alias("__sh_n"))
     # at most ``buckets`` rows, whatever the input
     first = counts.select("__sh_b", (F.sum("__sh_n").over(Window.orderBy("__sh_b")) - F.col("__sh_n")).alias("__sh_first"))
-    inside = F.row_number().over(Window.partitionBy("__sh_b").orderBy(*[F.col(f"`{k}`") for k in keys]))
-    numbered = df.withColumn("__sh_i", inside.cast("long") - 1).join(F.broadcast(first), "__sh_b")
-    return numbered.withColumn("row_number", F.col("__sh_first") + F.col("__sh_i")).drop("__sh_b", "__sh_i", "__sh_first")
+    order = [F.col(f"`{k}`") for k in keys] + [F.xxhash64(*cols), *[F.col(f"`{c}`") for c in df.columns if c not in keys]]
+    before = F.sum("__sh_m").over(Window.partitionBy("__sh_b").orderBy(*order)) - F.col("__sh_m")
+    numbered = rows.withColumn("__sh_i", before).join(F.broadcast(first), "__sh_b").withColumn("__sh_i", F.col("__sh_i") + F.col("__sh_first"))
+    # the copies of a row get the numbers from its own on, a chunk at a time, so that many tasks make those of a hot one
+    size = F.lit(chunk).cast("long")
+    chunks = numbered.withColumn("__sh_c", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("__sh_m") - 1, size)))).hint("rebalance")
+    inside = F.sequence(F.col("__sh_c") * size, F.least((F.col("__sh_c") + 1) * size, F.col("__sh_m")) - 1)
+    return chunks.withColumn("__sh_k", F.explode(inside)).withColumn("row_number", F.col("__sh_i") + F.col("__sh_k")).drop("__sh_b", "__sh_i", "__sh_m", "__sh_first", "__sh_c", "__sh_k")
 
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 7, buckets: int = BUCKETS, n: int | None = None) -> DataFrame:

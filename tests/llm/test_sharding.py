@@ -29,6 +29,32 @@ def test_shards(make):
     assert out[0].row_number is not None and S.locate(out[0].row_number, len(rows)) == (out[0].shard, out[0].slot)
 
 
+def test_equal_rows_and_shared_keys_are_spread(make):
+    """A third of the rows are equal, a third share their key: neither meets in one task of a window."""
+    rows = [(7, "same")] * 300 + [(8, f"t{i}") for i in range(300)] + [(i, "x") for i in range(1000, 1300)]
+    out = S.global_row_numbers(make(rows).select("doc_id", "text"), ["doc_id"], buckets=64, chunk=32)
+    got = out.collect()
+    assert sorted(r.row_number for r in got) == list(range(900))
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and len(plan) < 20_000
+    long = S.permute(out, "row_number", 10**12 - 7, "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(long) < 60_000  # no literal of sqrt(N) numbers
+
+
+def test_the_query(spark, make, tmp_path):
+    import zlib
+
+    rows = [(i, "é" * (i % 9)) for i in range(100)] + [(None, None), (3, None), (3, ""), (3, "")]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op4_sharding(spark, str(tmp_path)).collect()
+    data = [((i, (t or "").encode())) for i, t in rows]
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in got) == Counter((i, len(b) + 1, zlib.crc32(b), "rows", None) for i, b in data)
+    for k in range(8):
+        own = sorted(r.slot for r in got if r.shard == k)
+        assert own == list(range(len(own))) and len(own) in (len(rows) // 8, len(rows) // 8 + 1)
+
+
 def test_empty_and_native(spark, make):
     assert S.shard_rows(make([]), ["doc_id"]).count() == 0
     df = S.shard_rows(make([(i, "a") for i in range(10)]).select("doc_id", F.octet_length("text").alias("size")), ["doc_id"], 4)
