@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import drop_table, read, write_table
+from .storage import drop_table, join_split, read, write_table
 
 EPSILON = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,13 +89,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, iterations: int = 12, damping:
     """Ranks after so many steps of r = (1-damping) p + damping W r, per kind.
 
     ``seeds``: (kind, host, p); ``edges``: (kind, a, b, w) with the weights out
-    of each a summing to one.  Hosts without edges keep their mass.
+    of each a summing to one, a loop for hosts that keep their mass.  The edges of
+    a hub are split, what flows into one host is pre-aggregated.
     """
     base = seeds.select("kind", "host", F.col("p").alias("r"))
     rank, last = base, None
     for i in range(iterations):
-        e = edges.withColumnRenamed("kind", "k")
-        flow = rank.join(e, (rank.kind == e.k) & (rank.host == e.a), "left").select("kind", F.coalesce("b", "host").alias("host"), (F.col("r") * F.coalesce("w", F.lit(1.0)) * damping).alias("r"))
+        flow = join_split(edges, rank.withColumnRenamed("host", "a"), ["kind", "a"]).select("kind", F.col("b").alias("host"), (F.col("r") * F.col("w") * damping).alias("r"))
         rank = flow.unionByName(base.select("kind", "host", (F.col("r") * (1 - damping)).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         if (i + 1) % every == 0 or i + 1 == iterations:
             rank, before = write_table(rank, "op7-rank"), last
@@ -105,17 +105,21 @@ def propagate(seeds: DataFrame, edges: DataFrame, iterations: int = 12, damping:
     return rank
 
 
-def host_scores(judged: DataFrame, edges: DataFrame, iterations: int = 12, damping: float = 0.85) -> DataFrame:
+def host_scores(judged: DataFrame, edges: DataFrame, iterations: int = 12, damping: float = 0.85, scratch: list[DataFrame] | None = None) -> DataFrame:
     """(host, base, trust, distrust): shares of all pages.  ``judged``: one row a page with host and by_rule."""
     hosts = judged.groupBy("host").agg(F.count("*").alias("pages"), F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"))
-    hosts = write_table(hosts, "op7-hosts")
+    hosts = write_table(hosts, "op7-hosts", scratch)
     total = float(hosts.agg(F.sum("pages")).first()[0] or 1)
     seeds = hosts.select(F.lit("trust").alias("kind"), "host", (F.col("good") / total).alias("p")).union(hosts.select(F.lit("distrust"), "host", F.col("bad") / total)).filter("p > 0")
-    edges = write_table(edges, "op7-edges")
+    edges = write_table(edges, "op7-edges", scratch)
     out_n, in_n = edges.groupBy("src").agg(F.sum("n").alias("all")), edges.groupBy("dst").agg(F.sum("n").alias("all"))
-    forward = edges.join(out_n, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("all")).alias("w"))
-    backward = edges.join(in_n, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("n") / F.col("all")).alias("w"))
-    weights = write_table(forward.union(backward), "op7-weights")
+    forward = join_split(edges, out_n, ["src"]).select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("all")).alias("w"))
+    backward = join_split(edges, in_n, ["dst"]).select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("n") / F.col("all")).alias("w"))
+    linked = forward.union(backward)
+    # hosts that mass can reach and that no edge leaves
+    nodes = seeds.select("kind", F.col("host").alias("a")).union(linked.select("kind", "b")).distinct()
+    kept = nodes.join(linked.select("kind", "a").distinct(), ["kind", "a"], "left_anti")
+    weights = write_table(linked.union(kept.select("kind", "a", F.col("a").alias("b"), F.lit(1.0).alias("w"))), "op7-weights", scratch)
     rank = propagate(seeds, weights, iterations, damping)
     by_host = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("r"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("r"))).alias("distrust"))
     return hosts.join(by_host, "host", "left").select("host", (F.col("pages") / total).alias("base"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -128,7 +132,9 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", html: s
     parsed = pages.select(*[F.col(c) for c in carry], host_of(u).alias("host"), path_of(u).alias("path"))
     judged = write_table(parsed.withColumns({"rule": text, "by_rule": verdict}), "op7-judged")
     edges = host_edges(pages.select(host_of(u).alias("host"), F.col(html).alias("html")))
-    scores = write_table(host_scores(judged, edges, iterations, damping), "op7-scores")
+    scratch: list[DataFrame] = []
+    scores = write_table(host_scores(judged, edges, iterations, damping, scratch), "op7-scores")
+    drop_table(*scratch)
     # the order of a sum decides no verdict
     blocked = (F.col("distrust") > F.col("trust") * (1 + EPSILON)) & (F.col("distrust") >= threshold * F.col("base") * (1 - EPSILON))
     return judged.join(scores, "host", "left").select(*carry, "host", "path", "rule", F.coalesce("by_rule", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
