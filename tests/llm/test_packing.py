@@ -51,5 +51,26 @@ def test_digest_and_prefix_sums(spark, make):
     assert got == {i: sum(j * j + 1 for j in range(i)) for i in range(50)}
 
 
+def test_the_query(spark, make, words, tmp_path, monkeypatch):
+    """Every id lies in exactly one piece: pieces of a document in order give its ids; with and without a broadcast."""
+    rows = [(i, words(40 * i, i)) for i in range(40)] + [(99, None)]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for most in (P.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(P, "BROADCAST_ROWS", most)
+        got = P.op2_packing(spark, str(tmp_path)).collect()
+        for i, t in rows:
+            ids = ids_of(t)
+            own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+            at = 0
+            for r in own:
+                piece = np.array(ids[r.start : r.start + r.length], "<u4").tobytes()
+                assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(piece))
+                at += r.length
+            assert at == len(ids)
+        for k in {r.sequence_id for r in got}:
+            own = sorted((r.offset, r.length) for r in got if r.sequence_id == k)
+            assert [o for o, _ in own] == [sum(n for _, n in own[:j]) for j in range(len(own))]
+
+
 def test_empty(make):
     assert P.pack(make([])).count() == 0
