@@ -25,9 +25,10 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
     edges = write_table(edges, f"{name}-0")
     mark = None
     for i in range(rounds):
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = join_split(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # large-star: the larger neighbours of a node go to its least neighbour
+        least = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        star = join_split(edges, least, ["b"]).select("a", F.col("m").alias("b"))
+        # small-star: the smaller neighbours of a node, and itself, go to the least of them
         least = star.groupBy("a").agg(F.min("b").alias("m"))
         small = join_split(star, least, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
         new = write_table(small, f"{name}-{i + 1}")

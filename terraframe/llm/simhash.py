@@ -315,10 +315,10 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 2048, scratch: list[Da
 
 
 def few_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, ra, rb): the pairs of texts of different roots in each bucket of a few ``members``, with their first roots."""
-    held = members.groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("th", "root", "root0"))).alias("m"))
+    """(a, b, ra, rb): the pairs of texts of different roots in each bucket of a few ``members``, with their roots."""
+    held = members.groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("th", "root"))).alias("m"))
     m = F.col("m")
-    pair = lambda x, y: F.struct(x["th"].alias("a"), y["th"].alias("b"), x["root0"].alias("ra"), y["root0"].alias("rb"))
+    pair = lambda x, y: F.struct(x["th"].alias("a"), y["th"].alias("b"), x["root"].alias("ra"), y["root"].alias("rb"))
     pairs = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (y["th"] > x["th"]) & (y["root"] != x["root"])), lambda y: pair(x, y))))
     return held.select(F.explode(pairs).alias("p")).select("p.*")
 
@@ -329,14 +329,22 @@ def hub_pairs(members: DataFrame, salt: int) -> DataFrame:
     The one hub is the text that meets most others in all bands, so the middle of
     a group of copies; the other one is drawn, another in each band and round.
     """
-    own = F.struct("th", "root", "root0")
-    hubs = members.groupBy("band", "key").agg(F.array(F.max_by(own, F.struct("meets", "th")), F.min_by(own, F.xxhash64("root", "band", F.lit(salt)))).alias("hubs"))
-    met = join_split(members, hubs, ["band", "key"]).select("th", "root", "root0", F.explode("hubs").alias("h")).filter("root <> h.root")
+    own = F.struct("th", "root")
+    hubs = members.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.array(F.max_by(own, F.struct("meets", "th")), F.min_by(own, F.xxhash64("root", "band", F.lit(salt)))).alias("hubs"))
+    hubs = hubs.filter("r0 <> r1").select("band", "key", "hubs")
+    met = join_split(members, hubs, ["band", "key"]).select("th", "root", F.explode("hubs").alias("h")).filter("root <> h.root")
     low = F.col("th") < F.col("h.th")
-    ends = [F.when(low, x).otherwise(y) for x, y in ((F.col("th"), F.col("h.th")), (F.col("h.th"), F.col("th")), (F.col("root0"), F.col("h.root0")), (F.col("h.root0"), F.col("root0")))]
+    ends = [F.when(low, x).otherwise(y) for x, y in ((F.col("th"), F.col("h.th")), (F.col("h.th"), F.col("th")), (F.col("root"), F.col("h.root")), (F.col("h.root"), F.col("root")))]
     return met.select(*[e.alias(n) for e, n in zip(ends, ("a", "b", "ra", "rb"))])
 
 
+def hooked(edges: DataFrame) -> DataFrame:
+    """(root, to): the least label within two steps, which makes a hub and its members one; others follow in later rounds."""
+    both = edges.select("ra", "rb").union(edges.select("rb", "ra"))
+    one = both.groupBy("ra").agg(F.min("rb").alias("m")).select(F.col("ra").alias("rb"), F.least("ra", "m").alias("m"))
+    return join_split(both, one, ["rb"]).groupBy("ra").agg(F.min("m").alias("m")).select(F.col("ra").alias("root"), F.least("ra", "m").alias("to"))
+
+
 def shingle_sets(asked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(th, s): the sets of shingle hashes of the texts whose hash is in ``asked``; texts: th, text.
 
@@ -382,8 +390,10 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(th, root) for every text, where groups with a pair of texts of that similarity are one; a written table.
 
-    Only texts that share a band with one of another group take part, and each
-    round only those whose groups are still apart.
+    Only texts that share a band with one of another group take part.  In the
+    first round all pairs of small buckets are compared, and each text of a larger
+    one with its hubs; in each round after it a member of each group with the
+    groups of the hubs, until that joins none.
     """
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
@@ -394,36 +404,26 @@ def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, simil
     members = write_table(join_split(members, open_, ["band", "key"]), "op1-open", scratch)
     meets = members.groupBy("th").agg(F.sum("size").alias("meets"))
     sets = write_table(shingle_sets(meets.select("th"), texts, shingle), "op1-sets", scratch)
-    members = write_table(join_split(members, meets, ["th"]).withColumn("root0", F.col("root")), "op1-members", scratch)
-    joined, tried, salt = None, None, 0
+    members = write_table(join_split(members, meets, ["th"]), "op1-members", scratch)
+    pairs = few_pairs(members.filter(F.col("size") <= FEW)).union(hub_pairs(members.filter(F.col("size") > FEW), 0))
+    edges, labels, salt = None, None, 0
     while True:
-        if not salt:
-            pairs = few_pairs(members.filter(F.col("size") <= FEW)).union(hub_pairs(members.filter(F.col("size") > FEW), salt))
-        else:  # a text stands for its group, another one in each band and round
-            drawn = F.min_by(F.struct("th", "root0", "meets"), F.xxhash64("th", "band", F.lit(salt))).alias("t")
-            reps = members.groupBy("band", "key", "root").agg(drawn).select("band", "key", "root", "t.*")
-            several = reps.groupBy("band", "key").agg(F.count("*").alias("groups")).filter("groups > 1")
-            reps = write_table(join_split(reps, several, ["band", "key"]), "op1-reps", scratch)
-            pairs = few_pairs(reps.filter(F.col("groups") <= FEW)).union(hub_pairs(reps.filter(F.col("groups") > FEW), salt))
-        pairs = pairs.distinct()
-        pairs = write_table(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "op1-pairs", scratch)
-        if pairs.isEmpty():
-            break
-        new = write_table(similar(pairs, sets, similarity), "op1-similar", scratch)
+        new = write_table(similar(pairs.dropDuplicates(["a", "b"]), sets, similarity), "op1-similar", scratch)
         if new.isEmpty():
             break
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = new.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        joined = connected(edges if joined is None else edges.union(joined.toDF("a", "b")), "op1-merged")
-        scratch.append(joined)
-        top = joined.withColumnsRenamed({"node": "root0", "root": "top"})
-        # buckets whose groups are one by now are left behind
-        members = members.drop("root").join(top, "root0", "left").withColumn("root", F.coalesce("top", "root0")).drop("top")
-        ends = members.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key")
-        members = write_table(join_split(members, ends, ["band", "key"]), "op1-members", scratch)
+        edges = new if edges is None else edges.union(new)
+        to = hooked(new)
+        labels = to if labels is None else labels.withColumnRenamed("to", "mid").join(to.withColumnsRenamed({"root": "mid"}), "mid", "left").select("root", F.coalesce("to", "mid").alias("to")).union(to.join(labels.select("root"), "root", "left_anti"))
+        labels = write_table(labels, "op1-hooked", scratch)
         salt += 1
+        # a text stands for its group, another one in each band and round
+        now = members.join(labels, "root", "left").select("th", "band", "key", "meets", F.coalesce("to", "root").alias("root"))
+        drawn = F.min_by(F.struct("th", "meets"), F.xxhash64("th", "band", F.lit(salt))).alias("t")
+        pairs = hub_pairs(now.groupBy("band", "key", "root").agg(drawn).select("band", "key", "root", "t.*"), salt)
     roots = own.select("th", "root")
-    if joined is not None:
+    if edges is not None:
+        joined = connected(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "op1-merged")
+        scratch.append(joined)
         roots = roots.join(joined.toDF("root", "top"), "root", "left").select("th", F.coalesce("top", "root").alias("root"))
     roots = write_table(roots, "op1-roots")
     drop_table(*scratch)
