@@ -1,20 +1,22 @@
 """Well-known binary.
 
-Spark has no expression between bytes and doubles, so the coordinates go
-through Arrow functions; points are converted as whole numpy columns.  What the
-header alone tells (type code, dimensions) is built-in expressions.
+Spark has no expression between bytes and doubles, so coordinates go through Arrow
+functions, a whole column's buffer at a time (see columnar.py); big-endian and
+extended values and other types than the declared one are read value by value.
+What the header alone tells (type code, dimensions) is built-in expressions.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import CoordType, GeometryType, GeomType
-from .geometry import from_native, parse_wkb, parse_wkt, wkb_srid, wkb_status, write_wkb
-from .wkt import native_rows
+from .columnar import assembled, disassembled, read_wkb
+from .columnar import write_wkb as write_column
+from .geometry import parse_wkb, parse_wkt, wkb_srid, wkb_status, write_wkb
+from .wkt import native_rows, with_rest
 
 
 def _plain(a: pa.Array) -> list:
@@ -30,26 +32,6 @@ def _plain(a: pa.Array) -> list:
     return [None if v is None else fit(v) for v in a.to_pylist()]
 
 
-def _point_matrix(a: pa.Array, t: GeomType) -> np.ndarray:
-    """Ordinates of a point column, rows by ordinates; null rows hold anything."""
-    if t.coord_type == CoordType.SEPARATE:
-        return np.stack([a.field(i).to_numpy(zero_copy_only=False) for i in range(len(t.ordinates))], 1)
-    out = np.full((len(a), len(t.ordinates)), np.nan)
-    out[np.asarray(a.is_valid())] = a.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(t.ordinates))
-    return out
-
-
-def points_to_wkb(a: pa.Array, t: GeomType) -> pa.Array:
-    """A point column as WKB, one numpy record array."""
-    width = len(t.ordinates)
-    rec = np.zeros(len(a), np.dtype([("order", "u1"), ("code", "<u4"), ("c", "<f8", (width,))]))
-    rec["order"], rec["code"], rec["c"] = 1, 1 + 1000 * (t.dimensions - 1), _point_matrix(a, t)
-    size = rec.dtype.itemsize
-    fixed = pa.Array.from_buffers(pa.binary(size), len(a), [None, pa.py_buffer(rec.tobytes())])
-    out = fixed.cast(pa.binary())
-    return pa.compute.if_else(a.is_valid(), out, pa.scalar(None, pa.binary())) if a.null_count else out
-
-
 def as_wkb(g: Column, t: GeomType, big_endian: bool = False) -> Column:
     """ISO WKB, little-endian unless asked; null stays null."""
     if t.is_wkb or t.is_wkt:
@@ -67,35 +49,14 @@ def as_wkb(g: Column, t: GeomType, big_endian: bool = False) -> Column:
 
     @F.arrow_udf("binary")
     def convert(a: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401
-
-        if t.geometry_type == GeometryType.POINT and not big_endian:
-            return points_to_wkb(a, t)
-        return pa.array([None if v is None else write_wkb(from_native(v, t.geometry_type, t.dimensions), big_endian) for v in _plain(a)], pa.binary())
+        return write_column(disassembled(a, t), t, big_endian)
 
     return convert(g)
 
 
-def points_from_wkb(a: pa.Array, t: GeomType) -> pa.Array | None:
-    """A column of little-endian points of the type's dimensions in one numpy view; None if any row differs."""
-    width = len(t.ordinates)
-    size = 5 + 8 * width
-    valid = np.asarray(a.is_valid())
-    full = a.drop_null()
-    lens = pa.compute.binary_length(full)
-    if len(full) and (pa.compute.min(lens).as_py() != size or pa.compute.max(lens).as_py() != size):
-        return None
-    data = full.cast(pa.binary(size))
-    raw = np.frombuffer(data.buffers()[1], np.uint8)[data.offset * size :][: len(full) * size]
-    rec = raw.view(np.dtype([("order", "u1"), ("code", "<u4"), ("c", "<f8", (width,))]))
-    if len(rec) and not ((rec["order"] == 1).all() and (rec["code"] == 1 + 1000 * (t.dimensions - 1)).all()):
-        return None
-    c = np.full((len(a), width), np.nan)
-    c[valid] = rec["c"]
-    if t.coord_type == CoordType.SEPARATE:
-        return pa.StructArray.from_arrays([pa.array(c[:, i]) for i in range(width)], list(t.ordinates), mask=pa.array(~valid))
-    lists = pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), width).cast(pa.list_(pa.float64()))
-    return pa.compute.if_else(pa.array(valid), lists, pa.scalar(None, lists.type))
+def native_from_wkb(a: pa.Array, t: GeomType) -> pa.Array:
+    flat = read_wkb(a, t)
+    return with_rest(assembled(flat, t), flat, a, lambda xs: native_rows([parse_wkb(x) for x in xs], t))
 
 
 def from_wkb(b: Column, t: GeomType) -> Column:
@@ -103,13 +64,7 @@ def from_wkb(b: Column, t: GeomType) -> Column:
 
     @F.arrow_udf(t.data_type.simpleString())
     def convert(a: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401
-
-        if t.geometry_type == GeometryType.POINT:
-            fast = points_from_wkb(a, t)
-            if fast is not None:
-                return fast
-        return native_rows([None if x is None else parse_wkb(x) for x in a.to_pylist()], t)
+        return native_from_wkb(a, t)
 
     return convert(b)
 
@@ -132,14 +87,38 @@ def srid(b: Column) -> Column:
     return _per_value("long", wkb_srid)(b)
 
 
+def _u32(b: Column, at: Column | int) -> Column:
+    """The unsigned number at a place, in the value's byte order."""
+    h = F.hex(F.substring(b, (F.lit(at) if isinstance(at, int) else at) + 1, F.lit(4)))
+    byte = lambda i: F.substring(h, 2 * i + 1, 2)
+    little = F.concat(byte(3), byte(2), byte(1), byte(0))
+    return F.conv(F.when(F.hex(F.substring(b, 1, 1)) == "01", little).otherwise(h), 16, 10).cast("long")
+
+
 def type_code(b: Column) -> Column:
     """ISO code (type + 1000 * (dimensions - 1)) from the header, built-in expressions only."""
-    h = F.hex(F.substring(b, 1, 5))
-    at = lambda i: F.substring(h, 2 * i + 1, 2)
-    little = F.concat(at(4), at(3), at(2), at(1))
-    code = F.conv(F.when(at(0) == "01", little).otherwise(F.substring(h, 3, 8)), 16, 10).cast("long")
+    code = _u32(b, 1)
     has_z, has_m = code.bitwiseAND(0x80000000) != 0, code.bitwiseAND(0x40000000) != 0
     low = code.bitwiseAND(0x00FFFFFF)
     iso = (low / 1000).cast("int")
     z, m = has_z | iso.isin(1, 3), has_m | iso.isin(2, 3)
     return (F.pmod(low, F.lit(1000)) + F.when(z, 1000).otherwise(0) + F.when(m, 2000).otherwise(0)).cast("int")
+
+
+def has_coordinate(b: Column) -> Column:
+    """Whether there is any coordinate; null for null.
+
+    Most headers tell: those of points, lines and multipoints always, others if
+    their first parts are not empty.  Only what is still open is read as a whole.
+    """
+
+    @F.arrow_udf("boolean")
+    def read(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else any(True for _ in parse_wkb(x).coords()) for x in a.to_pylist()], pa.bool_())
+
+    kind = F.pmod(_u32(b, 1).bitwiseAND(0x00FFFFFF), F.lit(1000))
+    at = F.when(_u32(b, 1).bitwiseAND(0x20000000) != 0, 9).otherwise(5)  # behind an SRID
+    n = _u32(b, at)
+    first = F.when(kind == 3, _u32(b, at + 4) > 0).when(kind == 5, _u32(b, at + 9) > 0).when(kind == 6, (_u32(b, at + 9) > 0) & (_u32(b, at + 13) > 0))
+    told = F.when(kind == 1, True).when(n == 0, False).when(kind.isin(2, 4), True).when(first, True)
+    return F.when(b.isNotNull(), F.coalesce(told, read(F.when(told.isNull(), b))))

@@ -1,19 +1,21 @@
 """Well-known text.
 
-Writing is built-in expressions over the nested arrays.  Reading has two tiers:
-regular text of the declared type is checked against its grammar and read by
-built-in JSON parsing, inside code generation; all else (collections, mixed
-types, ``nan``, ``.5``, EMPTY parts, errors with byte offsets) goes through an
-Arrow function.  Rows that the first tier reads are sent to the second as nulls.
+Writing is built-in expressions over the nested arrays.  Reading goes through one
+Arrow function: regular text of the declared type is read from the column's buffer
+as a whole (see columnar.py), all else (collections, mixed types, ``nan``, EMPTY
+parts, errors with byte offsets) value by value.  ``mode="regular"`` does without
+Python: text is checked against its grammar and read by built-in JSON parsing.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import CoordType, Dimensions, GeometryType, GeomType
+from .columnar import Flat, assembled, read_wkt
 from .coords import coord, nan_coord, ordinate, recoord
 from .geometry import Geom, parse_wkb, parse_wkt, to_native, write_wkb, write_wkt
 from .numbers import clamp, format_double
@@ -74,7 +76,8 @@ def grammar(t: GeomType) -> str:
     c = _WS + rf"[ \t\r\n]+".join([_NUM] * width) + _WS
     body = c
     for _ in range(max(t.level, 0)):
-        body = rf"\({body}(?:,{body})*\){_WS}"
+        # possessive: a loop that never gives back needs no stack, whatever the number of coordinates
+        body = rf"\({body}(?:,{body})*+\){_WS}"
         if _ < t.level - 1:
             body = _WS + body
     if t.level == 0:
@@ -127,12 +130,28 @@ def arrow_type(t: GeomType) -> pa.DataType:
     return out
 
 
+def with_rest(fast: pa.Array, flat: Flat, a: pa.Array, read) -> pa.Array:
+    """``fast`` with the rows that were left put in from ``read`` (a list of values to an array)."""
+    rest = np.flatnonzero(np.asarray(a.is_valid()) & ~flat.good)
+    if not len(rest):
+        return fast
+    at = np.arange(len(a))
+    at[rest] = len(a) + np.arange(len(rest))
+    slow = read(a.take(pa.array(rest)).to_pylist())
+    return pa.concat_arrays([fast, slow.cast(fast.type)]).take(pa.array(at))
+
+
+def native_from_wkt(a: pa.Array, t: GeomType) -> pa.Array:
+    flat = read_wkt(a, t)
+    return with_rest(assembled(flat, t), flat, a, lambda xs: native_rows([parse_wkt(x) for x in xs], t))
+
+
 def from_wkt_any(w: Column, t: GeomType) -> Column:
-    """Second tier: any WKT that can become the type; errors name the byte."""
+    """Any WKT that can become the type; errors name the byte."""
 
     @F.arrow_udf(t.data_type.simpleString())
     def convert(a: pa.Array) -> pa.Array:
-        return native_rows([None if x is None else parse_wkt(x) for x in a.to_pylist()], t)
+        return native_from_wkt(a, t)
 
     return convert(w)
 
@@ -140,14 +159,12 @@ def from_wkt_any(w: Column, t: GeomType) -> Column:
 def from_wkt(w: Column, t: GeomType, mode: str = "auto") -> Column:
     """Native geometry of a text column.
 
-    ``mode``: auto (both tiers), regular (first tier; other text is an error) or any (second tier only).
+    ``mode``: auto (any text), regular (built-in expressions only; other text than regular is an error).
     """
-    if mode == "any":
+    if mode != "regular":
         return from_wkt_any(w, t)
     first = from_wkt_regular(w, t)
-    if mode == "regular":
-        return F.when(w.isNull(), F.lit(None)).otherwise(F.coalesce(first, F.raise_error(F.concat(F.lit("Expected regular text of the declared type but got: "), w)).cast(t.data_type)))
-    return F.coalesce(first, from_wkt_any(F.when(regular_body(w, t) == "", w), t))
+    return F.when(w.isNull(), F.lit(None)).otherwise(F.coalesce(first, F.raise_error(F.concat(F.lit("Expected regular text of the declared type but got: "), F.left(w, F.lit(200)))).cast(t.data_type)))
 
 
 def wkt_to_wkb(w: Column) -> Column:

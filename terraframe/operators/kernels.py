@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columnar
 from ..functions import coords as C
 from ..functions.geometry import parse_wkb, parse_wkt
-from ..functions.wkb import type_code
+from ..functions.wkb import has_coordinate, type_code
 from ..functions.wkt import as_wkt
-from ..types import Encoding, GeometryType, GeomType, parse_field, type_from_id
+from ..types import CoordType, Encoding, GeometryType, GeomType, parse_field, type_from_id
 from .cast import as_geometry, box_to_polygon
 
 INF = float("inf")
@@ -21,32 +23,46 @@ def _not_planar(t: GeomType) -> None:
         raise ValueError("a bounding box needs planar edges")
 
 
-def _bound(values: Column, low: bool) -> Column:
-    """Least or greatest of an array, NaN ignored (Spark sorts it last); none: the infinity that any value replaces."""
-    kept = F.filter(values, lambda v: ~F.isnan(v))
-    return F.coalesce(F.array_min(kept) if low else F.array_max(kept), F.lit(INF if low else -INF))
+def _ends(g: Column, t: GeomType) -> list[Column]:
+    """xmin, ymin, xmax, ymax over a geometry's coordinates in one pass; NaN is ignored (Spark would sort it last)."""
+    names = ("a", "b", "c", "d")
+    start = F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (INF, INF, -INF, -INF))])
 
+    def step(s: Column, c: Column) -> Column:
+        x, y = C.ordinate(c, t, "x"), C.ordinate(c, t, "y")
+        low = lambda n, v: F.when(v < s[n], v).otherwise(s[n])
+        high = lambda n, v: F.when((v > s[n]) & ~F.isnan(v), v).otherwise(s[n])
+        return F.struct(low("a", x).alias("a"), low("b", y).alias("b"), high("c", x).alias("c"), high("d", y).alias("d"))
 
-def _xy(g: Column, t: GeomType) -> tuple[Column, Column]:
-    """Arrays of x and y of a native geometry."""
-    flat = C.all_coords(g, t)
-    return F.transform(flat, lambda c: C.ordinate(c, t, "x")), F.transform(flat, lambda c: C.ordinate(c, t, "y"))
+    found = F.aggregate(C.all_coords(g, t), start, step)
+    return [found.getField(n) for n in names]
+
+
+_ENDS = ("xmin", "ymin", "xmax", "ymax")
+
+
+def boxes_of(a: pa.Array, wkt: bool) -> pa.Array:
+    """Bounds of a serialized column: the regular values of each type as one array, the rest value by value."""
+    out, open_ = np.zeros((len(a), 4)), np.asarray(a.is_valid()).copy()
+    for rows, kind, dims in columnar.kinds_of(a, wkt):
+        t = GeomType(kind, dims, CoordType.INTERLEAVED)
+        flat = (columnar.read_wkt if wkt else columnar.read_wkb)(a.take(pa.array(rows)), t)
+        done = rows[flat.good]
+        out[done] = columnar.bounds(flat)
+        open_[done] = False
+    for i in np.flatnonzero(open_).tolist():
+        cs = list((parse_wkt if wkt else parse_wkb)(a[i].as_py()).coords())
+        x, y = [c[0] for c in cs if c[0] == c[0]], [c[1] for c in cs if c[1] == c[1]]
+        out[i] = min(x, default=INF), min(y, default=INF), max(x, default=-INF), max(y, default=-INF)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out[:, j])) for j in range(4)], list(_ENDS), mask=pa.array(~np.asarray(a.is_valid())))
 
 
 def _serialized_box(g: Column, t: GeomType) -> Column:
-    read = parse_wkt if t.is_wkt else parse_wkb
+    wkt = t.is_wkt
 
     @F.arrow_udf("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
     def bounds(a: pa.Array) -> pa.Array:
-        out = []
-        for v in a.to_pylist():
-            if v is None:
-                out.append(None)
-                continue
-            cs = list(read(v).coords())
-            x, y = [c[0] for c in cs if c[0] == c[0]], [c[1] for c in cs if c[1] == c[1]]
-            out.append({"xmin": min(x, default=INF), "ymin": min(y, default=INF), "xmax": max(x, default=-INF), "ymax": max(y, default=-INF)})
-        return pa.array(out, pa.struct([(n, pa.float64()) for n in ("xmin", "ymin", "xmax", "ymax")]))
+        return boxes_of(a, wkt)
 
     return bounds(g)
 
@@ -62,8 +78,7 @@ def box(g: Column, t: GeomType) -> Column:
         x, y = C.ordinate(g, t, "x"), C.ordinate(g, t, "y")
         ends = [F.when(F.isnan(v), sign * INF).otherwise(v) for sign in (1, -1) for v in (x, y)]
     else:
-        xs, ys = _xy(g, t)
-        ends = [_bound(v, low) for low in (True, False) for v in (xs, ys)]
+        ends = _ends(g, t)
     return F.when(g.isNotNull(), F.struct(*[e.alias(n) for e, n in zip(ends, ("xmin", "ymin", "xmax", "ymax"))]))
 
 
@@ -88,9 +103,7 @@ def geometry_code(g: Column, t: GeomType) -> Column:
             return F.when(g.isNotNull() & ~C.is_empty(g, t), code)
         return F.when(g.isNotNull() if t.level == 0 else F.size(C.all_coords(g, t)) > 0, code)
     if t.is_wkb:
-        # the count of the first part decides; only a first part without members needs the whole value
-        count = F.conv(F.hex(F.substring(g, 6, 4)), 16, 10).cast("long")
-        return F.when(g.isNotNull() & ((type_code(g) % 1000 == 1) | (count > 0)), type_code(g))
+        return F.when(has_coordinate(g), type_code(g))
     from ..functions.wkt import head_code
 
     return head_code(g)

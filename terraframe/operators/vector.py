@@ -17,39 +17,95 @@ from ..types import Encoding, GeomType, parse_field
 from .kernels import format_wkt
 
 
-def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
-    """Add 1-based positions in the order of unique keys, nulls first.
+class Ranges:
+    """The rows dealt into ranges of their keys, nulls first, with the number of rows in each.
 
-    A bounded sample of keys (60 a partition) gives cuts; rows are dealt by
-    cut, numbered inside, and the counts of the parts give each part's first
-    number: no single task sees all rows.
+    A bounded sample of keys (60 a partition) gives the cuts; counts are taken in
+    one pass over the keys, pre-aggregated: no row is moved.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(f"`{k}`") for k in order]
-    narrow = df.select(*keys)
-    share = min(1.0, 60 * parts / max(narrow.count(), 1))
-    sample = narrow.sample(False, share, seed=1).orderBy(*keys).collect()
-    step = max(1, len(sample) // parts)
-    cuts = [F.struct(*[F.lit(v).cast(f.dataType) for v, f in zip(r, narrow.schema.fields)]) for r in sample[step::step][: parts - 1]]
-    own = F.struct(*keys)
-    part = F.size(F.filter(F.array(*cuts), lambda c: c <= own)) if cuts else F.lit(0)
-    dealt = df.withColumn("__part", part)
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each part
-    base = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
-    return dealt.withColumn("__i", inside).join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__i")).drop("__part", "__i", "__base")
+
+    def __init__(self, df: DataFrame, order: list[str]):
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.df, self.order = df, order
+        self.keys = [F.col(f"`{k}`") for k in order]
+        narrow = df.select(*self.keys)
+        share = min(1.0, 60 * parts / max(narrow.count(), 1))
+        sample = narrow.sample(False, share, seed=1).orderBy(*self.keys).collect()
+        step = max(1, len(sample) // parts)
+        rows = list(dict.fromkeys(tuple(r) for r in sample[step::step][: parts - 1]))
+        self.cuts = [r for r in rows if len(order) > 1 or r[0] is not None]
+        self.types = [f.dataType for f in narrow.schema.fields]
+        counts = {r[0]: r[1] for r in narrow.groupBy(self.part().alias("p")).count().collect()}  # a row for each part
+        self.counts = [counts.get(i, 0) for i in range(len(self.cuts) + 1)]
+        self.first = [sum(self.counts[:i]) for i in range(len(self.counts))]
+
+    def below(self, cut: tuple) -> Column:
+        """Keys less than a cut; of one key as a plain comparison, which a scan can use."""
+        if len(self.order) == 1:
+            return F.coalesce(self.keys[0] < F.lit(cut[0]).cast(self.types[0]), F.lit(True))
+        return F.struct(*self.keys) < F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cut, self.types, self.order)])
+
+    def part(self) -> Column:
+        """The number of a row's range: a search by halves, so few comparisons a row."""
+
+        def half(a: int, b: int) -> Column:
+            if a == b:
+                return F.lit(a)
+            m = (a + b) // 2
+            return F.when(self.below(self.cuts[m]), half(a, m)).otherwise(half(m + 1, b))
+
+        return half(0, len(self.cuts))
+
+    def within(self, a: int, b: int) -> Column:
+        """Keys in ranges a to b."""
+        out = F.lit(True)
+        if a:
+            low = self.cuts[a - 1]
+            out = self.keys[0] >= F.lit(low[0]).cast(self.types[0]) if len(self.order) == 1 else ~self.below(low)
+        if b < len(self.cuts):
+            high = self.cuts[b]
+            less = self.keys[0] < F.lit(high[0]).cast(self.types[0]) if len(self.order) == 1 and a else self.below(high)
+            out = less if not a else out & less
+        return out
+
+    def numbered(self, wanted: list[int] | None = None, name: str = "pos") -> DataFrame:
+        """Rows with their 1-based positions; only those of the ``wanted`` ranges are read and moved."""
+        df = self.df
+        if wanted is not None:
+            runs: list[list[int]] = []
+            for p in wanted:
+                if runs and runs[-1][1] == p - 1:
+                    runs[-1][1] = p
+                else:
+                    runs.append([p, p])
+            df = df.filter(reduce(lambda x, y: x | y, [self.within(a, b) for a, b in runs]) if runs else F.lit(False))
+        base = F.element_at(F.array(*[F.lit(x).cast("long") for x in self.first]), F.col("__part") + 1)
+        inside = F.row_number().over(Window.partitionBy("__part").orderBy(*self.keys))
+        return df.withColumn("__part", self.part()).withColumn(name, inside + base).drop("__part")
+
+    def holding(self, low: int, high: int) -> list[int]:
+        """The ranges with positions from low to high."""
+        return [i for i, (f, n) in enumerate(zip(self.first, self.counts)) if n and f < high and f + n >= low]
+
+
+def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """Add 1-based positions in the order of unique keys, nulls first; no single task sees all rows."""
+    return Ranges(df, order).numbered(name=name)
 
 
 def slice_rows(df: DataFrame, order: list[str], start: int, length: int) -> DataFrame:
     """Rows at positions start..start+length-1, with their positions."""
-    return positions(df, order).filter(F.col("pos").between(start, start + length - 1))
+    ranges = Ranges(df, order)
+    return ranges.numbered(ranges.holding(start, start + length - 1)).filter(F.col("pos").between(start, start + length - 1))
 
 
 def gather_rows(df: DataFrame, order: list[str], index: list[int]) -> DataFrame:
     """Rows at the given positions, in the given order (column ``at``); repeats and reversals are allowed."""
     spark = df.sparkSession
     wanted = spark.createDataFrame([(i, int(p)) for i, p in enumerate(index, 1)], "at long, pos long")
-    return wanted.join(positions(df, order), "pos")
+    ranges = Ranges(df, order)
+    held = sorted({p for i in set(index) for p in ranges.holding(i, i)})
+    return wanted.join(ranges.numbered(held), "pos")
 
 
 def mask_rows(df: DataFrame, mask: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import coords as C
-from ..functions.geometry import Geom, from_native, parse_wkb, parse_wkt
+from ..functions.geometry import MEMBER, Geom, from_native, parse_wkb, parse_wkt
 from ..functions.wkb import _plain
 from ..types import GeomType, parse_field
 
@@ -171,26 +171,28 @@ def handle(df: DataFrame, col: str, visitor: Callable[[], Visitor], schema: str,
 class _Events(Visitor):
     def __init__(self) -> None:
         self.rows: list[tuple] = []
-        self.at: list = [None, 0, 0, 0, 0, 0]  # feature, level, part, ring, kind, dims
+        self.feature = None
+        self.open: list[tuple] = []  # level, part, kind, dims of the geometries that are open
+        self.ring: int | None = None
 
     def _add(self, event: str, coord_id=None, c=()) -> None:
-        f, level, part, ring, kind, dims = self.at
+        level, part, kind, dims = self.open[-1] if self.open else (0, None, None, 0)
         vals = dict(zip(("", "xy", "xyz", "xym", "xyzm")[dims], c))
-        self.rows.append((f, event, level, part, ring, coord_id, kind, dims, *[vals.get(o) for o in "xyzm"]))
+        self.rows.append((self.feature, event, level, part, self.ring, coord_id, kind, dims, *[vals.get(o) for o in "xyzm"]))
 
     def feature_start(self, feat_id):
-        self.at = [feat_id, 0, None, None, None, 0]
+        self.feature, self.open, self.ring = feat_id, [], None
         self._add("feat_start")
 
     def null_feature(self):
         self._add("null_feat")
 
     def geometry_start(self, kind, dims, size, part_id, level):
-        self.at[1:] = [level, part_id, None, kind, dims]
+        self.open.append((level, part_id, kind, dims))
         self._add("geom_start", size)
 
     def ring_start(self, size, ring_id):
-        self.at[3] = ring_id
+        self.ring = ring_id
         self._add("ring_start", size)
 
     def coord(self, c, coord_id):
@@ -198,19 +200,60 @@ class _Events(Visitor):
 
     def ring_end(self, ring_id):
         self._add("ring_end")
-        self.at[3] = None
+        self.ring = None
 
     def geometry_end(self, part_id, level):
-        self.at[1:3] = [level, part_id]
         self._add("geom_end")
+        self.open.pop()
 
     def feature_end(self, feat_id):
         self._add("feat_end")
 
 
+def native_events(g: Column, t: GeomType) -> Column:
+    """The events of a native column as an array, by built-in expressions."""
+    dims, nothing = int(t.dimensions), F.lit(None).cast("int")
+    integer = lambda v: nothing if v is None else v.cast("int") if isinstance(v, Column) else F.lit(int(v))
+
+    def event(name: str, level: int, part, ring, coord_id, kind, dims_: int, c: Column | None = None) -> Column:
+        values = [C.ordinate(c, t, o) if c is not None and o in t.ordinates else F.lit(None).cast("double") for o in "xyzm"]
+        fields = [F.lit(name).alias("event"), F.lit(level).alias("level"), integer(part).alias("part_id"), integer(ring).alias("ring_id"), integer(coord_id).alias("coord_id"), integer(kind).alias("geometry_type"), F.lit(dims_).alias("dimensions")]
+        return F.struct(*fields, *[v.alias(o) for v, o in zip(values, "xyzm")])
+
+    def there(cs: Column) -> Column:
+        return F.filter(cs, lambda c: ~C.is_nan_coord(c, t))
+
+    def coords(cs: Column, level: int, part, ring, kind: int) -> Column:
+        return F.transform(cs, lambda c, i: event("coord", level, part, ring, i, kind, dims, c))
+
+    def one(x: Column, kind: int, level: int, part) -> Column:
+        if kind < 3:
+            own = there(F.array(x) if kind == 1 else x)
+            size, inner = F.size(own), coords(own, level, part, None, kind)
+        elif kind == 3:
+
+            def ring(r: Column, i: Column) -> Column:
+                own = there(r)
+                return F.concat(F.array(event("ring_start", level, part, i, F.size(own), kind, dims)), coords(own, level, part, i, kind), F.array(event("ring_end", level, part, i, None, kind, dims)))
+
+            size, inner = F.size(x), F.flatten(F.transform(x, ring))
+        else:
+            size, inner = F.size(x), F.flatten(F.transform(x, lambda m, p: one(m, MEMBER[kind], level + 1, p)))
+        return F.concat(F.array(event("geom_start", level, part, None, size, kind, dims)), inner, F.array(event("geom_end", level, part, None, None, kind, dims)))
+
+    plain = lambda name: F.array(event(name, 0, None, None, None, None, 0))
+    return F.concat(plain("feat_start"), F.when(g.isNull(), plain("null_feat")).otherwise(one(g, int(t.geometry_type), 0, 0)), plain("feat_end"))
+
+
 def geometry_events(df: DataFrame, col: str, feat_id: str) -> DataFrame:
-    """The traversal of every feature as rows; for starts, coord_id holds the size."""
+    """The traversal of every feature as rows; for starts, coord_id holds the size.
+
+    Native columns go through built-in expressions, serialized ones through a visitor.
+    """
     t = parse_field(df.schema[col], infer=True)
+    chosen = df.select(F.col(f"`{feat_id}`").cast("long").alias("feat_id"), F.col(f"`{col}`").alias("g"))
+    if t.is_native and t.geometry_type <= 6:
+        return chosen.select("feat_id", F.explode(native_events(F.col("g"), t)).alias("e")).select("feat_id", "e.*")
     read = _reader(t)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -224,7 +267,7 @@ def geometry_events(df: DataFrame, col: str, feat_id: str) -> DataFrame:
                     walk(g, i, v)
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in v.rows], f.type) for j, f in enumerate(schema)], schema=schema)
 
-    return df.select(F.col(f"`{feat_id}`").cast("long").alias("feat_id"), F.col(f"`{col}`").alias("g")).mapInArrow(run, EVENT_SCHEMA)
+    return chosen.mapInArrow(run, EVENT_SCHEMA)
 
 
 def assemble(events: DataFrame, t: GeomType, name: str = "geometry") -> DataFrame:

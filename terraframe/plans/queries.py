@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from ..operators import kernels as O
 from ..operators import vector as V
 from ..operators import visit as X
 from ..operators.infer import infer_schema
+from ..sources.scratch import shared_dir
 from ..sources.tables import read_parquet, to_table, write_parquet
 from ..types import GeomType, linestring_type, multilinestring_type, multipolygon_type, native_type, parse_field, point_type, polygon_type, wkb_type
 from . import views as W
@@ -96,8 +96,7 @@ def table_force_wkb(spark, d):
 
 @query(f"SELECT id, CASE WHEN NOT missing THEN x END AS x, CASE WHEN NOT missing THEN y END AS y, 1::BIGINT AS type_id FROM {W.SQL_PTS}")
 def parquet_roundtrip(spark, d):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
     write_parquet(W.pts(spark, d), path)
     df = read_parquet(spark, path)
     return df.select("id", "g.x", "g.y", F.lit(_typed(df).id).cast("long").alias("type_id"))
@@ -108,9 +107,9 @@ def as_xy(spark, d):
     return W.pts_z(spark, d).select("id", K.as_xy(g(), W.POINT_Z).alias("p")).select("id", "p.x", "p.y")
 
 
-@query(f"SELECT id, CASE WHEN NOT missing THEN x END AS x FROM {W.SQL_PTS} WHERE id % 2 = 0")
+@query(f"SELECT id, x FROM {W.SQL_PTS} WHERE NOT missing AND y > x")
 def filter_select(spark, d):
-    return W.pts(spark, d).filter("id % 2 = 0").select("id", "g.x")
+    return W.pts(spark, d).filter("g.y > g.x").select("id", "g.x")
 
 
 # -- types ------------------------------------------------------------------------------
@@ -201,7 +200,7 @@ def wkt_to_point(spark, d):
 @query(f"SELECT id, k AS vertex, x, y FROM {W.SQL_VERTEX}")
 def wkt_to_linestring(spark, d):
     text = W.lns(spark, d).select("id", as_wkt(g(), W.LINE).alias("w"))
-    return X.vertices(text.select("id", from_wkt(F.col("w"), W.LINE, "regular").alias("g")), "g", W.LINE).withColumn("vertex", F.col("vertex").cast("long"))
+    return X.vertices(text.select("id", from_wkt(F.col("w"), W.LINE).alias("g")), "g", W.LINE).withColumn("vertex", F.col("vertex").cast("long"))
 
 
 @query(f"SELECT id, k AS vertex, x, y FROM {W.SQL_VERTEX}")
@@ -210,6 +209,20 @@ def wkt_to_multipoint(spark, d):
     return X.vertices(text.select("id", from_wkt(F.col("w"), W.MPOINT).alias("g")), "g", W.MPOINT).withColumn("vertex", F.col("vertex").cast("long"))
 
 
+@query(f"SELECT id, way, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * k) AS sxk FROM {W.SQL_LONG}, (VALUES ('text'), ('built-in'), ('binary')) w(way) GROUP BY id, way")
+def long_lines(spark, d):
+    """Lines of thousands of vertices through text, by both readers, and binary."""
+    df = W.long_lines(spark, d)
+    ways = {
+        "text": df.select("id", as_wkt(g(), W.LINE).alias("w")).select("id", from_wkt(F.col("w"), W.LINE).alias("g")),
+        "built-in": df.select("id", as_wkt(g(), W.LINE).alias("w")).select("id", from_wkt(F.col("w"), W.LINE, "regular").alias("g")),
+        "binary": df.select("id", B.as_wkb(g(), W.LINE).alias("b")).select("id", B.from_wkb(F.col("b"), W.LINE).alias("g")),
+    }
+    out = [X.vertices(v, "g", W.LINE).withColumn("way", F.lit(k)) for k, v in ways.items()]
+    whole = out[0].unionByName(out[1]).unionByName(out[2])
+    return whole.groupBy("id", "way").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("vertex")).alias("sxk"))
+
+
 POL_VERTICES = "SELECT id, v.k AS vertex, (p + v.dx)::DOUBLE AS x, (s + v.dy)::DOUBLE AS y FROM {src}, (VALUES (1::BIGINT, 0, 0), (2, 10, 0), (3, 10, 5), (4, 0, 0)) v(k, dx, dy)"
 
 
@@ -505,9 +518,16 @@ def handle_count(spark, d):
     return rows.agg(F.sum("features").alias("features"), F.sum("coords").alias("coords"))
 
 
-@query(f"SELECT id AS feat_id, 'coord' AS event, (k - 1)::INT AS coord_id, 2::INT AS geometry_type, x, y FROM {W.SQL_VERTEX}")
+@query(
+    f"""
+    SELECT id AS feat_id, e.event, e.level::INT AS level, CASE WHEN e.own THEN 0 ELSE -1 END::INT AS part_id, CASE e.event WHEN 'geom_start' THEN n ELSE -1 END::INT AS coord_id, CASE WHEN e.own THEN 2 ELSE -1 END::INT AS geometry_type, NULL::DOUBLE AS x, NULL::DOUBLE AS y
+    FROM {W.SQL_LINES}, (VALUES ('feat_start', 0, false), ('geom_start', 0, true), ('geom_end', 0, true), ('feat_end', 0, false)) e(event, level, own)
+    UNION ALL SELECT id, 'coord', 0::INT, 0::INT, (k - 1)::INT, 2::INT, x, y FROM {W.SQL_VERTEX}
+    """
+)
 def geom_events(spark, d):
-    return X.geometry_events(W.lns(spark, d), "g", "id").filter("event = 'coord'").select("feat_id", "event", "coord_id", "geometry_type", "x", "y")
+    whole = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("part_id", "coord_id", "geometry_type")]
+    return X.geometry_events(W.lns(spark, d), "g", "id").select("feat_id", "event", "level", *whole, "x", "y")
 
 
 @query(f"SELECT id, k AS vertex, x, y FROM {W.SQL_VERTEX}")

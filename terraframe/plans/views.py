@@ -38,6 +38,14 @@ def lns(spark: SparkSession, sf_dir: str, t=LINE) -> DataFrame:
     return grouped.select(F.col("l_orderkey").alias("id"), tag(g, "g", t))
 
 
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty lines of thousands of vertices: the items of every twentieth supplier, by order, line number and part."""
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("v"))
+    grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    g = F.transform("vs", lambda v: F.struct((v.l_partkey / F.lit(4.0)).alias("x"), (v.l_suppkey / F.lit(2.0)).alias("y")))
+    return grouped.select("id", tag(g, "g", LINE))
+
+
 def mpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lns(spark, sf_dir, MPOINT)
 
@@ -82,3 +90,4 @@ SQL_LINES = f"(SELECT id, string_agg(x || ' ' || y, ', ' ORDER BY k) AS body, co
 SQL_POL = "(SELECT p_partkey AS id, p_partkey AS p, p_size AS s, 'POLYGON ((' || p_partkey || ' ' || p_size || ', ' || (p_partkey + 10) || ' ' || p_size || ', ' || (p_partkey + 10) || ' ' || (p_size + 5) || ', ' || p_partkey || ' ' || p_size || '))' AS w FROM part)"
 SQL_BOX = "(SELECT p_partkey AS id, p_partkey % 50 = 0 AS swapped, p_partkey::DOUBLE AS p, p_size::DOUBLE AS s FROM part)"
 SQL_MIX = "(SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'MULTIPOINT (1 2)' WHEN o_orderkey % 5 = 0 THEN 'LINESTRING (0 1, 2 3)' ELSE 'POINT (0 1)' END AS w FROM orders)"
+SQL_LONG = "(SELECT l_suppkey % 20 AS id, l_partkey / 4.0::DOUBLE AS x, l_suppkey / 2.0::DOUBLE AS y, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)"

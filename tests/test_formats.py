@@ -149,3 +149,92 @@ def test_native_text_binary_native(spark):
                 u = t.with_coord_type(layout)
                 rows = df.select("w", cast(cast(cast(g, t, u), u, G.wkb_type()), G.wkb_type(), G.wkt_type()).alias("back")).collect()
                 assert all(r.w == r.back for r in rows), (n, d)
+
+
+# -- whole columns ------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_columns_agree_with_single_values(data):
+    """Random columns of mixed values: reading, writing and bounds of the column are those of its values."""
+    import pyarrow as pa
+
+    from terraframe.functions import columnar as A
+    from terraframe.functions.wkb import native_from_wkb
+    from terraframe.functions.wkt import native_from_wkt, native_rows
+    from terraframe.operators.kernels import boxes_of
+
+    kind, dims = data.draw(st.integers(1, 6)), data.draw(st.integers(1, 4))
+    layout = data.draw(st.sampled_from(["SEPARATE", "INTERLEAVED"]))
+    t = G.native_type(kind, dims, layout)
+    own = data.draw(st.lists(st.one_of(st.none(), geoms(kind, dims)), max_size=6))
+    native = native_rows(own, t)
+    # parts without coordinates are dropped by the readers of single values, as empty rings in text
+    binary = pa.array([None if g is None else Y.write_wkb(g, data.draw(st.booleans())) for g in own], pa.binary())
+    flat = A.disassembled(native, t)
+    assert A.assembled(flat, t).equals(native)
+    for big in (False, True):
+        want = [None if g is None else Y.write_wkb(Y.from_native(v, kind, dims), big) for g, v in zip(own, B._plain(native))]
+        assert A.write_wkb(flat, t, big).to_pylist() == want
+    text = pa.array([None if g is None else data.draw(st.sampled_from(["{}", " {} ", "{}\n"])).format(Y.write_wkt(g)).replace(", ", data.draw(st.sampled_from([",", " , ", ", "]))) for g in own], pa.string())
+    assert native_from_wkt(text, t).equals(native_rows([None if x is None else Y.parse_wkt(x) for x in text.to_pylist()], t))
+    sliced = pa.concat_arrays([binary, binary]).slice(len(binary))
+    got = native_from_wkb(sliced, t)
+    assert got.equals(native_rows([None if x is None else Y.parse_wkb(x) for x in binary.to_pylist()], t))
+    for column, wkt in ((text, True), (binary, False)):
+        read = Y.parse_wkt if wkt else Y.parse_wkb
+        for b, x in zip(boxes_of(column, wkt).to_pylist(), column.to_pylist()):
+            cs = [] if x is None else list(read(x).coords())
+            assert (b is None) == (x is None) and (not cs or tuple(b.values()) == (min(c[0] for c in cs), min(c[1] for c in cs), max(c[0] for c in cs), max(c[1] for c in cs)))
+
+
+BROKEN = ["POINT (0 1", "POINT (0 1) x", "LINESTRING (0 1,)", "LINESTRING (0 1, 2)", "POLYGON (0 1)", "POINT (1 2, 3 4)", "LINESTRING ((0 1))", "POINT ()", "POINT (1-2 3)", "POINT (- 3)", "POINT (1e 3)", "POINTE (1 2)", "POINT (1 2))", "POINT ((1 2)", "MULTIPOLYGON (((0 1)),)", "POINT Z (1 2)", "LINESTRING (0 1 2)", "POINT (+1 2)", "POINT (1 2) (3 4)", "1 2", "", "(", ")", "POINT\x0b(1 2)"]
+
+
+@pytest.mark.parametrize("text", BROKEN)
+@pytest.mark.parametrize("name", ["POINT", "LINESTRING", "POLYGON", "MULTIPOLYGON"])
+def test_no_broken_text_is_regular(text, name):
+    """Neighbours of a broken value are read, the broken one never is."""
+    import pyarrow as pa
+
+    from terraframe.functions.columnar import read_wkt
+
+    good = {"POINT": "POINT (7 8)", "LINESTRING": "LINESTRING (7 8, 9 1)", "POLYGON": "POLYGON ((7 8, 1 1))", "MULTIPOLYGON": "MULTIPOLYGON (((7 8)))"}[name]
+    t = G.native_type(name)
+    flat = read_wkt(pa.array([good, text, None, good]), t)
+    assert flat.good.tolist() == [True, False, False, True]
+
+
+@pytest.mark.parametrize("mode", ["auto", "regular", "any"])
+@pytest.mark.parametrize("name, body", [("LINESTRING", "({})"), ("MULTIPOINT", "({})"), ("POLYGON", "(({}), ({}))"), ("MULTILINESTRING", "(({}), ({}))"), ("MULTIPOLYGON", "((({}), ({})), (({})))")])
+def test_a_hundred_thousand_vertices(spark, mode, name, body):
+    n = 100_000
+    t = G.native_type(name)
+    coords = ", ".join(f"{i}.5 {-i}" for i in range(n))
+    df = spark.createDataFrame([(1, f"{name} {body.replace('{}', coords)}"), (2, f"{name} {body.replace('{}', '1 2')}")], "i int, w string")
+    g = df.select("i", from_wkt(F.col("w"), t, mode).alias("g"))
+    from terraframe.functions.coords import num_coords
+    from terraframe.operators.kernels import box
+
+    rows = g.select("i", num_coords(F.col("g"), t).alias("n"), box(F.col("g"), t).alias("b")).orderBy("i").collect()
+    assert [r.n for r in rows] == [n * body.count("{}"), body.count("{}")] and tuple(rows[0].b) == (0.5, -(n - 1), n - 0.5, 0)
+    back = g.select("i", B.from_wkb(B.as_wkb(F.col("g"), t), t).alias("h"), "g")
+    assert back.filter("g = h").count() == 2
+
+
+def test_codes_of_extended_and_empty_binary(spark):
+    """An SRID is no count, and a geometry whose first parts are empty may have a later one."""
+    from terraframe.operators.kernels import geometry_code
+
+    def extended(text, srid=4326):
+        b = Y.write_wkb(Y.parse_wkt(text))
+        (code,) = struct.unpack_from("<I", b, 1)
+        return b[:1] + struct.pack("<II", code | 0x20000000, srid) + b[5:]
+
+    cases = {"LINESTRING EMPTY": None, "LINESTRING (0 1, 2 3)": 2, "POLYGON EMPTY": None, "POLYGON (EMPTY)": None, "POLYGON (EMPTY, (0 1))": 3, "MULTIPOLYGON (EMPTY)": None, "MULTIPOLYGON ((EMPTY), ((0 1)))": 6, "MULTILINESTRING (EMPTY, (1 2))": 5, "MULTIPOINT EMPTY": None, "MULTIPOINT (1 2)": 4, "GEOMETRYCOLLECTION (LINESTRING EMPTY)": None, "GEOMETRYCOLLECTION (POINT (1 2))": 7, "POINT (1 2)": 1}
+    rows = [(i, k, bytes(f(w))) for i, w in enumerate(cases) for k, f in enumerate((lambda w: Y.write_wkb(Y.parse_wkt(w)), lambda w: Y.write_wkb(Y.parse_wkt(w), True), extended))]
+    df = spark.createDataFrame(rows, "i int, k int, b binary")
+    got = {(r.i, r.k): r.c for r in df.select("i", "k", geometry_code(F.col("b"), G.wkb_type()).alias("c")).collect()}
+    assert got == {(i, k): want for i, want in enumerate(cases.values()) for k in range(3)}
+    assert df.select(geometry_code(F.lit(None).cast("binary"), G.wkb_type()).alias("c")).first().c is None
