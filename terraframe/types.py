@@ -116,7 +116,7 @@ def enum_label(x: str | int, enum: str) -> str | None:
 def enum_value_scalar(x: str | int, enum: str) -> int:
     v = enum_value(x, enum)
     if v is None:
-        raise ValueError(f"{x} is not a valid enum label or value for {enum}")
+        raise ValueError(f"{enum} has no member {x}")
     return v
 
 
