@@ -14,6 +14,7 @@ from ..functions.coords import tag
 from ..operators.cast import as_geometry
 from ..operators.kernels import box
 from ..types import METADATA_KEY, NAME_KEY, NATIVE_KINDS, CrsType, EdgeType, Encoding, GeometryType, GeomType, is_geometry_field, kind_of, native_type, parse_field, parse_metadata, wkb_type, wkt_type
+from .arrow_types import GeometryArrowType, extension_type
 
 
 def geometry_columns(df: DataFrame) -> dict[str, GeomType]:
@@ -59,13 +60,15 @@ def footer_types(metadata: dict[str, str]) -> dict[str, GeomType]:
             out[name] = t
     arrow = metadata.get("ARROW:schema")
     for f in pa.ipc.read_schema(pa.py_buffer(base64.b64decode(arrow))) if arrow else ():
-        if f.metadata and NAME_KEY.encode() in f.metadata:
+        if isinstance(f.type, GeometryArrowType) or f.metadata and NAME_KEY.encode() in f.metadata:
             out[f.name] = arrow_field_type(f)
     return out
 
 
 def arrow_field_type(f: pa.Field) -> GeomType:
-    """The geometry type of an Arrow field that carries an extension name of any prefix."""
+    """The geometry type of an Arrow field of a registered type, or that carries an extension name of any prefix."""
+    if isinstance(f.type, GeometryArrowType):
+        f = pa.field(f.name, f.type.storage_type, metadata={NAME_KEY: f.type.extension_name, METADATA_KEY: f.type.metadata})
     meta = {k.decode(): v.decode() for k, v in (f.metadata or {}).items()}
     kind = kind_of(meta.get(NAME_KEY))
     crs_type, crs, edges = parse_metadata(meta.get(METADATA_KEY))
@@ -120,7 +123,7 @@ def read_parquet(spark: SparkSession, path: str, geometry: dict[str, GeomType] |
 
 def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
     """A driver-side Arrow table (chunks included) with its extension fields as geometry columns."""
-    types = {f.name: arrow_field_type(f) for f in table.schema if f.metadata and NAME_KEY.encode() in f.metadata}
+    types = {f.name: arrow_field_type(f) for f in table.schema if isinstance(f.type, pa.BaseExtensionType) or f.metadata and NAME_KEY.encode() in f.metadata}
     plain = pa.table({f.name: _plain_column(table.column(f.name)) for f in table.schema})
     df = spark.createDataFrame(plain)
     for name, t in types.items():
@@ -149,6 +152,8 @@ def _plain_type(t: pa.DataType) -> pa.DataType:
 
 
 def _plain_column(c: pa.ChunkedArray) -> pa.ChunkedArray:
+    if isinstance(c.type, pa.BaseExtensionType):
+        c = pa.chunked_array([x.storage for x in c.chunks], c.type.storage_type)
     t = _plain_type(c.type)
     if t == c.type:
         return c
@@ -176,18 +181,26 @@ def _nullable(t: T.DataType) -> T.DataType:
     return T.ArrayType(_nullable(t.elementType)) if isinstance(t, T.ArrayType) else t
 
 
-def to_arrow(df: DataFrame) -> pa.Table:
-    """All rows as an Arrow table whose fields carry the extension metadata again; for results of driver size."""
+def to_arrow(df: DataFrame, registered: bool = False) -> pa.Table:
+    """All rows as an Arrow table whose fields carry the extension metadata again; for results of driver size.
+
+    ``registered``: columns of pyarrow extension types instead (see arrow_types.py).
+    """
     # Arrow refuses null features over ordinates that can't be null
     loose = df.select(*[F.col(f"`{f.name}`").cast(_nullable(f.dataType)).alias(f.name) for f in df.schema.fields])
     table = loose.toArrow()
-    fields = []
-    for f in table.schema:
+    fields, columns = [], []
+    for f, c in zip(table.schema, table.columns):
         s = df.schema[f.name]
-        if is_geometry_field(s):
+        if is_geometry_field(s) and registered:
+            kind = extension_type(parse_field(s))
+            c = pa.chunked_array([pa.ExtensionArray.from_storage(kind, x.cast(kind.storage_type)) for x in c.chunks], kind)
+            f = pa.field(f.name, kind)
+        elif is_geometry_field(s):
             f = f.with_metadata({k: str(v) for k, v in s.metadata.items() if k in (NAME_KEY, METADATA_KEY)})
         fields.append(f)
-    return pa.Table.from_arrays(table.columns, schema=pa.schema(fields))
+        columns.append(c)
+    return pa.Table.from_arrays(columns, schema=pa.schema(fields))
 
 
 def to_ipc(df: DataFrame) -> bytes:

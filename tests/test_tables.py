@@ -87,3 +87,59 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     key = lambda r: (r.window_start, r.xmin, r.ymin, r.xmax, r.ymax, r.n)
     assert sorted(map(key, spark.sql("SELECT * FROM boxes").collect())) == sorted(map(key, windowed_box(batch, "g", "ts").collect()))
+
+
+def test_buffers(spark):
+    import numpy as np
+
+    from terraframe.functions.wkt import as_wkt
+    from terraframe.sources import buffers as U
+
+    t = G.multipolygon_type()
+    x, y = np.arange(10), np.arange(10) * -1.5
+    df = U.from_buffers(spark, t, [x, y.tolist()], [[0, 1, 1, 3], [0, 2, 3, 4], [0, 3, 5, 8, 10]], validity=[True, True, False])
+    assert [r.w for r in df.orderBy("row").select(as_wkt(F.col("geometry"), t).alias("w")).collect()] == ["MULTIPOLYGON (((0 0, 1 -1.5, 2 -3), (3 -4.5, 4 -6)))", "MULTIPOLYGON EMPTY", None]
+    assert G.parse_field(df.schema["geometry"]) == t
+    inter = G.linestring_type(dimensions="XYZ", coord_type="INTERLEAVED")
+    assert U.array_from_buffers(inter, range(9), [[1, 3]]).to_pylist() == [[[3.0, 4.0, 5.0], [6.0, 7.0, 8.0]]]
+    assert U.array_from_buffers(G.point_type(), [[1, 2], [3, 4]], validity=b"\x02").to_pylist() == [None, {"x": 2.0, "y": 4.0}]
+    assert len(U.array_from_buffers(G.linestring_type(), [[], []], [[]])) == 0
+    assert U.binary_buffer(["ab", b"c", ""])[0] == b"abc" and U.binary_buffer(["ab", b"c", ""])[1].tolist() == [0, 2, 3, 3]
+    assert U.offsets_buffer([0.0, 2.0]).dtype == np.int32 and U.offsets_buffer([2**40], large=True).tolist() == [2**40]
+    line = G.linestring_type()
+    for what, bad in {
+        "numbers": lambda: U.coords_buffer(["a"]),
+        "whole numbers": lambda: U.offsets_buffer([0, 1.5]),
+        "32 bits": lambda: U.offsets_buffer([2**40]),
+        "missing": lambda: U.validity_buffer([True, None], 2),
+        "bitmap": lambda: U.validity_buffer(b"", 2),
+        "offset buffers": lambda: U.array_from_buffers(line, [[0], [0]]),
+        "coordinate buffers": lambda: U.array_from_buffers(line, [[0]], [[0, 1]]),
+        "differ in length": lambda: U.array_from_buffers(line, [[0], [0, 1]], [[0, 1]]),
+        "beyond": lambda: U.array_from_buffers(line, [[0], [0]], [[0, 2]]),
+        "less than the one before": lambda: U.array_from_buffers(line, [[0, 1], [0, 1]], [[0, 2, 1, 2]], level="full"),
+        "one of": lambda: U.array_from_buffers(line, [[0], [0]], [[0, 1]], level="all"),
+    }.items():
+        with pytest.raises(ValueError, match=what):
+            bad()
+
+
+def test_registered_arrow_types(spark, points, tmp_path):
+    from terraframe.sources import arrow_types as A
+
+    names = A.register_types()
+    try:
+        assert len(names) == 9 == len(A.register_types())
+        table = S.to_arrow(points, registered=True)
+        kind = table.schema.field("g").type
+        assert kind.extension_name == "terraframe.point" and "EPSG:1234" in kind.metadata
+        pq.write_table(pa.concat_tables([table, table]), f"{tmp_path}/x.parquet")
+        back = pq.read_table(f"{tmp_path}/x.parquet")
+        assert back.schema.field("g").type == kind and isinstance(back.schema.field("g").type, A.GeometryArrowType)
+        df = S.from_arrow(spark, back)
+        assert df.count() == 6 and G.parse_field(df.schema["g"]) == G.point_type(crs="EPSG:1234")
+        assert G.parse_field(S.read_parquet(spark, f"file://{tmp_path}/x.parquet").schema["g"]) == G.point_type(crs="EPSG:1234")
+        for t in (G.wkt_type(crs="x"), G.wkb_type(), G.box_type(dimensions="XYZ"), G.multipolygon_type(coord_type="INTERLEAVED")):
+            assert S.arrow_field_type(pa.field("g", A.extension_type(t))).id == t.id or t.geometry_type == 990
+    finally:
+        A.unregister_types()
