@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from ..functions.wkt import arrow_type
-from ..types import EXTENSION_PREFIX, KINDS, Encoding, GeometryType, GeomType
+from ..types import EXTENSION_PREFIX, KINDS, CoordType, Encoding, GeometryType, GeomType
 
 
 def storage_of(t: GeomType) -> pa.DataType:
@@ -20,7 +20,12 @@ def storage_of(t: GeomType) -> pa.DataType:
         return pa.large_string() if t.encoding == Encoding.LARGE_WKT else pa.string()
     if t.geometry_type == GeometryType.BOX:
         return pa.struct([(o + end, pa.float64()) for end in ("min", "max") for o in t.ordinates])
-    return arrow_type(t)
+    if t.coord_type == CoordType.SEPARATE:
+        return arrow_type(t)
+    out = pa.list_(pa.field(t.ordinates, pa.float64()), len(t.ordinates))  # the list's child names the dimensions
+    for _ in range(t.level):
+        out = pa.list_(out)
+    return out
 
 
 class GeometryArrowType(pa.ExtensionType):

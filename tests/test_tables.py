@@ -141,5 +141,9 @@ def test_registered_arrow_types(spark, points, tmp_path):
         assert G.parse_field(S.read_parquet(spark, f"file://{tmp_path}/x.parquet").schema["g"]) == G.point_type(crs="EPSG:1234")
         for t in (G.wkt_type(crs="x"), G.wkb_type(), G.box_type(dimensions="XYZ"), G.multipolygon_type(coord_type="INTERLEAVED")):
             assert S.arrow_field_type(pa.field("g", A.extension_type(t))).id == t.id or t.geometry_type == 990
+        inter = G.multilinestring_type(dimensions="XYM", coord_type="INTERLEAVED")
+        made = spark.createDataFrame([(1, [[[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], []]), (2, None)], G.T.StructType([G.T.StructField("i", G.T.IntegerType()), inter.field("g")]))
+        back = S.from_arrow(spark, S.to_arrow(made, registered=True))
+        assert G.parse_field(back.schema["g"]) == inter and [r.g for r in back.orderBy("i").collect()] == [[[[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], []], None]
     finally:
         A.unregister_types()
