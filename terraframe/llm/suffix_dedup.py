@@ -56,7 +56,7 @@ from .storage import drop_table, join_split, read, without, write_table
 LENGTH, ANCHOR = 200, 32
 BLOCK = 1 << 20
 #: Different segments of an anchor that one batch takes; more are dealt out once again, in ranges of so many windows.
-BATCH, WIDTHS = 4096, (13, 1)
+BATCH, WIDTHS = 1024, (13, 1)
 _POS = np.uint64((1 << 22) - 1)
 _M = 0x9E3779B97F4A7C15 | 1
 
