@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .arrow import groups, slices, utf8
 from .components import connected
-from .storage import drop_table, join_split, read, without_rows, write_table
+from .storage import drop_table, join_split, marked, read, without_rows, write_table
 
 BITS = 64
 #: Two texts of similarity s share a band with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.99 at 0.8.
@@ -45,7 +45,6 @@ BANDS, BAND_ROWS = 20, 7
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: All pairs of a band's bucket are compared up to so many members (or groups), above it those with its hubs.
 FEW = 16
-BITMAP = 1 << 23
 
 
 def hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -346,28 +345,17 @@ def hooked(edges: DataFrame) -> DataFrame:
 
 
 def shingle_sets(asked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(th, s): the sets of shingle hashes of the texts whose hash is in ``asked``; texts: th, text.
-
-    A bitmap of a constant size tells most of the others apart before anything is moved.
-    """
-    words = [0] * (BITMAP >> 6)
-    place = F.pmod(F.col("th"), F.lit(BITMAP))
-    bits = asked.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(th, 64) as int))").alias("bit"))
-    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # a constant size
-        words[r[0]] = r[1]
-    bitmap = np.array(words, np.int64).view(np.uint64)
+    """(th, s): the sets of shingle hashes of the texts whose hash is in ``asked`` (and of some more); texts: th, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             th = b.column(0).to_numpy(zero_copy_only=False)
-            at = th % BITMAP
-            rows = np.flatnonzero(bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-            rows = rows[np.unique(th[rows], return_index=True)[1]]
-            picked = b.take(pa.array(rows))
+            picked = b.take(pa.array(np.unique(th, return_index=True)[1]))
             sets = [np.unique(np.concatenate(h)).tobytes() if (h := list(hashes(t, shingle))) else b"" for t in utf8(picked.column(1))]
             yield pa.RecordBatch.from_arrays([picked.column(0), pa.array(sets, pa.binary())], ["th", "s"])
 
-    return texts.mapInArrow(run, "th long, s binary").groupBy("th").agg(F.first("s").alias("s"))  # equal texts have equal sets
+    some = marked(texts, "th", asked).filter("__may").select("th", "text")
+    return some.mapInArrow(run, "th long, s binary").groupBy("th").agg(F.first("s").alias("s"))  # equal texts have equal sets
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

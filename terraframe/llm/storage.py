@@ -98,6 +98,23 @@ def join_split(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inne
     return rows.withColumn("__z", z).join(keys.withColumn("__z", z), [*on, "__z"], how).drop("__z")
 
 
+#: Bits of :func:`marked`'s bitmap: 262,144 words, 4 MB as a broadcast table, whatever the data.
+BITMAP = 1 << 24
+
+
+def marked(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """``rows`` with __may: false only where the hash ``key`` (a long) is surely not among those of ``asked``.
+
+    A bitmap of a constant size, broadcast, tells rows apart before anything is
+    moved; where it is full it tells nothing, and what follows is right as well.
+    """
+    place = F.pmod(F.col(key), F.lit(BITMAP).cast("long"))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))")
+    words = asked.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = rows.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    return found.withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

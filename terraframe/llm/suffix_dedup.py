@@ -46,12 +46,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, utf8, whole_groups
-from .storage import drop_table, join_split, read, without, write_table
+from .storage import drop_table, join_split, marked, read, without, write_table
 
 LENGTH, ANCHOR = 200, 32
 BLOCK = 1 << 20
@@ -275,29 +276,36 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, batch: int = BATCH) -> DataFrame:
-    """(__th, __tc, marks): repeated windows of each different text of :func:`keyed`, by segment; a written table."""
-    found = write_table(all_segments(docs, length), "op9-segments")
+    """(__th, __tc, marks): repeated windows of each different text of :func:`keyed`, by segment; a written table.
+
+    Steps that are read more than once are kept on the executors' disks, with
+    their lineage: what a lost executor held is made again.
+    """
+    found = all_segments(docs, length).persist(StorageLevel.DISK_ONLY)
     often = found.groupBy("h").agg(F.count("*").alias("__n")).filter("__n > 1").select("h")
     # a row for each different place: rows of one text are counted
     key = ["h", "c", "k", "th", "tc", "p"]
-    places = write_table(join_split(found, often, ["h"]).groupBy(*key).agg(F.count("*").alias("n")), "op9-places")
-    drop_table(found)
+    places = join_split(found, often, ["h"]).groupBy(*key).agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
     # one row for each different segment, from one place where it stands
     different = places.groupBy("h", "c", "k").agg(F.sum("n").alias("n"), F.min(F.struct("th", "tc", "p")).alias("w"))
     wanted = different.select("h", "c", "k", "n", "w.th", "w.tc", "w.p")
     # ask each text once; the list is bounded by its length
-    asked = wanted.groupBy("th", "tc").agg(F.collect_list(F.struct("h", "c", "k", "n", "p")).alias("ask"))
-    given = docs.groupBy(F.col("__th").alias("th"), F.col("__tc").alias("tc")).agg(F.first("__text").alias("t"))  # equal texts: any is the same
+    asked = wanted.groupBy("th", "tc").agg(F.collect_list(F.struct("h", "c", "k", "n", "p")).alias("ask")).persist(StorageLevel.DISK_ONLY)
+    asked.count()
+    found.unpersist()
+    rows = marked(docs.select(F.col("__th").alias("th"), F.col("__tc").alias("tc"), F.col("__text").alias("t")), "th", asked.select("th")).filter("__may")
+    given = rows.groupBy("th", "tc").agg(F.first("t").alias("t"))  # equal texts: any is the same
     first = F.expr("cast(shiftright(a.p, 16) as int)")
     got = given.join(asked, ["th", "tc"]).select(F.col("t").cast("binary").alias("t"), F.explode("ask").alias("a"))
     got = got.select("a.h", "a.c", "a.k", "a.n", F.expr("cast(shiftright(a.p, 8) & 255 as int)").alias("off"), F.substring(F.col("t"), first + 1, F.expr(f"cast((a.p & 255) + {length} as int)")).alias("bytes"))
+    got = got.persist(StorageLevel.DISK_ONLY)
     scratch: list[DataFrame] = []
-    got = write_table(got, "op9-bytes", scratch)
-    marks = write_table(marks_of(got, length, batch, scratch), "op9-marks")
-    drop_table(*scratch)
+    marks = marks_of(got, length, batch, scratch)
     by_text = places.join(marks, ["h", "c", "k"]).groupBy("th", "tc").agg(F.collect_list(F.struct("p", "ranges")).alias("marks"))
     out = write_table(by_text.select(F.col("th").alias("__th"), F.col("tc").alias("__tc"), "marks"), "op9-spans")
-    drop_table(places, marks)
+    for step in (places, asked, got):
+        step.unpersist()
+    drop_table(*scratch)
     return out
 
 
@@ -309,7 +317,10 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, batch:
     rows = keyed(without(docs, "kept", "spans", "n_bytes"), text_col)
     marks = removed_spans(rows, length, batch)
     carried = [c for c in rows.columns if not c.startswith("__")]
-    joined = rows.join(marks, ["__th", "__tc"], "left").select(*[F.col(f"`{c}`") for c in carried], F.col("__text"), F.col("marks.p").alias("__p"), F.col("marks.ranges").alias("__r"))
+    # only texts that may lose something are moved
+    split = marked(rows, "__th", marks.select("__th"))
+    touched = split.filter("__may").join(marks, ["__th", "__tc"], "left")
+    joined = touched.unionByName(split.filter("not __may").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))).select(*[F.col(f"`{c}`") for c in carried], F.col("__text"), F.col("marks.p").alias("__p"), F.col("marks.ranges").alias("__r"))
     schema = rows.select(*[F.col(f"`{c}`") for c in carried]).schema
     out = T.StructType([*schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("n_bytes", T.LongType())])
 

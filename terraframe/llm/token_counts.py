@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .storage import read, write_table
+from .storage import marked, read, write_table
 from .tokenizers import ByteBpe, chunks
 
 LEAF = 32
@@ -274,13 +274,10 @@ def recount(trees: DataFrame, docs: DataFrame, edits: DataFrame, id_col: str = "
     """
     by = edits.select("id", "th", "start", "end", "new").distinct().groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end", "new"))).alias("edits"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    t, e = trees.alias("t"), by.alias("e")
-    asked = t.join(e, same(trees, by), "left").select("t.*", "e.edits")
-    asked = write_table(asked, "op5-asked")
+    asked = write_table(trees.alias("t").join(by.alias("e"), same(trees, by), "left").select("t.*", "e.edits"), "op5-asked")
     todo, rest = asked.filter("edits is not null"), asked.filter("edits is null")
-    texts = versions(docs, id_col, text_col)
-    some = texts.join(todo.select(F.col("id").alias("i"), F.col("th").alias("h")), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left_semi")
-    some = some.groupBy("id", "th").agg(F.first("text").alias("text"))  # equal rows once
+    # only texts that may be edited are moved, equal rows once
+    some = marked(versions(docs, id_col, text_col), "th", todo.select("th")).filter("__may").groupBy("id", "th").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, leaf)
