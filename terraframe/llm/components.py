@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .storage import drop_table, join_split, write_table
 
 
-def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, name: str = "components", rounds: int = 60, parts: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root: the smallest node reachable.
 
     It reads a written table, which drop_table() deletes.  Self-loops, repeated and reversed edges are allowed; nulls
@@ -22,7 +22,7 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
     split in the joins; its minima are pre-aggregated.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = write_table(edges, f"{name}-0")
+    edges = write_table(edges, f"{name}-0", parts=parts)
     mark = None
     for i in range(rounds):
         # large-star: the larger neighbours of a node go to its least neighbour
@@ -31,7 +31,7 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
         # small-star: the smaller neighbours of a node, and itself, go to the least of them
         least = star.groupBy("a").agg(F.min("b").alias("m"))
         small = join_split(star, least, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
-        new = write_table(small, f"{name}-{i + 1}")
+        new = write_table(small, f"{name}-{i + 1}", parts=parts)
         drop_table(edges)
         edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

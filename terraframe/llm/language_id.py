@@ -62,14 +62,14 @@ UNSEEN = 0.25
 NEVER = -60.0  # log probability under a language without a trigram
 
 
-def train(rows: DataFrame, per_language: int, most: int | None = None, support: int = 20) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, per_language: int, support: int = 20) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (cells by languages, the rival class last); rows: declared, text.
 
-    Every declared language with letters gets a model (only the ``most`` commonest if a caller asks so);
-    under ``support`` trigrams over all of them there is nothing to learn from.
+    Every declared language with letters gets a model; under ``support`` trigrams over all of them there is
+    nothing to learn from.
     """
     counted = rows.filter("declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared")
-    counted = (counted.limit(most) if most else counted).collect()  # a row for each language
+    counted = counted.collect()  # a row for each language
     names = sorted(r[0] for r in counted)
     nothing = [], np.zeros((CELLS, 1), np.float32)
     if not names:
@@ -78,12 +78,13 @@ def train(rows: DataFrame, per_language: int, most: int | None = None, support:
     # only languages above per_language rows are sampled
     limit = {r[0]: int(per_language / r[1] * 1_000_003) for r in counted if r[1] > per_language}
     sample = rows.filter("declared <> ''")
-    if most:
-        sample = sample.filter(F.col("declared").isin(names))
     if limit:
         share = F.create_map(*[F.lit(x) for n in limit.items() for x in n])
         sample = sample.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.coalesce(F.element_at(share, F.col("declared")), F.lit(1_000_003)))
 
+    # different texts, so that no text's copies outgrow the bound
+    sample = sample.groupBy("declared", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
 
@@ -178,11 +179,11 @@ def evidence_table(voted: DataFrame, name: str, overall: list[float], width: int
     return c.select(F.col("key").alias(name), F.zip_with("c", totals, lambda n, t: F.log((n + strength * t) / t)).alias("e"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, most: int | None = None, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5) -> DataFrame:
     """(id_col, th, declared, language, posterior, n_trigrams, kept) for every row; th: the hash of its text."""
     null = F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(declared if declared is not None else null).alias("declared"), F.lower(host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"), (text if text is not None else F.col("text")).cast("string").alias("text"))
-    names, table = train(rows, per_language, most, support)
+    names, table = train(rows, per_language, support)
     width = len(names) + 1
     found = write_table(text_evidence(rows, table), "op6-evidence")
     per = F.transform("ll", lambda x: x / F.greatest(F.col("n"), F.lit(1)))

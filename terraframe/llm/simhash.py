@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .arrow import groups, slices, utf8
 from .components import connected
-from .storage import drop_table, join_split, marked, read, without_rows, write_table
+from .storage import drop_table, join_split, marked, read, splits, without_rows, write_table
 
 BITS = 64
 #: Two texts of similarity s share a band with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.99 at 0.8.
@@ -375,7 +375,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, ra long, rb long")
 
 
-def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float, parts: int | None = None) -> DataFrame:
     """(th, root) for every text, where groups with a pair of texts of that similarity are one; a written table.
 
     Only texts that share a band with one of another group take part.  In the
@@ -386,23 +386,23 @@ def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, simil
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
     scratch: list[DataFrame] = []
-    own = write_table(found.groupBy("th").agg(F.first("root").alias("root"), F.first("bands").alias("bands")), "op1-bands", scratch)
+    own = write_table(found.groupBy("th").agg(F.first("root").alias("root"), F.first("bands").alias("bands")), "op1-bands", scratch, parts)
     members = own.select("th", "root", F.posexplode("bands").alias("band", "key"))
     open_ = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key", "size")
-    members = write_table(join_split(members, open_, ["band", "key"]), "op1-open", scratch)
+    members = write_table(join_split(members, open_, ["band", "key"]), "op1-open", scratch, parts)
     meets = members.groupBy("th").agg(F.sum("size").alias("meets"))
-    sets = write_table(shingle_sets(meets.select("th"), texts, shingle), "op1-sets", scratch)
-    members = write_table(join_split(members, meets, ["th"]), "op1-members", scratch)
+    sets = write_table(shingle_sets(meets.select("th"), texts, shingle), "op1-sets", scratch, parts)
+    members = write_table(join_split(members, meets, ["th"]), "op1-members", scratch, parts)
     pairs = few_pairs(members.filter(F.col("size") <= FEW)).union(hub_pairs(members.filter(F.col("size") > FEW), 0))
     edges, labels, salt = None, None, 0
     while True:
-        new = write_table(similar(pairs.dropDuplicates(["a", "b"]), sets, similarity), "op1-similar", scratch)
+        new = write_table(similar(pairs.dropDuplicates(["a", "b"]), sets, similarity), "op1-similar", scratch, parts)
         if new.isEmpty():
             break
         edges = new if edges is None else edges.union(new)
         to = hooked(new)
         labels = to if labels is None else labels.withColumnRenamed("to", "mid").join(to.withColumnsRenamed({"root": "mid"}), "mid", "left").select("root", F.coalesce("to", "mid").alias("to")).union(to.join(labels.select("root"), "root", "left_anti"))
-        labels = write_table(labels, "op1-hooked", scratch)
+        labels = write_table(labels, "op1-hooked", scratch, parts)
         salt += 1
         # a text stands for its group, another one in each band and round
         now = members.join(labels, "root", "left").select("th", "band", "key", "meets", F.coalesce("to", "root").alias("root"))
@@ -410,10 +410,10 @@ def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, simil
         pairs = hub_pairs(now.groupBy("band", "key", "root").agg(drawn).select("band", "key", "root", "t.*"), salt)
     roots = own.select("th", "root")
     if edges is not None:
-        joined = connected(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "op1-merged")
+        joined = connected(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "op1-merged", parts=parts)
         scratch.append(joined)
         roots = roots.join(joined.toDF("root", "top"), "root", "left").select("th", F.coalesce("top", "root").alias("root"))
-    roots = write_table(roots, "op1-roots")
+    roots = write_table(roots, "op1-roots", parts=parts)
     drop_table(*scratch)
     return roots
 
@@ -421,12 +421,13 @@ def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, simil
 def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, banded: bool = False, scratch: list[DataFrame] | None = None) -> DataFrame:
     """(id, th, fp, component_id, root) for every row of ``docs``; root numbers the components; with ``bands`` if asked."""
     rows = write_table(fingerprints(docs, id_col, text_col, shingle, banded), "op1-fingerprints", scratch)
-    fps = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "op1-distinct")
+    parts = splits(rows)
+    fps = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "op1-distinct", parts=parts)
     own_scratch: list[DataFrame] = [fps]
-    roots = connected(links(fps.select("fp"), distance, scratch=own_scratch), "op1-components")
+    roots = connected(links(fps.select("fp"), distance, scratch=own_scratch), "op1-components", parts=parts)
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     own = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = write_table(join_split(labelled.select("fp", "root"), own, ["root"]).select("fp", "root", "component_id"), "op1-labels", scratch)
+    by_fp = write_table(join_split(labelled.select("fp", "root"), own, ["root"]).select("fp", "root", "component_id"), "op1-labels", scratch, parts)
     drop_table(*own_scratch, roots)
     return rows.join(by_fp, "fp").select("id", "th", "fp", "component_id", "root", *["bands"] * banded)
 
@@ -447,23 +448,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch: list[DataFrame] = []
     found = grouped(docs, id_col, text_col, distance, shingle, similarity is not None, scratch)
     if similarity is not None:
-        roots = merged(docs, found, text_col, shingle, similarity)
+        roots = merged(docs, found, text_col, shingle, similarity, splits(scratch[0]))
         scratch.append(roots)
         found = found.select("id", "th").join(roots, "th")
-    per = write_table(found.groupBy("root", "id", "th").agg(F.count("*").alias("n")), "op1-rows", scratch)
+    parts = splits(scratch[0])
+    per = write_table(found.groupBy("root", "id", "th").agg(F.count("*").alias("n")), "op1-rows", scratch, parts)
     rank = F.struct(F.col("id").isNull(), "id", "th")
     first = per.groupBy("root").agg(F.min_by(F.struct("id", "th", "n"), rank).alias("f")).select("f.*")
-    first = write_table(first.select(F.col("id").alias("__fid"), F.col("th").alias("__fth"), "n"), "op1-first", scratch)
+    first = write_table(first.select(F.col("id").alias("__fid"), F.col("th").alias("__fth"), "n"), "op1-first", scratch, parts)
     same = F.col("id").eqNullSafe(F.col("__fid")) & (F.col("th") == F.col("__fth"))
     gone = per.join(first, same, "left_anti").select(F.col("id").alias("__oid"), F.col("th").alias("__oth"))
     equal = first.filter("n > 1").select(F.col("__fid").alias("__oid"), F.col("__fth").alias("__oth"))
     # the few that go, not the many that stay: while they are small enough to broadcast, no text is moved
     text = F.col(f"`{text_col}`")
-    once = without_rows(docs, write_table(gone.union(equal), "op1-dropped"), id_col, text)
+    once = without_rows(docs, write_table(gone.union(equal), "op1-dropped", parts=parts), id_col, text)
     if equal.isEmpty():
         kept = once
     else:  # of rows equal in id and text one stays
-        equal = write_table(equal, "op1-equal")
+        equal = write_table(equal, "op1-equal", parts=parts)
         hashed = docs.withColumn("__th", F.xxhash64(text.cast("string")))
         more = hashed.join(equal, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__oid")) & (F.col("__th") == F.col("__oth")), "left_semi")
         kept = once.unionByName(more.dropDuplicates([id_col, "__th"]).drop("__th"))

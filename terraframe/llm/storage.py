@@ -64,9 +64,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(_BATCH, own)
 
 
-def write_table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; ``scratch``: list that takes note of it, for :func:`drop_table`."""
+def write_table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None, parts: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    ``scratch``: a list that takes note of it, for :func:`drop_table`; ``parts``: so many files at most.
+    """
     spark = df.sparkSession
+    df = df.coalesce(parts) if parts else df
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
@@ -77,6 +81,14 @@ def write_table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None
     return out
 
 
+def splits(table: DataFrame) -> int:
+    """In how many parts a written table is read: a number of files, for tables made from it, that grows with the data.
+
+    Many small files are dear in any store (where each starts a process to set its permissions, on executors too).
+    """
+    return max(table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism)
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete tables of :func:`write_table` that nothing will read again."""
     for df in tables:

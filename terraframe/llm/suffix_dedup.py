@@ -46,13 +46,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import slices, utf8, whole_groups
-from .storage import drop_table, join_split, marked, read, without, write_table
+from .storage import drop_table, join_split, marked, read, splits, without, write_table
 
 LENGTH, ANCHOR = 200, 32
 BLOCK = 1 << 20
@@ -256,18 +255,18 @@ def regathered(pieces: DataFrame, marks: DataFrame) -> DataFrame:
     return by.mapInArrow(run, "h long, c long, k int, ranges binary")
 
 
-def marks_of(segs: DataFrame, length: int, batch: int, scratch: list[DataFrame], widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def marks_of(segs: DataFrame, length: int, batch: int, scratch: list[DataFrame], parts: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(h, c, k, ranges) of different segments (h, c, k, n, off, bytes) with their counts, any number to an anchor."""
     if not widths:
         return repeated(segs, length)
-    large = write_table(segs.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > batch).select("h"), "op9-large", scratch)
+    large = write_table(segs.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > batch).select("h"), "op9-large", scratch, parts)
     found = repeated(segs.join(large, "h", "left_anti"), length)
     if large.isEmpty():
         return found
-    pieces = write_table(dealt(segs.join(large, "h", "left_semi"), length, min(widths[0], length)), "op9-pieces", scratch)
+    pieces = write_table(dealt(segs.join(large, "h", "left_semi"), length, min(widths[0], length)), "op9-pieces", scratch, parts)
     # rows of one key are equal in off and bytes
     different = pieces.groupBy("h", "c", "k").agg(F.sum("n").alias("n"), F.first("off").alias("off"), F.first("bytes").alias("bytes"))
-    return found.unionByName(regathered(pieces, marks_of(different, length, batch, scratch, widths[1:])))
+    return found.unionByName(regathered(pieces, marks_of(different, length, batch, scratch, parts, widths[1:])))
 
 
 def keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -277,34 +276,30 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, batch: int = BATCH) -> DataFrame:
     """(__th, __tc, marks): repeated windows of each different text of :func:`keyed`, by segment; a written table.
-
-    Steps that are read more than once are kept on the executors' disks, with
-    their lineage: what a lost executor held is made again.
     """
-    found = all_segments(docs, length).persist(StorageLevel.DISK_ONLY)
+    scratch: list[DataFrame] = []
+    found = write_table(all_segments(docs, length), "op9-segments")
+    parts = splits(found)
     often = found.groupBy("h").agg(F.count("*").alias("__n")).filter("__n > 1").select("h")
     # a row for each different place: rows of one text are counted
     key = ["h", "c", "k", "th", "tc", "p"]
-    places = join_split(found, often, ["h"]).groupBy(*key).agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
+    places = write_table(join_split(found, often, ["h"]).groupBy(*key).agg(F.count("*").alias("n")), "op9-places", scratch, parts)
+    drop_table(found)
     # one row for each different segment, from one place where it stands
     different = places.groupBy("h", "c", "k").agg(F.sum("n").alias("n"), F.min(F.struct("th", "tc", "p")).alias("w"))
     wanted = different.select("h", "c", "k", "n", "w.th", "w.tc", "w.p")
     # ask each text once; the list is bounded by its length
-    asked = wanted.groupBy("th", "tc").agg(F.collect_list(F.struct("h", "c", "k", "n", "p")).alias("ask")).persist(StorageLevel.DISK_ONLY)
-    asked.count()
-    found.unpersist()
+    asked = wanted.groupBy("th", "tc").agg(F.collect_list(F.struct("h", "c", "k", "n", "p")).alias("ask"))
+    asked = write_table(asked, "op9-asked", scratch, parts)
     rows = marked(docs.select(F.col("__th").alias("th"), F.col("__tc").alias("tc"), F.col("__text").alias("t")), "th", asked.select("th")).filter("__may")
     given = rows.groupBy("th", "tc").agg(F.first("t").alias("t"))  # equal texts: any is the same
     first = F.expr("cast(shiftright(a.p, 16) as int)")
     got = given.join(asked, ["th", "tc"]).select(F.col("t").cast("binary").alias("t"), F.explode("ask").alias("a"))
     got = got.select("a.h", "a.c", "a.k", "a.n", F.expr("cast(shiftright(a.p, 8) & 255 as int)").alias("off"), F.substring(F.col("t"), first + 1, F.expr(f"cast((a.p & 255) + {length} as int)")).alias("bytes"))
-    got = got.persist(StorageLevel.DISK_ONLY)
-    scratch: list[DataFrame] = []
-    marks = marks_of(got, length, batch, scratch)
+    got = write_table(got, "op9-bytes", scratch, parts)
+    marks = marks_of(got, length, batch, scratch, parts)
     by_text = places.join(marks, ["h", "c", "k"]).groupBy("th", "tc").agg(F.collect_list(F.struct("p", "ranges")).alias("marks"))
-    out = write_table(by_text.select(F.col("th").alias("__th"), F.col("tc").alias("__tc"), "marks"), "op9-spans")
-    for step in (places, asked, got):
-        step.unpersist()
+    out = write_table(by_text.select(F.col("th").alias("__th"), F.col("tc").alias("__tc"), "marks"), "op9-spans", parts=parts)
     drop_table(*scratch)
     return out
 

@@ -162,3 +162,15 @@ def test_article_of_real_tables(spark, chain):
         inside = re.split(r"</article>|<footer", r.html[r.html.index("<article>") :])[0]
         parts = [re.sub(r"</?b>|<br>", " ", x) for x in re.split(r"</?(?:p|h1|article)>", inside)]
         assert got[r.page_id] == "\n\n".join(" ".join(html.unescape(x).split()) for x in parts if x.strip())
+
+
+def test_the_query_on_other_layouts(spark, tmp_path):
+    """The query's texts and lengths on hand-written pages: the truth's blocks in page order."""
+    from .layouts import pages
+
+    rows = [(i, f"http://x/{i}", page) for i, (_, page, _) in enumerate(pages())] + [(999, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in H.op3_html_extraction(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[999].text == "" and got[999].n_chars == 0
+    exact = sum(got[i].text == "\n\n".join(truth) for i, (_, _, truth) in enumerate(pages()))
+    assert exact >= 0.9 * len(pages()) and all(r.n_chars == len(r.text) for r in got.values())

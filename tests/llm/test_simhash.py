@@ -60,6 +60,17 @@ def test_components(make, words):
     check(make(rows, extra=["fingerprint", "fp", "id"]), rows)
 
 
+def test_the_query_against_brute_force(spark, make, words, tmp_path):
+    rows = [(i, words(50 + i, i % 25)) for i in range(40)] + [(50, None), (51, ""), (None, words(50, 0)), (52, "a b")]
+    make(rows, extra=["component_id", "fp"]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op1_simhash(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    fps = [slow_fingerprint(t) for _, t in rows]
+    comp = slow_components(fps)
+    want = sorted((str(i), f"{f:016x}", min(rows[j][0] for j in range(len(rows)) if comp[j] == c and rows[j][0] is not None)) for (i, _), f, c in zip(rows, fps, comp))
+    assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got.collect()) == want
+
+
 def test_hot_bucket_is_split_without_loss(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
