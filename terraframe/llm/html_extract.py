@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import strings
 from .storage import read, without
 
 NAME = re.compile(r"/?[a-zA-Z][^\s/><]*")
@@ -757,7 +758,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ch
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [main_text(x, chain) if x else "" for x in part.column(len(kept)).to_pylist()]
+                texts = [main_text(x, chain) if x else "" for x in strings(part.column(len(kept)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, text_col])
 
     return pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").cast("string")).mapInArrow(run, out)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, utf8
-from .storage import read, without_rows, write_table
+from .storage import drop_table, read, without_rows, write_table
 from .url_filter import host_of
 
 CELLS = 1 << 15
@@ -179,13 +179,13 @@ def evidence_table(voted: DataFrame, name: str, overall: list[float], width: int
     return c.select(F.col("key").alias(name), F.zip_with("c", totals, lambda n, t: F.log((n + strength * t) / t)).alias("e"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5, scratch: list[DataFrame] | None = None) -> DataFrame:
     """(id_col, th, declared, language, posterior, n_trigrams, kept) for every row; th: the hash of its text."""
     null = F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(declared if declared is not None else null).alias("declared"), F.lower(host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"), (text if text is not None else F.col("text")).cast("string").alias("text"))
     names, table = train(rows, per_language, support)
     width = len(names) + 1
-    found = write_table(text_evidence(rows, table), "op6-evidence")
+    found = write_table(text_evidence(rows, table), "op6-evidence", scratch)
     per = F.transform("ll", lambda x: x / F.greatest(F.col("n"), F.lit(1)))
     found = found.withColumn("text_ll", F.transform(per, lambda x: x * (F.col("n") / (1 + F.col("n") / tempered))))
     voted = found.filter("n > 0").withColumn("vote", F.array_position("text_ll", F.array_max("text_ll")).cast("int") - 1)
@@ -194,9 +194,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None
     overall = [(shares.get(i, 0) + 1.0) / (total + width) for i in range(width)]
     uniform = F.array(*[F.log(F.lit(x)) for x in overall])
     none = F.array(*[F.lit(0.0)] * width)
-    d = write_table(evidence_table(voted, "declared", overall, width), "op6-declared")
-    s = write_table(evidence_table(voted, "suffix", overall, width), "op6-suffix")
-    p = write_table(host_priors(voted, overall, width, strength), "op6-hosts")
+    d = write_table(evidence_table(voted, "declared", overall, width), "op6-declared", scratch)
+    s = write_table(evidence_table(voted, "suffix", overall, width), "op6-suffix", scratch)
+    p = write_table(host_priors(voted, overall, width, strength), "op6-hosts", scratch)
     fused = found.join(d.withColumnRenamed("e", "ed"), "declared", "left").join(s.withColumnRenamed("e", "es"), "suffix", "left").join(p, "host", "left")
     score = F.zip_with("text_ll", F.coalesce(F.transform("prior", lambda x: F.log(x)), uniform), lambda a, b: a + b)
     score = F.zip_with(score, F.coalesce("ed", none), lambda a, b: a + b)
@@ -232,8 +232,10 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", **columns: Column
 
     Rows alike in both, whose declared language or host may differ, stay if one of them does.
     """
-    per = verdicts(docs, id_col, **columns).groupBy(F.col(id_col).alias("__out"), F.col("th").alias("__oth")).agg(F.max("kept").alias("kept"))
+    scratch: list[DataFrame] = []
+    per = verdicts(docs, id_col, scratch=scratch, **columns).groupBy(F.col(id_col).alias("__out"), F.col("th").alias("__oth")).agg(F.max("kept").alias("kept"))
     # the few that go, not the many that stay: while they are small enough to broadcast, no text is moved
     out = write_table(per.filter("not kept").select("__out", "__oth"), "op6-rejected")
+    drop_table(*scratch)
     text = columns.get("text")
     return without_rows(docs, out, id_col, text if text is not None else F.col("text"))

@@ -14,7 +14,8 @@ The ids are those of the tokenizer's JSON file; they are made with the rank file
 of the same vocabulary by another encoder, several times faster, and tests hold
 the two against each other.
 
-Defined cases: null text is empty (the closing id alone); ids may be null or
+Defined cases: null text is empty (the closing id alone); bytes that are no UTF-8
+are read as U+FFFD; ids may be null or
 repeat; an empty table gives an empty result; columns other than id and text
 are not read.
 """

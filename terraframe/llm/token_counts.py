@@ -16,7 +16,8 @@ from left to right; the sums above the touched leaves are then updated, level by
 level.  It returns the new trees, under the hash of the new text, for the next
 round of edits.  Documents without edits are not read: their tree has the counts.
 
-Defined cases: null text is empty (no tokens, a tree of one empty leaf); rows of
+Defined cases: null text is empty (no tokens, a tree of one empty leaf); bytes that
+are no UTF-8 count as U+FFFD; rows of
 one id, null included, are told apart by their texts, and equal rows share a tree
 with a count; edits outside a text are cut to it, overlapping ones are merged, the
 first's replacement first, equal ones are one, ones of a version that isn't there
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import slices, strings
 from .storage import marked, read, write_table
 from .tokenizers import ByteBpe, chunks
 
@@ -236,7 +237,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, leaf)
         for b in slices(batches):
-            trees = [counter.build(t) for t in b.column(2).to_pylist()]
+            trees = [counter.build(t) for t in strings(b.column(2))]
             m = np.array([t.totals for t in trees], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array(m[:, j]) for j in range(3)], pa.array([t.to_bytes() for t in trees], pa.binary())], ["id", "th", "n_chars", "n_tokens", "n_pretokens", "tree"])
 
@@ -251,7 +252,7 @@ def edits_of(docs: DataFrame, edits: Callable[[str], list[Edit]] = cleaning_edit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows, out = [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
+            for i, t in enumerate(strings(b.column(2))):
                 own = edits(t)
                 rows += [i] * len(own)
                 out += own
@@ -283,7 +284,7 @@ def recount(trees: DataFrame, docs: DataFrame, edits: DataFrame, id_col: str = "
         counter = Counter(path, leaf)
         for b in slices(batches, 200):
             rows, texts, out = [], [], []
-            for data, own, text in zip(*(b.column(c).to_pylist() for c in ("tree", "edits", "text"))):
+            for data, own, text in zip(b.column("tree").to_pylist(), b.column("edits").to_pylist(), strings(b.column("text"))):
                 tree = Tree.of(data)
                 todo = merged([(x["start"], x["end"], x["new"] or "") for x in own], len(text))
                 after, tree, again = counter.edit(text, tree, todo)

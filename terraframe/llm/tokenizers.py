@@ -43,9 +43,9 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: bytes | str) -> list[int]:
-        return self.encoding.encode_ordinary(text.decode() if isinstance(text, bytes) else text)
+        return self.encoding.encode_ordinary(text.decode("utf-8", "replace") if isinstance(text, bytes) else text)
 
     def array(self, text: bytes | str) -> np.ndarray:
         """The ids as unsigned 32-bit numbers; a long text is encoded a piece at a time."""
-        text = text.decode() if isinstance(text, bytes) else text
+        text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
         return np.concatenate([np.array(self.ids(t), "<u4") for t in chunks(text)])

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from terraframe.llm import components, storage
+from terraframe.llm import storage as S
 
 
 def test_tables_go_to_the_named_folder(spark):
@@ -25,3 +27,67 @@ def test_components(spark):
     want = {**{i: 100 for i in range(100, 161)}, **{i: 42 for i in [42, 1000, *range(2000, 2300)]}, 3: 3, 5: 3}
     assert got == want
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_join_split_and_bitmap(spark, monkeypatch):
+    """The join is the plain one; both sides are dealt anew, so hot keys can be split; the bitmap never loses a row."""
+    rows = spark.range(0, 3000).select((F.col("id") * F.col("id") % 97).alias("k"), "id")
+    least = rows.groupBy("k").agg(F.min("id").alias("m"))
+    a = S.join_split(rows, least, ["k"])
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, rows.join(least, "k").collect())) and a.columns == ["k", "id", "m"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.join_split(rows, least, ["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ENSURE_REQUIREMENTS") == 3
+    hashed = rows.withColumn("h", F.xxhash64("id"))
+    asked = hashed.filter("id % 50 = 7").select("h")
+    for bits in (S.BITMAP, 128):
+        monkeypatch.setattr(S, "BITMAP", bits)
+        got = S.marked(hashed, "h", asked)
+        may = {r.id for r in got.filter("__may").collect()}
+        assert got.count() == 3000 and {i for i in range(3000) if i % 50 == 7} <= may and (bits == 128 or len(may) < 70)
+    assert S.marked(hashed, "h", asked.limit(0)).filter("__may").count() == 0
+
+
+def test_number_of_files_and_threads(spark):
+    import threading
+
+    t = S.write_table(spark.range(0, 100, 1, 9), "test-files", parts=2)
+    assert t.rdd.getNumPartitions() <= 2 and S.splits(t) >= 1
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    threads = [threading.Thread(target=S.write_table, args=(spark.range(0, 1000, 1, 4), f"test-t{i}")) for i in range(4)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == own
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master, applicationId = "yarn", "a"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.shared_dir(Session())
+
+
+def test_invalid_utf8(spark):
+    """Bytes that are no UTF-8 read as U+FFFD everywhere and never stop a job."""
+    from terraframe.llm import decontam, html_extract, packing, quality_rules, simhash, suffix_dedup, token_counts
+
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(X'61FF6220C3' as string)").alias("text"))
+    assert packing.pack(docs).first().doc_tokens == len(token_counts.Counter().bpe.ids("a\ufffdb \ufffd")) + 1
+    assert token_counts.build(docs).first().n_chars == 5
+    assert simhash.near_duplicates(docs).count() == 1 and suffix_dedup.dedup(docs).first().n_bytes == 5
+    assert quality_rules.statistics(docs).first().n_words == 2
+    assert decontam.contaminated(docs, spark.createDataFrame([(1, "some words")], "item_id long, text string")).count() == 0
+    assert html_extract.extract(docs.withColumnRenamed("text", "html")).count() == 1
