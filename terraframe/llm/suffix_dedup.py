@@ -304,14 +304,15 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, batch: int = BATCH) ->
     return out
 
 
-def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, batch: int = BATCH, as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, batch: int = BATCH, as_text: bool = False, with_text: bool = True) -> DataFrame:
     """``docs`` with kept (the remaining bytes), spans (removed runs, start and end) and n_bytes.
 
-    ``as_text``: kept as a string; characters that a cut has split are left out.
+    ``as_text``: kept as a string; characters that a cut has split are left out.  ``with_text``: if false,
+    the text column itself is left behind, and each text passes through once.
     """
     rows = keyed(without(docs, "kept", "spans", "n_bytes"), text_col)
     marks = removed_spans(rows, length, batch)
-    carried = [c for c in rows.columns if not c.startswith("__")]
+    carried = [c for c in rows.columns if not c.startswith("__") and (with_text or c != text_col)]
     # only texts that may lose something are moved
     split = marked(rows, "__th", marks.select("__th"))
     touched = split.filter("__may").join(marks, ["__th", "__tc"], "left")
@@ -354,13 +355,13 @@ def spans_of(places: list[int], ranges: list[bytes], length: int) -> tuple[list[
 
 def drop_repeated_passages(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated passages cut out of the texts; every row stays, n_chars (if there) follows."""
-    out = dedup(docs, text_col, length, as_text=True)
+    out = dedup(docs, text_col, length, as_text=True, with_text=False)
     new = {text_col: F.col("kept")} | ({"n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_columns(docs: DataFrame) -> DataFrame:
-    out = dedup(docs.select("doc_id", "text"))
+    out = dedup(docs.select("doc_id", "text"), with_text=False)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.end - x.start)
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
