@@ -4,10 +4,10 @@
    partition, summed by Spark; a constant number of cells).
 2. A randomised SVD of TF-IDF passages, distributed: partitions accumulate
    A'(A W) for a random W, the sums are added up and orthogonalised on the
-   driver (a constant size: cells by rank).  It is an index fit, so it takes a
-   bounded sample of documents (some ``fit_docs`` different texts, by hash) together
-   with all benchmark passages, which weigh more, so that the latent space spans
-   them.  There is one basis, whatever the number of items.
+   driver (a constant size: cells by rank).  It takes every document, copies
+   included as in the document frequencies, together with all benchmark passages,
+   which weigh more, so that the latent space spans them.  There is one basis,
+   whatever the number of items.
 3. Candidate search: every document's windows, of lengths that match the
    benchmark passages, are folded into the latent space and looked up by cosine
    in an index of the passages of that length (:class:`Index`: clusters around 3
@@ -159,14 +159,74 @@ def passages(items: list[tuple[int, str | None]], longest: int = 60) -> list[Ite
     return out
 
 
-def summed_rows(rows: DataFrame, make, width: int) -> np.ndarray:
-    """The sum over all partitions of a cells by width matrix that ``make`` adds to, in slices of 1024 cells."""
+PASSAGE = 32  # words of a passage of the fit
+FOLDED = 1000 * PASSAGE  # words added up at once
+OFTEN = 16  # a cell that occurs more often among them is counted by passage
+
+
+def accumulate(total: np.ndarray, parts: list[np.ndarray], scaled: np.ndarray, idf: np.ndarray) -> None:
+    """Add y to the row of ``total`` of every word of a passage, y: the passage's sum of ``scaled``, over its sum of squared ``idf``.
+
+    parts: the cells of the words of texts, each cut into passages; ``scaled`` and ``idf`` have a last row of zeros.
+    """
+    counts = [-(-len(x) // PASSAGE) for x in parts]
+    ends = np.cumsum(counts)
+    n = int(ends[-1]) if len(ends) else 0
+    if not n:
+        return
+    padded = np.full(n * PASSAGE, CELLS, np.int64)  # the last row
+    for x, e, k in zip(parts, ends, counts):
+        at = (int(e) - k) * PASSAGE
+        padded[at : at + len(x)] = x
+    y = np.zeros((n, scaled.shape[1]), np.float32)
+    row, square = np.empty_like(y), np.zeros(n, np.float32)
+    for place in np.ascontiguousarray(padded.reshape(n, PASSAGE).T):  # the passages' first words, their second ones, ...
+        y += np.take(scaled, place, axis=0, out=row, mode="clip")
+        square += idf[place] ** 2
+    y /= np.maximum(square, 1e-9)[:, None]
+    # the words by cell, the commonest cells first
+    at = np.flatnonzero(padded < CELLS)
+    ids = padded[at].astype(np.uint16)
+    order = np.argsort(ids, kind="stable")
+    ids, passage = ids[order], at[order] // PASSAGE
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    times = np.diff(np.r_[first, len(ids)])
+    order = np.argsort(-times, kind="stable")
+    first, times = first[order], times[order]
+    sums = np.zeros((len(first), y.shape[1]), np.float32)
+    often = int(np.count_nonzero(times > OFTEN))
+    if often:
+        t = times[:often]
+        place = passage[np.arange(int(t.sum())) + np.repeat(first[:often] - (np.cumsum(t) - t), t)]
+        sums[:often] = np.bincount(np.repeat(np.arange(often), t) * n + place, minlength=often * n).reshape(often, n).astype(np.float32) @ y
+    for k in range(OFTEN):  # the others' first occurrences, their second ones, ...
+        upto = int(np.count_nonzero(times > k))
+        if upto > often:
+            sums[often:upto] += y[passage[first[often:upto] + k]]
+    total[ids[first]] += sums
+
+
+def summed_rows(rows: DataFrame, parts_of, scaled: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A'(A W) over all rows, in slices of 1024 cells; ``parts_of`` gives the cells of a text's words, by what is cut into passages.
+
+    scaled: W times idf.  A task's sums are of a constant size; there are as many tasks as cores.
+    """
+    width = scaled.shape[1]
+    scaled, weights = np.vstack([scaled, np.zeros((1, width), np.float32)]), np.r_[idf, np.float32(0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CELLS, width), np.float32)
+        parts, n = [], 0
         for b in slices(batches, 1000):
             for t in strings(b.column(0)):
-                make(total, t)
+                for x in parts_of(t):
+                    for at in range(0, len(x), FOLDED):
+                        parts.append(x[at : at + FOLDED])
+                        n += len(parts[-1])
+                        if n >= FOLDED:
+                            accumulate(total, parts, scaled, weights)
+                            parts, n = [], 0
+        accumulate(total, parts, scaled, weights)
         for k in range(0, CELLS, 1024):
             if total[k : k + 1024].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + 1024].tobytes()], pa.binary())], ["cell", "v"])
@@ -176,43 +236,29 @@ def summed_rows(rows: DataFrame, make, width: int) -> np.ndarray:
         return pa.table({"cell": parts.column("cell")[:1], "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     out = np.zeros((CELLS, width), np.float32)
-    for cell, v in rows.coalesce(32).mapInArrow(run, "cell long, v binary").groupBy("cell").applyInArrow(add, "cell long, v binary").toLocalIterator():  # the sums: a constant size
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    for cell, v in rows.coalesce(tasks).mapInArrow(run, "cell long, v binary").groupBy("cell").applyInArrow(add, "cell long, v binary").toLocalIterator():  # the sums: a constant size
         out[cell : cell + 1024] = np.frombuffer(v, np.float32).reshape(-1, width)
+    out *= idf[:, None]
     return out
 
 
-def latent(docs: DataFrame, bench: DataFrame, idf: np.ndarray, share: float, rank: int = RANK, oversample: int = 16, seed: int = 5) -> np.ndarray:
+def latent(docs: DataFrame, bench: DataFrame, idf: np.ndarray, share: float = 1.0, rank: int = RANK, oversample: int = 16, seed: int = 5) -> np.ndarray:
     """Cells by rank: the leading right singular vectors of the TF-IDF passages, times idf.
 
     One basis for the whole benchmark, whatever its size: its passages are summed
-    up on the cluster like those of the documents.  docs: __text, bench: item, text.
+    up on the cluster like those of the documents.  docs: __text, bench: item, text;
+    share: of the texts, by hash, where a caller wants fewer than all.
     """
     width = rank + oversample
     rng = np.random.default_rng(seed)
     scaled = rng.standard_normal((CELLS, width), dtype=np.float32)
     scaled *= idf[:, None]
-
-    def accumulate(total: np.ndarray, ids: np.ndarray) -> None:
-        """Add a (a W) for the normalised passages of 32 words in ids."""
-        if not len(ids):
-            return
-        v = idf[ids]
-        first = np.arange(0, len(ids), 32)
-        y = np.add.reduceat(scaled[ids], first, axis=0) / np.maximum(np.add.reduceat(v * v, first), 1e-9)[:, None]
-        part = v[:, None] * y[np.arange(len(ids)) // 32]
-        order = np.argsort(ids, kind="stable")
-        cell, at = np.unique(ids[order], return_index=True)
-        total[cell] += np.add.reduceat(part[order], at, axis=0)
-
-    def of_item(total: np.ndarray, text: str | None) -> None:
-        for it in passages([(0, text)]):
-            accumulate(total, cells_of(it.words))
-
-    th = F.xxhash64("__text")
-    # different texts, so that no text's copies outgrow the bound
-    picked = docs.filter(F.pmod(th, F.lit(1_000_003)) < int(share * 1_000_003)).groupBy(th.alias("h")).agg(F.first("__text").alias("__text")).select("__text")
-    total = summed_rows(picked, lambda m, t: accumulate(m, scan(normal(t))[2]), width)
-    own = summed_rows(bench.select("text"), of_item, width)
+    if share < 1:
+        docs = docs.filter(F.pmod(F.xxhash64("__text"), F.lit(1_000_003)) < int(share * 1_000_003))
+    total = summed_rows(docs.select("__text"), lambda t: [scan(normal(t))[2]], scaled, idf)
+    own = summed_rows(bench.select("text"), lambda t: [cells_of(it.words) for it in passages([(0, t)])], scaled, idf)
+    del scaled
     size = float(np.linalg.norm(total)) or 1.0
     own *= np.float32(2.0 * size / (float(np.linalg.norm(own)) or 1.0))
     total += own
@@ -400,7 +446,7 @@ def leaks(docs: DataFrame, items: list[Item], basis: np.ndarray, cosine: float,
     return docs.select("__id", "__text", F.xxhash64("__text")).mapInArrow(run, MATCH)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.75, copy: float = 0.75, paraphrase: float = 0.6, least: int = 8, fit_docs: int = 4_000, item_block: int = 20_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.75, copy: float = 0.75, paraphrase: float = 0.6, least: int = 8, item_block: int = 20_000) -> DataFrame:
     """(id, th, item_id, share, cosine) for each row and benchmark item that it leaks; th: the hash of the row's text."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     spark = docs.sparkSession
@@ -417,7 +463,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         if basis is None:
             n, df = document_frequencies(rows)
             idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + 0.05
-            basis = latent(rows, bench, idf, min(1.0, fit_docs / max(n, 1)))
+            basis = latent(rows, bench, idf)
         found = leaks(rows, items, basis, cosine, copy, paraphrase, least)
         found = write_table(found, "op8-block") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)

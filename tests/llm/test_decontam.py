@@ -97,6 +97,36 @@ def test_svd_spans_the_benchmark(spark, make, words):
     assert np.abs(m @ m.T - np.eye(12)).max() < 0.6
 
 
+def test_fit_takes_every_document(spark, make, words, monkeypatch):
+    """The sum over 5,000 documents is that of all their passages, word by word."""
+    texts = [words(3 + i % 60, i) for i in range(4990)] + [None, ""] + [words(70, 1)] * 8
+    idf = np.random.default_rng(1).uniform(0.1, 5, D.CELLS).astype(np.float32)
+    took = []
+
+    plain = D.summed_rows
+
+    def summed(rows, *how):
+        out = plain(rows, *how)
+        took.append((rows.count(), how, out.copy()))
+        return out
+
+    monkeypatch.setattr(D, "summed_rows", summed)
+    monkeypatch.setattr(D, "document_frequencies", lambda rows: (len(texts), len(texts) * np.exp(-idf)))
+    item = spark.createDataFrame([(1, words(20, 9999))], "item_id long, text string")
+    assert D.contaminated(make(texts), item).count() == 0
+    n, how, got = took[0]
+    assert n == len(texts)
+    scaled = how[1]
+    idf = np.log((len(texts) + 1.0) / (len(texts) * np.exp(-idf) + 1.0)).astype(np.float32) + np.float32(0.05)
+    want = np.zeros_like(got)
+    for t in texts:
+        cells = D.cells_of(D.words_of(t)) if t else []
+        for at in range(0, len(cells), 32):
+            c = cells[at : at + 32]
+            np.add.at(want, c, idf[c][:, None] * scaled[c].sum(axis=0) / (idf[c] ** 2).sum())
+    assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
+
+
 @pytest.mark.parametrize("n", [1, 10, 300, 5000])
 def test_index_against_all_products(n):
     """Of the pairs above the cosine nearly all are found; of many passages few are compared."""
