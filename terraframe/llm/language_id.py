@@ -3,9 +3,9 @@
 For each document and language the log evidence is added up:
 
 * text: smoothed likelihoods of hashed byte trigrams of the letters, one model
-  per declared language, however rare, trained on a bounded sample of its rows
-  (about ``per_language`` rows each, by hash of the text); a rival class without
-  a language gives every trigram the same probability.  The sum is tempered, as
+  per declared language, however rare, trained on all its different texts (each
+  counts once, whatever its copies); a rival class without a language gives every
+  trigram the same probability.  The sum is tempered, as
   neighbouring trigrams are not independent;
 * declared markup language: P(declared | language), from counts of declared
   against text language over all rows;
@@ -13,8 +13,8 @@ For each document and language the log evidence is added up:
 * host: a prior smoothed level by level, host to domain to suffix to all, each
   level a grouped count over all rows.
 
-The text stage runs over Arrow batches once; everything after it works on a
-narrow written table with DataFrame functions.  A document is rejected if it
+The text is read by Arrow batches once to train and once to weigh it; everything
+after that works on a narrow written table with DataFrame functions.  A document is rejected if it
 has no letters, no language explains it better than the rival class, or the
 best posterior is under ``least``.
 
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, utf8
-from .storage import drop_table, read, without_rows, write_table
+from .storage import drop_table, marked, read, without_rows, write_table
 from .url_filter import host_of
 
 CELLS = 1 << 15
@@ -62,11 +62,15 @@ UNSEEN = 0.25
 NEVER = -60.0  # log probability under a language without a trigram
 
 
-def train(rows: DataFrame, per_language: int, support: int = 20) -> tuple[list[str], np.ndarray]:
+COUNTED = 1 << 20  # trigrams held before they are counted
+
+
+def train(rows: DataFrame, per_language: int | None = None, support: int = 20) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (cells by languages, the rival class last); rows: declared, text.
 
-    Every declared language with letters gets a model; under ``support`` trigrams over all of them there is
-    nothing to learn from.
+    Every declared language with letters gets a model of all its different texts; under ``support`` trigrams over
+    all of them there is nothing to learn from.  per_language: of about so many rows each, by hash of the text, where
+    a caller wants fewer than all.
     """
     counted = rows.filter("declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared")
     counted = counted.collect()  # a row for each language
@@ -75,18 +79,29 @@ def train(rows: DataFrame, per_language: int, support: int = 20) -> tuple[list[s
     if not names:
         return nothing
     place = {n: i for i, n in enumerate(names)}
-    # only languages above per_language rows are sampled
-    limit = {r[0]: int(per_language / r[1] * 1_000_003) for r in counted if r[1] > per_language}
-    sample = rows.filter("declared <> ''")
-    if limit:
+    known = rows.filter("declared <> ''").select("declared", "text", F.xxhash64("text").alias("h"))
+    limit = {r[0]: int(per_language / r[1] * 1_000_003) for r in counted if r[1] > per_language} if per_language else {}
+    if limit:  # only languages above per_language rows
         share = F.create_map(*[F.lit(x) for n in limit.items() for x in n])
-        sample = sample.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.coalesce(F.element_at(share, F.col("declared")), F.lit(1_000_003)))
-
-    # different texts, so that no text's copies outgrow the bound
-    sample = sample.groupBy("declared", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+        known = known.filter(F.pmod("h", F.lit(1_000_003)) < F.coalesce(F.element_at(share, F.col("declared")), F.lit(1_000_003)))
+    # each different text once, so that one text's copies do not make the model; only texts that may repeat are moved
+    known = marked(known, "h", known.groupBy("declared", "h").count().filter("count > 1"))
+    once, again = (known.filter(c).select("declared", "text") for c in ("not __may", "__may"))
+    known = once.unionByName(again.dropDuplicates(["declared", "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        held: dict[int, list[np.ndarray]] = {}
+        n = 0
+
+        def count() -> Iterator[pa.RecordBatch]:
+            for k, cells in held.items():
+                if k not in total:
+                    if len(total) >= 64:  # the counts of so many languages are held at a time
+                        yield from flush()
+                    total[k] = np.zeros(CELLS, np.int64)
+                total[k] += np.bincount(np.concatenate(cells), minlength=CELLS)
+            held.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             for k, t in total.items():
@@ -96,16 +111,17 @@ def train(rows: DataFrame, per_language: int, support: int = 20) -> tuple[list[s
 
         for b in slices(batches):
             for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                k = place[d]
-                if k not in total:
-                    if len(total) >= 64:  # the counts of so many languages are held at a time
-                        yield from flush()
-                    total[k] = np.zeros(CELLS, np.int64)
-                total[k] += np.bincount(trigrams(t), minlength=CELLS)
+                cells = trigrams(t)
+                held.setdefault(place[d], []).append(cells)
+                n += len(cells)
+                if n >= COUNTED:
+                    yield from count()
+                    n = 0
+        yield from count()
         yield from flush()
 
     p = np.zeros((len(names) + 1) * CELLS, np.float32)
-    got = sample.select("declared", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x cells at most
+    got = known.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x cells at most
     p[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     p = p.reshape(-1, CELLS)
     sums = p.sum(axis=1, dtype=np.float64)
@@ -179,7 +195,7 @@ def evidence_table(voted: DataFrame, name: str, overall: list[float], width: int
     return c.select(F.col("key").alias(name), F.zip_with("c", totals, lambda n, t: F.log((n + strength * t) / t)).alias("e"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int = 1000, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5, scratch: list[DataFrame] | None = None) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int | None = None, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5, scratch: list[DataFrame] | None = None) -> DataFrame:
     """(id_col, th, declared, language, posterior, n_trigrams, kept) for every row; th: the hash of its text."""
     null = F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(declared if declared is not None else null).alias("declared"), F.lower(host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"), (text if text is not None else F.col("text")).cast("string").alias("text"))

@@ -81,6 +81,23 @@ def test_against_a_plain_sum(spark, corpus):
     assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_models_take_every_different_text(spark, monkeypatch):
+    """The models of a table with 2,600 rows of one language are those of all its texts, each once."""
+    rows = [(i, prose("aa", 12, i), "AA" if i % 2 else "aa") for i in range(2600)] + [(3000 + i, prose("cc", 12, 1), "aa") for i in range(200)]
+    rows += [(4000 + i, prose("bb", 12, i % 25), "bb") for i in range(50)] + [(5000, None, "aa"), (5001, None, "aa"), (5002, prose("bb", 9, 1), None), (5003, prose("aa", 12, 3), "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    took = []
+    plain = L.text_evidence
+    monkeypatch.setattr(L, "text_evidence", lambda rows, table: took.append(table) or plain(rows, table))
+    assert L.identify(df, declared=F.col("lang")).count() == len(rows)
+    counts = np.zeros((2, L.CELLS))
+    for d, t in {(d.lower(), t) for _, t, d in rows if d and t}:
+        counts["aa bb".split().index(d)] += np.bincount(L.trigrams(t.encode()), minlength=L.CELLS)
+    seen, sums = np.count_nonzero(counts.any(axis=0)), counts.sum(axis=1, keepdims=True)
+    add = np.minimum(0.5, L.UNSEEN * sums / seen)
+    assert np.allclose(took[0][:, :2].T, np.log((counts + add) / (sums + add * seen)), atol=1e-4)
+
+
 def test_nothing_to_learn_and_empty(spark, make):
     df = make([(1, "abc def"), (2, None)])
     assert [r.kept for r in L.identify(df, declared=F.col("lang")).collect()] == [False, False]
