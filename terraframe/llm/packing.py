@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import utf8
-from .storage import read, write_table
+from .storage import files, read, write_table
 from .tokenizers import ByteBpe
 
 WINDOW = 1024
@@ -56,6 +56,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["id", "part", "before", "n", "ids"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = narrow.coalesce(files(docs))  # before the run: a task's partition has one number and one count
     return write_table(narrow.mapInArrow(run, "id long, part int, before long, n long, ids binary"), "op2-tokens")
 
 

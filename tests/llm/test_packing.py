@@ -74,3 +74,30 @@ def test_the_query(spark, make, words, tmp_path, monkeypatch):
 
 def test_empty(make):
     assert P.pack(make([])).count() == 0
+
+
+def test_many_small_partitions_make_few_files(spark, make, words, tmp_path):
+    rows = [(i, words(30 + i, i)) for i in range(60)]
+    make(rows).repartition(60).write.parquet(str(tmp_path / "documents.parquet"))
+    own = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        cores = spark.sparkContext.defaultParallelism
+        assert docs.rdd.getNumPartitions() > 2 * cores
+        tokens = P.tokenized(docs)
+        assert len(tokens.inputFiles()) <= cores
+        at = {}
+        for r in sorted(tokens.collect(), key=lambda r: (r.part, r.before)):
+            assert r.before == at.get(r.part, 0)
+            at[r.part] = r.before + r.n
+        pieces = P.pack(docs).collect()
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+    assert sum(p.length for p in pieces) == sum(len(ids_of(t)) for _, t in rows)
+    by_doc = {}
+    for p in sorted(pieces, key=lambda p: p.start):
+        by_doc[p.doc_id] = by_doc.get(p.doc_id, b"") + bytes(p.ids)
+    assert {i: np.frombuffer(x, "<u4").tolist() for i, x in by_doc.items()} == {i: ids_of(t) for i, t in rows}
