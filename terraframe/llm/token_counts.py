@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, strings
-from .storage import marked, read, write_table
+from .storage import files, marked, read, write_table
 from .tokenizers import ByteBpe, chunks
 
 LEAF = 32
@@ -275,7 +275,7 @@ def recount(trees: DataFrame, docs: DataFrame, edits: DataFrame, id_col: str = "
     """
     by = edits.select("id", "th", "start", "end", "new").distinct().groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end", "new"))).alias("edits"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    asked = write_table(trees.alias("t").join(by.alias("e"), same(trees, by), "left").select("t.*", "e.edits"), "op5-asked")
+    asked = write_table(trees.alias("t").join(by.alias("e"), same(trees, by), "left").select("t.*", "e.edits"), "op5-asked", parts=files(trees))
     todo, rest = asked.filter("edits is not null"), asked.filter("edits is null")
     # only texts that may be edited are moved, equal rows once
     some = marked(versions(docs, id_col, text_col), "th", todo.select("th")).filter("__may").groupBy("id", "th").agg(F.first("text").alias("text"))
@@ -317,7 +317,8 @@ def trees_after(recounted: DataFrame) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, before and after the cleaning edits, one row each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    trees = write_table(build(docs), "op5-trees")
+    few = files(docs)
+    trees = write_table(build(docs), "op5-trees", parts=few)
     found = recount(trees, docs, edits_of(docs))
     each = found.select("id", *COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return each.select(F.col("id").alias("doc_id"), *COLUMNS[1:])
+    return each.select(F.col("id").alias("doc_id"), *COLUMNS[1:]).coalesce(few)

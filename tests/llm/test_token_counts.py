@@ -118,3 +118,26 @@ def test_a_second_round_of_edits_uses_the_kept_trees(spark, make, words):
     assert second[0].n_tokens_after == c.count(applied(now[0], [(55, 56, "y")])) and second[3].n_tokens_after == c.count(texts[3][3:])
     assert second[1].n_tokens_after == c.count(now[1]) and second[1].n_reencoded == 0
     assert all(0 < second[i].n_reencoded <= 4 * T.LEAF for i in (0, 3))
+
+
+def test_many_shuffle_partitions_make_few_files(spark, make, words, tmp_path, monkeypatch):
+    rows = [(i, words(20 + i, i) + " 1.2.3.4" * (i % 2)) for i in range(80)]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    tables, write = [], T.write_table
+    monkeypatch.setattr(T, "write_table", lambda *a, **b: tables.append(write(*a, **b)) or tables[-1])
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        out = T.op5_token_counts(spark, str(tmp_path))
+        out.write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = spark.sparkContext.defaultParallelism
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert len(tables) == 2 and all(len(x.inputFiles()) <= most for x in [*tables, found])
+    c = T.Counter()
+    want = [(i, c.count(t), c.count(applied(t, T.cleaning_edits(t)))) for i, t in rows]
+    assert sorted((r.doc_id, r.n_tokens, r.n_tokens_after) for r in found.collect()) == want
