@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, strings
-from .storage import read, without_rows, write_table
+from .storage import files, read, without_rows, write_table
 
 CELLS = 1 << 16
 RANK = 48
@@ -482,7 +482,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that leak a benchmark item: a row is known by its id and the hash of its text."""
     found = matches(docs, benchmark, id_col, text_col).select(F.col("id").alias("__lid"), F.col("th").alias("__lth")).distinct()
-    return without_rows(docs, write_table(found, "op8-leaks"), id_col, F.col(f"`{text_col}`"))
+    return without_rows(docs, write_table(found, "op8-leaks", parts=files(docs)), id_col, F.col(f"`{text_col}`"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

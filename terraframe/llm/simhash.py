@@ -280,12 +280,12 @@ def split_buckets(members: DataFrame, parts: list[tuple[list[int], int]], distan
     return split.join(sizes, keys).select(*keys, "fp", cells.alias("c")).select(*keys, "c.ci", "c.cj", "fp")
 
 
-def links(fps: DataFrame, distance: int = 4, chunk: int = 2048, scratch: list[DataFrame] | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, chunk: int = 2048, scratch: list[DataFrame] | None = None, files: int | None = None) -> DataFrame:
     """Spanning-forest edges (a, b) of all links among distinct ``fps``, bucket by bucket."""
     parts = plan(fps, distance)
     sig = fps.select("fp", signatures(parts).alias("s")).select("fp", "s.part", "s.value")
     bucket, keys = ["part", "value"], ["part", "value", "sub", "rest", "ci", "cj"]
-    sizes = write_table(sig.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1"), "op1-sizes", scratch)
+    sizes = write_table(sig.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1"), "op1-sizes", scratch, files)
     large = sizes.filter(F.col("size") > chunk).select(*bucket)
     zero = F.lit(0).cast("long")
     cells = sig.join(sizes.filter(F.col("size") <= chunk), bucket).select(*bucket, F.lit(-1).alias("sub"), zero.alias("rest"), F.lit(0).alias("ci"), F.lit(0).alias("cj"), "fp")
@@ -424,7 +424,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle:
     parts = splits(rows)
     fps = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "op1-distinct", parts=parts)
     own_scratch: list[DataFrame] = [fps]
-    roots = connected(links(fps.select("fp"), distance, scratch=own_scratch), "op1-components", parts=parts)
+    roots = connected(links(fps.select("fp"), distance, scratch=own_scratch, files=parts), "op1-components", parts=parts)
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     own = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = write_table(join_split(labelled.select("fp", "root"), own, ["root"]).select("fp", "root", "component_id"), "op1-labels", scratch, parts)
