@@ -29,6 +29,7 @@ ids are carried as they are; empty tables give an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import slices, strings
-from .storage import files, read, without_rows, write_table
+from .arrow import slices, strings, tidy
+from .storage import files, read, small_batches, without_rows, write_table
 
 CELLS = 1 << 16
 RANK = 48
@@ -106,6 +107,7 @@ def cells_of(words: list[bytes]) -> np.ndarray:
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Documents, and documents per cell, over all of ``docs`` (column __text)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros(CELLS, np.int64)
         for b in slices(batches, 1000):
@@ -127,7 +129,8 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, total[at]])], ["cell", "n"])
 
     out, n = np.zeros(CELLS, np.int64), 0
-    got = docs.select("__text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows and one
+    with small_batches(docs.sparkSession):
+        got = docs.select("__text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows and one
     cell, k = got.column("cell").to_numpy(), got.column("n").to_numpy()
     out[cell[cell >= 0]] = k[cell >= 0]
     n = int(k[cell < 0].sum())
@@ -206,15 +209,40 @@ def accumulate(total: np.ndarray, parts: list[np.ndarray], scaled: np.ndarray, i
     total[ids[first]] += sums
 
 
-def summed_rows(rows: DataFrame, parts_of, scaled: np.ndarray, idf: np.ndarray) -> np.ndarray:
+class Drawn:
+    """W times idf: a random matrix, cells by ``width``, which travels as its seed and is drawn where it is used."""
+
+    def __init__(self, idf: np.ndarray, width: int, seed: int):
+        self.idf, self.width, self.seed = idf, width, seed
+
+    def matrix(self) -> np.ndarray:
+        """It, with a last row of zeros."""
+        out = np.zeros((CELLS + 1, self.width), np.float32)
+        np.random.default_rng(self.seed).standard_normal(dtype=np.float32, out=out[:CELLS])
+        out[:CELLS] *= self.idf[:, None]
+        return out
+
+    @functools.cached_property
+    def _kept(self) -> np.ndarray:
+        return self.matrix()
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        return self._kept[cells]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
+
+def summed_rows(rows: DataFrame, parts_of, drawn: Drawn, idf: np.ndarray) -> np.ndarray:
     """A'(A W) over all rows, in slices of 1024 cells; ``parts_of`` gives the cells of a text's words, by what is cut into passages.
 
-    scaled: W times idf.  A task's sums are of a constant size; there are as many tasks as cores.
+    drawn: W times idf.  A task's sums are of a constant size; there are as many tasks as cores.
     """
-    width = scaled.shape[1]
-    scaled, weights = np.vstack([scaled, np.zeros((1, width), np.float32)]), np.r_[idf, np.float32(0)]
+    width = drawn.width
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scaled, weights = drawn.matrix(), np.r_[idf, np.float32(0)]
         total = np.zeros((CELLS, width), np.float32)
         parts, n = [], 0
         for b in slices(batches, 1000):
@@ -237,8 +265,9 @@ def summed_rows(rows: DataFrame, parts_of, scaled: np.ndarray, idf: np.ndarray)
 
     out = np.zeros((CELLS, width), np.float32)
     tasks = rows.sparkSession.sparkContext.defaultParallelism
-    for cell, v in rows.coalesce(tasks).mapInArrow(run, "cell long, v binary").groupBy("cell").applyInArrow(add, "cell long, v binary").toLocalIterator():  # the sums: a constant size
-        out[cell : cell + 1024] = np.frombuffer(v, np.float32).reshape(-1, width)
+    with small_batches(rows.sparkSession):
+        for cell, v in rows.coalesce(tasks).mapInArrow(run, "cell long, v binary").groupBy("cell").applyInArrow(add, "cell long, v binary").toLocalIterator():  # the sums: a constant size
+            out[cell : cell + 1024] = np.frombuffer(v, np.float32).reshape(-1, width)
     out *= idf[:, None]
     return out
 
@@ -251,14 +280,11 @@ def latent(docs: DataFrame, bench: DataFrame, idf: np.ndarray, share: float = 1.
     share: of the texts, by hash, where a caller wants fewer than all.
     """
     width = rank + oversample
-    rng = np.random.default_rng(seed)
-    scaled = rng.standard_normal((CELLS, width), dtype=np.float32)
-    scaled *= idf[:, None]
+    drawn = Drawn(idf, width, seed)
     if share < 1:
         docs = docs.filter(F.pmod(F.xxhash64("__text"), F.lit(1_000_003)) < int(share * 1_000_003))
-    total = summed_rows(docs.select("__text"), lambda t: [scan(normal(t))[2]], scaled, idf)
-    own = summed_rows(bench.select("text"), lambda t: [cells_of(it.words) for it in passages([(0, t)])], scaled, idf)
-    del scaled
+    total = summed_rows(docs.select("__text"), lambda t: [scan(normal(t))[2]], drawn, idf)
+    own = summed_rows(bench.select("text"), lambda t: [cells_of(it.words) for it in passages([(0, t)])], drawn, idf)
     size = float(np.linalg.norm(total)) or 1.0
     own *= np.float32(2.0 * size / (float(np.linalg.norm(own)) or 1.0))
     total += own
@@ -271,6 +297,7 @@ def latent(docs: DataFrame, bench: DataFrame, idf: np.ndarray, share: float = 1.
     q *= idf[:, None]
 
     # rotate into singular directions of the benchmark passages and keep the leading ones
+    @tidy
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((width, width))
         for b in batches:
@@ -280,7 +307,8 @@ def latent(docs: DataFrame, bench: DataFrame, idf: np.ndarray, share: float = 1.
                     g += np.outer(a, a)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(g.ravel())], ["i", "v"])
 
-    parts = bench.select("text").coalesce(8).mapInArrow(gram, "i long, v double").groupBy("i").agg(F.sum("v")).collect()  # width squared rows
+    with small_batches(bench.sparkSession):
+        parts = bench.select("text").coalesce(8).mapInArrow(gram, "i long, v double").groupBy("i").agg(F.sum("v")).collect()  # width squared rows
     g = np.zeros(width * width)
     for i, v in parts:
         g[i] = v
@@ -418,6 +446,7 @@ def leaks(docs: DataFrame, items: list[Item], basis: np.ndarray, cosine: float,
 
     basis0 = np.vstack([basis, np.zeros((1, basis.shape[1]), np.float32)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1000):
             out: dict[tuple[int, int], tuple[float, float]] = {}

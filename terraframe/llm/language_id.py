@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import slices, utf8
-from .storage import drop_table, marked, read, without_rows, write_table
+from .arrow import slices, tidy, utf8
+from .storage import drop_table, marked, read, small_batches, without_rows, write_table
 from .url_filter import host_of
 
 CELLS = 1 << 15
@@ -89,6 +89,7 @@ def train(rows: DataFrame, per_language: int | None = None, support: int = 20) -
     once, again = (known.filter(c).select("declared", "text") for c in ("not __may", "__may"))
     known = once.unionByName(again.dropDuplicates(["declared", "text"]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         held: dict[int, list[np.ndarray]] = {}
@@ -121,7 +122,8 @@ def train(rows: DataFrame, per_language: int | None = None, support: int = 20) -
         yield from flush()
 
     p = np.zeros((len(names) + 1) * CELLS, np.float32)
-    got = known.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x cells at most
+    with small_batches(rows.sparkSession):
+        got = known.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x cells at most
     p[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     p = p.reshape(-1, CELLS)
     sums = p.sum(axis=1, dtype=np.float64)
@@ -143,6 +145,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """id, declared, host, suffix, th, n, ll: the text's hash and the log likelihoods of the whole text."""
     width = table.shape[1]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, ll = [], np.zeros((b.num_rows, width))

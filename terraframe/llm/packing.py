@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import utf8
+from .arrow import tidy, utf8
 from .storage import files, read, write_table
 from .tokenizers import ByteBpe
 
@@ -43,6 +43,7 @@ BROADCAST_ROWS = 1_000_000
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0) -> DataFrame:
     """(id, part, before, n, ids): the written result of pass 1."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)
         part, before = TaskContext.get().partitionId(), 0

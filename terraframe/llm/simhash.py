@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import groups, slices, utf8
+from .arrow import groups, slices, tidy, utf8
 from .components import connected
 from .storage import drop_table, join_split, marked, read, splits, without_rows, write_table
 
@@ -95,6 +95,7 @@ def bands(parts: list[np.ndarray]) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, banded: bool = False) -> DataFrame:
     """(id, th, fp): the text's hash and its fingerprint as signed 64-bit numbers; with the band keys if ``banded``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp, keys = [], []
@@ -118,6 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Rows, and the 64 x 64 co-occurrence counts, over all of ``fps``; summed by Spark."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((BITS, BITS), np.int64), 0
         for b in batches:
@@ -292,6 +294,7 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 2048, scratch: list[Da
     if not large.isEmpty():
         cells = cells.unionByName(split_buckets(sig.join(large, bucket), parts, distance, chunk))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b, held = [], [], 0
         for g in groups(batches, keys):
@@ -347,6 +350,7 @@ def hooked(edges: DataFrame) -> DataFrame:
 def shingle_sets(asked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(th, s): the sets of shingle hashes of the texts whose hash is in ``asked`` (and of some more); texts: th, text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             th = b.column(0).to_numpy(zero_copy_only=False)
@@ -361,6 +365,7 @@ def shingle_sets(asked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b, ra, rb) of texts whose sets of shingles have that Jaccard similarity."""
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 100):
             ok = []

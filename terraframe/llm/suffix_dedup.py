@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import slices, utf8, whole_groups
+from .arrow import slices, tidy, utf8, whole_groups
 from .storage import drop_table, join_split, marked, read, splits, without, write_table
 
 LENGTH, ANCHOR = 200, 32
@@ -99,6 +99,7 @@ def all_segments(docs: DataFrame, length: int) -> DataFrame:
     p = first window << 16 | anchor offset << 8 | windows - 1.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = powers(BLOCK + length)
         for b in slices(batches):
@@ -178,6 +179,7 @@ def shared_windows(texts: list[bytes], left: np.ndarray, group: np.ndarray, leng
 def repeated(candidates: DataFrame, length: int) -> DataFrame:
     """(h, c, k, ranges): runs of repeated windows in each segment, as (first, last) pairs of shorts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["h"], 4_000):
             h = t.column("h").to_numpy()
@@ -218,6 +220,7 @@ def dealt(large: DataFrame, length: int, width: int) -> DataFrame:
     equal ones, at equal distances.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 100):
             rows, at, off, parts, cores = [], [], [], [], []
@@ -245,6 +248,7 @@ def dealt(large: DataFrame, length: int, width: int) -> DataFrame:
 def regathered(pieces: DataFrame, marks: DataFrame) -> DataFrame:
     """The marks of segments from those of their pieces."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.concatenate([np.frombuffer(m["ranges"], "<i2") + np.int16(m["at"]) for m in ms]).astype("<i2").tobytes() for ms in b.column(3).to_pylist()]
@@ -320,6 +324,7 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, batch:
     schema = rows.select(*[F.col(f"`{c}`") for c in carried]).schema
     out = T.StructType([*schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("n_bytes", T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(carried)
         for b in slices(batches):

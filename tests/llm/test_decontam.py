@@ -176,3 +176,14 @@ def test_pieces_of_long_texts(spark, make, words, monkeypatch):
     text = " ".join(words(70, 100 + i) + " " + items[i][1] for i in range(20))
     got = D.contaminated(make([(1, text)]), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted(r.item_id for r in got) == list(range(20))
+
+
+def test_the_random_matrix_travels_as_its_seed():
+    from pyspark import cloudpickle
+
+    idf = np.random.default_rng(1).uniform(0.1, 5, D.CELLS).astype(np.float32)
+    drawn = D.Drawn(idf, 64, 5)
+    want = np.random.default_rng(5).standard_normal((D.CELLS, 64), dtype=np.float32) * idf[:, None]
+    assert (drawn[np.arange(D.CELLS)] == want).all() and not drawn.matrix()[-1].any()
+    sent = cloudpickle.dumps(drawn)
+    assert len(sent) < 1 << 20 and (cloudpickle.loads(sent)[np.array([3, 70])] == want[[3, 70]]).all()

@@ -91,3 +91,36 @@ def test_invalid_utf8(spark):
     assert quality_rules.statistics(docs).first().n_words == 2
     assert decontam.contaminated(docs, spark.createDataFrame([(1, "some words")], "item_id long, text string")).count() == 0
     assert html_extract.extract(docs.withColumnRenamed("text", "html")).count() == 1
+
+
+def test_workers_give_back_what_a_function_has_left_free(tmp_path):
+    import subprocess
+    import sys
+
+    script = """
+import re, numpy as np, pyarrow as pa
+from terraframe.llm.arrow import tidy
+
+def held():
+    return sum(int(x) for x in re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())) / 1024
+
+pins = []
+
+@tidy
+def run(batches):
+    many = [np.ones(12_000) for _ in range(2000)]  # 192 MB in pieces that malloc does not map on their own
+    pins.append(many[-1])  # on top of all that is free afterwards
+    for b in batches:
+        yield b.slice(0, len(many))
+
+batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+at = held()
+assert [b.num_rows for b in run(iter([batch]))] == [2]
+assert held() < at + 40, (at, held())
+shut = run(iter([batch, batch]))
+next(shut)
+shut.close()  # ends early: given back too
+assert held() < at + 40, (at, held())
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=S.__file__.split("/terraframe/")[0], timeout=120)
+    assert done.returncode == 0, done.stderr
