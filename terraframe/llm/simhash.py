@@ -31,39 +31,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import groups, slices, tidy, utf8
 from .components import connected
-from .storage import drop_table, join_split, marked, read, splits, without_rows, write_table
+from .minhash import DRAWN, drawn_columns, drawn_from, joined
+from .shingles import hashes
+from .storage import drop_table, join_split, read, splits, without_rows, write_table
 
 BITS = 64
-#: Two texts of similarity s share a band with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.99 at 0.8.
-BANDS, BAND_ROWS = 20, 7
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: All pairs of a band's bucket are compared up to so many members (or groups), above it those with its hubs.
-FEW = 16
-
-
-def hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
-    """XXH64 of the shingles, with repeats, some at a time; of a shorter text as a whole; of no words nothing."""
-    words = text.lower().split()  # A-Z only; white space is 0x20 and 0x09-0x0D
-    if not words:
-        return
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        yield np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-        return
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens + 1) - 1
-    starts = ends - lens
-    n = len(words) - shingle + 1
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):
-        to = min(n, at + (1 << 16))
-        yield np.array([digest(joined[s:e], 42) for s, e in zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist())], np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -79,38 +56,25 @@ def voted(parts: Iterable[np.ndarray]) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def bands(parts: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys of BAND_ROWS least hashes each."""
-    if not parts:
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for h in parts:
-        for at in range(0, len(h), 1024):
-            np.minimum(least, (h[None, at : at + 1024] * _FACTORS[:, None]).min(axis=1), out=least)
-    least = (least ^ least >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    keys = (least.reshape(BANDS, BAND_ROWS) * _FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64)
-    return (keys ^ keys >> np.uint64(31)).view(np.int64)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, banded: bool = False) -> DataFrame:
-    """(id, th, fp): the text's hash and its fingerprint as signed 64-bit numbers; with the band keys if ``banded``."""
+    """(id, th, fp): the text's hash and its fingerprint as signed 64-bit numbers; with MinHash keys and sketches if ``banded``."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp, keys = [], []
+            fp, own = [], []
             for t in utf8(b.column(2)):
                 parts = hashes(t, shingle)
                 if banded:
                     parts = list(parts)
-                    keys.append(bands(parts))
+                    own.append(drawn_from(parts))
                 fp.append(voted(parts))
             out = [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(keys, pa.list_(pa.int64()))] * banded, ["id", "th", "fp"] + ["bands"] * banded)
+            yield pa.RecordBatch.from_arrays(out + (drawn_columns(own) if banded else []), ["id", "th", "fp"] + ["n", "bands", "sketch"] * banded)
 
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return narrow.mapInArrow(run, "id long, th long, fp long" + ", bands array<long>" * banded)
+    return narrow.mapInArrow(run, "id long, th long, fp long" + f", {DRAWN}" * banded)
 
 
 # -- planning ---------------------------------------------------------------
@@ -316,115 +280,19 @@ def links(fps: DataFrame, distance: int = 4, chunk: int = 2048, scratch: list[Da
 # -- similarity -------------------------------------------------------------
 
 
-def few_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, ra, rb): the pairs of texts of different roots in each bucket of a few ``members``, with their roots."""
-    held = members.groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("th", "root"))).alias("m"))
-    m = F.col("m")
-    pair = lambda x, y: F.struct(x["th"].alias("a"), y["th"].alias("b"), x["root"].alias("ra"), y["root"].alias("rb"))
-    pairs = F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (y["th"] > x["th"]) & (y["root"] != x["root"])), lambda y: pair(x, y))))
-    return held.select(F.explode(pairs).alias("p")).select("p.*")
-
-
-def hub_pairs(members: DataFrame, salt: int) -> DataFrame:
-    """(a, b, ra, rb): every member of a bucket with two of them.
-
-    The one hub is the text that meets most others in all bands, so the middle of
-    a group of copies; the other one is drawn, another in each band and round.
-    """
-    own = F.struct("th", "root")
-    hubs = members.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.array(F.max_by(own, F.struct("meets", "th")), F.min_by(own, F.xxhash64("root", "band", F.lit(salt)))).alias("hubs"))
-    hubs = hubs.filter("r0 <> r1").select("band", "key", "hubs")
-    met = join_split(members, hubs, ["band", "key"]).select("th", "root", F.explode("hubs").alias("h")).filter("root <> h.root")
-    low = F.col("th") < F.col("h.th")
-    ends = [F.when(low, x).otherwise(y) for x, y in ((F.col("th"), F.col("h.th")), (F.col("h.th"), F.col("th")), (F.col("root"), F.col("h.root")), (F.col("h.root"), F.col("root")))]
-    return met.select(*[e.alias(n) for e, n in zip(ends, ("a", "b", "ra", "rb"))])
-
-
-def hooked(edges: DataFrame) -> DataFrame:
-    """(root, to): the least label within two steps, which makes a hub and its members one; others follow in later rounds."""
-    both = edges.select("ra", "rb").union(edges.select("rb", "ra"))
-    one = both.groupBy("ra").agg(F.min("rb").alias("m")).select(F.col("ra").alias("rb"), F.least("ra", "m").alias("m"))
-    return join_split(both, one, ["rb"]).groupBy("ra").agg(F.min("m").alias("m")).select(F.col("ra").alias("root"), F.least("ra", "m").alias("to"))
-
-
-def shingle_sets(asked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(th, s): the sets of shingle hashes of the texts whose hash is in ``asked`` (and of some more); texts: th, text."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            th = b.column(0).to_numpy(zero_copy_only=False)
-            picked = b.take(pa.array(np.unique(th, return_index=True)[1]))
-            sets = [np.unique(np.concatenate(h)).tobytes() if (h := list(hashes(t, shingle))) else b"" for t in utf8(picked.column(1))]
-            yield pa.RecordBatch.from_arrays([picked.column(0), pa.array(sets, pa.binary())], ["th", "s"])
-
-    some = marked(texts, "th", asked).filter("__may").select("th", "text")
-    return some.mapInArrow(run, "th long, s binary").groupBy("th").agg(F.first("s").alias("s"))  # equal texts have equal sets
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b, ra, rb) of texts whose sets of shingles have that Jaccard similarity."""
-
-    @tidy
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 100):
-            ok = []
-            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9 and both > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:4]], ["a", "b", "ra", "rb"])
-
-    x, y = (sets.select(F.col("th").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "ra", "rb", "sa", "sb")
-    return both.mapInArrow(compare, "a long, b long, ra long, rb long")
-
-
 def merged(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float, parts: int | None = None) -> DataFrame:
-    """(th, root) for every text, where groups with a pair of texts of that similarity are one; a written table.
-
-    Only texts that share a band with one of another group take part.  In the
-    first round all pairs of small buckets are compared, and each text of a larger
-    one with its hubs; in each round after it a member of each group with the
-    groups of the hubs, until that joins none.
-    """
+    """(th, root) for every text, where groups with a pair of texts of that similarity are one (see minhash); a written table."""
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
-    scratch: list[DataFrame] = []
-    own = write_table(found.groupBy("th").agg(F.first("root").alias("root"), F.first("bands").alias("bands")), "op1-bands", scratch, parts)
-    members = own.select("th", "root", F.posexplode("bands").alias("band", "key"))
-    open_ = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key", "size")
-    members = write_table(join_split(members, open_, ["band", "key"]), "op1-open", scratch, parts)
-    meets = members.groupBy("th").agg(F.sum("size").alias("meets"))
-    sets = write_table(shingle_sets(meets.select("th"), texts, shingle), "op1-sets", scratch, parts)
-    members = write_table(join_split(members, meets, ["th"]), "op1-members", scratch, parts)
-    pairs = few_pairs(members.filter(F.col("size") <= FEW)).union(hub_pairs(members.filter(F.col("size") > FEW), 0))
-    edges, labels, salt = None, None, 0
-    while True:
-        new = write_table(similar(pairs.dropDuplicates(["a", "b"]), sets, similarity), "op1-similar", scratch, parts)
-        if new.isEmpty():
-            break
-        edges = new if edges is None else edges.union(new)
-        to = hooked(new)
-        labels = to if labels is None else labels.withColumnRenamed("to", "mid").join(to.withColumnsRenamed({"root": "mid"}), "mid", "left").select("root", F.coalesce("to", "mid").alias("to")).union(to.join(labels.select("root"), "root", "left_anti"))
-        labels = write_table(labels, "op1-hooked", scratch, parts)
-        salt += 1
-        # a text stands for its group, another one in each band and round
-        now = members.join(labels, "root", "left").select("th", "band", "key", "meets", F.coalesce("to", "root").alias("root"))
-        drawn = F.min_by(F.struct("th", "meets"), F.xxhash64("th", "band", F.lit(salt))).alias("t")
-        pairs = hub_pairs(now.groupBy("band", "key", "root").agg(drawn).select("band", "key", "root", "t.*"), salt)
-    roots = own.select("th", "root")
-    if edges is not None:
-        joined = connected(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "op1-merged", parts=parts)
-        scratch.append(joined)
-        roots = roots.join(joined.toDF("root", "top"), "root", "left").select("th", F.coalesce("top", "root").alias("root"))
-    roots = write_table(roots, "op1-roots", parts=parts)
-    drop_table(*scratch)
+    firsts = [F.first(c).alias(c) for c in ("root", "n", "bands", "sketch")]
+    own = write_table(found.groupBy("th").agg(*firsts), "op1-texts", parts=parts)
+    roots = joined(own, texts, shingle, round(100 * similarity), "op1-similar", parts)
+    drop_table(own)
     return roots
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, banded: bool = False, scratch: list[DataFrame] | None = None) -> DataFrame:
-    """(id, th, fp, component_id, root) for every row of ``docs``; root numbers the components; with ``bands`` if asked."""
+    """(id, th, fp, component_id, root) for every row of ``docs``; root numbers the components; with MinHash columns if ``banded``."""
     rows = write_table(fingerprints(docs, id_col, text_col, shingle, banded), "op1-fingerprints", scratch)
     parts = splits(rows)
     fps = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "op1-distinct", parts=parts)
@@ -434,7 +302,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle:
     own = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = write_table(join_split(labelled.select("fp", "root"), own, ["root"]).select("fp", "root", "component_id"), "op1-labels", scratch, parts)
     drop_table(*own_scratch, roots)
-    return rows.join(by_fp, "fp").select("id", "th", "fp", "component_id", "root", *["bands"] * banded)
+    return rows.join(by_fp, "fp").select("id", "th", "fp", "component_id", "root", *["n", "bands", "sketch"] * banded)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:

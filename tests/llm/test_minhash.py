@@ -1,0 +1,133 @@
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from terraframe.llm import minhash as M
+from terraframe.llm import simhash as S
+
+
+def slow_set(text, size):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def slow(rows, size=3, percent=85):
+    """(id, n, component) of every row by all pairs; ids that are null come last."""
+    sets = [slow_set(t, size) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    out = []
+    for i, (k, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        out.append((str(k), len(sets[i]), str(min(ids) if ids else None)))
+    return sorted(out)
+
+
+def answers(df, **more):
+    got = M.near_duplicates(df, **more).collect()
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got)
+
+
+def edited(text, places):
+    w = text.split()
+    for k in places:
+        w[k] = f"edit{k}"
+    return " ".join(w)
+
+
+def family(n, seed=0, common=104, shared=2, own=11):
+    """n pairs of texts: ``common`` words of all, ``shared`` of the pair, ``own`` of each text."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    base = [word() for _ in range(common)]
+    rows = []
+    for i in range(n):
+        pair = [word() for _ in range(shared)]
+        rows += [(2 * i + k, " ".join(base + pair + [word() for _ in range(own)])) for k in (0, 1)]
+    return rows
+
+
+def test_against_all_pairs(make, words):
+    rows = [(3 * i, words(40 + 3 * i, i)) for i in range(40)]
+    rows += [(3 * i + 1, edited(rows[i][1], range(7, 40, 6 + i % 20))) for i in range(40)]
+    rows += [(500 + i, rows[i][1].upper().replace(" ", " \n")) for i in range(5)]
+    rows += [(600, None), (601, ""), (602, " \n\t"), (603, "One"), (604, "one"), (605, "one two"), (606, "one two three"), (607, "one  two\tTHREE"), (608, "\x85 a"), (609, words(30_000, 7)), (610, words(30_000, 7) + " more"), (None, words(90, 99)), (None, words(90, 99)), (None, rows[0][1]), (600, rows[3][1]), (0, rows[0][1])]
+    want = slow(rows)
+    assert answers(make(rows, extra=["n", "th", "root", "bands", "kept", "component_id"])) == want
+    assert len({c for _, _, c in want}) < len(want) - 20
+
+
+def test_the_query_and_its_sql(spark, make, words, tmp_path):
+    rows = [(i, words(30 + i, i % 30)) for i in range(60)] + [(100 + i, edited(words(80, 3), [i])) for i in range(30)] + [(200, None), (201, "a b"), (202, "A b")]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = M.op13_minhash(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == slow(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted((str(i), n, str(c)) for i, n, c, _ in con.execute(M.sql()).fetchall()) == slow(rows)
+
+
+@pytest.mark.parametrize("chunk, weight", [(1024, 1 << 20), (16, 1500)])
+def test_buckets_of_any_size_lose_nothing(make, words, monkeypatch, chunk, weight):
+    """Near pairs among texts that are all just below the threshold: in one cell, in many, and dealt by shingles."""
+    monkeypatch.setattr(M, "CHUNK", chunk)
+    monkeypatch.setattr(M, "WEIGHT", weight)
+    rows = family(40, common=100, shared=4, own=8)
+    want = slow(rows)
+    assert len({c for _, _, c in want}) == 40
+    base = words(150, 7000)  # a hub and what is similar to it, and two steps from it
+    rows += [(1000 + i, edited(base, [i])) for i in range(60)] + [(2000 + i, edited(base, [i, 20 + i, 40 + i, 60 + i, 80 + i])) for i in range(30)]
+    assert answers(make(rows)) == slow(rows)
+
+
+@pytest.mark.parametrize("n", [200, 2000])
+def test_near_dedup_joins_every_pair_of_a_large_bucket(make, n):
+    """Five-word similarity 0.823 in pairs, 0.794 across."""
+    rows = family(n, seed=5)
+    a, b, c = (slow_set(rows[i][1], 5) for i in range(3))
+    assert len(a & b) / len(a | b) >= 0.8 > len(a & c) / len(a | c) > 0.78
+    kept = {r.doc_id for r in S.drop_near_duplicates(make(rows), shingle=5, similarity=0.8).select("doc_id").collect()}
+    assert not any(i + 1 in kept for i in range(0, 2 * n, 2))
+    # pairs may meet within 4 bits of their fingerprints; by similarity alone none does
+    assert {(r.component_id, r.doc_id) for r in M.near_duplicates(make(rows), shingle=5, percent=80).collect()} == {(i - i % 2, i) for i in range(2 * n)}
+
+
+def test_sketches_tell_high_similarities():
+    rng = np.random.default_rng(3)
+    for s in (0.8, 0.85, 0.9, 0.95, 1.0):
+        off = []
+        for _ in range(60):
+            both = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+            own = rng.integers(0, 1 << 63, (2, round(400 * (1 - s) / s / 2)), dtype=np.uint64)
+            x, y = (np.frombuffer(M.odd_sketch(M.samples(np.unique(np.concatenate([both, o])))), np.uint64) for o in own)
+            differ = int(np.bitwise_count(x ^ y).sum())
+            assert differ <= M.most_differing(80)
+            off.append(M.estimated(differ) - s)
+        assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.05
+
+
+def test_bands_miss_next_to_nothing():
+    assert (1 - 0.85**M.ROWS) ** M.BANDS < 1e-6 and (1 - 0.8**M.ROWS) ** M.BANDS < 1e-4
+
+
+def test_empty(make):
+    got = M.near_duplicates(make([]))
+    assert got.count() == 0 and got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert answers(make([(1, None), (2, "")])) == [("1", 0, "1"), ("2", 0, "2")]

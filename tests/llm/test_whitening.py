@@ -1,0 +1,105 @@
+import math
+
+import numpy as np
+import pytest
+
+from terraframe.llm import whitening as W
+
+SCHEMA = "vec_id long, embedding array<float>, x string, component int, n int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v], "x", 1, 2) for i, v in rows], SCHEMA).repartition(3)
+
+
+def slow(rows):
+    """Of a table: the entries of the rows that take part, the fit list's size, sums, eigenvalues, components."""
+    used = [(i, [math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(np.float32(c)) for c in v)]
+    width = max((len(x) for _, x in used), default=0)
+    used = [(i, x) for i, x in used if len(x) == width]
+    fit = np.array(sorted({tuple(x) for _, x in used}), dtype=object)
+    n = len(fit)
+    sums = [int(sum(fit[:, j])) for j in range(width)]
+    z = np.array([[int(n * c - s) for c, s in zip(x, sums)] for x in fit], float) / n
+    e, u = np.linalg.eigh(z.T @ z / n)
+    return used, n, sums, e[::-1], u[:, ::-1]
+
+
+def check(spark, rows):
+    used, n, sums, e, u = slow(rows)
+    k = min(16, int((e > 1e-9 * e[0]).sum()))
+    got = W.whitened(table(spark, rows)).collect()
+    assert len(got) == len(used) * k
+    by = {}
+    for r in got:
+        by.setdefault((r.vec_id, r.deviation), {}).setdefault(r.component, []).append(r)
+    sign = np.zeros(k)
+    for i, x in used:
+        z = [n * c - s for c, s in zip(x, sums)]
+        own = by[i, sum(v * v for v in z)]
+        y = np.array(z, float) / n
+        for c in range(k):
+            r, want = own[c + 1][0], float(y @ u[:, c]) / math.sqrt(e[c])
+            if not sign[c] and abs(want) > 0.1:
+                sign[c] = np.sign(want * r.whitened)
+            if sign[c]:
+                assert r.whitened == pytest.approx(sign[c] * want, abs=1e-6)
+            assert r.n == n and r.explained == pytest.approx(e[c] / e.sum(), rel=1e-9)
+            assert r.identity_error < 1e-7
+    assert len({r.identity_error for r in got}) == (1 if got else 0)
+    return got
+
+
+def test_against_eigh(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((300, 24)) * np.linspace(3, 0.3, 24) + np.arange(24))]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)] + [(3, rows[3][1]), (None, rows[4][1]), (None, rows[4][1])]
+    rows += [(2000, None), (2001, [None] + [1.0] * 23), (2002, [math.nan] * 24), (2003, [math.inf] * 24), (2004, []), (2005, [1.0] * 7)]
+    check(spark, rows)
+
+
+def test_a_flat_spectrum_and_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((400, 64))
+    check(spark, list(enumerate(v / np.linalg.norm(v, axis=1, keepdims=True) * 30)))
+    w = rng.standard_normal((150, 200)) * 5
+    check(spark, list(enumerate(w)))
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_few_vectors_have_few_components(spark, n):
+    rng = np.random.default_rng(n)
+    got = check(spark, list(enumerate(rng.standard_normal((n, 20)) * 10)))
+    assert {r.component for r in got} == set(range(1, n))
+
+
+def test_large_entries(spark):
+    rng = np.random.default_rng(8)
+    check(spark, [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(rng.standard_normal((50, 6)) * 1e5)])
+    got = W.whitened(table(spark, [(i, v) for i, v in enumerate(rng.standard_normal((40, 6)) * 1e9)])).collect()
+    assert len(got) == 240 and {r.deviation for r in got} == {None}
+    assert W.whitened(table(spark, [(1, [1e30, 1.0]), (2, [1.0, 2.0]), (3, [1.5, 2.5])])).count() == 2
+
+
+@pytest.mark.parametrize("rows", [[], [(1, [1.0, 2.0])], [(1, [1.0]), (2, [1.0])], [(1, None)], [(1, []), (2, [])]])
+def test_no_components(spark, rows):
+    got = W.whitened(table(spark, rows))
+    assert got.collect() == [] and got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+
+
+def test_products_are_certified():
+    rng = np.random.default_rng(1)
+    for width, count in ((64, 16), (300, 16), (5, 5), (1, 1)):
+        m = rng.standard_normal((width, width))
+        v, calls = m @ m.T, []
+        u, e, left = W.leading(lambda b: calls.append(1) or v @ b, width, count, 8)
+        want = np.linalg.eigvalsh(v)[::-1][:count]
+        assert np.allclose(e, want, rtol=1e-11) and np.allclose(u.T @ u, np.eye(count), atol=1e-12)
+        assert max(np.linalg.norm(v @ u - u * e, axis=0)) <= 1e-11 * e[0] and len(calls) < 200
+
+
+def test_the_query(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    table(spark, list(enumerate(rng.standard_normal((60, 20))))).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = W.op12_whitening(spark, str(tmp_path))
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"] and got.count() == 960
