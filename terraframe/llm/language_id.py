@@ -238,12 +238,32 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
 
 
+#: Elements whose content is no text, and comments; one that isn't closed runs to the end.
+_HIDDEN = r"(?is)<(?:script\b.*?(?:</script\s*+>|\z)|style\b.*?(?:</style\s*+>|\z)|!--.*?(?:-->|\z))"
+
+
+def page_text(html: Column) -> Column:
+    """What stands outside of markup, tags and references being blanks; in time linear in the page.
+
+    Behind the last > nothing is a tag; before it every < begins one.
+    """
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
+    rest = F.substring_index(shown, ">", -1)
+    tagged = F.left(shown, F.length(shown) - F.length(rest))
+    return F.regexp_replace(F.concat(F.regexp_replace(tagged, r"(?s)<[^>]*+>", " "), rest), r"&#?\w++;", " ")
+
+
+def page_language(html: Column) -> Column:
+    """The first lang attribute of an html element, its letters before any other sign; empty without one."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<html\b[^>]*+"), F.lit(0))
+    langs = F.transform(tags, lambda t: F.regexp_extract(t, r"""(?is)\blang\s*+=\s*+["']?([A-Za-z]++)""", 1))
+    return F.coalesce(F.get(F.filter(langs, lambda x: x != ""), F.lit(0)), F.lit(""))
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages: the html element's lang attribute, host and address suffix from the URL."""
-    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    lang = F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1)
     host = host_of(F.col("url"))
-    return identify(read(spark, sf_dir, "pages"), id_col="page_id", text=F.regexp_replace(html, r"(?s)<[^>]*>|&#?\w+;", " "), declared=lang, host=host, suffix=F.substring_index(host, ".", -1))
+    return identify(read(spark, sf_dir, "pages"), id_col="page_id", text=page_text(F.col("html")), declared=page_language(F.col("html")), host=host, suffix=F.substring_index(host, ".", -1))
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", **columns: Column) -> DataFrame:

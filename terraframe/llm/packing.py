@@ -10,7 +10,8 @@ each.  All sequences but the last are full.  Pass 2 is JVM-side; no shuffle
 moves tokens while the input has at most ``BROADCAST_ROWS`` partitions, beyond
 that one does.
 
-The ids are those of the tokenizer's JSON file; they are made with the rank file
+The ids are those that the tokenizer's JSON file gives without adding special
+tokens: one that stands in a text is its own id.  They are made with the rank file
 of the same vocabulary by another encoder, several times faster, and tests hold
 the two against each other.
 

@@ -16,6 +16,8 @@ from left to right; the sums above the touched leaves are then updated, level by
 level.  It returns the new trees, under the hash of the new text, for the next
 round of edits.  Documents without edits are not read: their tree has the counts.
 
+Special tokens that stand in a text are counted as ordinary text: the pattern may cut them.
+
 Defined cases: null text is empty (no tokens, a tree of one empty leaf); bytes that
 are no UTF-8 count as U+FFFD; rows of
 one id, null included, are told apart by their texts, and equal rows share a tree
@@ -100,7 +102,7 @@ class Counter:
     def __init__(self, path: str | None = None, leaf: int = LEAF):
         import regex
 
-        self.bpe, self.leaf = ByteBpe(path), leaf
+        self.bpe, self.leaf = ByteBpe(path, special=False), leaf
         self.pattern = regex.compile(self.bpe.pattern)
 
     def count(self, text: str) -> int:

@@ -39,6 +39,8 @@ from .hard_negatives import matrix
 from .storage import drop_table, read, write_table
 
 CERTIFIED = 1e-12
+#: Residuals of so little of it are not worth another round.
+SMALLEST = 1e-15
 ZERO = 1e-9
 ROUNDS = 500
 _SPLIT = 26  # bits of the lower halves of entries, which are added up apart
@@ -126,7 +128,7 @@ def leading(product, width: int, count: int, guard: int, seed: int = 7) -> tuple
     """(vectors, values, certificates) of the ``count`` largest eigenvalues, falling, of the operator ``product(block)``."""
     rng = np.random.default_rng(seed)
     x = np.linalg.qr(rng.standard_normal((width, min(width, count + guard))))[0]
-    vx, p, last, fresh = product(x), np.zeros((width, 0)), np.inf, True
+    vx, p, best, stale, fresh = product(x), np.zeros((width, 0)), np.inf, 0, True
     for _ in range(ROUNDS):
         values, c = np.linalg.eigh((x.T @ vx + vx.T @ x) / 2)
         values, c = values[::-1], c[:, ::-1]
@@ -134,10 +136,11 @@ def leading(product, width: int, count: int, guard: int, seed: int = 7) -> tuple
         r = vx - x * values
         size = np.linalg.norm(r[:, :count], axis=0)
         worst = float(size.max())
-        settled = values[0] <= 0 or worst <= CERTIFIED * values[0] and worst > last / 4
+        stale = 0 if worst < best / 2 else stale + 1
+        best = min(best, worst)
+        settled = values[0] <= 0 or worst <= CERTIFIED * values[0] and (stale >= 3 or worst <= SMALLEST * values[0])
         if settled and fresh:
             return x[:, :count], values[:count], size.tolist()
-        last = worst
         if settled:
             vx, fresh = product(x), True  # a certificate rests on no recurrence
             continue

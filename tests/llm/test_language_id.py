@@ -143,3 +143,75 @@ def test_queries_give_a_row_for_every_row(spark):
         want = spark.read.parquet(f"{sf}/{table}.parquet")
         assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in want.select(key).collect())
         assert got.filter("kept and (language = 'und' or posterior < 0.5)").count() == 0
+
+
+def plain_text(html):
+    """Scripts, styles, comments, tags and references replaced by blanks, by plain searching."""
+    import re
+
+    html, out, at = html or "", [], 0
+    low = "".join(c.lower() if c < "\x80" else c for c in html)
+    while at < len(html):
+        m = re.compile(r"<(?:(script|style)\b|!--)", re.ASCII).search(low, at)
+        if not m:
+            out.append(html[at:])
+            break
+        out += [html[at : m.start()], " "]
+        if m[1]:
+            end = re.compile(rf"</{m[1]}[ \t\n\x0b\f\r]*>").search(low, m.end())
+            at = end.end() if end else len(html)
+        else:
+            k = low.find("-->", m.end())
+            at = k + 3 if k >= 0 else len(html)
+    shown, out, at = "".join(out), [], 0
+    while True:
+        a = shown.find("<", at)
+        b = shown.find(">", a) if a >= 0 else -1
+        if b < 0:
+            out.append(shown[at:])
+            break
+        out += [shown[at:a], " "]
+        at = b + 1
+    return re.sub(r"&#?\w+;", " ", "".join(out), flags=re.ASCII)
+
+
+def plain_language(html):
+    import re
+
+    for m in re.finditer(r"(?i)<html\b[^>]*", html or "", re.ASCII):
+        found = re.search(r"""(?i)\blang\s*=\s*["']?([A-Za-z]+)""", m[0], re.ASCII)
+        if found:
+            return found[1]
+    return ""
+
+
+def test_pages_against_a_plain_reading(spark, tmp_path):
+    """The query gives what identify() does on texts, languages and hosts read without its expressions."""
+    wraps = [
+        "<html lang='{l}'><body><p>{t}</p></body></html>",
+        "<HTML dir=ltr LANG = {l}-XX><Script>xan < wyr</SCRIPT ><!-- kup > --><p class=a>{t}&amp;{t}",
+        "<html><html data-x='y' lang={l}>{t}<style>p {{}}</style><p",
+        "{t} 1 < 2 &lt {t} <b>&#233;&eacute;",
+        "<html lang=''>{t}<script>never closed {t}",
+        "<html xlang=zz hreflang={l}>a > b {t} <!-- open",
+    ]
+    rows = [(i, f"https://H{i % 3}.site.{lang}/p?x={i}", wraps[i % 6].format(l=lang, t=prose(lang, 40, i))) for i in range(120) for lang in ["aa bb cc".split()[i % 3]]]
+    rows += [(500, None, None), (501, "nothing", ""), (None, "https://h0.site.aa/", "<html lang=aa>" + prose("aa", 30, 1)), (7, rows[7][1], rows[7][2])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("mine")).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    texts = [(i, plain_text(h), plain_language(h), (u or "").partition("://")[2].partition("/")[0].lower()) for i, u, h in rows]
+    df = spark.createDataFrame(texts, "page_id long, text string, lang string, source string")
+    key = lambda r: (str(r.page_id), r.declared, r.language, round(r.posterior, 9), r.n_trigrams, r.kept)
+    want = L.identify(df, "page_id", declared=F.col("lang"), host=F.col("source"), suffix=F.substring_index("source", ".", -1))
+    got = sorted(map(key, L.language_id_pages(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(key, want.collect())) and len({r[2] for r in got}) == 4
+
+
+@pytest.mark.parametrize("unit", ["<", "<script ", "<html ", "<html lang ", "<!--", "</script", "&a", "<a ", "</style ", "lang= "])
+def test_hostile_pages_take_linear_time(spark, unit):
+    import time
+
+    df = spark.createDataFrame([(unit * (1_000_000 // len(unit)),)], "html string").cache()
+    df.count()
+    began = time.perf_counter()
+    df.select(F.length(L.page_text(F.col("html"))), L.page_language(F.col("html"))).collect()
+    assert time.perf_counter() - began < 2

@@ -10,13 +10,12 @@ from terraframe.llm import packing as P
 
 def ids_of(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_round_trip(make, words):
     rows = [(i, words(5 + 37 * i, i)) for i in range(30)]
-    rows += [(100, None), (101, ""), (102, "a"), (103, words(6000, 3)), (104, "x" * 20_000), (105, " " * 3000 + "y"), (106, "<|endoftext|> ünï 日本"), (7, rows[7][1]), (None, "no id")]
+    rows += [(100, None), (101, ""), (102, "a"), (103, words(6000, 3)), (104, "x" * 20_000), (105, " " * 3000 + "y"), (106, "<|endoftext|> ünï 日本"), (107, "a<|endoftext|>b"), (108, words(1500, 4) + "<|endoftext|>"), (109, " <|endoftext|>" * 700 + "<|endoftext|>\n<|endoftext|"), (110, ("x" * 4 + " <|endoftext|>y ") * 2000), (7, rows[7][1]), (None, "no id")]
     pieces = P.pack(make(rows, extra=["n", "part", "ids", "start"])).collect()
     assert sum(p.length for p in pieces) == sum(len(ids_of(t)) for _, t in rows)
     seqs = {}
@@ -72,6 +71,16 @@ def test_the_query(spark, make, words, tmp_path, monkeypatch):
             assert [o for o, _ in own] == [sum(n for _, n in own[:j]) for j in range(len(own))]
 
 
+def test_special_tokens_on_both_sides_of_a_chunk(monkeypatch):
+    from terraframe.llm import tokenizers as T
+
+    bpe = T.ByteBpe()
+    text = "ab <|endoftext|> cd<|endoftext|>ef  <|endoftext|>\n" * 40
+    for size in (1, 7, 20, 333):
+        monkeypatch.setattr(T.chunks, "__defaults__", (size,))
+        assert bpe.array(text).tolist() == ids_of(text)[:-1]
+
+
 def test_empty(make):
     assert P.pack(make([])).count() == 0
 

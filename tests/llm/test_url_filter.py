@@ -114,3 +114,38 @@ def test_empty_and_extra_columns(spark):
     df = pages(spark, [("http://a.com/x", "")]).withColumns({"host": F.lit("mine"), "rule": F.lit("mine"), "verdict": F.lit(1)})
     r = U.judge(df).first()
     assert (r.host, r.rule, r.verdict) == ("a.com", "com/", "allow")
+
+
+LINKS = [
+    "<a href='/x'>y</a> <A\nclass=b HREF = \"http://h/y?z\">",
+    "<a href=/bare><a title='1 < 2' href=\"q\"><a name=x><a data-href=no href=yes>",
+    "<a >href=no <b href=no> <ahref=no> <a href=''> <a href= > <a <a href=twice href=more>",
+    "<a href=one <a href=two>",
+    "<p><a\thref\t=\t'tab'>\n<a x=\">\" href=late>",
+    "",
+    None,
+]
+
+
+def test_links_are_those_of_the_plain_pattern(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(LINKS)], "i int, h string")
+    plain = F.regexp_extract_all(F.coalesce("h", F.lit("")), F.lit(U.HREF), F.lit(1))
+    for r in df.select("i", plain.alias("want"), U.hrefs(F.col("h")).alias("got")).collect():
+        assert r.got == r.want, LINKS[r.i]
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumnRenamed("html", "h")
+    assert given.filter(~plain.eqNullSafe(U.hrefs(F.col("h")))).count() == 0
+
+
+def test_hostile_pages_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    for unit in ("<a ", "<", "<a href", "<a href=", " href = ", "<a href = ' ", "<a\n", ">"):
+        df = spark.createDataFrame([(unit * (1_000_000 // len(unit)),)], "html string").cache()
+        df.count()
+        began = time.perf_counter()
+        df.select(F.size(U.hrefs(F.col("html")))).collect()
+        assert time.perf_counter() - began < 2, unit
