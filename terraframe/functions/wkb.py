@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..types import CoordType, GeometryType, GeomType
 from .columnar import assembled, disassembled, read_wkb
 from .columnar import write_wkb as write_column
-from .geometry import parse_wkb, parse_wkt, wkb_srid, wkb_status, write_wkb
+from .geometry import parse_wkb
+from .mixed import srids, statuses, wkb_of
 from .wkt import native_rows, with_rest
 
 
@@ -35,11 +36,11 @@ def _plain(a: pa.Array) -> list:
 def as_wkb(g: Column, t: GeomType, big_endian: bool = False) -> Column:
     """ISO WKB, little-endian unless asked; null stays null."""
     if t.is_wkb or t.is_wkt:
-        read = parse_wkb if t.is_wkb else parse_wkt
+        wkt = t.is_wkt
 
         @F.arrow_udf("binary")
         def rewrite(a: pa.Array) -> pa.Array:
-            return pa.array([None if x is None else write_wkb(read(x), big_endian) for x in a.to_pylist()], pa.binary())
+            return wkb_of(a, wkt, big_endian)
 
         return rewrite(g)
     if t.geometry_type == GeometryType.BOX:
@@ -69,22 +70,24 @@ def from_wkb(b: Column, t: GeomType) -> Column:
     return convert(b)
 
 
-def _per_value(kind: str, f):
-    @F.arrow_udf(kind)
-    def convert(a: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else f(x) for x in a.to_pylist()], {"string": pa.string(), "long": pa.int64()}[kind])
-
-    return convert
-
-
 def status(b: Column) -> Column:
     """OK, or why a strict reader refuses the value."""
-    return _per_value("string", wkb_status)(b)
+
+    @F.arrow_udf("string")
+    def read(a: pa.Array) -> pa.Array:
+        return statuses(a)
+
+    return read(b)
 
 
 def srid(b: Column) -> Column:
     """The SRID of extended WKB, null without one."""
-    return _per_value("long", wkb_srid)(b)
+
+    @F.arrow_udf("long")
+    def read(a: pa.Array) -> pa.Array:
+        return srids(a)
+
+    return read(b)
 
 
 def _u32(b: Column, at: Column | int) -> Column:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..types import CoordType, Dimensions, GeometryType, GeomType
 from .columnar import Flat, assembled, read_wkt
 from .coords import coord, nan_coord, ordinate, recoord
-from .geometry import Geom, parse_wkb, parse_wkt, to_native, write_wkb, write_wkt
+from .geometry import Geom, parse_wkb, parse_wkt, to_native, write_wkt
+from .mixed import codes, wkb_of
 from .numbers import clamp, format_double
 
 
@@ -170,7 +171,7 @@ def from_wkt(w: Column, t: GeomType, mode: str = "auto") -> Column:
 def wkt_to_wkb(w: Column) -> Column:
     @F.arrow_udf("binary")
     def convert(a: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else write_wkb(parse_wkt(x)) for x in a.to_pylist()], pa.binary())
+        return wkb_of(a, True)
 
     return convert(w)
 
@@ -179,15 +180,14 @@ def empty_of(t: GeomType) -> Column:
     return nan_coord(t)
 
 
-def head_code(w: Column) -> Column:
-    """ISO code of a text's first tag, null for EMPTY and null: regular expressions only."""
-    name = F.regexp_extract(w, r"^\s*([A-Z]+)", 1)
-    code = F.lit(None).cast("int")
-    for k, n in enumerate(["POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION"], 1):
-        code = F.when(name == n, F.lit(k)).otherwise(code)
-    mark = F.regexp_extract(w, r"^\s*[A-Z]+\s*(ZM|Z|M)?\s*(\(|EMPTY)", 1)
-    dims = F.when(mark == "Z", 1000).when(mark == "M", 2000).when(mark == "ZM", 3000).otherwise(0)
-    return F.when(w.rlike(r"[0-9]|nan|inf"), code + dims)
+def text_code(w: Column) -> Column:
+    """ISO code of each text, null for null and for what has no coordinate; text that can't be read is an error."""
 
+    @F.arrow_udf("int")
+    def read(a: pa.Array) -> pa.Array:
+        return codes(a, True)
 
-__all__ = ["as_wkt", "from_wkt", "from_wkt_any", "from_wkt_regular", "rewrite_wkt", "wkt_to_wkb", "head_code", "clamp"]
+    return read(w)
+
+
+__all__ = ["as_wkt", "from_wkt", "from_wkt_any", "from_wkt_regular", "rewrite_wkt", "wkt_to_wkb", "text_code", "clamp"]

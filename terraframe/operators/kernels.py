@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import columnar
 from ..functions import coords as C
 from ..functions.geometry import parse_wkb, parse_wkt
+from ..functions.mixed import readable
 from ..functions.wkb import has_coordinate, type_code
-from ..functions.wkt import as_wkt
+from ..functions.wkt import as_wkt, text_code
 from ..types import CoordType, Encoding, GeometryType, GeomType, parse_field, type_from_id
 from .cast import as_geometry, box_to_polygon
 
@@ -104,9 +105,7 @@ def geometry_code(g: Column, t: GeomType) -> Column:
         return F.when(g.isNotNull() if t.level == 0 else F.size(C.all_coords(g, t)) > 0, code)
     if t.is_wkb:
         return F.when(has_coordinate(g), type_code(g))
-    from ..functions.wkt import head_code
-
-    return head_code(g)
+    return text_code(g)
 
 
 def unique_geometry_types(g: Column, t: GeomType) -> Column:
@@ -126,20 +125,11 @@ def is_valid(g: Column, t: GeomType) -> Column:
     """Whether a serialized value can be read; null for null.  Native values always can."""
     if t.is_native:
         return F.when(g.isNotNull(), F.lit(True))
-    read = parse_wkt if t.is_wkt else parse_wkb
+    wkt = t.is_wkt
 
     @F.arrow_udf("boolean")
     def check(a: pa.Array) -> pa.Array:
-        def ok(v) -> bool | None:
-            if v is None:
-                return None
-            try:
-                read(v)
-            except ValueError:
-                return False
-            return True
-
-        return pa.array([ok(v) for v in a.to_pylist()], pa.bool_())
+        return readable(a, wkt)
 
     return check(g)
 

@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.geometry import parse_wkb, parse_wkt, wkb_srid, wkb_status, write_wkb, write_wkt
+from .functions.geometry import parse_wkb, parse_wkt, write_wkt
+from .functions.mixed import headers, srids, statuses, wkb_of
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -16,22 +17,25 @@ def register(spark: SparkSession) -> list[str]:
     SQL bodies, which the optimizer inlines.
     """
 
-    def arrow(name: str, kind: str, type_: pa.DataType, f) -> str:
+    def arrow(name: str, kind: str, f) -> str:
         @F.arrow_udf(kind)
         def convert(a: pa.Array) -> pa.Array:
-            return pa.array([None if v is None else f(v) for v in a.to_pylist()], type_)
+            return f(a)
 
         spark.udf.register(name, convert)
         return name
 
+    def texts(read):
+        return lambda a: pa.array([None if v is None else write_wkt(read(v)) for v in a.to_pylist()], pa.string())
+
     names = [
-        arrow("geom_wkt_from_wkb", "string", pa.string(), lambda b: write_wkt(parse_wkb(b))),
-        arrow("geom_wkb_from_wkt", "binary", pa.binary(), lambda s: write_wkb(parse_wkt(s))),
-        arrow("geom_wkt_normal", "string", pa.string(), lambda s: write_wkt(parse_wkt(s))),
-        arrow("geom_wkb_status", "string", pa.string(), wkb_status),
-        arrow("geom_wkb_srid", "bigint", pa.int64(), wkb_srid),
-        arrow("geom_wkb_code", "int", pa.int32(), lambda b: parse_wkb(b).code),
-        arrow("geom_wkt_code", "int", pa.int32(), lambda s: parse_wkt(s).code),
+        arrow("geom_wkt_from_wkb", "string", texts(parse_wkb)),
+        arrow("geom_wkb_from_wkt", "binary", lambda a: wkb_of(a, True)),
+        arrow("geom_wkt_normal", "string", texts(parse_wkt)),
+        arrow("geom_wkb_status", "string", statuses),
+        arrow("geom_wkb_srid", "bigint", srids),
+        arrow("geom_wkb_code", "int", lambda a: headers(a, False)),
+        arrow("geom_wkt_code", "int", lambda a: headers(a, True)),
     ]
     bodies = {
         "geom_point": "(x DOUBLE, y DOUBLE) RETURNS STRUCT<x: DOUBLE, y: DOUBLE> RETURN named_struct('x', coalesce(x, double('nan')), 'y', coalesce(y, double('nan')))",
