@@ -32,8 +32,8 @@ from .storage import drop_table, join_split, read, write_table
 
 EPSILON = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: An href of an <a> element, quoted or bare; SQL's expression engine takes linear time for it.
-HREF = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*["']?([^"'\s>]+)"""
+#: The first href of an <a> element, quoted or bare; SQL's expression engine takes linear time for it.
+HREF = r"""(?is)<a(?:\s[^>]*?)??\shref\s*=\s*["']?([^"'\s>]+)"""
 
 #: What decides about links, in order: an <a>, the end of a tag, an href with its value.  Each is found in time linear in its length.
 PARTS = r"""(?is)<a(?=\s)|>|\shref\s*+=\s*+["']?[^"'\s>]++"""

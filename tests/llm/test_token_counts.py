@@ -19,7 +19,7 @@ def hf():
 
 def test_ids_are_those_of_the_tokenizer_file(hf):
     rng = random.Random(1)
-    bpe = ByteBpe()
+    bpe = ByteBpe(special=False)  # as this operator counts
     for t in ["", "a" * 5000, " " * 5000, "\n" * 999 + "x", "<|endoftext|> x", *["".join(rng.choice(BITS) for _ in range(60)) for _ in range(300)]]:
         assert bpe.ids(t) == hf.encode(t, add_special_tokens=False).ids
 
