@@ -17,7 +17,9 @@ from ..operators import kernels as O
 from ..operators import vector as V
 from ..operators import visit as X
 from ..operators.infer import infer_schema
+from ..operators.join import box_join as join_boxes
 from ..sources.scratch import shared_dir
+from ..sql import register
 from ..sources.tables import read_parquet, to_table, write_parquet
 from ..types import GeomType, linestring_type, multilinestring_type, multipolygon_type, native_type, parse_field, point_type, polygon_type, wkb_type
 from . import views as W
@@ -112,13 +114,39 @@ def filter_select(spark, d):
     return W.pts(spark, d).filter("g.y > g.x").select("id", "g.x")
 
 
+SQL_MEET = f"SELECT b.p::BIGINT AS part, a.id FROM {W.SQL_BOX} b, {W.SQL_PTS} a WHERE NOT b.swapped AND NOT a.missing AND a.x BETWEEN b.p AND b.p + 10 AND a.y BETWEEN b.s AND b.s + 5"
+
+
+@query(SQL_MEET)
+def box_join(spark, d):
+    """Orders inside the boxes of parts; the empty boxes and the missing points meet nothing."""
+    boxes = W.boxes(spark, d).select(F.col("id").alias("part"), C.tag(g(), "b", W.BOX))
+    return join_boxes(boxes, W.pts(spark, d), "b", "g").select("part", "id")
+
+
+LINE_ENDS = f"(SELECT id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {W.SQL_VERTEX} GROUP BY id)"
+
+
+@query(f"SELECT a.id AS a, b.id AS b FROM {LINE_ENDS} a JOIN {LINE_ENDS} b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE a.id % 50 = 0 AND b.id % 50 = 25")
+def box_join_lines(spark, d):
+    """Two sets of orders' lines whose bounds meet: large boxes that touch many cells."""
+    lines = W.lns(spark, d)
+    a, b = (lines.filter(F.col("id") % 50 == k).select(F.col("id").alias(n), C.tag(g(), f"g{n}", W.LINE)) for n, k in (("a", 0), ("b", 25)))
+    return join_boxes(a, b, "ga", "gb", per_cell=200).select("a", "b")
+
+
 # -- types ------------------------------------------------------------------------------
 
 
-@query("SELECT k::INT AS kind, d::INT AS dims, c::INT AS coord, ((d - 1) * 1000 + (c - 1) * 10000 + k)::INT AS id FROM range(1, 7) a(k), range(1, 5) b(d), range(1, 3) e(c)")
+@query("SELECT p_partkey AS part, (p_size % 6 + 1)::INT AS kind, (p_partkey % 4 + 1)::INT AS dims, (p_partkey % 2 + 1)::INT AS coord, (p_partkey % 4 * 1000 + p_partkey % 2 * 10000 + p_size % 6 + 1)::INT AS id FROM part")
 def type_id(spark, d):
-    rows = [(k, dims, c, native_type(k, dims, c).id) for k in range(1, 7) for dims in range(1, 5) for c in (1, 2)]
-    return spark.createDataFrame(rows, "kind int, dims int, coord int, id int")
+    """The id of each part's type, by the SQL name, against the codec's own ids."""
+    register(spark)
+    kinds = W.read(spark, d, "part").selectExpr("p_partkey AS part", "cast(p_size % 6 + 1 AS int) AS kind", "cast(p_partkey % 4 + 1 AS int) AS dims", "cast(p_partkey % 2 + 1 AS int) AS coord")
+    known = [(k, dims, c, native_type(k, dims, c).id) for k in range(1, 7) for dims in range(1, 5) for c in (1, 2)]
+    codec = F.broadcast(spark.createDataFrame(known, "kind int, dims int, coord int, id int"))
+    by_name = kinds.withColumn("named", F.call_function("geom_type_id", "kind", "dims", "coord"))
+    return by_name.join(codec, ["kind", "dims", "coord"]).filter("named = id").select("part", "kind", "dims", "coord", "id")
 
 
 @query("SELECT * FROM (VALUES ('pts', 1, 'terraframe.point', 'terraframe.point'), ('lns', 2, 'terraframe.linestring', 'terraframe.linestring'), ('box', 990, 'terraframe.box', 'terraframe.box')) t(view, id, name, type)")
@@ -404,6 +432,17 @@ def box_agg_by(spark, d):
     return W.lns(spark, d).groupBy((F.col("id") % 100).alias("k")).agg(O.box_agg(g(), W.LINE).alias("b")).select("k", "b.*")
 
 
+ODD_TEXTS = ["POINT (NaN NaN)", "MULTIPOINT EMPTY", "GEOMETRYCOLLECTION (LINESTRING EMPTY, POINT (1 2))", "POLYGON Z ((0 0 1, 1 0 1, 1 1 1, 0 0 1))", "GEOMETRYCOLLECTION M EMPTY", "POINT EMPTY", "LINESTRING ZM (inf 1 2 3, 4 nan 5 6)"]
+
+
+@query("SELECT o_orderkey % 5 AS k, coalesce(c, 0)::INT AS code, count(*) AS n FROM (SELECT o_orderkey, [1, NULL, 7, 1003, NULL, NULL, 3002][(o_orderkey % 7 + 1)::INT] AS c FROM orders) GROUP BY ALL")
+def unique_types_text(spark, d):
+    """Codes of texts with NaN, infinite and no coordinates and of collections."""
+    w = F.element_at(F.array(*[F.lit(x) for x in ODD_TEXTS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    df = W.read(spark, d, "orders").select((F.col("o_orderkey") % 5).alias("k"), F.coalesce(O.geometry_code(w, W.WKT), F.lit(0)).alias("code"))
+    return df.groupBy("k", "code").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT DISTINCT CASE left(w, 5) WHEN 'POINT' THEN 1 WHEN 'LINES' THEN 2 ELSE 4 END::INT AS code FROM {W.SQL_MIX} WHERE w IS NOT NULL")
 def unique_types(spark, d):
     return O.kernel("unique_geometry_types_agg", W.mix(spark, d), "w").withColumnRenamed("w", "code")
