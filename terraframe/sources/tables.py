@@ -124,24 +124,29 @@ def read_parquet(spark: SparkSession, path: str, geometry: dict[str, GeomType] |
 def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
     """A driver-side Arrow table (chunks included) with its extension fields as geometry columns."""
     types = {f.name: arrow_field_type(f) for f in table.schema if isinstance(f.type, pa.BaseExtensionType) or f.metadata and NAME_KEY.encode() in f.metadata}
-    plain = pa.table({f.name: _plain_column(table.column(f.name)) for f in table.schema})
+    plain = pa.table({f.name: plain_column(table.column(f.name)) for f in table.schema})
     df = spark.createDataFrame(plain)
     for name, t in types.items():
         df = df.withMetadata(name, t.metadata)
     return df
 
 
-def _plain_type(t: pa.DataType) -> pa.DataType:
+def extension_notes(metadata: dict) -> dict[str, str]:
+    """Of a column's metadata what Arrow keeps of an extension type."""
+    return {k: str(v) for k, v in metadata.items() if k in (NAME_KEY, METADATA_KEY)}
+
+
+def plain_type(t: pa.DataType) -> pa.DataType:
     if pa.types.is_fixed_size_list(t) or pa.types.is_list(t) or pa.types.is_large_list(t):
-        return pa.list_(_plain_type(t.value_type))
+        return pa.list_(plain_type(t.value_type))
     if pa.types.is_struct(t):
-        return pa.struct([(f.name, _plain_type(f.type)) for f in t])
+        return pa.struct([(f.name, plain_type(f.type)) for f in t])
     if pa.types.is_large_binary(t) or str(t) == "binary_view":
         return pa.binary()
     if pa.types.is_large_string(t) or str(t) == "string_view":
         return pa.string()
     if pa.types.is_dictionary(t):
-        return _plain_type(t.value_type)
+        return plain_type(t.value_type)
     if pa.types.is_float16(t):
         return pa.float32()
     if pa.types.is_unsigned_integer(t):
@@ -151,10 +156,10 @@ def _plain_type(t: pa.DataType) -> pa.DataType:
     return t
 
 
-def _plain_column(c: pa.ChunkedArray) -> pa.ChunkedArray:
+def plain_column(c: pa.ChunkedArray) -> pa.ChunkedArray:
     if isinstance(c.type, pa.BaseExtensionType):
         c = pa.chunked_array([x.storage for x in c.chunks], c.type.storage_type)
-    t = _plain_type(c.type)
+    t = plain_type(c.type)
     if t == c.type:
         return c
     if pa.types.is_dictionary(c.type):
@@ -181,14 +186,17 @@ def _nullable(t: T.DataType) -> T.DataType:
     return T.ArrayType(_nullable(t.elementType)) if isinstance(t, T.ArrayType) else t
 
 
+def loose(df: DataFrame) -> DataFrame:
+    """The same table whose nested values may be null: Arrow refuses null features over ordinates that can't be."""
+    return df.select(*[F.col(f"`{f.name}`").cast(_nullable(f.dataType)).alias(f.name, metadata=f.metadata) for f in df.schema.fields])
+
+
 def to_arrow(df: DataFrame, registered: bool = False) -> pa.Table:
     """All rows as an Arrow table whose fields carry the extension metadata again; for results of driver size.
 
     ``registered``: columns of pyarrow extension types instead (see arrow_types.py).
     """
-    # Arrow refuses null features over ordinates that can't be null
-    loose = df.select(*[F.col(f"`{f.name}`").cast(_nullable(f.dataType)).alias(f.name) for f in df.schema.fields])
-    table = loose.toArrow()
+    table = loose(df).toArrow()
     fields, columns = [], []
     for f, c in zip(table.schema, table.columns):
         s = df.schema[f.name]
@@ -197,7 +205,7 @@ def to_arrow(df: DataFrame, registered: bool = False) -> pa.Table:
             c = pa.chunked_array([pa.ExtensionArray.from_storage(kind, x.cast(kind.storage_type)) for x in c.chunks], kind)
             f = pa.field(f.name, kind)
         elif is_geometry_field(s):
-            f = f.with_metadata({k: str(v) for k, v in s.metadata.items() if k in (NAME_KEY, METADATA_KEY)})
+            f = f.with_metadata(extension_notes(s.metadata))
         fields.append(f)
         columns.append(c)
     return pa.Table.from_arrays(columns, schema=pa.schema(fields))

@@ -1,0 +1,130 @@
+import glob
+import json
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from terraframe import types as G
+from terraframe.functions.coords import tag
+from terraframe.functions.geometry import parse_wkb, write_wkt
+from terraframe.sources import geoparquet as P
+from terraframe.sources.tables import read_parquet
+from terraframe.types import linestring_type, parse_field, point_type, wkt_type
+
+
+def points(spark, n=400):
+    df = spark.range(n).select(F.col("id"), (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
+    g = F.when(F.col("id") % 50 != 7, F.struct("x", "y"))
+    return df.select("id", tag(g, "g", point_type().with_crs("EPSG:1234")), F.lit("x").alias("name")).repartition(3)
+
+
+def files_of(path):
+    return sorted(glob.glob(f"{path}/*.parquet"))
+
+
+def test_footers_tell_other_programs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    P.write_geoparquet(points(spark), path)
+    files = files_of(path)
+    assert files and os.path.exists(f"{path}/_SUCCESS") and not [f for f in os.listdir(path) if f.startswith("_writing")]
+    rows = 0
+    for f in files:
+        table, meta = pq.read_table(f), pq.read_metadata(f).metadata
+        geo = json.loads(meta[b"geo"])
+        note = geo["columns"]["g"]
+        assert geo["primary_column"] == "g" and note["encoding"] == "point" and note["geometry_types"] == ["Point"] and note["crs"] == "EPSG:1234" and note["edges"] == "planar"
+        xs = [p for p in table["g"].to_pylist() if p]
+        assert note["bbox"] == [min(p["x"] for p in xs), min(p["y"] for p in xs), max(p["x"] for p in xs), max(p["y"] for p in xs)]
+        assert note["covering"]["bbox"]["xmax"] == ["g_box", "xmax"] and table.schema.field("g_box").type.num_fields == 4
+        assert table.schema.field("g").metadata[b"ARROW:extension:name"] == b"terraframe.point"
+        rows += table.num_rows
+    assert rows == 400
+    back = P.read_geoparquet(spark, path)
+    assert back.columns == ["id", "g", "name"] and parse_field(back.schema["g"]) == parse_field(points(spark).schema["g"])
+    assert sorted(map(str, back.collect())) == sorted(map(str, points(spark).collect()))
+    plain = spark.read.parquet(path)  # Spark's own reader knows the types as well
+    assert parse_field(plain.schema["g"]).crs == "EPSG:1234"
+
+
+def test_files_and_row_groups_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "t")
+    P.write_geoparquet(points(spark, 2000).filter("g is not null"), path, cluster=True, files=8)
+    files = files_of(path)
+    assert len(files) == 8
+    df = P.read_geoparquet(spark, path, meets=(0.5, 1.0, 3.0, 2.5))
+    opened = df.inputFiles()
+    assert 0 < len(opened) < 4
+    want = [i for i in range(2000) if i % 50 != 7 and 0.5 <= i % 20 <= 3 and 1 <= i // 20 <= 2.5]
+    assert sorted(r.id for r in df.collect()) == want
+    assert "PushedFilters: [" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "g_box.xmin" in plan
+    assert P.read_geoparquet(spark, path, meets=(500, 500, 501, 501)).collect() == []
+    assert P.read_geoparquet(spark, path, meets=(500, 500, 501, 501)).inputFiles() == []
+
+
+def test_geometry_of_other_encodings(spark, tmp_path):
+    texts = ["LINESTRING (1 2, 30 4)", "POINT Z (5 6 7)", None, "GEOMETRYCOLLECTION (POINT (100 200))", "POLYGON EMPTY"]
+    lines = [[(1.0, 2.0), (3.0, 4.0)], [], None, [(50.0, 60.0)], [(0.0, 0.0)]]
+    df = spark.createDataFrame(list(zip(range(5), texts, lines)), "id long, w string, v array<struct<x:double,y:double>>").coalesce(1)
+    packed = F.transform("v", lambda c: F.array(c.x, c.y))
+    df = df.select("id", tag(F.col("w"), "w", wkt_type()), tag(packed, "l", linestring_type(coord_type="INTERLEAVED")), tag(F.col("v"), "geodesic", linestring_type().with_edge_type("SPHERICAL")))
+    path = str(tmp_path / "t")
+    P.write_geoparquet(df, path)
+    (file,) = files_of(path)
+    geo = json.loads(pq.read_metadata(file).metadata[b"geo"])["columns"]
+    assert geo["w"]["encoding"] == "WKB" and geo["w"]["geometry_types"] == ["GeometryCollection", "LineString", "Point Z"] and geo["w"]["bbox"] == [1, 2, 100, 200]
+    assert geo["l"]["encoding"] == "linestring" and geo["l"]["bbox"] == [0, 0, 50, 60]
+    assert geo["geodesic"]["edges"] == "spherical" and "bbox" not in geo["geodesic"]
+    table = pq.read_table(file)
+    assert [b and write_wkt(parse_wkb(b)) for b in table["w"].to_pylist()] == texts
+    assert pa.types.is_struct(table.schema.field("l").type.value_type)
+    assert sorted(r.id for r in P.read_geoparquet(spark, path, meets=(90, 90, 300, 300), column="w").collect()) == [3]
+    assert sorted(r.id for r in P.read_geoparquet(spark, path, meets=(0, 0, 2, 2), column="l").collect()) == [0, 4]
+    with pytest.raises(ValueError, match="no box column"):
+        P.read_geoparquet(spark, path, meets=(0, 0, 1, 1), column="geodesic")
+
+
+def test_modes_and_failed_tasks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    P.write_geoparquet(points(spark, 40), path)
+    with pytest.raises(ValueError, match="there are files"):
+        P.write_geoparquet(points(spark, 40), path)
+    P.write_geoparquet(points(spark, 40), path, mode="append")
+    assert P.read_geoparquet(spark, path).count() == 80
+    before = files_of(path)
+    broken = points(spark, 40).withColumn("name", F.when(F.col("id") == 39, F.raise_error(F.lit("lost"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="lost"):
+        P.write_geoparquet(broken, path, mode="overwrite")
+    assert files_of(path) == before and not [f for f in os.listdir(path) if f.startswith("_writing")]
+    P.write_geoparquet(points(spark, 10), path, mode="overwrite")
+    assert P.read_geoparquet(spark, path).count() == 10
+    with pytest.raises(ValueError, match="no geometry column"):
+        P.write_geoparquet(spark.range(3), path, mode="append")
+
+
+def test_files_of_other_writers_are_kept_or_skipped_by_their_notes(spark, tmp_path):
+    for k, bbox in enumerate(([0, 0, 1, 1], [0, 0, -5, 1, 1, 5], [9, 9, 10, 10], None)):
+        note = {"version": "1.1.0", "primary_column": "g", "columns": {"g": {"encoding": "WKB", "geometry_types": [], **({"bbox": bbox} if bbox else {})}}}
+        t = pa.table({"g": pa.array([b"x"])}).replace_schema_metadata({"geo": json.dumps(note)})
+        pq.write_table(t, tmp_path / f"{k}.parquet")
+    pq.write_table(pa.table({"g": pa.array([b"x"])}), tmp_path / "none.parquet")
+    found = [os.path.basename(f) for f in P.files_meeting(spark, str(tmp_path), "g", (0.5, 0.5, 2, 2))]
+    assert found == ["0.parquet", "1.parquet", "3.parquet", "none.parquet"]
+    assert read_parquet(spark, str(tmp_path / "0.parquet")).count() == 1
+
+
+def test_empty(spark, tmp_path):
+    path = str(tmp_path / "t")
+    P.write_geoparquet(points(spark, 0), path, cluster=True)
+    assert os.path.exists(f"{path}/_SUCCESS") and files_of(path) == []
+
+
+def test_z_values_keep_neighbours_together(spark):
+    b = F.struct(*[F.col(c).alias(e) for c, e in (("x", "xmin"), ("y", "ymin"), ("x", "xmax"), ("y", "ymax"))])
+    df = spark.range(64).select((F.col("id") % 8).cast("double").alias("x"), F.floor(F.col("id") / 8).cast("double").alias("y"))
+    got = {(r.x, r.y): r.z for r in df.select("x", "y", P.z_value(b, (0.0, 0.0, 8.0, 8.0)).alias("z")).collect()}
+    order = sorted(got, key=got.get)
+    assert [(int(x), int(y)) for x, y in order[:8]] == [(0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (3, 0), (2, 1), (3, 1)]
+    assert G.point_type().level == 0
