@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words over all documents (partial counts per
+1. The words of every document are hashed once, into a written table (two bytes a
+   word) beside the texts.  Document frequencies come from it (partial counts per
    partition, summed by Spark; a constant number of cells).
 2. A randomised SVD of TF-IDF passages, distributed: partitions accumulate
-   A'(A W) for a random W, the sums are added up and orthogonalised on the
+   A'(A W) for a random W; the sums are added up in a tree of bounded fan-in and orthogonalised on the
    driver (a constant size: cells by rank).  It takes every document, copies
    included as in the document frequencies, together with all benchmark passages,
    which weigh more, so that the latent space spans them.  There is one basis,
@@ -12,8 +13,10 @@
    benchmark passages, are folded into the latent space and looked up by cosine
    in an index of the passages of that length (:class:`Index`: clusters around 3
    sqrt(n) centroids; a window is compared with the passages of the
-   clusters that may hold a match).  Every row is searched; there is no cap on
-   candidates.
+   clusters that may hold a match).  Among thousands of short passages 48 dimensions
+   tell too little of a paraphrase, so these have a second index, of pairs of
+   neighbouring words (:class:`Pairs`): a passage of n words of which 60 % are left in
+   place keeps one at least.  Every row is searched; there is no cap on candidates.
 4. Checks: the longest common subsequence of words between a candidate window
    and the passage must cover ``copy`` of the passage, or ``paraphrase`` of it
    together with the answer (the passage's last sentence).
@@ -36,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,19 +108,33 @@ def cells_of(words: list[bytes]) -> np.ndarray:
     return scan(b" ".join(words))[2]
 
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` (__id, __text) with the text's hash and its words' cells, as 16-bit numbers."""
+
+    @F.arrow_udf("binary")
+    def cells(texts: pa.Array) -> pa.Array:
+        return pa.array([scan(normal(t))[2].astype("<u2").tobytes() for t in strings(texts)], pa.binary())
+
+    return docs.select("__id", "__text", F.xxhash64("__text").alias("__th"), cells("__text").alias("__cells"))
+
+
+def read_cells(value: bytes | None) -> np.ndarray:
+    return np.frombuffer(value or b"", "<u2").astype(np.int64)
+
+
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Documents, and documents per cell, over all of ``docs`` (column __text)."""
+    """Documents, and documents per cell, over all of ``docs`` (column __cells)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros(CELLS, np.int64)
         for b in slices(batches, 1000):
-            texts = strings(b.column(0))
-            n, at = n + len(texts), 0
-            while at < len(texts):  # some ten thousand words at a time
+            words = b.column(0).to_pylist()
+            n, at = n + len(words), 0
+            while at < len(words):  # some ten thousand words at a time
                 cells, sizes = [], []
-                while at < len(texts) and sum(sizes) < PIECE:
-                    cells.append(scan(normal(texts[at]))[2])
+                while at < len(words) and sum(sizes) < PIECE:
+                    cells.append(np.frombuffer(words[at] or b"", "<u2"))
                     sizes.append(len(cells[-1]))
                     at += 1
                 doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
@@ -130,7 +148,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     out, n = np.zeros(CELLS, np.int64), 0
     with small_batches(docs.sparkSession):
-        got = docs.select("__text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows and one
+        got = docs.select("__cells").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows and one
     cell, k = got.column("cell").to_numpy(), got.column("n").to_numpy()
     out[cell[cell >= 0]] = k[cell >= 0]
     n = int(k[cell < 0].sum())
@@ -233,10 +251,15 @@ class Drawn:
         return {k: v for k, v in self.__dict__.items() if k != "_kept"}
 
 
+#: Sums that are added up in one call, and the least files' worth of rows a task of the fit takes.
+FAN_IN, FIT_FILES = 16, 64
+
+
 def summed_rows(rows: DataFrame, parts_of, drawn: Drawn, idf: np.ndarray) -> np.ndarray:
-    """A'(A W) over all rows, in slices of 1024 cells; ``parts_of`` gives the cells of a text's words, by what is cut into passages.
+    """A'(A W) over all rows, in slices of 1024 cells; ``parts_of`` gives the cells of a row's words, by what is cut into passages.
 
-    drawn: W times idf.  A task's sums are of a constant size; there are as many tasks as cores.
+    drawn: W times idf.  A task's sums are of a constant size; tasks grow with the rows, half a GB each, and
+    their sums are added up FAN_IN at a time.
     """
     width = drawn.width
 
@@ -246,7 +269,7 @@ def summed_rows(rows: DataFrame, parts_of, drawn: Drawn, idf: np.ndarray) -> np.
         total = np.zeros((CELLS, width), np.float32)
         parts, n = [], 0
         for b in slices(batches, 1000):
-            for t in strings(b.column(0)):
+            for t in b.column(0).to_pylist():
                 for x in parts_of(t):
                     for at in range(0, len(x), FOLDED):
                         parts.append(x[at : at + FOLDED])
@@ -255,18 +278,23 @@ def summed_rows(rows: DataFrame, parts_of, drawn: Drawn, idf: np.ndarray) -> np.
                             accumulate(total, parts, scaled, weights)
                             parts, n = [], 0
         accumulate(total, parts, scaled, weights)
+        task = TaskContext.get().partitionId()
         for k in range(0, CELLS, 1024):
             if total[k : k + 1024].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + 1024].tobytes()], pa.binary())], ["cell", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([task], pa.int64()), pa.array([total[k : k + 1024].tobytes()], pa.binary())], ["cell", "task", "v"])
 
     def add(parts: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v, np.float32) for v in parts.column("v").to_pylist())
-        return pa.table({"cell": parts.column("cell")[:1], "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"cell": parts.column("cell")[:1], "task": parts.column("task")[:1], "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     out = np.zeros((CELLS, width), np.float32)
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, files(rows) // FIT_FILES)
     with small_batches(rows.sparkSession):
-        for cell, v in rows.coalesce(tasks).mapInArrow(run, "cell long, v binary").groupBy("cell").applyInArrow(add, "cell long, v binary").toLocalIterator():  # the sums: a constant size
+        sums = rows.coalesce(tasks).mapInArrow(run, "cell long, task long, v binary")
+        while tasks > 1:
+            tasks = -(-tasks // FAN_IN)
+            sums = sums.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("cell", "task").applyInArrow(add, "cell long, task long, v binary")
+        for cell, _, v in sums.toLocalIterator():  # the sums: a constant size
             out[cell : cell + 1024] = np.frombuffer(v, np.float32).reshape(-1, width)
     out *= idf[:, None]
     return out
@@ -276,14 +304,14 @@ def latent(docs: DataFrame, bench: DataFrame, idf: np.ndarray, share: float = 1.
     """Cells by rank: the leading right singular vectors of the TF-IDF passages, times idf.
 
     One basis for the whole benchmark, whatever its size: its passages are summed
-    up on the cluster like those of the documents.  docs: __text, bench: item, text;
+    up on the cluster like those of the documents.  docs: __text, __cells; bench: item, text;
     share: of the texts, by hash, where a caller wants fewer than all.
     """
     width = rank + oversample
     drawn = Drawn(idf, width, seed)
     if share < 1:
         docs = docs.filter(F.pmod(F.xxhash64("__text"), F.lit(1_000_003)) < int(share * 1_000_003))
-    total = summed_rows(docs.select("__text"), lambda t: [scan(normal(t))[2]], drawn, idf)
+    total = summed_rows(docs.select("__cells"), lambda c: [read_cells(c)], drawn, idf)
     own = summed_rows(bench.select("text"), lambda t: [cells_of(it.words) for it in passages([(0, t)])], drawn, idf)
     size = float(np.linalg.norm(total)) or 1.0
     own *= np.float32(2.0 * size / (float(np.linalg.norm(own)) or 1.0))
@@ -369,6 +397,77 @@ class Index:
         return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims), compared
 
 
+#: Passages of up to so many words are also looked up by their pairs of words.
+SHORT = 24
+_MARKS = 1 << 22
+
+
+class Pairs:
+    """Short passages by their pairs of neighbouring words, single words by themselves.
+
+    A window's words are compared with a passage's wherever one of its pairs occurs; at least ``share`` of
+    them must be there, in any order.
+    """
+
+    def __init__(self, items: list[Item], share: float, least: int):
+        self.items = [i for i, it in enumerate(items) if len(it.words) <= SHORT]
+        self.words = np.full((len(self.items), SHORT), -1, np.int64)
+        keys, owner, offset = [], [], []
+        for k, i in enumerate(self.items):
+            c = cells_of(items[i].words)
+            self.words[k, : len(c)] = c
+            pairs = c[:-1] * CELLS + c[1:] if len(c) > 1 else c + CELLS * CELLS
+            keys.append(pairs)
+            owner.append(np.full(len(pairs), k))
+            offset.append(np.arange(len(pairs)))
+        self.size = (self.words >= 0).sum(axis=1)
+        self.need = np.where(self.size < least, self.size, np.ceil(share * self.size - 1e-9))
+        keys, owner, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owner, offset))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.offset = keys[order], owner[order], offset[order]
+        self.marks = np.zeros(_MARKS, bool)
+        self.marks[self.place(self.keys)] = True
+        self.single = bool((self.size == 1).any())
+
+    @staticmethod
+    def place(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+
+    def search(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, margin: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item): where in ``words`` a passage may begin; first, last: of each word the bounds of its text."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(words) and len(self.keys):
+            pairs = words[:-1] * CELLS + words[1:]
+            at = np.flatnonzero(self.marks[self.place(pairs)])
+            found.append((at[first[at] == first[at + 1]], pairs))
+            if self.single:
+                alone = words + CELLS * CELLS
+                found.append((np.flatnonzero(self.marks[self.place(alone)]), alone))
+        places, items = [], []
+        for at, keys in found:
+            low, high = (np.searchsorted(self.keys, keys[at], side=s) for s in ("left", "right"))
+            n = high - low
+            entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin, k = np.repeat(at, n) - self.offset[entry], self.owner[entry]
+            if not len(k):
+                continue
+            origin = np.repeat(first[at], n)
+            # pairs of one passage at one place are one
+            _, once = np.unique((begin + SHORT) * len(self.items) + k, return_index=True)
+            begin, k, origin, end = begin[once], k[once], origin[once], np.repeat(last[at], n)[once]
+            for part in range(0, len(k), 10_000):
+                p = slice(part, part + 10_000)
+                window = begin[p, None] - margin + np.arange(SHORT + 2 * margin)
+                inside = (window >= origin[p, None]) & (window < end[p, None]) & (window < begin[p, None] + self.size[k[p], None] + margin)
+                seen = np.where(inside, words[np.clip(window, 0, len(words) - 1)], -2)
+                there = (self.words[k[p], :, None] == seen[:, None, :]).any(axis=2).sum(axis=1)
+                ok = there >= self.need[k[p]]
+                places.append(np.maximum(begin[p][ok], origin[p][ok]))
+                items.append(np.array(self.items)[k[p][ok]])
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(places), np.concatenate(items)) if places else (none, none)
+
+
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     where: dict[bytes, int] = {}
@@ -411,7 +510,10 @@ def leaks(docs: DataFrame, items: list[Item], basis: np.ndarray, cosine: float,
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
             classes.append((np.array(own), blocks, stride, Index(m, cosine)))
 
-    def search(pieces: list[tuple[int, bytes, np.ndarray, np.ndarray]], ids: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float]]:
+    short = Pairs(items, paraphrase, least)
+
+    def search(pieces: list[tuple[int, str, int]], ids: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float]]:
+        """The best matches of pieces (row, text, words before it), known by the cells of their words."""
         found: dict[tuple[int, int], tuple[float, float]] = {}
         blocks_of = [-(-len(x) // STEP) for x in ids]
         ends = np.cumsum(blocks_of)
@@ -426,22 +528,39 @@ def leaks(docs: DataFrame, items: list[Item], basis: np.ndarray, cosine: float,
         np.cumsum(basis0[padded].reshape(total, STEP, -1).sum(axis=1), axis=0, out=sums[1:])
         doc = np.repeat(np.arange(len(ids)), blocks_of)
         split: dict[int, list[bytes]] = {}  # words of the pieces that have candidates
+        tried: set[tuple[int, int, int]] = set()
+
+        def check(d: int, start: int, blocks: int, i: int, near: float) -> None:
+            row, text, before = pieces[d]
+            if d not in split:
+                split[d] = normal(text).split()[before : before + len(ids[d])]
+            margin = STEP * max(2, blocks // 2)
+            share = verdict(items[i], split[d][max(0, start - margin) : start + blocks * STEP + margin], copy, paraphrase, least)
+            if share:
+                key, now = (row, items[i].item), (share, near)
+                found[key] = max(found.get(key, (0.0, 0.0)), now)
+
         for own, blocks, stride, index in classes:
             s = np.arange(0, total, stride)
             e = np.minimum(s + blocks, ends[doc[s]])
             for r, c, near in zip(*index.search(sums[e] - sums[s])[:3]):
                 d = int(doc[s[r]])
                 start = (int(s[r]) - (int(ends[d]) - blocks_of[d])) * STEP
-                margin = STEP * max(2, blocks // 2)
-                row, text, first, last = pieces[d]
-                if d not in split:
-                    split[d] = text[first[0] : last[-1]].split()
-                window = split[d][max(0, start - margin) : start + blocks * STEP + margin]
-                i = int(own[c])
-                share = verdict(items[i], window, copy, paraphrase, least)
-                if share:
-                    key, now = (row, items[i].item), (share, float(near))
-                    found[key] = max(found.get(key, (0.0, 0.0)), now)
+                check(d, start, blocks, int(own[c]), float(near))
+        if short.items:
+            lens = np.array([len(x) for x in ids])
+            last = np.cumsum(lens)
+            piece = np.repeat(np.arange(len(ids)), lens)
+            words = np.concatenate(ids)
+            for at, i in zip(*(x.tolist() for x in short.search(words, (last - lens)[piece], last[piece]))):
+                d = int(piece[at])
+                blocks, start = next(b for upto, b, _ in WINDOWS if len(items[i].words) <= upto), at - int(last[d] - lens[d])
+                if (d, start, i) not in tried:
+                    tried.add((d, start, i))
+                    window = basis[words[at : min(at + len(items[i].words), int(last[d]))]].sum(axis=0)
+                    own_vector = basis[cells_of(items[i].words)].sum(axis=0)
+                    near = float(window @ own_vector / max(float(np.linalg.norm(window) * np.linalg.norm(own_vector)), 1e-9))
+                    check(d, start, blocks, i, near)
         return found
 
     basis0 = np.vstack([basis, np.zeros((1, basis.shape[1]), np.float32)])
@@ -456,11 +575,10 @@ def leaks(docs: DataFrame, items: list[Item], basis: np.ndarray, cosine: float,
                 for key, now in search(pieces, ids).items():
                     out[key] = max(out.get(key, (0.0, 0.0)), now)
 
-            for row, t in enumerate(strings(b.column(1))):
-                text = normal(t)
-                first, last, cell = scan(text)
+            for row, (t, c) in enumerate(zip(strings(b.column(1)), b.column(3).to_pylist())):
+                cell = read_cells(c)
                 for at in range(0, max(len(cell) - OVERLAP, 1), PIECE - OVERLAP):
-                    pieces.append((row, text, first[at : at + PIECE], last[at : at + PIECE]))
+                    pieces.append((row, t, at))
                     ids.append(cell[at : at + PIECE])
                     n += len(ids[-1])
                     if n >= PIECE:
@@ -472,7 +590,7 @@ def leaks(docs: DataFrame, items: list[Item], basis: np.ndarray, cosine: float,
                 rows = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(sim, pa.float64())], ["id", "th", "item_id", "share", "cosine"])
 
-    return docs.select("__id", "__text", F.xxhash64("__text")).mapInArrow(run, MATCH)
+    return docs.select("__id", "__text", "__th", "__cells").mapInArrow(run, MATCH)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.75, copy: float = 0.75, paraphrase: float = 0.6, least: int = 8, item_block: int = 20_000) -> DataFrame:
@@ -490,6 +608,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         if not items:
             continue
         if basis is None:
+            rows = write_table(scanned(rows), "op8-scanned", parts=files(rows))
             n, df = document_frequencies(rows)
             idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + 0.05
             basis = latent(rows, bench, idf)

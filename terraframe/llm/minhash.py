@@ -234,6 +234,12 @@ def relabelled(rows: DataFrame, tops: DataFrame | None) -> DataFrame:
     return led.select(*[F.coalesce("top", "root").alias("root") if c == "root" else F.col(c) for c in rows.columns])
 
 
+def one_each(members: DataFrame, salt: int) -> DataFrame:
+    """Of each bucket a text for each root, another one in each round: a group meets the hubs by it."""
+    drawn = F.min_by(F.struct("th", "meets"), F.xxhash64("th", "key", F.lit(salt))).alias("t")
+    return members.groupBy("key", "root").agg(drawn).select("key", "t.th", "root", "t.meets")
+
+
 def cells(members: DataFrame) -> DataFrame:
     """(key, ci, cj, th, root, n): every two members of different roots of a bucket share a cell of two chunks.
 
@@ -323,13 +329,14 @@ def joined(own: DataFrame, texts: DataFrame, shingle: int, percent: int, name: s
         near = keep(join_split(large, meets, ["th"]).select("key", "th", "root", "meets"), "large")
         sets = keep(shingle_sets(near.select("th"), texts, shingle), "large-sets")
         for salt in range(HUB_ROUNDS):
-            pairs = hub_pairs(relabelled(near, tops), salt).dropDuplicates(["a", "b"])
+            pairs = hub_pairs(near, salt).dropDuplicates(["a", "b"])
             new = keep(similar(pairs, sets, percent), "hub-links")
             if new.isEmpty():
                 break
             links = new if links is None else links.union(new)
             tops = connected(links, f"{name}-tops", parts=parts)
             scratch.append(tops)
+            near = keep(one_each(relabelled(near, tops), salt), "groups")
     placed = cells(relabelled(members, tops))
     found = keep(may_be_similar(placed, own.select("th", "sketch"), percent), "alike")
     sets = keep(shingle_sets(found.select("th"), texts, shingle), "sets")

@@ -6,6 +6,10 @@ import pytest
 from terraframe.llm import decontam as D
 
 
+def scanned(docs):
+    return D.scanned(docs.withColumnsRenamed({"text": "__text", "doc_id": "__id"}))
+
+
 @pytest.fixture(scope="module")
 def fixture(spark, make, words):
     items = [(i, words(16 + i, 1000 + i)) for i in range(30)] + [(50, None), (51, ""), (52, "two words"), (53, words(150, 7077)), (2, words(40, 7078))]
@@ -76,12 +80,12 @@ def test_answer_check():
 
 
 def test_document_frequencies(spark, make):
-    n, df = D.document_frequencies(make(["b a a", "A!", None, "c"]).withColumnRenamed("text", "__text"))
+    n, df = D.document_frequencies(scanned(make(["b a a", "A!", None, "c"])))
     assert n == 4 and df[D.cells_of([b"a"])[0]] == 2 and df.sum() == 4
 
 
 def test_svd_spans_the_benchmark(spark, make, words):
-    docs = make([(i, words(200, i)) for i in range(10)]).withColumnRenamed("text", "__text")
+    docs = scanned(make([(i, words(200, i)) for i in range(10)]))
     texts = [(i, words(40, 100 + i)) for i in range(12)]
     items = D.passages(texts)
     bench = spark.createDataFrame(texts, "item long, text string")
@@ -146,6 +150,54 @@ def test_index_against_all_products(n):
     assert n < 1000 or compared < 0.45 * v.shape[0] * n
 
 
+def paraphrased(words, n, size, seed):
+    """n items of ``size`` words or so, and of each a version with 30 % of the words replaced, in a document of its own."""
+    rng = random.Random(seed)
+    items, rows = [], []
+    for i in range(n):
+        w = words(size(rng), 50_000 + i).replace(".", "").split()
+        items.append((i, " ".join(w)))
+        for j in rng.sample(range(len(w)), round(0.3 * len(w))):
+            w[j] = rng.choice(("other", "some", "thing", "again")) + str(rng.randrange(50))
+        around = words(60, 90_000 + i).split()
+        at = rng.randint(0, len(around))
+        rows.append((i, " ".join([*around[:at], *w, *around[at:]])))
+    return items, rows
+
+
+@pytest.mark.parametrize("n, low, high", [(5000, 8, 14), (2000, 15, 24), (300, 25, 60)])
+def test_recall_of_paraphrases(spark, make, words, n, low, high):
+    """Of all documents in which the checks find their own item, at every place, nine of ten are found or more."""
+    items, rows = paraphrased(words, n, lambda rng: rng.randint(low, high), n)
+    passages = {p.item: p for p in D.passages(items)}
+    want = set()
+    for i, t in rows:
+        w, p = D.words_of(t), passages[i]
+        span = len(p.words) + 8
+        if any(D.verdict(p, w[s : s + span], 0.75, 0.6, 8) for s in range(max(1, len(w) - len(p.words) + 1))):
+            want.add((i, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(make(rows), bench).collect()}
+    assert len(want) > n / 20 and len(got & want) >= 0.97 * len(want)
+
+
+def test_pairs_find_whole_short_passages(spark, make):
+    items = [(1, "zebra"), (2, "two words"), (3, "a b c d e f g")]
+    rows = [(1, "the Zebra, there"), (2, "zebras two"), (3, "has two\nwords in it"), (4, "words two"), (5, "x a b c d e f g"), (6, "a b c d e f h g")]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_sums_are_added_up_in_a_tree(spark, make, words, monkeypatch):
+    docs = scanned(make([(i, words(50, i)) for i in range(40)])).repartition(9)
+    idf = np.ones(D.CELLS, np.float32)
+    drawn, cells = D.Drawn(idf, 8, 1), D.read_cells
+    plain = D.summed_rows(docs.select("__cells"), lambda c: [cells(c)], drawn, idf)
+    monkeypatch.setattr(D, "FAN_IN", 2)
+    tree = D.summed_rows(docs.select("__cells"), lambda c: [cells(c)], drawn, idf)
+    assert np.abs(plain).max() > 0 and np.abs(plain - tree).max() <= 1e-4 * np.abs(plain).max()
+
+
 def test_repeated_items_are_one(fixture, spark):
     rows, items, planted, df, bench = fixture
     many = bench.crossJoin(spark.range(40)).select("item_id", "text")
