@@ -19,7 +19,8 @@ def vertices(df: DataFrame, col: str, t: GeomType | None = None) -> DataFrame:
     """One row for each coordinate of each non-null feature: the other columns, vertex (from 1) and ordinates."""
     t = t or parse_field(df.schema[col], infer=True)
     rest = [F.col(f"`{c}`") for c in df.columns if c != col]
-    out = df.select(*rest, F.posexplode(C.all_coords(F.col(f"`{col}`"), t)).alias("__v", "__c"))
+    g = F.col(f"`{col}`")
+    out = df.select(*rest, F.posexplode(F.when(g.isNotNull(), C.all_coords(g, t))).alias("__v", "__c"))
     return out.select(*rest, (F.col("__v") + 1).alias("vertex"), *[C.ordinate(F.col("__c"), t, o).alias(o) for o in t.ordinates])
 
 

@@ -12,6 +12,7 @@ from ..functions import coords as C
 from ..functions import wkb as B
 from ..functions.numbers import format_double, round_ordinate
 from ..functions.wkt import as_wkt, from_wkt
+from ..operators import aggregate as A
 from ..operators import cast as K
 from ..operators import kernels as O
 from ..operators import vector as V
@@ -21,8 +22,9 @@ from ..operators.join import box_join as join_boxes
 from ..sources.geoparquet import read_geoparquet, write_geoparquet
 from ..sources.ipc import read_ipc_files, write_ipc_files
 from ..sources.scratch import shared_dir
-from ..sql import register
 from ..sources.tables import read_parquet, to_table, write_parquet
+from ..sql import register
+from ..table_functions import register_tables
 from ..types import GeomType, linestring_type, multilinestring_type, multipolygon_type, native_type, parse_field, point_type, polygon_type, wkb_type
 from . import views as W
 
@@ -584,6 +586,27 @@ def handle_count(spark, d):
     return rows.agg(F.sum("features").alias("features"), F.sum("coords").alias("coords"))
 
 
+HULL_POINTS = f"(SELECT DISTINCT id % 1000 AS k, x, y FROM {W.SQL_PTS} WHERE NOT missing)"
+SQL_HULL = f"""
+WITH p AS (SELECT *, max(y) OVER c = y AS top, min(y) OVER c = y AS bottom, x IN (min(x) OVER g, max(x) OVER g) AS side FROM {HULL_POINTS} WINDOW c AS (PARTITION BY k, x), g AS (PARTITION BY k)),
+under AS (SELECT DISTINCT p.k, p.x, p.y FROM p JOIN p a ON a.k = p.k AND a.x < p.x JOIN p b ON b.k = p.k AND b.x > p.x WHERE (b.x - a.x) * (p.y - a.y) <= (b.y - a.y) * (p.x - a.x)),
+over AS (SELECT DISTINCT p.k, p.x, p.y FROM p JOIN p a ON a.k = p.k AND a.x < p.x JOIN p b ON b.k = p.k AND b.x > p.x WHERE (b.x - a.x) * (p.y - a.y) >= (b.y - a.y) * (p.x - a.x)),
+corner AS (
+  SELECT k, x, y FROM p WHERE (top OR bottom) AND side
+  UNION SELECT k, x, y FROM p WHERE top AND NOT side AND (k, x, y) NOT IN (SELECT (k, x, y) FROM under)
+  UNION SELECT k, x, y FROM p WHERE bottom AND NOT side AND (k, x, y) NOT IN (SELECT (k, x, y) FROM over))
+SELECT k, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM corner GROUP BY k
+"""
+
+
+@query(SQL_HULL)
+def visit_merge(spark, d):
+    """Convex hulls of groups of points: a user aggregate whose state is merged in a tree."""
+    pts = W.pts(spark, d).withColumn("k", F.col("id") % 1000).repartition(40)
+    corners = A.visit_merge(pts, "g", A.ConvexHull, "corner int, x double, y double", by="k", fan_in=4)
+    return corners.groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
 @query(
     f"""
     SELECT id AS feat_id, e.event, e.level::INT AS level, CASE WHEN e.own THEN 0 ELSE -1 END::INT AS part_id, CASE e.event WHEN 'geom_start' THEN n ELSE -1 END::INT AS coord_id, CASE WHEN e.own THEN 2 ELSE -1 END::INT AS geometry_type, NULL::DOUBLE AS x, NULL::DOUBLE AS y
@@ -596,6 +619,20 @@ def geom_events(spark, d):
     return X.geometry_events(W.lns(spark, d), "g", "id").select("feat_id", "event", "level", *whole, "x", "y")
 
 
+@query(
+    f"""
+    SELECT id AS feat_id, e.event, e.level::INT AS level, CASE WHEN e.own THEN 0 ELSE -1 END::INT AS part_id, CASE e.event WHEN 'geom_start' THEN n ELSE -1 END::INT AS coord_id, CASE WHEN e.own THEN 2 ELSE -1 END::INT AS geometry_type, NULL::DOUBLE AS x, NULL::DOUBLE AS y
+    FROM {W.SQL_LINES}, (VALUES ('feat_start', 0, false), ('geom_start', 0, true), ('geom_end', 0, true), ('feat_end', 0, false)) e(event, level, own)
+    UNION ALL SELECT id, 'coord', 0::INT, 0::INT, (k - 1)::INT, 2::INT, x, y FROM {W.SQL_VERTEX}
+    """
+)
+def geom_events_sql(spark, d):
+    """The same rows from SQL text: a table function called with LATERAL."""
+    register_tables(spark)
+    W.lns(spark, d).createOrReplaceTempView("geom_events_lines")
+    return spark.sql("SELECT l.id AS feat_id, e.event, e.level, coalesce(e.part_id, -1) AS part_id, coalesce(e.coord_id, -1) AS coord_id, coalesce(e.geometry_type, -1) AS geometry_type, e.x, e.y FROM geom_events_lines l, LATERAL geom_events(l.g, 'linestring') e")
+
+
 @query(f"SELECT id, k AS vertex, x, y FROM {W.SQL_VERTEX}")
 def geom_writer(spark, d):
     built = X.assemble(X.geometry_events(W.lns(spark, d), "g", "id"), W.LINE, "g").withColumnRenamed("feat_id", "id")
