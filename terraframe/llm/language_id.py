@@ -23,13 +23,19 @@ language, host or suffix gives no evidence; null and repeated ids are carried
 as they are; an empty table gives an empty result; a table whose declared rows
 have under ``support`` trigrams in all leaves nothing to learn and every row is
 rejected.  A language known from a row or two is modelled on these rows alone, so
-its own documents pass; a table's languages cost 128 KB each in every Python
-worker and a number a document each on disk.
+its own documents pass.
+
+Languages are taken ``BLOCK`` at a time: a worker holds the models of a block (8 MB),
+a row the numbers of a block; what the blocks say of a row is put together by maxima and sums of
+exponentials, which lose nothing.  A declared language's name is all that the driver
+holds of each.  Every block reads the texts once.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, tidy, utf8
-from .storage import drop_table, marked, read, small_batches, without_rows, write_table
+from .storage import drop_table, join_split, marked, read, small_batches, without_rows, write_table
 from .url_filter import host_of
 
 CELLS = 1 << 15
+#: Languages whose models are held at a time.
+BLOCK = 64
 UNKNOWN = "und"
 _LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -65,8 +73,44 @@ NEVER = -60.0  # log probability under a language without a trigram
 COUNTED = 1 << 20  # trigrams held before they are counted
 
 
-def train(rows: DataFrame, per_language: int | None = None, support: int = 20) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (cells by languages, the rival class last); rows: declared, text.
+@dataclass
+class Models:
+    """Language models as counts: a written table (cell + CELLS * language, n), and what smoothing needs of all of it."""
+
+    names: list[str]
+    counts: DataFrame | None
+    seen: int
+
+    @property
+    def blocks(self) -> list[tuple[int, int]]:
+        """Ranges of classes: languages in order, the rival class after the last."""
+        return [(i, min(i + BLOCK, len(self.names))) for i in range(0, max(len(self.names), 1), BLOCK)]
+
+    def classes(self, begin: int, end: int) -> list[str]:
+        return [*self.names[begin:end], *[UNKNOWN] * (end == len(self.names))]
+
+    def table(self, begin: int, end: int) -> np.ndarray:
+        """Log probabilities, cells by the classes of a block."""
+        if self.counts is None:
+            return np.zeros((CELLS, 1), np.float32)
+        p = np.zeros((end - begin) * CELLS, np.float32)
+        got = self.counts.filter((F.col("cell") >= begin * CELLS) & (F.col("cell") < end * CELLS)).toArrow()  # BLOCK x CELLS rows at most
+        p[got.column("cell").to_numpy() - begin * CELLS] = got.column("n").to_numpy()
+        p = p.reshape(-1, CELLS)
+        for i, total in enumerate(p.sum(axis=1, dtype=np.float64)):
+            if total:
+                # a small language gives what it has not seen UNSEEN of its mass at most, else it would suit any noise better than the rival class
+                add = min(0.5, UNSEEN * total / self.seen)
+                p[i] = np.log((p[i] + add) / (total + add * self.seen))
+            else:  # declared only by rows without letters
+                p[i] = NEVER
+        if end == len(self.names):
+            p = np.vstack([p, np.full((1, CELLS), -RIVAL_MARGIN - np.log(self.seen), np.float32)])
+        return np.ascontiguousarray(p.T)
+
+
+def train(rows: DataFrame, per_language: int | None = None, support: int = 20, scratch: list[DataFrame] | None = None) -> Models:
+    """A model of every declared language of ``rows`` (declared, text).
 
     Every declared language with letters gets a model of all its different texts; under ``support`` trigrams over
     all of them there is nothing to learn from.  per_language: of about so many rows each, by hash of the text, where
@@ -75,9 +119,8 @@ def train(rows: DataFrame, per_language: int | None = None, support: int = 20) -
     counted = rows.filter("declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared")
     counted = counted.collect()  # a row for each language
     names = sorted(r[0] for r in counted)
-    nothing = [], np.zeros((CELLS, 1), np.float32)
     if not names:
-        return nothing
+        return Models([], None, 2)
     place = {n: i for i, n in enumerate(names)}
     known = rows.filter("declared <> ''").select("declared", "text", F.xxhash64("text").alias("h"))
     limit = {r[0]: int(per_language / r[1] * 1_000_003) for r in counted if r[1] > per_language} if per_language else {}
@@ -121,24 +164,12 @@ def train(rows: DataFrame, per_language: int | None = None, support: int = 20) -
         yield from count()
         yield from flush()
 
-    p = np.zeros((len(names) + 1) * CELLS, np.float32)
-    with small_batches(rows.sparkSession):
-        got = known.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x cells at most
-    p[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    p = p.reshape(-1, CELLS)
-    sums = p.sum(axis=1, dtype=np.float64)
-    if sums.sum() < support:
-        return nothing
-    seen = max(int(p.any(axis=0).sum()), 2)
-    for i, total in enumerate(sums[:-1]):
-        if total:
-            # a small language gives what it has not seen UNSEEN of its mass at most, else it would suit any noise better than the rival class
-            add = min(0.5, UNSEEN * total / seen)
-            p[i] = np.log((p[i] + add) / (total + add * seen))
-        else:  # declared only by rows without letters
-            p[i] = NEVER
-    p[-1] = -RIVAL_MARGIN - np.log(seen)
-    return names, np.ascontiguousarray(p.T)
+    counts = known.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = write_table(counts, "op6-counts", scratch)
+    total, seen = counts.agg(F.sum("n"), F.count_distinct(F.col("cell") % CELLS)).first()
+    if (total or 0) < support:
+        return Models([], None, 2)
+    return Models(names, counts, max(seen, 2))
 
 
 def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
@@ -161,71 +192,114 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
     return narrow.mapInArrow(run, "id long, declared string, host string, suffix string, th long, n long, ll array<double>")
 
 
-def counts_by(voted: DataFrame, key: Column, width: int) -> DataFrame:
-    """(key, c): how many rows of each key have each text language; nulls and empty keys are left out."""
+def counts_by(voted: DataFrame, key: Column, begin: int, width: int) -> DataFrame:
+    """(key, c, total): how many rows of each key have each text language of a block, and any; nulls and empty keys are left out."""
     per = voted.select(key.alias("key"), "vote").filter("key is not null and key <> ''").groupBy("key", "vote").count()
-    per = per.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("vote", "count"))).alias("m"))  # an entry for each language
-    return per.select("key", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")).alias("c"))
+    inside = (F.col("vote") >= begin) & (F.col("vote") < begin + width)
+    pairs = F.collect_list(F.when(inside, F.struct(F.col("vote") - begin, "count")))  # of each key so many at most
+    per = per.groupBy("key").agg(F.map_from_entries(pairs).alias("m"), F.sum("count").cast("double").alias("total"))
+    return per.select("key", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")).alias("c"), "total")
 
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def smoothed(counts: Column, prior: Column, strength: float) -> Column:
-    """(counts + strength * prior) / (sum + strength), by element."""
-    return F.zip_with(counts, prior, lambda c, p: (c + p * strength) / (_sum(counts) + strength))
+def smoothed(counts: Column, total: Column, prior: Column, strength: float) -> Column:
+    """(counts + strength * prior) / (total + strength), by element."""
+    return F.zip_with(counts, prior, lambda c, p: (c + p * strength) / (total + strength))
 
 
-def host_priors(voted: DataFrame, overall: list[float], width: int, strength: float) -> DataFrame:
-    """(host, prior): each host's language shares, smoothed by its domain's, its suffix's and the overall ones."""
-    top = F.array(*[F.lit(float(x)) for x in overall])
+def host_priors(voted: DataFrame, overall: list[float], begin: int, strength: float) -> DataFrame:
+    """(host, prior): each host's language shares, smoothed by its domain's, its suffix's and the overall ones; of a block."""
+    top, width = F.array(*[F.lit(float(x)) for x in overall]), len(overall)
     host, dots = F.col("host"), F.size(F.split("host", r"\."))
     domain, suffix = F.when(dots > 2, F.substring_index(host, ".", -2)), F.when(dots > 1, F.substring_index(host, ".", -1))
-    by_suffix = counts_by(voted, suffix, width).select(F.col("key").alias("suffix"), smoothed(F.col("c"), top, strength).alias("ps"))
-    by_domain = counts_by(voted, domain, width).select(F.col("key").alias("domain"), F.col("c").alias("cd"))
-    hosts = counts_by(voted, host, width).select(F.col("key").alias("host"), "c").withColumns({"domain": domain, "suffix": suffix})
+    total = F.col("total")
+    by_suffix = counts_by(voted, suffix, begin, width).select(F.col("key").alias("suffix"), smoothed(F.col("c"), total, top, strength).alias("ps"))
+    by_domain = counts_by(voted, domain, begin, width).select(F.col("key").alias("domain"), F.col("c").alias("cd"), total.alias("td"))
+    hosts = counts_by(voted, host, begin, width).select(F.col("key").alias("host"), "c", "total").withColumns({"domain": domain, "suffix": suffix})
     with_all = hosts.join(by_suffix, "suffix", "left").join(by_domain, "domain", "left")
     above = F.coalesce("ps", top)
-    above = F.when(F.col("cd").isNull(), above).otherwise(smoothed(F.col("cd"), above, strength))
-    return with_all.select("host", smoothed(F.col("c"), above, strength).alias("prior"))
+    above = F.when(F.col("cd").isNull(), above).otherwise(smoothed(F.col("cd"), F.col("td"), above, strength))
+    return with_all.select("host", smoothed(F.col("c"), total, above, strength).alias("prior"))
 
 
-def evidence_table(voted: DataFrame, name: str, overall: list[float], width: int, strength: float = 1.0) -> DataFrame:
-    """(name, e): log P(value | language) for each value of a column, from counts over all rows."""
-    c = counts_by(voted, F.col(name), width)
+def evidence_table(voted: DataFrame, name: str, overall: list[float], begin: int, strength: float = 1.0) -> DataFrame:
+    """(name, e): log P(value | language) for each value of a column and language of a block, from counts over all rows."""
+    c = counts_by(voted, F.col(name), begin, len(overall))
     totals = F.array(*[F.lit(max(float(x), 1e-9)) for x in overall])
     return c.select(F.col("key").alias(name), F.zip_with("c", totals, lambda n, t: F.log((n + strength * t) / t)).alias("e"))
 
 
+#: What a row is known by; rows alike in it have the same evidence.
+ROW = ["id", "th", "declared", "host", "suffix"]
+
+
+def put_together(blocks: list[DataFrame], columns: list[str], best: str, *more: str) -> DataFrame:
+    """One row for each of ``columns`` in all blocks: the first highest ``best``, what goes with it, and n of a row.
+
+    ``mass``, a sum of exponentials below each block's best, is carried to the highest one.
+    """
+    every = functools.reduce(DataFrame.union, [b.withColumn("block", F.lit(k)) for k, b in enumerate(blocks)])
+    top = F.max_by(F.struct(best, *more), F.struct(F.col(best), -F.col("block"))).alias("t")
+    masses = F.collect_list(F.struct(F.col(best), F.col("mass"))).alias("masses") if "mass" in every.columns else F.lit(None).alias("masses")
+    found = every.groupBy(*columns).agg(top, masses)
+    if "mass" in every.columns:  # a number for each block
+        found = found.withColumn("mass", _sum(F.transform("masses", lambda m: m["mass"] * F.exp(m[best] - F.col("t")[best]))))
+    return found.drop("masses").select(*columns, "t.*", *["mass"] * ("mass" in every.columns))
+
+
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, per_language: int | None = None, support: int = 20, strength: float = 20.0, tempered: float = 100.0, least: float = 0.5, scratch: list[DataFrame] | None = None) -> DataFrame:
     """(id_col, th, declared, language, posterior, n_trigrams, kept) for every row; th: the hash of its text."""
     null = F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(declared if declared is not None else null).alias("declared"), F.lower(host if host is not None else null).alias("host"), F.lower(suffix if suffix is not None else null).alias("suffix"), (text if text is not None else F.col("text")).cast("string").alias("text"))
-    names, table = train(rows, per_language, support)
-    width = len(names) + 1
-    found = write_table(text_evidence(rows, table), "op6-evidence", scratch)
-    per = F.transform("ll", lambda x: x / F.greatest(F.col("n"), F.lit(1)))
-    found = found.withColumn("text_ll", F.transform(per, lambda x: x * (F.col("n") / (1 + F.col("n") / tempered))))
-    voted = found.filter("n > 0").withColumn("vote", F.array_position("text_ll", F.array_max("text_ll")).cast("int") - 1)
+    own_scratch: list[DataFrame] = [] if scratch is None else scratch
+    models = train(rows, per_language, support, own_scratch)
+    tempering = F.col("n") / (1 + F.col("n") / tempered) / F.greatest(F.col("n"), F.lit(1))
+    evidence, votes = [], []
+    for begin, end in models.blocks:
+        table = write_table(text_evidence(rows, models.table(begin, end)), "op6-evidence", own_scratch)
+        found = table.withColumn("text_ll", F.transform("ll", lambda x: x * tempering))
+        evidence.append(found)
+        best = F.array_max("text_ll")
+        votes.append(found.filter("n > 0").select(*ROW, best.alias("best"), (F.array_position("text_ll", best).cast("int") - 1 + begin).alias("vote")))
+    if len(votes) == 1:
+        voted = votes[0]
+    else:  # a text has one vote, its rows are those of any block
+        per_text = put_together([v.select("th", "best", "vote").dropDuplicates(["th"]) for v in votes], ["th"], "best", "vote")
+        voted = write_table(join_split(votes[0].drop("best", "vote"), per_text.select("th", "vote"), ["th"]), "op6-votes", own_scratch)
     shares = {r[0]: r[1] for r in voted.groupBy("vote").count().collect()}  # a row for each language
-    total = sum(shares.values())
-    overall = [(shares.get(i, 0) + 1.0) / (total + width) for i in range(width)]
-    uniform = F.array(*[F.log(F.lit(x)) for x in overall])
-    none = F.array(*[F.lit(0.0)] * width)
-    d = write_table(evidence_table(voted, "declared", overall, width), "op6-declared", scratch)
-    s = write_table(evidence_table(voted, "suffix", overall, width), "op6-suffix", scratch)
-    p = write_table(host_priors(voted, overall, width, strength), "op6-hosts", scratch)
-    fused = found.join(d.withColumnRenamed("e", "ed"), "declared", "left").join(s.withColumnRenamed("e", "es"), "suffix", "left").join(p, "host", "left")
-    score = F.zip_with("text_ll", F.coalesce(F.transform("prior", lambda x: F.log(x)), uniform), lambda a, b: a + b)
-    score = F.zip_with(score, F.coalesce("ed", none), lambda a, b: a + b)
-    score = F.zip_with(score, F.coalesce("es", none), lambda a, b: a + b)
-    fused = fused.withColumn("score", score).withColumn("best", F.array_max("score"))
-    fused = fused.withColumn("at", F.array_position("score", F.col("best")).cast("int")).withColumn("posterior", 1.0 / _sum(F.transform("score", lambda x: F.exp(x - F.col("best")))))
-    language = F.when(F.col("n") > 0, F.element_at(F.array(*[F.lit(x) for x in [*names, UNKNOWN]]), F.col("at"))).otherwise(UNKNOWN)
-    fused = fused.withColumn("language", language)
-    kept = (F.col("language") != UNKNOWN) & (F.col("posterior") >= least)
-    return fused.select(F.col("id").alias(id_col), "th", "declared", "language", F.when(F.col("n") > 0, F.col("posterior")).otherwise(0.0).alias("posterior"), F.col("n").alias("n_trigrams"), kept.alias("kept"))
+    total, classes = sum(shares.values()), len(models.names) + 1
+    scored = []
+    for (begin, end), found in zip(models.blocks, evidence):
+        names = models.classes(begin, end)
+        width = len(names)
+        overall = [(shares.get(begin + i, 0) + 1.0) / (total + classes) for i in range(width)]
+        uniform = F.array(*[F.log(F.lit(x)) for x in overall])
+        none = F.array(*[F.lit(0.0)] * width)
+        d = write_table(evidence_table(voted, "declared", overall, begin), "op6-declared", own_scratch)
+        s = write_table(evidence_table(voted, "suffix", overall, begin), "op6-suffix", own_scratch)
+        p = write_table(host_priors(voted, overall, begin, strength), "op6-hosts", own_scratch)
+        fused = found.join(d.withColumnRenamed("e", "ed"), "declared", "left").join(s.withColumnRenamed("e", "es"), "suffix", "left").join(p, "host", "left")
+        score = F.zip_with("text_ll", F.coalesce(F.transform("prior", lambda x: F.log(x)), uniform), lambda a, b: a + b)
+        score = F.zip_with(score, F.coalesce("ed", none), lambda a, b: a + b)
+        score = F.zip_with(score, F.coalesce("es", none), lambda a, b: a + b)
+        fused = fused.withColumn("score", score).withColumn("best", F.array_max("score"))
+        fused = fused.withColumn("at", F.array_position("score", F.col("best")).cast("int")).withColumn("mass", _sum(F.transform("score", lambda x: F.exp(x - F.col("best")))))
+        scored.append(fused.select(*ROW, "n", "best", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("at")).alias("language"), "mass"))
+    if len(scored) == 1:
+        fused = scored[0]
+    else:  # rows alike are one, and come back as many as they were
+        blocks = [b.groupBy(*ROW).agg(F.first("n").alias("n"), F.first("best").alias("best"), F.first("language").alias("language"), F.first("mass").alias("mass"), F.count("*").alias("copies")) for b in scored]
+        fused = put_together(blocks, ROW, "best", "n", "language", "copies")
+        chunks = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 1000)))
+        fused = fused.withColumn("chunk", chunks).repartition("chunk", *ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies") - F.col("chunk") * 1000, F.lit(1000)))))
+    posterior = 1.0 / F.col("mass")
+    language = F.when(F.col("n") > 0, F.col("language")).otherwise(UNKNOWN)
+    fused = fused.select(F.col("id").alias(id_col), "th", "declared", language.alias("language"), F.when(F.col("n") > 0, posterior).otherwise(0.0).alias("posterior"), F.col("n").alias("n_trigrams"), posterior.alias("__p"))
+    kept = (F.col("language") != UNKNOWN) & (F.col("__p") >= least)
+    return fused.withColumn("kept", kept).drop("__p")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", *args, **options) -> DataFrame:

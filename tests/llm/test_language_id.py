@@ -49,8 +49,9 @@ def test_against_a_plain_sum(spark, corpus):
     rows, df = corpus
     options = dict(per_language=30, strength=5.0, tempered=50.0)
     plain = df.select(F.col("doc_id").alias("id"), F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), "text")
-    names, table = L.train(plain, 30, 20)
-    width = len(names) + 1
+    models = L.train(plain, 30, 20)
+    (block,) = models.blocks
+    table, width = models.table(*block), len(models.names) + 1
     ev = []
     for i, t, d, h in rows:
         cells = L.trigrams((t or "").encode())
@@ -98,6 +99,22 @@ def test_models_take_every_different_text(spark, monkeypatch):
     assert np.allclose(took[0][:, :2].T, np.log((counts + add) / (sums + add * seen)), atol=1e-4)
 
 
+@pytest.mark.parametrize("size", [1, 2])
+def test_blocks_of_languages_lose_nothing(corpus, spark, monkeypatch, size):
+    rows, df = corpus
+    df = df.union(df.filter("doc_id % 10 = 3 or doc_id is null"))  # repeated rows
+    key = lambda r: (str(r.doc_id), str(r.declared), r.language, round(r.posterior, 9), r.n_trigrams, r.kept)
+    want = sorted(map(key, identify(df).collect()))
+    widths = []
+    plain = L.text_evidence
+    monkeypatch.setattr(L, "text_evidence", lambda rows, table: widths.append(table.shape[1]) or plain(rows, table))
+    monkeypatch.setattr(L, "BLOCK", size)
+    assert sorted(map(key, identify(df).collect())) == want
+    assert len(widths) == -(-3 // size) and max(widths) <= size + 1
+    kept = L.drop_unidentified(df, declared=F.col("lang"), host=F.col("source"))
+    assert kept.count() == sum(r[-1] for r in sorted(map(key, L.identify(df, declared=F.col("lang"), host=F.col("source")).collect())))
+
+
 def test_nothing_to_learn_and_empty(spark, make):
     df = make([(1, "abc def"), (2, None)])
     assert [r.kept for r in L.identify(df, declared=F.col("lang")).collect()] == [False, False]
