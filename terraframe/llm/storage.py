@@ -1,40 +1,20 @@
 """Shared scratch tables.
 
-Lineage is cut by writing a table into the folder that the cluster names in
-``spark.checkpoint.dir``; executors and driver both see it.  Only where that
-setting is absent (a local session, tests) is a folder made here.
+Lineage is cut by writing a table into the application's folder below
+``spark.checkpoint.dir``; executors and driver both see it.  What a result reads stays
+until ``terraframe.sources.scratch.clean_up``.
 """
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import re
-import shutil
-import tempfile
 import threading
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or, in a local session alone, an own one where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="terraframe-")
-        atexit.register(shutil.rmtree, _OWN[app], True)
-    return f"file://{_OWN[app]}"
-
+from ..sources.scratch import delete, new_path, shared_dir
 
 #: Rows of an Arrow batch while a table is written or texts are summed up: whole texts make large rows.
 BATCH_ROWS = 1000
@@ -75,7 +55,7 @@ def write_table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None
     """
     spark = df.sparkSession
     df = df.coalesce(parts) if parts else df
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -109,9 +89,7 @@ def drop_table(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_table_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def join_split(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
