@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +20,7 @@ from ..operators.infer import infer_schema
 from ..operators.join import box_join as join_boxes
 from ..sources.geoparquet import read_geoparquet, write_geoparquet
 from ..sources.ipc import read_ipc_files, write_ipc_files
-from ..sources.scratch import shared_dir
+from ..sources.scratch import new_path
 from ..sources.tables import read_parquet, to_table, write_parquet
 from ..sql import register
 from ..table_functions import register_tables
@@ -102,7 +101,7 @@ def table_force_wkb(spark, d):
 
 @query(f"SELECT id, CASE WHEN NOT missing THEN x END AS x, CASE WHEN NOT missing THEN y END AS y, 1::BIGINT AS type_id FROM {W.SQL_PTS}")
 def parquet_roundtrip(spark, d):
-    path = f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+    path = new_path(spark, "roundtrip")
     write_parquet(W.pts(spark, d), path)
     df = read_parquet(spark, path)
     return df.select("id", "g.x", "g.y", F.lit(_typed(df).id).cast("long").alias("type_id"))
@@ -111,7 +110,7 @@ def parquet_roundtrip(spark, d):
 @query(f"SELECT id, x, y FROM {W.SQL_PTS} WHERE NOT missing AND x BETWEEN -90 AND -60.25 AND y BETWEEN 10 AND 40")
 def geo_scan(spark, d):
     """Points in a box, from files in the order of a Z curve: files and row groups outside are skipped."""
-    path = f"{shared_dir(spark)}/geo-{uuid.uuid4().hex}"
+    path = new_path(spark, "geo")
     write_geoparquet(W.pts(spark, d), path, cluster=True, files=16)
     return read_geoparquet(spark, path, meets=(-90, 10, -60.25, 40)).select("id", "g.x", "g.y")
 
@@ -119,7 +118,7 @@ def geo_scan(spark, d):
 @query(f"SELECT id, ST_AsText(w::GEOMETRY) AS w FROM {W.SQL_POL} WHERE p <= 300 AND p + 10 >= 200 AND s <= 30 AND s + 5 >= 20")
 def geo_scan_polygons(spark, d):
     """Text polygons go out as binary and come back."""
-    path = f"{shared_dir(spark)}/geo-{uuid.uuid4().hex}"
+    path = new_path(spark, "geo")
     write_geoparquet(W.pol(spark, d), path, cluster=True, files=4)
     df = read_geoparquet(spark, path, meets=(200, 20, 300, 30))
     return df.select("id", as_wkt(F.col("w"), wkb_type()).alias("w"))
@@ -128,7 +127,7 @@ def geo_scan_polygons(spark, d):
 @query(f"SELECT id, CASE WHEN NOT missing THEN x END AS x, CASE WHEN NOT missing THEN y END AS y FROM {W.SQL_PTS} WHERE id % 3 = 1 AND id >= 1000")
 def ipc_scan(spark, d):
     """Points of many Arrow files, dealt out by record batches; one comparison is passed down to the scan."""
-    path = f"{shared_dir(spark)}/ipc-{uuid.uuid4().hex}"
+    path = new_path(spark, "ipc")
     write_ipc_files(W.pts(spark, d).withColumn("k", F.col("id") % 3).repartition(16, "id"), path)
     return read_ipc_files(spark, path, columns=["id", "g"], where=[("k", "==", 1), ("id", ">=", 1000)]).select("id", "g.x", "g.y")
 

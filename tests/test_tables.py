@@ -147,3 +147,16 @@ def test_registered_arrow_types(spark, points, tmp_path):
         assert G.parse_field(back.schema["g"]) == inter and [r.g for r in back.orderBy("i").collect()] == [[[[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], []], None]
     finally:
         A.unregister_types()
+
+
+def test_clean_up_deletes_what_queries_wrote(spark):
+    import os
+
+    from terraframe.sources import scratch
+
+    path = scratch.new_path(spark, "t").removeprefix("file://")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path) and path.startswith(scratch.own_folder(spark).removeprefix("file://"))
+    scratch.clean_up(spark)
+    assert not os.path.exists(path) and os.path.exists(scratch.shared_dir(spark).removeprefix("file://"))
+    scratch.clean_up(spark)
