@@ -645,3 +645,27 @@ def windowed_box(spark, d):
     return run(W.stream_pts(spark, d), "g", "ts").drop("types")
 
 
+SQL_SESSIONS = """
+WITH e AS (SELECT user_id, event_id % 90 AS y, epoch_us(ts::TIMESTAMP) AS t FROM events WHERE ts IS NOT NULL),
+m AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 86400000000 AS near FROM e),
+s AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, make_timestamp(min(t)) AS session_start, make_timestamp(max(t)) AS session_end, user_id::DOUBLE AS xmin, min(y)::DOUBLE AS ymin, user_id::DOUBLE AS xmax, max(y)::DOUBLE AS ymax, count(*) AS n
+FROM s GROUP BY user_id, k HAVING (max(t) + 86400000000 + 999) // 1000 <= (SELECT max(t) - 600000000 FROM e) // 1000
+"""
+
+
+@query(SQL_SESSIONS)
+def session_box(spark, d):
+    """Finished sessions of a stream of events, a day between them: state and timers in Spark's store."""
+    from ..streaming.sessions import PROVIDER
+    from ..streaming.sessions import session_box as run
+
+    before, out = spark.conf.get(PROVIDER[0]), new_path(spark, "sessions")
+    events = spark.readStream.schema(W.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    spark.conf.set(*PROVIDER)
+    try:
+        found = run(W.stream_points(events), "g", "ts", "user_id", gap="1 day")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before)
+    return spark.read.schema(found.schema).parquet(out)

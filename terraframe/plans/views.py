@@ -78,9 +78,13 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k.alias("id"), tag(w, "w", WKT))
 
 
-def stream_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_points(events: DataFrame) -> DataFrame:
     g = make_point(x=F.col("user_id"), y=F.col("event_id") % 90)
-    return read(spark, sf_dir, "events").select("ts", "user_id", tag(g, "g", POINT))
+    return events.select("ts", "user_id", tag(g, "g", POINT))
+
+
+def stream_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_points(read(spark, sf_dir, "events"))
 
 
 # The same in DuckDB's SQL.
