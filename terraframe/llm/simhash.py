@@ -15,8 +15,8 @@
    partition and, for t_i > 0, to those of all flips of up to t_i bits.  A
    bucket's members are verified with XOR and bit counts; it returns a spanning
    forest of its links, never its pairs.  A bucket above ``chunk`` members is
-   split by pigeonhole on its other bits, and what is still too large into cells
-   of chunk pairs, so that many tasks meet all its pairs between them.
+   split by pigeonhole on its other bits, again and again, and what agrees in all of
+   them into cells of chunk pairs, so that many tasks meet all its pairs between them.
 5. Components of the forests, distributed (see components).
 
 Defined cases: null or wordless text has fingerprint zero and links like any
@@ -226,24 +226,51 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[a], fp[b]
 
 
+#: How often a large bucket is split by its other bits.
+LEVELS = 3
+
+
+def split_masks(bits: list[int], distance: int) -> list[dict[int, list[int]]]:
+    """For each level the masks by which the buckets of a path are split: of the bits that its path has not used, in groups.
+
+    A path is the groups taken so far, in digits of base 8.
+    """
+    out: list[dict[int, list[int]]] = []
+    open_ = {0: [b for b in range(BITS) if b not in bits]}
+    for _ in range(LEVELS):
+        groups = {path: [rest[k :: distance + 1] for k in range(distance + 1)] for path, rest in open_.items()}
+        out.append({path: [mask_of(g) for g in gs] for path, gs in groups.items()})
+        open_ = {path * 8 + k + 1: [b for b in rest if b not in groups[path][k]] for path, rest in open_.items() for k in range(distance + 1)}
+    return out
+
+
 def split_buckets(members: DataFrame, parts: list[tuple[list[int], int]], distance: int, chunk: int) -> DataFrame:
     """Large buckets once more by pigeonhole: members within ``distance`` agree in one of distance + 1 groups of the other bits.
 
-    What is still large is dealt into cells of chunk pairs.
+    What is large still is split by the bits that are left, ``LEVELS`` times; what agrees in all these groups, and so nearly
+    everywhere, is dealt into cells of chunk pairs.
     """
-    groups_of = []
-    for bits, _ in parts:
-        rest = [b for b in range(BITS) if b not in bits]
-        groups_of.append([signed(mask_of(rest[k :: distance + 1])) for k in range(distance + 1)])
-    masks = F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in groups_of]), F.col("part") + 1)
-    split = members.select("part", "value", "fp", F.posexplode(masks).alias("sub", "mask"))
-    split = split.select("part", "value", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
-    keys = ["part", "value", "sub", "rest"]
-    sizes = split.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
-    k = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), k).cast("int")
-    cells = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("ci"), F.greatest(i, own).alias("cj"))))
-    return split.join(sizes, keys).select(*keys, "fp", cells.alias("c")).select(*keys, "c.ci", "c.cj", "fp")
+    masks = [split_masks(bits, distance) for bits, _ in parts]
+    keys, done = ["part", "value", "sub", "rest"], None
+    now = members.select("part", "value", F.lit(0).alias("sub"), F.lit(0).cast("long").alias("used"), "fp")
+    for level in range(LEVELS):
+        by_path = F.create_map(*[x for i, own in enumerate(masks) for path, ms in own[level].items() for x in (F.lit(i * 8**LEVELS + path), F.array(*[F.lit(signed(m)) for m in ms]))])
+        split = now.select("part", "value", "sub", "used", "fp", F.posexplode(by_path[F.col("part") * 8**LEVELS + F.col("sub")]).alias("k", "mask"))
+        used = F.col("used").bitwiseOR(F.col("mask"))
+        split = split.select("part", "value", (F.col("sub") * 8 + F.col("k") + 1).alias("sub"), used.alias("used"), F.col("fp").bitwiseAND(used).alias("rest"), "fp")
+        sizes = split.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
+        last = level + 1 == LEVELS
+        found = split.join(sizes if last else sizes.filter(F.col("size") <= chunk), keys)
+        k = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
+        own = F.pmod(F.xxhash64("fp"), k).cast("int")
+        cells = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.least(i, own).alias("ci"), F.greatest(i, own).alias("cj"))))
+        found = found.select(*keys, "fp", cells.alias("c")).select(*keys, "c.ci", "c.cj", "fp")
+        done = found if done is None else done.unionByName(found)
+        large = sizes.filter(F.col("size") > chunk).select(*keys)
+        if last or large.isEmpty():
+            return done
+        now = split.join(large, keys).select("part", "value", "sub", "used", "fp")
+    return done
 
 
 def links(fps: DataFrame, distance: int = 4, chunk: int = 2048, scratch: list[DataFrame] | None = None, files: int | None = None) -> DataFrame:

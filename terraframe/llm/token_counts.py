@@ -42,6 +42,8 @@ from .storage import files, marked, read, write_table
 from .tokenizers import ByteBpe, chunks
 
 LEAF = 32
+#: Copies of a row that one task makes.
+COPIES = 1000
 Edit = tuple[int, int, str]  # characters [start, end) become the text
 
 
@@ -322,5 +324,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = files(docs)
     trees = write_table(build(docs), "op5-trees", parts=few)
     found = recount(trees, docs, edits_of(docs))
-    each = found.select("id", *COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    # many tasks make the copies of a hot row, a chunk each
+    size = F.lit(COPIES).cast("long")
+    chunks = found.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("copies") - 1, size)))).hint("rebalance")
+    each = chunks.select("id", *COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies") - F.col("chunk") * size, size))).alias("copy"))
     return each.select(F.col("id").alias("doc_id"), *COLUMNS[1:]).coalesce(few)

@@ -160,3 +160,22 @@ def test_similar_texts_are_dropped(make, words):
 def test_empty(make):
     assert S.near_duplicates(make([])).count() == 0
     assert S.drop_near_duplicates(make([])).count() == 0
+
+
+def test_large_buckets_are_split_until_small(spark):
+    """A thousand fingerprints that agree in many bits: no cell holds more than a chunk, and every link is found."""
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 63, dtype=np.uint64)) & ~((1 << 40) - 1)
+    fps = sorted({base | int(rng.integers(0, 1 << 40)) for _ in range(900)} | {base | 5 ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)})
+    members = spark.createDataFrame([(0, 0, S.signed(f)) for f in fps], "part int, value long, fp long")
+    parts = [(list(range(50, 64)), 0)]
+    cells = S.split_buckets(members, parts, 4, 64)
+    sizes = cells.groupBy("part", "value", "sub", "rest", "ci", "cj").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 64 and cells.count() < 40 * len(fps)
+    held = {}
+    for r in cells.collect():
+        held.setdefault((r.sub, r.rest, r.ci, r.cj), []).append(r.fp)
+    met = {frozenset(p) for own in held.values() for p in itertools.combinations(own, 2)}
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= 4:
+            assert frozenset((S.signed(a), S.signed(b))) in met
