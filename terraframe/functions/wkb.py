@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..types import CoordType, GeometryType, GeomType
 from .columnar import assembled, disassembled, read_wkb
 from .columnar import write_wkb as write_column
+from .coords import coord
 from .geometry import parse_wkb
 from .mixed import srids, statuses, wkb_of
 from .wkt import native_rows, with_rest
@@ -60,8 +61,39 @@ def native_from_wkb(a: pa.Array, t: GeomType) -> pa.Array:
     return with_rest(assembled(flat, t), flat, a, lambda xs: native_rows([parse_wkb(x) for x in xs], t))
 
 
-def from_wkb(b: Column, t: GeomType) -> Column:
-    """Native geometry of a binary column (any byte order, ISO or extended codes)."""
+def _number(b: Column, at: int, little: Column) -> Column:
+    """The double at a place: sign, exponent and mantissa put together by exact arithmetic."""
+    h = F.hex(F.substring(b, at + 1, 8))
+    swapped = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    h = F.when(little, swapped).otherwise(h)
+    high, low = (F.conv(F.substring(h, k, 8), 16, 10).cast("long") for k in (1, 9))
+    exponent = F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF).cast("long"))
+    fraction = F.shiftleft(high.bitwiseAND(F.lit(0xFFFFF).cast("long")), 32) + low
+    # below 2^53 a whole number is a double, and a power of two times it as well
+    whole = F.when(exponent == 0, fraction).otherwise(fraction + (1 << 52)).cast("double")
+    size = whole * F.pow(F.lit(2.0), F.greatest(exponent, F.lit(1)) - 1075)
+    size = F.when(exponent < 0x7FF, size).when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(F.shiftright(high, 31) == 1, -size).otherwise(size)
+
+
+def from_wkb_regular(b: Column, t: GeomType) -> Column:
+    """Points of binary by built-in expressions alone: null unless the value is a plain ISO point of the type, in either byte order."""
+    if t.geometry_type != GeometryType.POINT:
+        raise ValueError("built-in expressions read points")
+    little = F.substring(b, 1, 1) == F.lit(b"\x01")
+    values = {o: _number(b, 5 + 8 * i, little) for i, o in enumerate(t.ordinates)}
+    plain = (F.octet_length(b) == 5 + 8 * len(t.ordinates)) & (little | (F.substring(b, 1, 1) == F.lit(b"\x00"))) & (_u32(b, 1) == 1 + 1000 * (int(t.dimensions) - 1))
+    return F.when(plain, coord(t, **values))
+
+
+def from_wkb(b: Column, t: GeomType, mode: str = "auto") -> Column:
+    """Native geometry of a binary column (any byte order, ISO or extended codes).
+
+    ``mode``: auto (any binary), regular (built-in expressions only, of points; other binary is an error).
+    """
+    if mode == "regular":
+        bad = F.raise_error(F.concat(F.lit("Expected a plain point but got: "), F.left(F.hex(b), F.lit(200)))).cast(t.data_type)
+        return F.when(b.isNull(), F.lit(None)).otherwise(F.coalesce(from_wkb_regular(b, t), bad))
 
     @F.arrow_udf(t.data_type.simpleString())
     def convert(a: pa.Array) -> pa.Array:

@@ -108,6 +108,20 @@ def gather_rows(df: DataFrame, order: list[str], index: list[int]) -> DataFrame:
     return wanted.join(ranges.numbered(held), "pos")
 
 
+def gather_table(df: DataFrame, order: list[str], index: DataFrame) -> DataFrame:
+    """The columns of ``index`` with the rows at its positions (``pos``, from 1); repeats and any order are allowed.
+
+    Both tables are distributed: only the numbers of ranges that hold wanted positions come to the driver, and
+    only those ranges are read, numbered and joined.  Positions outside the table, and null ones, have no row.
+    """
+    ranges = Ranges(df, order)
+    first = F.array(*[F.lit(x).cast("long") for x in ranges.first])
+    part = F.size(F.filter(first, lambda f: f < F.col("pos"))) - 1
+    held = sorted(r[0] for r in index.filter(F.col("pos").between(1, sum(ranges.counts))).select(part.alias("p")).distinct().collect())  # a row for each range
+    held = [p for i in held for p in [max(k for k in range(i + 1) if ranges.counts[k])]]  # of ranges that begin alike the one with rows
+    return index.join(ranges.numbered(sorted(set(held))), "pos")
+
+
 def mask_rows(df: DataFrame, mask: Column) -> DataFrame:
     """Rows where the mask is true."""
     return df.filter(mask)

@@ -18,6 +18,7 @@ from ..operators import vector as V
 from ..operators import visit as X
 from ..operators.infer import infer_schema
 from ..operators.join import box_join as join_boxes
+from ..operators.rejects import split_rejected
 from ..sources.geoparquet import read_geoparquet, write_geoparquet
 from ..sources.ipc import read_ipc_files, write_ipc_files
 from ..sources.scratch import new_path
@@ -338,6 +339,28 @@ def wkb_to_point(spark, d):
     return b.select("id", B.from_wkb(F.col("b"), W.POINT).alias("g")).select("id", "g.x", "g.y")
 
 
+@query(f"SELECT id, CASE WHEN NOT missing THEN x END AS x, CASE WHEN NOT missing THEN y END AS y FROM {W.SQL_PTS}")
+def wkb_native_point(spark, d):
+    """Points of binary, doubles and all, by built-in expressions."""
+    h = F.hex(B.as_wkb(g(), W.POINT))  # as another writer's file would have them
+    b = W.pts(spark, d).select("id", F.unhex(h).alias("b"))
+    return b.select("id", B.from_wkb(F.col("b"), W.POINT, "regular").alias("g")).select("id", "g.x", "g.y")
+
+
+PLANTED = "(SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'POINT (' || o_custkey || ' 2.5)' WHEN 2 THEN 'POINT (1' WHEN 3 THEN 'LINESTRING (0 1, 2 3)' WHEN 4 THEN 'POINT (a 2)' ELSE 'POINT EMPTY' END AS w, o_custkey FROM orders)"
+
+
+@query(f"SELECT id, CASE WHEN id % 6 = 1 THEN o_custkey::DOUBLE WHEN id % 6 = 5 THEN -1 END AS x, id % 6 IN (2, 3, 4) AS rejected, CASE id % 6 WHEN 2 THEN 8 WHEN 4 THEN 7 ELSE -1 END::BIGINT AS byte FROM {PLANTED}")
+def try_read(spark, d):
+    """Text with planted errors, split into what can be read as points and what can't, with the byte."""
+    k = F.col("o_orderkey") % 6
+    w = F.when(k == 1, F.concat(F.lit("POINT ("), F.col("o_custkey").cast("string"), F.lit(" 2.5)"))).when(k == 2, "POINT (1").when(k == 3, "LINESTRING (0 1, 2 3)").when(k == 4, "POINT (a 2)").when(k == 5, "POINT EMPTY")
+    df = W.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.tag(w, "w", W.WKT))
+    clean, rejected = split_rejected(df, "w", W.POINT)
+    clean = clean.select("id", F.nanvl(F.col("w.x"), F.lit(-1.0)).alias("x"), F.lit(False).alias("rejected"), F.lit(-1).cast("long").alias("byte"))
+    return clean.union(rejected.select("id", F.lit(None).cast("double"), F.lit(True), F.coalesce("byte", F.lit(-1).cast("long"))))
+
+
 @query(f"SELECT id, k AS vertex, x, y FROM {W.SQL_VERTEX}")
 def wkb_to_linestring(spark, d):
     b = W.lns(spark, d).select("id", B.as_wkb(g(), W.LINE).alias("b"))
@@ -501,6 +524,13 @@ def gather_rows(spark, d):
     return V.gather_rows(W.pts(spark, d), ["id"], [10, 9, 3, 9, 500]).select("at", "id")
 
 
+@query("SELECT i.at, o.id FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders) o JOIN (SELECT l_orderkey * 8 + l_linenumber AS at, l_partkey + 7 * l_suppkey AS pos FROM lineitem) i USING (pos)")
+def gather_table(spark, d):
+    """Orders at positions that every line item names, with repeats and positions that aren't there."""
+    index = W.read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), (F.col("l_partkey") + 7 * F.col("l_suppkey")).cast("long").alias("pos"))
+    return V.gather_table(W.pts(spark, d), ["id"], index).select("at", "id")
+
+
 @query(f"SELECT id FROM {W.SQL_PTS} WHERE NOT missing AND x > 0")
 def mask_rows(spark, d):
     return V.mask_rows(W.pts(spark, d), F.col("g.x") > 0).select("id")
