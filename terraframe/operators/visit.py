@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import coords as C
-from ..functions.geometry import MEMBER, Geom, from_native, parse_wkb, parse_wkt
+from ..functions.geometry import MEMBER, Geom, from_native, parse_wkb, parse_wkt, write_wkb
 from ..functions.wkb import _plain
-from ..types import GeomType, parse_field
+from ..types import GeomType, parse_field, wkb_type
 
 
 def vertices(df: DataFrame, col: str, t: GeomType | None = None) -> DataFrame:
@@ -246,19 +247,22 @@ def native_events(g: Column, t: GeomType) -> Column:
     return F.concat(plain("feat_start"), F.when(g.isNull(), plain("null_feat")).otherwise(one(g, int(t.geometry_type), 0, 0)), plain("feat_end"))
 
 
-def geometry_events(df: DataFrame, col: str, feat_id: str) -> DataFrame:
+def geometry_events(df: DataFrame, col: str, feat_id: str, numbered: bool = False) -> DataFrame:
     """The traversal of every feature as rows; for starts, coord_id holds the size.
 
     Native columns go through built-in expressions, serialized ones through a visitor.
+    ``numbered``: with seq, an event's place in its feature from 0.
     """
     t = parse_field(df.schema[col], infer=True)
     chosen = df.select(F.col(f"`{feat_id}`").cast("long").alias("feat_id"), F.col(f"`{col}`").alias("g"))
     if t.is_native and t.geometry_type <= 6:
-        return chosen.select("feat_id", F.explode(native_events(F.col("g"), t)).alias("e")).select("feat_id", "e.*")
+        found = chosen.select("feat_id", F.posexplode(native_events(F.col("g"), t)).alias("seq", "e")).select("feat_id", "e.*", "seq")
+        return found if numbered else found.drop("seq")
     read = _reader(t)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(T._parse_datatype_string(EVENT_SCHEMA))
+    names = EVENT_SCHEMA + ", seq int" * numbered
+    schema = to_arrow_schema(T._parse_datatype_string(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,9 +270,14 @@ def geometry_events(df: DataFrame, col: str, feat_id: str) -> DataFrame:
                 part, v = b.slice(at, 1000), _Events()
                 for i, g in zip(part.column(0).to_pylist(), read(part.column(1))):
                     walk(g, i, v)
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in v.rows], f.type) for j, f in enumerate(schema)], schema=schema)
+                columns = [pa.array([r[j] for r in v.rows], f.type) for j, f in enumerate(schema) if f.name != "seq"]
+                if numbered:
+                    begins = np.array([r[1] == "feat_start" for r in v.rows], bool)
+                    at = np.arange(len(begins))
+                    columns.append(pa.array((at - np.maximum.accumulate(np.where(begins, at, 0))).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return chosen.mapInArrow(run, EVENT_SCHEMA)
+    return chosen.mapInArrow(run, names)
 
 
 def assemble(events: DataFrame, t: GeomType, name: str = "geometry") -> DataFrame:
@@ -299,4 +308,97 @@ def assemble(events: DataFrame, t: GeomType, name: str = "geometry") -> DataFram
     return out.select("feat_id", C.tag(F.col("c"), name, t))
 
 
-__all__ = ["Visitor", "assemble", "box_bounds", "edges", "geometry_events", "handle", "parts", "vertices"]
+class Writer:
+    """Builds one feature from its events, in order; an event that has no place there is an error that names it."""
+
+    def __init__(self) -> None:
+        self.begun = self.ended = self.null = False
+        self.open: list[Geom] = []
+        self.ring: list[tuple] | None = None
+        self.whole: Geom | None = None
+        self.at = 0
+
+    def fail(self, what: str) -> None:
+        raise ValueError(f"event {self.at}: {what}")
+
+    def push(self, event: str, kind: int | None, dims: int, c: tuple) -> None:
+        if self.ended or self.begun == (event == "feat_start"):
+            self.fail(f"{event} {'after the end' if self.ended else 'before the start' if not self.begun else 'twice'} of a feature")
+        top = self.open[-1] if self.open else None
+        if event == "feat_start":
+            self.begun = True
+        elif event == "null_feat":
+            if self.whole or top:
+                self.fail("null_feat inside a feature")
+            self.null = True
+        elif event == "geom_start":
+            if self.null or self.whole or self.ring is not None or top and (top.kind < 4 or top.kind < 7 and kind != MEMBER[top.kind]) or kind not in range(1, 8):
+                self.fail(f"geom_start of type {kind} has no place")
+            self.open.append(Geom(kind, dims, [], []))
+        elif event == "ring_start":
+            if not top or top.kind != 3 or self.ring is not None:
+                self.fail("ring_start outside of a polygon")
+            self.ring = []
+        elif event == "coord":
+            if not top or (top.kind == 3) != (self.ring is not None) or top.kind > 3 or top.kind == 1 and top.points:
+                self.fail("coord has no place")
+            (top.points if self.ring is None else self.ring).append(c)
+        elif event == "ring_end":
+            if self.ring is None:
+                self.fail("ring_end without a ring_start")
+            top.parts.append(self.ring)
+            self.ring = None
+        elif event == "geom_end":
+            if not top or self.ring is not None:
+                self.fail("geom_end without a geom_start" if not top else "geom_end inside a ring")
+            self.open.pop()
+            if self.open:
+                self.open[-1].parts.append(top)
+            else:
+                self.whole = top
+        elif event == "feat_end":
+            if self.open or not (self.whole or self.null):
+                self.fail("feat_end before the end of a geometry")
+            self.ended = True
+        else:
+            self.fail(f"unknown event '{event}'")
+        self.at += 1
+
+    def finish(self) -> Geom | None:
+        if not self.ended:
+            self.fail("no feat_end")
+        return self.whole
+
+
+def written(events: list[dict]) -> bytes | None:
+    """The binary of one feature's events, in order."""
+    w = Writer()
+    for e in events:
+        dims = e["dimensions"] or 0
+        w.push(e["event"], e["geometry_type"], dims, tuple(float("nan") if e[o] is None else e[o] for o in ("", "xy", "xyz", "xym", "xyzm")[dims]))
+    g = w.finish()
+    return None if g is None else write_wkb(g)
+
+
+def assemble_wkb(events: DataFrame, name: str = "geometry") -> DataFrame:
+    """The writer for any features: feat_id and ISO binary from numbered events of mixed, nested and null ones.
+
+    A feature's events meet in one place, ordered by ``seq``; a missing number, an end without its start and whatever else
+    is out of order is an error.
+    """
+    fields = ["seq", "event", "geometry_type", "dimensions", "x", "y", "z", "m"]
+    grouped = events.groupBy("feat_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("e"))
+
+    @F.arrow_udf("binary")
+    def build(e: pa.Array) -> pa.Array:
+        out = []
+        for own in e.to_pylist():
+            if [x["seq"] for x in own] != list(range(len(own))):
+                raise ValueError("the numbers of a feature's events are not 0, 1, 2, ...")
+            out.append(written(own))
+        return pa.array(out, pa.binary())
+
+    return grouped.select("feat_id", C.tag(build("e"), name, wkb_type()))
+
+
+__all__ = ["Visitor", "assemble", "assemble_wkb", "box_bounds", "edges", "geometry_events", "handle", "parts", "vertices"]

@@ -662,6 +662,18 @@ def geom_events_sql(spark, d):
     return spark.sql("SELECT l.id AS feat_id, e.event, e.level, coalesce(e.part_id, -1) AS part_id, coalesce(e.coord_id, -1) AS coord_id, coalesce(e.geometry_type, -1) AS geometry_type, e.x, e.y FROM geom_events_lines l, LATERAL geom_events(l.g, 'linestring') e")
 
 
+@query(f"SELECT id, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'GEOMETRYCOLLECTION (POINT (' || o_custkey || ' 1), GEOMETRYCOLLECTION (LINESTRING (0 1, 2 3), POLYGON ((0 0, 1 0, 1 1, 0 0))))' WHEN 2 THEN 'POLYGON Z ((0 0 1, 4 0 1, 4 4 ' || o_custkey || ', 0 0 1), (1 1 1, 2 1 1, 2 2 1, 1 1 1))' ELSE 'MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 ' || o_custkey || ', 5 5)))' END AS w FROM (SELECT *, o_orderkey AS id FROM orders)")
+def writer_mixed(spark, d):
+    """Nested, mixed and null features, taken apart into events and written again."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    w = F.when(k == 1, F.concat(F.lit("GEOMETRYCOLLECTION (POINT ("), c, F.lit(" 1), GEOMETRYCOLLECTION (LINESTRING (0 1, 2 3), POLYGON ((0 0, 1 0, 1 1, 0 0))))")))
+    w = w.when(k == 2, F.concat(F.lit("POLYGON Z ((0 0 1, 4 0 1, 4 4 "), c, F.lit(", 0 0 1), (1 1 1, 2 1 1, 2 2 1, 1 1 1))")))
+    w = w.when(k == 3, F.concat(F.lit("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 "), c, F.lit(", 5 5)))")))
+    df = W.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.tag(w, "w", W.WKT))
+    built = X.assemble_wkb(X.geometry_events(df, "w", "id", numbered=True), "g")
+    return built.select(F.col("feat_id").alias("id"), as_wkt(g(), wkb_type()).alias("w"))
+
+
 @query(f"SELECT id, k AS vertex, x, y FROM {W.SQL_VERTEX}")
 def geom_writer(spark, d):
     built = X.assemble(X.geometry_events(W.lns(spark, d), "g", "id"), W.LINE, "g").withColumnRenamed("feat_id", "id")
