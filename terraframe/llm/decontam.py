@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices, strings, tidy
-from .storage import files, read, small_batches, without_rows, write_table
+from .storage import drop_table, files, read, small_batches, without_rows, write_table
 
 CELLS = 1 << 16
 RANK = 48
@@ -593,8 +593,11 @@ def leaks(docs: DataFrame, items: list[Item], basis: np.ndarray, cosine: float,
     return docs.select("__id", "__text", "__th", "__cells").mapInArrow(run, MATCH)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.75, copy: float = 0.75, paraphrase: float = 0.6, least: int = 8, item_block: int = 20_000) -> DataFrame:
-    """(id, th, item_id, share, cosine) for each row and benchmark item that it leaks; th: the hash of the row's text."""
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = 0.75, copy: float = 0.75, paraphrase: float = 0.6, least: int = 8, item_block: int = 20_000, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """(id, th, item_id, share, cosine) for each row and benchmark item that it leaks; th: the hash of the row's text.
+
+    ``scratch`` takes note of the tables that the result reads.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     spark = docs.sparkSession
     bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
@@ -608,12 +611,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         if not items:
             continue
         if basis is None:
-            rows = write_table(scanned(rows), "op8-scanned", parts=files(rows))
+            rows = write_table(scanned(rows), "op8-scanned", scratch, files(rows))
             n, df = document_frequencies(rows)
             idf = np.log((n + 1.0) / (df + 1.0)).astype(np.float32) + 0.05
             basis = latent(rows, bench, idf)
         found = leaks(rows, items, basis, cosine, copy, paraphrase, least)
-        found = write_table(found, "op8-block") if blocks > 1 else found
+        found = write_table(found, "op8-block", scratch) if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], MATCH)
@@ -629,8 +632,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that leak a benchmark item: a row is known by its id and the hash of its text."""
-    found = matches(docs, benchmark, id_col, text_col).select(F.col("id").alias("__lid"), F.col("th").alias("__lth")).distinct()
-    return without_rows(docs, write_table(found, "op8-leaks", parts=files(docs)), id_col, F.col(f"`{text_col}`"))
+    scratch: list[DataFrame] = []
+    found = matches(docs, benchmark, id_col, text_col, scratch=scratch).select(F.col("id").alias("__lid"), F.col("th").alias("__lth")).distinct()
+    leaks_ = write_table(found, "op8-leaks", parts=files(docs))
+    drop_table(*scratch)
+    return without_rows(docs, leaks_, id_col, F.col(f"`{text_col}`"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
