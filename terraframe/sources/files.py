@@ -3,7 +3,7 @@
 Files are reached through Arrow's file systems (local and shared folders, S3, GCS, HDFS).
 Tasks write under a hidden folder of their job; the commit moves the files of the
 successful attempts into place and removes the rest, so a half-written file of a lost
-executor is never seen.
+executor is never seen.  What a task still writes after its job was given up stays hidden.
 """
 
 from __future__ import annotations
