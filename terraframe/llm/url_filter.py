@@ -35,8 +35,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The first href of an <a> element, quoted or bare; SQL's expression engine takes linear time for it.
 HREF = r"""(?is)<a(?:\s[^>]*?)??\shref\s*=\s*["']?([^"'\s>]+)"""
 
-#: What decides about links, in order: an <a>, the end of a tag, an href with its value.  Each is found in time linear in its length.
-PARTS = r"""(?is)<a(?=\s)|>|\shref\s*+=\s*+["']?[^"'\s>]++"""
+#: An <a> up to the end of its tag, and in it what decides about links: each is found in time linear in its length.
+TAG = r"(?is)<a(?=\s)[^>]*+"
+PARTS = r"""(?is)<a(?=\s)|\shref\s*+=\s*+["']?[^"'\s>]++"""
 
 
 def hrefs(html: Column) -> Column:
@@ -44,10 +45,14 @@ def hrefs(html: Column) -> Column:
 
     A backtracking engine would look for it from every <a> to the end of the page.
     """
-    parts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(PARTS), F.lit(0))
-    previous = F.concat(F.array(F.lit("")), parts)
-    found = F.filter(F.zip_with(parts, previous, lambda x, p: F.struct(x.alias("x"), p.alias("p"))), lambda t: F.lower(t["p"]).eqNullSafe("<a") & F.lower(t["x"]).contains("href"))
-    return F.transform(found, lambda t: F.regexp_extract(t["x"], r"""(?is)^\shref\s*+=\s*+["']?([^"'\s>]++)""", 1))
+
+    def of_tag(tag: Column) -> Column:
+        parts = F.regexp_extract_all(tag, F.lit(PARTS), F.lit(0))
+        pairs = F.zip_with(parts, F.concat(F.array(F.lit("")), parts), lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+        found = F.filter(pairs, lambda t: F.lower(t["p"]).eqNullSafe("<a") & F.lower(t["x"]).contains("href"))
+        return F.transform(found, lambda t: F.regexp_extract(t["x"], r"""(?is)^\shref\s*+=\s*+["']?([^"'\s>]++)""", 1))
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TAG), F.lit(0)), of_tag))
 
 
 @dataclass(frozen=True)
