@@ -1,5 +1,7 @@
 import datetime as dt
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,40 @@ def test_late_features_join_two_sessions():
     assert S.joined(s, 10) == s and S.joined([], 10) == []
 
 
+class Store:
+    """What a processor asks of Spark: a list, timers, and the number of calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def did(self):
+        self.calls += 1
+
+    get = lambda self: self.did() or iter(self.rows)
+    put = lambda self, rows: self.did() or setattr(self, "rows", list(rows))
+    clear = lambda self: self.put([])
+    registerTimer = lambda self, t: self.did() or self.timers.add(t)
+    deleteTimer = lambda self, t: self.did() or self.timers.remove(t)
+
+
+@pytest.mark.parametrize("n", [3, 300])
+def test_calls_of_the_store_do_not_grow_with_the_sessions(n):
+    store, s = Store(), S.Sessions("user", 10_000)
+    s.handle = s.open = store
+    part = lambda at: pd.DataFrame({"session_us": at, **dict.fromkeys(S.ENDS, [0.0] * len(at))})
+    list(s.handleInputRows((1,), iter([part([i * 20_000 for i in range(n)])]), None))
+    assert len(store.rows) == n and store.timers == {10}
+    list(s.handleInputRows((1,), iter([part([5_000, n * 20_000])]), None))  # the first session ends later now
+    assert len(store.rows) == n + 1 and store.timers == {15}
+    mark = (n - 1) * 20  # the last session but one is over, the one after isn't
+    fired = lambda at, mark: list(s.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    (out,) = fired(15, mark)
+    store.timers.remove(15)  # by Spark
+    assert list(out["n"]) == [2, *[1] * (n - 2)] and len(store.rows) == 2 and store.timers == {mark + 10}
+    assert fired(20, mark) == [] and len(store.rows) == 2  # a timer that finds nothing
+    assert store.calls <= 12
+
+
 def test_tables_are_refused(spark):
     df = spark.range(1).select(F.current_timestamp().alias("ts"), "id", tag(F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), "g", point_type()))
     with pytest.raises(ValueError, match="of a stream"):
