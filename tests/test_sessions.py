@@ -1,8 +1,8 @@
 import datetime as dt
 from types import SimpleNamespace
 
-import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from terraframe.functions.coords import tag
@@ -92,16 +92,16 @@ class Store:
 def test_calls_of_the_store_do_not_grow_with_the_sessions(n):
     store, s = Store(), S.Sessions("user", 10_000)
     s.handle = s.open = store
-    part = lambda at: pd.DataFrame({"session_us": at, **dict.fromkeys(S.ENDS, [0.0] * len(at))})
-    list(s.handleInputRows((1,), iter([part([i * 20_000 for i in range(n)])]), None))
+    rows = lambda at: iter([Row(session_us=t, **dict.fromkeys(S.ENDS, 0.0)) for t in at])
+    list(s.handleInputRows((1,), rows([i * 20_000 for i in range(n)]), None))
     assert len(store.rows) == n and store.timers == {10}
-    list(s.handleInputRows((1,), iter([part([5_000, n * 20_000])]), None))  # the first session ends later now
+    list(s.handleInputRows((1,), rows([5_000, n * 20_000]), None))  # the first session ends later now
     assert len(store.rows) == n + 1 and store.timers == {15}
     mark = (n - 1) * 20  # the last session but one is over, the one after isn't
     fired = lambda at, mark: list(s.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
-    (out,) = fired(15, mark)
+    out = fired(15, mark)
     store.timers.remove(15)  # by Spark
-    assert list(out["n"]) == [2, *[1] * (n - 2)] and len(store.rows) == 2 and store.timers == {mark + 10}
+    assert [r.n for r in out] == [2, *[1] * (n - 2)] and len(store.rows) == 2 and store.timers == {mark + 10}
     assert fired(20, mark) == [] and len(store.rows) == 2  # a timer that finds nothing
     assert store.calls <= 12
 
