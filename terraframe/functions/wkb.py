@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import CoordType, GeometryType, GeomType
-from .columnar import assembled, disassembled, read_wkb
+from .columnar import assembled, disassembled, in_pieces, read_wkb
 from .columnar import write_wkb as write_column
 from .coords import coord
 from .geometry import parse_wkb
@@ -51,14 +51,17 @@ def as_wkb(g: Column, t: GeomType, big_endian: bool = False) -> Column:
 
     @F.arrow_udf("binary")
     def convert(a: pa.Array) -> pa.Array:
-        return write_column(disassembled(a, t), t, big_endian)
+        return in_pieces(a, lambda part: write_column(disassembled(part, t), t, big_endian))
 
     return convert(g)
 
 
 def native_from_wkb(a: pa.Array, t: GeomType) -> pa.Array:
-    flat = read_wkb(a, t)
-    return with_rest(assembled(flat, t), flat, a, lambda xs: native_rows([parse_wkb(x) for x in xs], t))
+    def read(part: pa.Array) -> pa.Array:
+        flat = read_wkb(part, t)
+        return with_rest(assembled(flat, t), flat, part, lambda xs: native_rows([parse_wkb(x) for x in xs], t))
+
+    return in_pieces(a, read)
 
 
 def _number(b: Column, at: int, little: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import CoordType, Dimensions, GeometryType, GeomType
-from .columnar import Flat, assembled, read_wkt
+from .columnar import Flat, assembled, in_pieces, read_wkt
 from .coords import coord, nan_coord, ordinate, recoord
 from .geometry import Geom, parse_wkb, parse_wkt, to_native, write_wkt
 from .mixed import codes, wkb_of
@@ -143,8 +143,11 @@ def with_rest(fast: pa.Array, flat: Flat, a: pa.Array, read) -> pa.Array:
 
 
 def native_from_wkt(a: pa.Array, t: GeomType) -> pa.Array:
-    flat = read_wkt(a, t)
-    return with_rest(assembled(flat, t), flat, a, lambda xs: native_rows([parse_wkt(x) for x in xs], t))
+    def read(part: pa.Array) -> pa.Array:
+        flat = read_wkt(part, t)
+        return with_rest(assembled(flat, t), flat, part, lambda xs: native_rows([parse_wkt(x) for x in xs], t))
+
+    return in_pieces(a, read)
 
 
 def from_wkt_any(w: Column, t: GeomType) -> Column:

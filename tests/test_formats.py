@@ -3,17 +3,20 @@
 import math
 import re
 import struct
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terraframe import types as G
+from terraframe.functions import columnar as K
 from terraframe.functions import geometry as Y
 from terraframe.functions import wkb as B
 from terraframe.functions.numbers import format_double
-from terraframe.functions.wkt import as_wkt, from_wkt, from_wkt_any, from_wkt_regular
+from terraframe.functions.wkt import as_wkt, from_wkt, from_wkt_any, from_wkt_regular, native_from_wkt
 from terraframe.operators.cast import cast
 
 #: Every type and dimension, EMPTY at every level, nested collections.
@@ -238,3 +241,34 @@ def test_codes_of_extended_and_empty_binary(spark):
     got = {(r.i, r.k): r.c for r in df.select("i", "k", geometry_code(F.col("b"), G.wkb_type()).alias("c")).collect()}
     assert got == {(i, k): want for i, want in enumerate(cases.values()) for k in range(3)}
     assert df.select(geometry_code(F.lit(None).cast("binary"), G.wkb_type()).alias("c")).first().c is None
+
+
+@pytest.mark.parametrize("body", ["(1 2, 3 4)", "(1 2,3 4 , 5 6)  ", "(1 2, 3 4,)", "(,1 2)", "(1 2, , 3 4)", "(1 2, 3 x)", "(1 2, (3 4), 5 6)", "(1 2, 3 4) z", "(1 2 3, 4 5)", "()", "EMPTY", "(1 2, 3 4", "(1 2), (3 4)"])
+def test_pieces_of_long_text_and_columns(monkeypatch, body):
+    """What pieces give is what the whole gives, whatever the cut."""
+    rows = ["LINESTRING " + body, None, "LINESTRING (" + ", ".join(f"{i} {i + 0.5}" for i in range(50)) + body.replace("(", ", ", 1)]
+    t = G.linestring_type()
+    want = [K._read_regular(pa.array([r], pa.string()), t) for r in rows]
+    for piece in (1, 7, 16, 64):
+        monkeypatch.setattr(K, "PIECE", piece)
+        for r, w in zip(rows, want):
+            got = K.read_wkt(pa.array([r], pa.string()), t)
+            assert got.good.tolist() in (w.good.tolist(), [False])  # a piece may be too short for a coordinate
+            assert not got.good[0] or (got.coords == w.coords).all() and [list(c) for c in got.counts] == [list(c) for c in w.counts]
+            assert piece < 64 or got.good.tolist() == w.good.tolist()
+        good = pa.array([r for r, w in zip(rows, want) if r is None or w.good[0]] * 3, pa.string())
+        native = native_from_wkt(good, t)
+        assert native.to_pylist() == [None if r is None else [{"x": x, "y": y} for x, y in Y.parse_wkt(r).points] for r in good.to_pylist()]
+        binary = K.in_pieces(native, lambda a: K.write_wkb(K.disassembled(a, t), t))
+        assert binary.to_pylist() == [None if r is None else Y.write_wkb(Y.parse_wkt(r)) for r in good.to_pylist()]
+        assert B.native_from_wkb(binary, t) == native
+
+
+def test_memory_of_long_text(monkeypatch):
+    monkeypatch.setattr(K, "PIECE", 1 << 18, raising=False)
+    a = pa.array(["LINESTRING (" + ", ".join(f"{i}.25 {i}.5" for i in range(200_000)) + ")"] * 2)
+    tracemalloc.start()
+    assert [len(x) for x in native_from_wkt(a, G.linestring_type())] == [200_000] * 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * a.nbytes, peak / a.nbytes
