@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,7 +114,7 @@ def walk(g: Geom | None, feat_id, v: Visitor) -> None:
             raise _Stop
 
     def points(cs) -> list:
-        return [c for c in cs if any(x == x for x in c)]
+        return [c for c in cs if c[0] == c[0] or any(x == x for x in c)]
 
     def one(x: Geom, part: int, level: int) -> None:
         own = points(x.points)
@@ -170,6 +171,10 @@ def handle(df: DataFrame, col: str, visitor: Callable[[], Visitor], schema: str,
     return chosen.mapInArrow(run, schema)
 
 
+#: By dimensions: a coordinate as x, y, z, m, with null for what isn't there.
+_SPREAD = [lambda c: (None,) * 4, lambda c: (*c, None, None), lambda c: (*c, None), lambda c: (c[0], c[1], None, c[2]), tuple]
+
+
 class _Events(Visitor):
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -179,8 +184,7 @@ class _Events(Visitor):
 
     def _add(self, event: str, coord_id=None, c=()) -> None:
         level, part, kind, dims = self.open[-1] if self.open else (0, None, None, 0)
-        vals = dict(zip(("", "xy", "xyz", "xym", "xyzm")[dims], c))
-        self.rows.append((self.feature, event, level, part, self.ring, coord_id, kind, dims, *[vals.get(o) for o in "xyzm"]))
+        self.rows.append((self.feature, event, level, part, self.ring, coord_id, kind, dims, *_SPREAD[dims if c else 0](c)))
 
     def feature_start(self, feat_id):
         self.feature, self.open, self.ring = feat_id, [], None
@@ -270,7 +274,7 @@ def geometry_events(df: DataFrame, col: str, feat_id: str, numbered: bool = Fals
                 part, v = b.slice(at, 1000), _Events()
                 for i, g in zip(part.column(0).to_pylist(), read(part.column(1))):
                     walk(g, i, v)
-                columns = [pa.array([r[j] for r in v.rows], f.type) for j, f in enumerate(schema) if f.name != "seq"]
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*v.rows), schema)]
                 if numbered:
                     begins = np.array([r[1] == "feat_start" for r in v.rows], bool)
                     at = np.arange(len(begins))
@@ -370,16 +374,28 @@ class Writer:
         return self.whole
 
 
-def written(events: list[dict]) -> bytes | None:
-    """The binary of one feature's events, in order."""
+def written(events: list[tuple]) -> bytes | None:
+    """The binary of one feature's events (event, type, dimensions, ordinates), in order."""
     w = Writer()
     for e in events:
-        dims = e["dimensions"] or 0
-        w.push(e["event"], e["geometry_type"], dims, tuple(float("nan") if e[o] is None else e[o] for o in ("", "xy", "xyz", "xym", "xyzm")[dims]))
+        w.push(*e)
     g = w.finish()
     return None if g is None else write_wkb(g)
 
 
+def event_rows(e: pa.StructArray) -> list[tuple]:
+    """Events as what the writer takes, by the column: a missing ordinate is not a number."""
+    numbers = lambda name, none: pc.fill_null(e.field(name), none).to_numpy(zero_copy_only=False).tolist()
+    names = e.field("event").dictionary_encode()
+    known = [*names.dictionary.to_pylist(), None]
+    event = [known[i] for i in pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False).tolist()]
+    kind = [k or None for k in numbers("geometry_type", 0)]
+    dims = numbers("dimensions", 0)
+    coords = zip(*(numbers(o, float("nan")) for o in "xyzm"))
+    pick = [lambda c: (), lambda c: c[:2], lambda c: c[:3], lambda c: (c[0], c[1], c[3]), lambda c: c]
+    return [(v, k, d, pick[d](c)) for v, k, d, c in zip(event, kind, dims, coords)]
+
+
 def assemble_wkb(events: DataFrame, name: str = "geometry") -> DataFrame:
     """The writer for any features: feat_id and ISO binary from numbered events of mixed, nested and null ones.
 
@@ -391,12 +407,13 @@ def assemble_wkb(events: DataFrame, name: str = "geometry") -> DataFrame:
 
     @F.arrow_udf("binary")
     def build(e: pa.Array) -> pa.Array:
-        out = []
-        for own in e.to_pylist():
-            if [x["seq"] for x in own] != list(range(len(own))):
-                raise ValueError("the numbers of a feature's events are not 0, 1, 2, ...")
-            out.append(written(own))
-        return pa.array(out, pa.binary())
+        n = pc.list_value_length(e).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n)
+        own = e.flatten()
+        if (pc.fill_null(own.field("seq"), -1).to_numpy(zero_copy_only=False) != np.arange(len(own)) - np.repeat(ends - n, n)).any():
+            raise ValueError("the numbers of a feature's events are not 0, 1, 2, ...")
+        rows = event_rows(own)
+        return pa.array([written(rows[at:to]) for at, to in zip((ends - n).tolist(), ends.tolist())], pa.binary())
 
     return grouped.select("feat_id", C.tag(build("e"), name, wkb_type()))
 

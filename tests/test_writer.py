@@ -1,8 +1,12 @@
+import math
+import sys
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from terraframe.functions.coords import tag
-from terraframe.functions.geometry import parse_wkb, parse_wkt, write_wkb, write_wkt
+from terraframe.functions.geometry import number_text, parse_wkb, parse_wkt, write_wkb, write_wkt
 from terraframe.functions.wkt import from_wkt
 from terraframe.operators import visit as X
 from terraframe.types import multipolygon_type, parse_field, wkt_type
@@ -73,3 +77,25 @@ def test_missing_numbers_are_an_error(spark):
     events = X.geometry_events(df, "w", "id", numbered=True)
     with pytest.raises(Exception, match="are not 0, 1, 2"):
         X.assemble_wkb(events.filter("seq <> 2")).collect()
+
+
+def test_events_go_to_the_writer_by_the_column():
+    """As one by one, on a slice and with nulls; numbers alone need no decimal arithmetic."""
+    rows = []
+    for t in TEXTS[1:]:
+        v = X._Events()
+        X.walk(parse_wkt(t), 1, v)
+        rows += [{"seq": 0, "event": r[1], "geometry_type": r[6], "dimensions": r[7], **dict(zip("xyzm", r[8:]))} for r in v.rows]
+    rows.append(dict.fromkeys(rows[0]))
+    got = X.event_rows(pa.array([rows[0], *rows]).slice(1))
+    plain = [(r["event"], r["geometry_type"], r["dimensions"] or 0, tuple(math.nan if r[o] is None else r[o] for o in ("", "xy", "xyz", "xym", "xyzm")[r["dimensions"] or 0])) for r in rows]
+    assert str(got) == str(plain) and len(got) > 50
+
+
+@pytest.mark.parametrize("precision", [16, 3, 0])
+def test_whole_numbers_as_other_numbers(precision, monkeypatch):
+    values = [0.0, -0.0, 1.0, -1.0, 100.0, 123456.0, 999999999999999.0, 1e15, 1e16, -1e16, 1e17, 1e18, 0.5, -2.5, 1e-20]
+    want = ["0", "0", "1", "-1", "100", "123456", "999999999999999", "1000000000000000", "10000000000000000", "-10000000000000000", "100000000000000000"]
+    assert [number_text(v, precision) for v in values][:11] == want
+    monkeypatch.setitem(sys.modules, "decimal", None)  # not asked for whole numbers
+    assert [number_text(v, precision) for v in values[:7]] == want[:7]
