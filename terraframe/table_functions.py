@@ -4,6 +4,9 @@
 return follows from the argument's type.  Text and binary hold any geometry; a
 native column's storage is shared by some types, so its name is a second
 argument where it isn't a point or a box: ``geom_vertices(g, 'linestring')``.
+
+They call Python for each row.  For a native type that is known beforehand,
+``register_native_events`` makes a table function of built-in expressions.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from .functions.geometry import Geom, from_native, parse_wkb, parse_wkt
+from .functions.geometry import MEMBER, Geom, from_native, parse_wkb, parse_wkt
 from .operators.visit import EVENT_SCHEMA, _Events, walk
-from .types import LEVELS, GeometryType
+from .types import LEVELS, CoordType, GeometryType, GeomType
 
 _DIMS = {"xy": 1, "xyz": 2, "xym": 3, "xyzm": 4}
 
@@ -153,4 +156,51 @@ def register_tables(spark: SparkSession) -> list[str]:
     return list(names)
 
 
-__all__ = ["register_tables"]
+def native_events_sql(t: GeomType) -> str:
+    """The events of a native column ``g`` as an array, in SQL text; see native_events()."""
+    dims = int(t.dimensions)
+    interleaved = t.coord_type == CoordType.INTERLEAVED
+    ordinate = lambda c, o: f"{c}[{t.ordinates.index(o)}]" if interleaved else f"{c}.{o}"
+    names = [n for n, _ in Events.FIELDS]
+
+    def event(name: str, level: int, part, ring, coord_id, kind, dims_: int, c: str | None = None) -> str:
+        integers = ["CAST(NULL AS INT)" if v is None else str(v) for v in (level, part, ring, coord_id, kind, dims_)]
+        doubles = [ordinate(c, o) if c and o in t.ordinates else "CAST(NULL AS DOUBLE)" for o in "xyzm"]
+        return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, [f"'{name}'", *integers, *doubles])) + ")"
+
+    def there(cs: str) -> str:
+        return f"filter({cs}, v -> NOT ({' AND '.join(f'isnan({ordinate("v", o)})' for o in t.ordinates)}))"
+
+    def coords(cs: str, level: int, part, ring, kind: int) -> str:
+        return f"transform({cs}, (c, k) -> {event('coord', level, part, ring, 'k', kind, dims, 'c')})"
+
+    def one(x: str, kind: int, level: int, part) -> str:
+        if kind < 3:
+            own = there(f"array({x})" if kind == 1 else x)
+            size, inner = f"size({own})", coords(own, level, part, None, kind)
+        elif kind == 3:
+            own = there("r")
+            ring = f"concat(array({event('ring_start', level, part, 'i', f'size({own})', kind, dims)}), {coords(own, level, part, 'i', kind)}, array({event('ring_end', level, part, 'i', None, kind, dims)}))"
+            size, inner = f"size({x})", f"flatten(transform({x}, (r, i) -> {ring}))"
+        else:
+            size, inner = f"size({x})", f"flatten(transform({x}, (m, p) -> {one('m', MEMBER[kind], level + 1, 'p')}))"
+        return f"concat(array({event('geom_start', level, part, None, size, kind, dims)}), {inner}, array({event('geom_end', level, part, None, None, kind, dims)}))"
+
+    plain = lambda name: f"array({event(name, 0, None, None, None, None, 0)})"
+    return f"concat({plain('feat_start')}, CASE WHEN g IS NULL THEN {plain('null_feat')} ELSE {one('g', int(t.geometry_type), 0, 0)} END, {plain('feat_end')})"
+
+
+def register_native_events(spark: SparkSession, name: str, t: GeomType) -> str:
+    """Register a table function of the events of native columns of type ``t`` under ``name``, and return it.
+
+    ``SELECT id, e.* FROM t, LATERAL name(t.g) e`` gives the rows of ``geom_events`` by built-in expressions: its SQL
+    body is put in the place of the call, and only the columns that are asked for are made.
+    """
+    if not t.is_native or t.geometry_type > 6:
+        raise ValueError("the events of a native type by its SQL body; geom_events reads the others")
+    columns = ", ".join(f"{n} {k.simpleString()}" for n, k in Events.FIELDS)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(g {t.data_type.simpleString()}) RETURNS TABLE({columns}) RETURN SELECT e.* FROM (SELECT explode({native_events_sql(t)}) AS e)")
+    return name
+
+
+__all__ = ["register_native_events", "register_tables"]
