@@ -17,23 +17,31 @@ from ..types import Encoding, GeomType, parse_field
 from .kernels import format_wkt
 
 
+#: Rows of a range of long sequences that are aimed at, and ranges: the search among more cuts is not compiled. Above LARGE times as many rows there are more.
+RANGE, RANGES, LARGE = 1 << 19, 100, 8
+
+
 class Ranges:
     """The rows dealt into ranges of their keys, nulls first, with the number of rows in each.
 
     A bounded sample of keys (60 a partition) gives the cuts; counts are taken in
-    one pass over the keys, pre-aggregated: no row is moved.
+    one pass over the keys, pre-aggregated: no row is moved.  There are as many ranges as
+    shuffle partitions; with ``rows`` fewer of so many rows (RANGES at most), or more of LARGE times as many.
     """
 
-    def __init__(self, df: DataFrame, order: list[str]):
+    def __init__(self, df: DataFrame, order: list[str], rows: int | None = None):
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.df, self.order = df, order
         self.keys = [F.col(f"`{k}`") for k in order]
         narrow = df.select(*self.keys)
-        share = min(1.0, 60 * parts / max(narrow.count(), 1))
+        total = narrow.count()
+        if rows:
+            parts = max(1, min(parts, RANGES, -(-total // rows)), -(-total // (LARGE * rows)))
+        share = min(1.0, 60 * parts / max(total, 1))
         sample = narrow.sample(False, share, seed=1).orderBy(*self.keys).collect()
         step = max(1, len(sample) // parts)
-        rows = list(dict.fromkeys(tuple(r) for r in sample[step::step][: parts - 1]))
-        self.cuts = [r for r in rows if len(order) > 1 or r[0] is not None]
+        found = list(dict.fromkeys(tuple(r) for r in sample[step::step][: parts - 1]))
+        self.cuts = [r for r in found if len(order) > 1 or r[0] is not None]
         self.types = [f.dataType for f in narrow.schema.fields]
         counts = {r[0]: r[1] for r in narrow.groupBy(self.part().alias("p")).count().collect()}  # a row for each part
         self.counts = [counts.get(i, 0) for i in range(len(self.cuts) + 1)]
@@ -93,6 +101,25 @@ def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     return Ranges(df, order).numbered(name=name)
 
 
+def long_sequences(df: DataFrame, by: str, order: list[str], value: Column, most: int) -> DataFrame:
+    """The values of each ``by`` in order, in pieces of at most so many: by, first (the values before it), values.
+
+    For few sequences of any length: no task and no row holds all of one.  Rows are dealt into ranges of
+    their keys, numbered there in a sort that spills, and put together piece by piece.  What is broadcast
+    is a row for each sequence and each range.
+    """
+    ranges = Ranges(df, [by, *order], RANGE)
+    df = df.withColumn("__part", ranges.part())
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = df.groupBy("__part", by).count().select(F.col("__part").alias("__p"), F.col(by).alias("__by"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__part", by).orderBy(*order)) - 1
+    tasks = max(4 * len(ranges.counts), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.repartition(tasks, "__part", by).select("__part", by, at.alias("__at"), value.alias("__v"))  # by number, so that ranges aren't put together again
+    pieces = rows.groupBy("__part", by, F.floor(F.col("__at") / most).alias("__piece")).agg(F.sort_array(F.collect_list(F.struct("__at", "__v"))).alias("values"))
+    found = pieces.join(F.broadcast(begins), (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by")))
+    return found.select(by, (F.col("__before") + F.col("__piece") * most).alias("first"), F.col("values.__v").alias("values"))
+
+
 def slice_rows(df: DataFrame, order: list[str], start: int, length: int) -> DataFrame:
     """Rows at positions start..start+length-1, with their positions."""
     ranges = Ranges(df, order)

@@ -1,0 +1,49 @@
+"""Sequences that grow with the table: in pieces, numbered as a whole."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from terraframe.operators import vector as V
+from terraframe.plans import views as W
+from terraframe.plans.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("rows, most", [(1 << 19, 7), (100, 7), (100, 1), (30, 1000)])
+def test_pieces_are_gapless_and_in_order(spark, monkeypatch, rows, most):
+    """One long sequence, a short one, one of a null key, equal rows; in one range and in several."""
+    monkeypatch.setattr(V, "RANGE", rows)
+    data = [(k, (i * 37) % n, i) for k, n in (("a", 500), ("b", 3), (None, 90)) for i in range(n)] + [("c", 5, 5)] * 40
+    df = spark.createDataFrame(data, "s string, at int, v int").repartition(3)
+    got = V.long_sequences(df, "s", ["at", "v"], F.col("v"), most).withColumn("p", F.spark_partition_id()).collect()
+    assert all(1 <= len(r["values"]) <= most for r in got)
+    for s in ("a", "b", "c", None):
+        own = sorted((r for r in got if r.s == s), key=lambda r: r.first)
+        want = [v for _, v in sorted((at, v) for k, at, v in data if k == s)]
+        assert [v for r in own for v in r["values"]] == want
+        assert [r.first for r in own] == [sum(len(o["values"]) for o in own[:i]) for i in range(len(own))]
+    if rows == 100:
+        assert len({r.p for r in got if r.s == "a"}) > 1  # no task holds all of one
+
+
+def test_ranges_by_rows(spark, monkeypatch):
+    df = spark.range(4000)
+    assert len(V.Ranges(df, ["id"]).counts) == 4
+    assert len(V.Ranges(df, ["id"], 2000).counts) == 2 and len(V.Ranges(df, ["id"], 10**6).counts) == 1
+    monkeypatch.setattr(V, "LARGE", 2)
+    assert len(V.Ranges(df, ["id"], 100).counts) == 20  # more than the shuffle's partitions
+    assert V.Ranges(df.filter("id < 0"), ["id"], 100).counts == [0]
+
+
+def test_no_row_holds_a_long_line(spark, monkeypatch):
+    monkeypatch.setattr(W, "PIECE", 50)
+    monkeypatch.setattr(V, "RANGE", 1000)
+    n = W.long_lines(spark, SF).groupBy("id").agg(F.max(F.size("g")).alias("most"), F.sum(F.size("g")).alias("n")).collect()
+    assert len(n) == 10 and all(r.most <= 50 < r.n for r in n)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    names = ["id", "way", "n", "sx", "sy", "sxk"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({SQL['long_lines']})").fetchall()
+    assert sorted(map(tuple, QUERIES["long_lines"](spark, SF).select(*names).collect())) == sorted(want)
